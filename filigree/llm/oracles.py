@@ -1 +1,80 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the operators that SQL can express.
+
+op4 (zstandard), op6 (token ids), op8 (markup), op9 (seeded draws) and op10
+(gear hashes) are held against plain Python in the tests.
+"""
+
+from __future__ import annotations
+
+_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+OP1 = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, t, CASE t WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(t)),
+o AS (SELECT *, row_number() OVER w AS k, lag(role) OVER w AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, CASE WHEN k > 1 AND role = before THEN length('<|turn|>') ELSE length('<|im_start|>' || replace(replace(role, '<|', '<||'), chr(10), '<|nl|>')) + 1 + length('<|im_end|>') + 1 END + length(replace(text, '<|', '<||')) AS chars FROM o)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars FROM p GROUP BY conv_id"""
+
+_SUFFIXES = "'co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'co.za'"
+
+
+def _strength(table: str) -> str:
+    """m and prior strength of one level of groups(n, k)."""
+    return f"""(SELECT m, CASE WHEN rho > 0 THEN least(200.0, greatest(1.0, 1 / rho - 1)) ELSE 200.0 END AS c FROM (
+  SELECT m, (kk - sk * sk / n - (g - 1) * m * (1 - m)) / CASE WHEN (n - nn / n - (g - 1)) * m * (1 - m) > 0 THEN (n - nn / n - (g - 1)) * m * (1 - m) END AS rho FROM (
+  SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS sk, count(*)::DOUBLE AS g, sum(n * n)::DOUBLE AS nn, sum(k * k / n::DOUBLE) AS kk, (sum(k) + 0.5) / (sum(n) + 1.0)::DOUBLE AS m FROM {table})))"""
+
+
+OP2 = f"""
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+l AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad FROM u JOIN labels ON doc_id = page_id WHERE toxic IS NOT NULL OR quality IS NOT NULL),
+b AS (SELECT host, count(*) AS n, sum(bad) AS k, string_split(regexp_replace(host, '(^.*@)|(:\\d*$)', ''), '.') AS p FROM l GROUP BY host),
+h AS (SELECT host, n, k, array_to_string(CASE WHEN array_to_string(p[-2:], '.') IN ({_SUFFIXES}) THEN p[-3:] ELSE p[-2:] END, '.') AS domain, array_to_string(CASE WHEN array_to_string(p[-2:], '.') IN ({_SUFFIXES}) THEN p[-2:] ELSE p[-1:] END, '.') AS suffix FROM b),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
+x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
+xm AS (SELECT suffix, (k + c * m) / (n + c) AS sm FROM x, {_strength("x")}),
+dm AS (SELECT domain, (k + c * sm) / (n + c) AS dmean FROM d JOIN xm USING (suffix), {_strength("d")}),
+r AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + c + 1)) AS low FROM (SELECT host, n, c, (k + c * dmean) / (n + c) AS mean FROM h JOIN dm USING (domain), {_strength("h")})),
+f AS (SELECT u.*, low, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u LEFT JOIN r USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM f"""
+
+OP3 = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM s) WHERE k > 1),
+isl AS (SELECT doc_id, min(i) AS a, max(i) + 19 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 20 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY doc_id, g),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM word WHERE NOT EXISTS (SELECT 1 FROM isl WHERE isl.doc_id = word.doc_id AND i BETWEEN a AND b) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(b - a + 1) AS n FROM isl GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(gone.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id"""
+
+OP5 = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS t FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS first FROM s) WHERE first < doc_id),
+isl AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM isl),
+kept AS (SELECT d.doc_id, string_agg(substring(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) || substring(any_value(h), 2 * max(b) + 1) AS t, sum(b - a) AS n, count(*) AS k FROM cut JOIN d ON d.doc_id = cut.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(t, h))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+OP7 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, t FROM (
+  SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4)),
+n AS (SELECT d.doc_id, count(s.t) AS n FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.c AS component_id, m.c = n.doc_id AS kept FROM n JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = n.doc_id"""
+
+ORACLES = {"op1_chat_format": OP1, "op2_url_reputation": OP2, "op3_relative_lz_dedup": OP3, "op5_prefix_free_dedup": OP5, "op7_fast_sketch_dedup": OP7}
