@@ -79,58 +79,81 @@ def source_targets(sized: DataFrame, m: Mix = Mix()) -> DataFrame:
     return s.select("source", "rank", "weight", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), "cap")).alias("target"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once; written out, expressions would repeat it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def log_factorial(n: Column) -> Column:
     """ln(n!) for whole n >= 0: Stirling's series at n + 8, stepped back."""
-    x = n + 8.0
-    back = F.ln((n + 1) * (n + 2) * (n + 3) * (n + 4)) + F.ln((n + 5) * (n + 6) * (n + 7) * (n + 8))
-    return (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5))) - back
+
+    def series(n: Column) -> Column:
+        x = n + 8.0
+        back = F.ln((n + 1) * (n + 2) * (n + 3) * (n + 4)) + F.ln((n + 5) * (n + 6) * (n + 7) * (n + 8))
+        return (x + 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - back
+
+    return let(n, series)
 
 
 def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` from ``good`` + ``bad`` are good: inversion of ``u`` outwards from the mode."""
-    g, b, d = good.cast("double"), bad.cast("double"), draws.cast("double")
-    low, high = F.greatest(F.lit(0.0), d - b), F.least(g, d)
-    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (g + 1) / (g + b + 2)).cast("double")))
     choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-    p0 = F.exp(choose(g, mode) + choose(b, d - mode) - choose(g + b, d))
-    total = g + b
-    sd = F.sqrt(F.when(total > 1, d * (g / total) * (b / total) * (total - d) / (total - 1)).otherwise(0.0))
-    steps = F.least(high - low, F.ceil(12 * sd) + 12).cast("int")
-    start = F.struct(mode.alias("up"), mode.alias("down"), p0.alias("pu"), p0.alias("pd"), (u - p0).alias("left"), F.when(u <= p0, mode).alias("got"))
 
-    def step(acc: Column, _: Column) -> Column:
-        pu = F.when(acc.up < high, acc.pu * (g - acc.up) * (d - acc.up) / ((acc.up + 1) * (b - d + acc.up + 1))).otherwise(0.0)
-        pd = F.when(acc.down > low, acc.pd * acc.down * (b - d + acc.down) / ((g - acc.down + 1) * (d - acc.down + 1))).otherwise(0.0)
-        got = F.when(acc.got.isNotNull(), acc.got).when(acc.left <= pu, acc.up + 1).when(acc.left <= pu + pd, acc.down - 1)
-        return F.struct((acc.up + 1).alias("up"), (acc.down - 1).alias("down"), pu.alias("pu"), pd.alias("pd"), (acc.left - pu - pd).alias("left"), got.alias("got"))
+    def bounds(p: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), p.d - p.b), F.least(p.g, p.d)
+        mode = F.least(high, F.greatest(low, F.floor((p.d + 1) * (p.g + 1) / (p.g + p.b + 2)).cast("double")))
+        total = p.g + p.b
+        sd = F.sqrt(F.when(total > 1, p.d * (p.g / total) * (p.b / total) * (total - p.d) / (total - 1)).otherwise(0.0))
+        # Most draws are found in the near walk; the far one reaches eight deviations.
+        near, far = F.least(high - low, F.ceil(1.5 * sd) + 3).cast("int"), F.least(high - low, F.ceil(8 * sd) + 12).cast("int")
+        return F.struct(p.g.alias("g"), p.b.alias("b"), p.d.alias("d"), p.u.alias("u"), low.alias("low"), high.alias("high"), mode.alias("mode"), near.alias("near"), far.alias("far"))
+
+    def weighed(q: Column) -> Column:
+        p0 = F.exp(choose(q.g, q.mode) + choose(q.b, q.d - q.mode) - choose(q.g + q.b, q.d))
+        return let(p0, lambda p0: F.struct(q.mode.alias("up"), q.mode.alias("down"), p0.alias("pu"), p0.alias("pd"), (q.u - p0).alias("left"), F.when(q.u <= p0, q.mode).alias("got")))
 
-    walked = F.aggregate(F.sequence(F.lit(0), steps), start, step, lambda acc: F.coalesce(acc.got, mode))
-    return F.when((low >= high) | (total <= 0), low).otherwise(F.least(high, F.greatest(low, walked))).cast("long")
+    def step(q: Column, acc: Column) -> Column:
+        pu = F.when(acc.up < q.high, acc.pu * (q.g - acc.up) * (q.d - acc.up) / ((acc.up + 1) * (q.b - q.d + acc.up + 1))).otherwise(0.0)
+        pd = F.when(acc.down > q.low, acc.pd * acc.down * (q.b - q.d + acc.down) / ((q.g - acc.down + 1) * (q.d - acc.down + 1))).otherwise(0.0)
+        found = lambda n: F.when(acc.got.isNotNull(), acc.got).when(acc.left <= n.pu, acc.up + 1).when(acc.left <= n.pu + n.pd, acc.down - 1)
+        return let(F.struct(pu.alias("pu"), pd.alias("pd")), lambda n: F.struct((acc.up + 1).alias("up"), (acc.down - 1).alias("down"), n.pu.alias("pu"), n.pd.alias("pd"), (acc.left - n.pu - n.pd).alias("left"), found(n).alias("got")))
+
+    def drawn(q: Column) -> Column:
+        walk = lambda start, steps: F.aggregate(F.sequence(F.lit(0), steps), start, lambda acc, _: step(q, acc))
+        further = lambda acc: F.when(acc.got.isNotNull(), acc.got).otherwise(F.coalesce(walk(acc, q.far).got, q.mode))
+        walked = let(walk(weighed(q), q.near), further)
+        return F.when((q.low >= q.high) | (q.g + q.b <= 0), q.low).otherwise(F.least(q.high, F.greatest(q.low, walked))).cast("long")
+
+    given = F.struct(good.cast("double").alias("g"), bad.cast("double").alias("b"), draws.cast("double").alias("d"), u.alias("u"))
+    return let(let(given, bounds), drawn)
 
 
 def splitting_tree(quotas: DataFrame, depth: int, m: Mix = Mix()) -> DataFrame:
     """quotas(rank, draws) -> (shard, rank, take) for 2**depth shards of equal draws.
 
     A node is one row with its draws per source in an array; a level maps every
-    node to its two children, so there is no join and no shuffle on the way.
+    node to its two children, so there is no join; from the sixth level on the
+    nodes are dealt to all tasks.
     """
     nodes = quotas.where("draws > 0").agg(F.sort_array(F.collect_list(F.struct("rank", "draws"))).alias("have")).withColumn("node", F.lit(1).cast("long")).where(F.size("have") > 0)
-    for _ in range(depth):
-        total = F.aggregate("have", F.lit(0).cast("long"), lambda a, x: a + x.draws)
-        nodes = nodes.withColumn("rest", total)
-
-        def take(acc: Column, x: Column) -> Column:
-            got = hypergeometric(x.draws, acc.rest - x.draws, acc.want, uniform(F.lit(m.seed), F.col("node"), x["rank"]))
-            return F.struct((acc.rest - x.draws).alias("rest"), (acc.want - got).alias("want"), F.array_append(acc.got, got).alias("got"))
-
-        start = F.struct(F.col("rest").alias("rest"), F.floor((F.col("rest") + 1) / 2).cast("long").alias("want"), F.array().cast("array<bigint>").alias("got"))
-        left = F.aggregate("have", start, take, lambda acc: acc.got)
-        nodes = nodes.withColumn("left", left)
-        half = lambda f: F.transform("have", lambda x, i: F.struct(x["rank"].alias("rank"), f(x, F.get("left", i)).alias("draws")))
-        children = F.array(
-            F.struct((F.col("node") * 2).alias("node"), half(lambda x, got: got).alias("have")),
-            F.struct((F.col("node") * 2 + 1).alias("node"), half(lambda x, got: x.draws - got).alias("have")),
-        )
+
+    def take(acc: Column, x: Column) -> Column:
+        got = hypergeometric(x.draws, acc.rest - x.draws, acc.want, uniform(F.lit(m.seed), F.col("node"), x["rank"]))
+        return let(got, lambda got: F.struct((acc.rest - x.draws).alias("rest"), (acc.want - got).alias("want"), F.array_append(acc.got, got).alias("got")))
+
+    rest = F.aggregate("have", F.lit(0).cast("long"), lambda a, x: a + x.draws)
+    start = let(rest, lambda rest: F.struct(rest.alias("rest"), F.floor((rest + 1) / 2).cast("long").alias("want"), F.array().cast("array<bigint>").alias("got")))
+    half = lambda left, f: F.transform("have", lambda x, i: F.struct(x["rank"].alias("rank"), f(x, F.get(left, i)).alias("draws")))
+    children = let(
+        F.aggregate("have", start, take, lambda acc: acc.got),
+        lambda left: F.array(
+            F.struct((F.col("node") * 2).alias("node"), half(left, lambda x, got: got).alias("have")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), half(left, lambda x, got: x.draws - got).alias("have")),
+        ),
+    )
+    for level in range(depth):
+        if level in (5, 12):
+            nodes = nodes.repartition("node")
         nodes = nodes.select(F.explode(children).alias("c")).select("c.node", "c.have")
     shard = F.col("node") - (1 << depth)
     return nodes.select(shard.alias("shard"), F.explode("have").alias("x")).select("shard", "x.rank", F.col("x.draws").alias("take")).where("take > 0")
