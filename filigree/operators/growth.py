@@ -71,7 +71,7 @@ def _pick(rng: np.random.Generator, values: list[float]) -> float:
 
 def meets(ax, ay, bx, by, cx, cy, dx, dy) -> bool:
     """Do the segments ab and cd meet?"""
-    side = lambda x1, y1, x2, y2, x, y: (lambda v: (v > 0) - (v < 0))((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1))
+    side = lambda x1, y1, x2, y2, x, y: (lambda v: int(v > 0) - int(v < 0))((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1))
     on = lambda x1, y1, x2, y2, x, y: min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2)
     a, b = side(ax, ay, bx, by, cx, cy), side(ax, ay, bx, by, dx, dy)
     c, d = side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by)

@@ -116,7 +116,8 @@ def _corner_sum(net: NetworkFrame, value: Column, name: str) -> DataFrame:
 
 def assortativity(net: NetworkFrame) -> DataFrame:
     """(graph_id, assortativity): correlation of end degrees over both orientations; 0.0 when constant."""
-    e = _ends(net, degrees(net)).groupBy("graph_id").agg(F.corr("degree_u", "degree_v").alias("r"))
+    spread = F.stddev_pop("degree_u") * F.stddev_pop("degree_v")
+    e = _ends(net, degrees(net)).groupBy("graph_id").agg(F.try_divide(F.covar_pop("degree_u", "degree_v"), spread).alias("r"))
     out = counts(net).select("graph_id").join(e, "graph_id", "left")
     return out.select("graph_id", F.when(F.col("r").isNull() | F.isnan("r"), 0.0).otherwise(F.col("r")).alias("assortativity"))
 
