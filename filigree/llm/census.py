@@ -70,3 +70,4 @@ def answers(sent: DataFrame) -> DataFrame:
 
 def read_masks(table: pa.Table) -> dict[int, bytes]:
     return dict(zip(table.column("bkt").to_pylist(), table.column("mask").to_pylist()))
+

@@ -11,8 +11,8 @@ Steps: documents with equal sets become one class (smallest id).  A census over
 the candidates' shingles counts those no other candidate has; a document that
 keeps fewer than 85 % of its set beside them can link with nothing, exactly.
 What is left of each bucket is compared with a pivot; then with a second one;
-and what still lies in different components is compared in full, so no link is
-lost.  Components come from links alone, by repeated hooking and shortcutting.
+and what still lies in different components is compared in full, block by block, so
+no link is lost.  Components come from links alone, by repeated hooking and shortcutting.
 
 Defined cases: a null or empty text has no shingles, is its own component and
 is kept; with fewer than five words the whole sequence is the one shingle;
@@ -35,7 +35,8 @@ from .shared import bytes_of, written
 SHINGLE, COORDS, ROWS = 5, 128, 4
 BANDS = COORDS // ROWS
 PERCENT = 85
-GROUP_DOCS = 1500
+#: Documents a block of a cluster holds.
+CELL_DOCS = 1500
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -227,18 +228,83 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         found = written(_confirmed(pairs, sets, percent), "found")
         links = found if links is None else links.unionByName(found)
         label = components(links)
-    # Whatever is still apart inside a bucket is compared in full.
+    # What is still apart inside a bucket is compared in full, in cells of bounded size.
     pool = live.join(label, F.col("doc_id") == F.col("id"), "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = pool.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    pool = written(pool.join(split, "key").select("key", "doc_id", "n_shingles", "component"), "apart")
-    other = pool.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    rest = pool.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca")).join(other, "key").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    found = written(_confirmed(rest, sets, percent), "found")
-    label = components(links.unionByName(found))
+    split = pool.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("hub")).where("lo <> hi").select("key", "hub")
+    apart = written(pool.join(split, "key").select("hub", "doc_id", "n_shingles", "component").distinct(), "apart")
+    label = components(links.unionByName(_cell_links(apart, sets, percent)))
     out = member.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def _cell_links(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """apart(hub, doc_id, n_shingles, component) -> confirmed links (a, b) between components.
+
+    Documents whose buckets hang together are a cluster.  A cluster is dealt
+    into blocks of about CELL_DOCS, and each pair of its blocks is one cell: a
+    task counts overlaps through the cell's inverted index and emits links only,
+    so no pair is ever a row and no task holds more than two blocks.
+    """
+    cluster = components(apart.where("hub <> doc_id").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")))
+    docs = apart.select("doc_id", "component").distinct().join(cluster.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    docs = written(docs, "clusters")
+    blocks = docs.groupBy("cluster").agg(F.ceil(F.count("*") / CELL_DOCS).cast("int").alias("blocks"))
+    size = max(1, docs.count())
+    packs = max(1, size // CELL_DOCS) * 4
+    cells = docs.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = [F.col("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    cells = cells.select(*cell, "block", "doc_id", "component").withColumn("pack", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(packs)))
+    dealt = cells.join(sets, "doc_id")
+
+    def run(table: pa.Table) -> pa.Table:
+        df = table.to_pandas().sort_values(["cluster", "i", "j", "doc_id"])
+        a, b = [], []
+        for _, part in df.groupby(["cluster", "i", "j"], sort=False):
+            x, y = _overlapping([np.frombuffer(v, "<u8") for v in part.vals], part.component.to_numpy(), part.block.to_numpy(), percent)
+            ids = part.doc_id.to_numpy()
+            a.append(ids[x])
+            b.append(ids[y])
+        join = lambda v: pa.array(np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64))
+        return pa.table({"a": join(a), "b": join(b)})
+
+    return written(dealt.groupBy("pack").applyInArrow(run, "a long, b long"), "found")
+
+
+def _overlapping(sets: list[np.ndarray], component: np.ndarray, block: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one cell between different components; of two blocks only links across them."""
+    n = np.array([len(s) for s in sets])
+    text = np.repeat(np.arange(len(sets)), n)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    value, post = every[order], text[order]
+    head = np.ones(len(value), bool)
+    head[1:] = value[1:] != value[:-1]
+    term = np.empty(len(value), np.int64)
+    term[order] = np.cumsum(head) - 1
+    start = np.append(np.flatnonzero(head), len(value))
+    cuts = np.concatenate([[0], np.cumsum(n)])
+    df = np.diff(start)
+    across = block.min() != block.max()
+    out_x, out_y = [], []
+    for x in range(len(sets)):
+        terms = term[cuts[x] : cuts[x + 1]]
+        some = terms[df[terms] > 1]
+        if 100 * len(some) < percent * n[x]:
+            continue
+        size = df[some]
+        at = np.repeat(start[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        inter = np.bincount(post[at], minlength=len(sets))
+        link = (100 * inter >= percent * (n[x] + n - inter)) & (component != component[x])
+        link[: x + 1] = False
+        if across:
+            link &= block != block[x]
+        y = np.flatnonzero(link)
+        out_x.append(np.full(len(y), x))
+        out_y.append(y)
+    flat = lambda v: np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64)
+    return flat(out_x), flat(out_y)
+
+
 def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     a = label.select(F.col("id").alias("a"), F.col("component").alias("ca"))
     b = label.select(F.col("id").alias("b"), F.col("component").alias("cb"))
