@@ -1,33 +1,16 @@
-"""Session helpers: shared folder for written stages, sizes, column hygiene."""
+"""Shared patterns, sizes and written stages."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..session import cut as written
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.filigree.shared", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="filigree-")
-        spark.conf.set("spark.filigree.shared", found)
-    return found
+__all__ = ["WORD", "bytes_of", "pieces_for", "shared_dir", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def bytes_of(df: DataFrame, text: str = "text") -> int:
