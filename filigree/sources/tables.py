@@ -162,3 +162,51 @@ def load(spark: SparkSession, path: str, largest: bool = True) -> NetworkFrame:
     if path.endswith((".pkl", ".npy", ".csv")):
         raise ValueError(f"{path}: not a network file that can be read")
     return load_set(spark, datasets(listed(spark, path)), largest)
+
+
+def frame_of(net: NetworkFrame, longest: float | None = None) -> DataFrame:
+    """(graph_id, width, height): the extent rounded up, at least 1; ``longest`` scales its longer side."""
+    box = net.nodes.groupBy("graph_id").agg(F.greatest(F.ceil(F.max("x")), F.lit(1)).cast("double").alias("width"), F.greatest(F.ceil(F.max("y")), F.lit(1)).cast("double").alias("height"))
+    if longest is None:
+        return box
+    scale = F.lit(float(longest)) / F.greatest("width", "height")
+    return box.select("graph_id", F.greatest(F.ceil(F.col("width") * scale), F.lit(1)).cast("double").alias("width"), F.greatest(F.ceil(F.col("height") * scale), F.lit(1)).cast("double").alias("height"))
+
+
+def resized(side: tuple[int, int], target: tuple[int, int]) -> tuple[int, int]:
+    """Size of a picture whose longer side becomes the target's longer one."""
+    scale = max(target) / max(side)
+    return max(1, round(side[0] * scale)), max(1, round(side[1] * scale))
+
+
+def read_trials(spark: SparkSession, path: str) -> DataFrame:
+    """A sweep's results: a JSON array of [node_factor, edge_factor, error, success_rate]."""
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<array<double>>")).alias("r"))
+    return rows.select(*(F.get("r", i).alias(c) for i, c in enumerate(("node_factor", "edge_factor", "error", "success_rate"))))
+
+
+def write_trials(trials: DataFrame, path: str) -> None:
+    """The same form, one array; a sweep's trials are a grid that its caller sets."""
+    row = F.array("node_factor", "edge_factor", "error", "success_rate")
+    rows = trials.agg(F.to_json(F.sort_array(F.collect_list(row))).alias("value"))
+    rows.coalesce(1).write.mode("overwrite").text(path)
+
+
+def snapshot_pairs(files: DataFrame) -> DataFrame:
+    """files(path) -> (snapshot_ix, positions, edges): snapshots that have both, by number."""
+    at = lambda kind: files.select(F.regexp_extract("path", rf"snapshot_(\d+)_{kind}\.\w+$", 1).alias("n"), F.col("path").alias(kind)).where("n <> ''")
+    return at("positions").join(at("edges"), "n").select(F.col("n").cast("int").alias("snapshot_ix"), "positions", "edges").orderBy("snapshot_ix")
+
+
+def load_named(spark: SparkSession, paths: list[str], name: str) -> NetworkFrame:
+    """The data set ``name`` among paths: CSV pair first, then compressed GraphML, then plain."""
+    have = set(paths)
+    for lead, partner in PAIR_FORMS:
+        hit = next((p for p in have if p.endswith(f"/{name}{lead}")), None)
+        if hit and hit[: -len(lead)] + partner in have:
+            return read_pair(spark, hit, hit[: -len(lead)] + partner, name, largest=True)
+    for suffix in (".graphml.gz", ".graphmlz", ".graphml"):
+        hit = next((p for p in sorted(have) if p.endswith(f"/{name}{suffix}")), None)
+        if hit:
+            return read_graphml(spark, hit, name, largest=True)
+    raise ValueError(f"no network {name}")

@@ -238,3 +238,20 @@ def test_entry_and_contract(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert networks.knn(spark, "/root/testdata/sf0.001").nodes.count() == 500
+
+
+def test_trials_snapshots_frames_and_names(spark, tmp_path):
+    t = spark.createDataFrame([(0.5, 1.0, 0.1, 0.9), (0.6, 1.0, 0.2, 1.0)], "node_factor double, edge_factor double, error double, success_rate double")
+    tables.write_trials(t, f"{tmp_path}/t")
+    assert values(tables.read_trials(spark, f"{tmp_path}/t"), *t.columns) == values(t, *t.columns)
+    f = spark.createDataFrame([(f"s/snapshot_{i:05d}_{k}.npy",) for i in (7, 3) for k in ("positions", "edges")] + [("s/snapshot_00009_edges.npy",)], "path string")
+    assert [r.snapshot_ix for r in tables.snapshot_pairs(f).collect()] == [3, 7]
+    n = net(spark, 3, [(0, 1), (1, 2)], xy=[(0, 0), (10.2, 3), (4, 5)])
+    assert values(tables.frame_of(n), "width", "height") == [(11.0, 5.0)]
+    assert values(tables.frame_of(n, 1100), "width", "height") == [(1100.0, 500.0)]
+    assert tables.resized((200, 100), (1024, 512)) == (1024, 512)
+    sinks.write_pair(n, f"{tmp_path}/n")
+    paths = [f"{tmp_path}/n_edgelist.csv", f"{tmp_path}/n_positions.csv"]
+    assert tables.load_named(spark, paths, "n").nodes.count() == 3
+    with pytest.raises(ValueError):
+        tables.load_named(spark, paths, "m")
