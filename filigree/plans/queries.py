@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
-from ..functions import geometry as G
 from ..functions.numeric import tidy
 from ..operators import components as C
 from ..operators import multifractal as M
