@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from filigree.llm import mixing, packing, quality, sketches, substrings
 from filigree.llm.shared import shared_dir

@@ -64,8 +64,6 @@ def test_bytes_against_brute_force(docs, rows):
 
 def test_hot_triggers_give_the_same(docs, rows, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 0)
-    import filigree.llm.shared as shared
-
     monkeypatch.setattr(suffixes, "GROUP_BYTES", 4096)
     got = sorted(map(tuple, suffixes.dedup_digests(docs).collect()))
     assert got == sorted(brute.substring_bytes(pairs(rows)))
