@@ -8,6 +8,7 @@ invertible, and every value is finalised with a bijective mixer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n + 1:
-            size = max(n + 1, 2 * len(self.up))
+            size = n + n // 8 + 1  # workers keep these tables
             for name, b in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, b, U64)
                 steps[0] = 1
@@ -87,14 +88,24 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes; a row is never split."""
+def give_back() -> None:
+    """Returns freed memory to the system, so that a kept worker holds only what it uses."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
+def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes; a row is never split. Scratch memory goes back after the last."""
     n, at = len(offsets) - 1, 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
         end = min(max(end, at + 1), n)
         yield at, end
         at = end
+    give_back()
 
 
 class Words:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .census import SENT, Ballot, answers, read_masks, sent_table
-from .scan import U64, Words, mix, slices, text_buffer, window_starts, windows
+from .scan import U64, Words, give_back, mix, slices, text_buffer, window_starts, windows
 from .shared import bytes_of, written
 
 SHINGLE, COORDS, ROWS = 5, 128, 4
@@ -152,10 +152,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             good = np.zeros(batch.num_rows, bool)
-            for i, (p, q) in enumerate(zip(x, y)):
-                p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
+            for i, (p, q) in enumerate(zip(batch.column(2), batch.column(3))):
+                p, q = np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8")
                 if len(p) > len(q):
                     p, q = q, p
                 at = np.searchsorted(q, p)
@@ -163,6 +162,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 inter = int((q[at] == p).sum())
                 good[i] = 100 * inter >= percent * (len(p) + len(q) - inter)
             yield batch.select(["a", "b"]).filter(pa.array(good))
+            give_back()
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("vals").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("vals").alias("y"))
@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     size = bytes_of(docs)
     base = written(_sketched(docs), "sketches")
     cls = ["n_shingles", "d1", "d2"]
-    rep = base.where("n_shingles > 0").groupBy(*cls).agg(F.min("doc_id").alias("rep"))
+    # Written, so that the joins with it are plain shuffles, whose hot classes are split at run time.
+    rep = written(base.where("n_shingles > 0").groupBy(*cls).agg(F.min("doc_id").alias("rep")), "classes")
     member = base.select("doc_id", *cls).join(rep, cls, "left").select("doc_id", "n_shingles", "rep")
     lead = base.join(rep.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
     banded = lead.select("doc_id", F.explode("bands").alias("key"))
