@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ from .shared import pieces_for
 
 L, GRAM = 50, 20
 GROUP_BYTES = 2 << 20
-#: Phrases of one trigger in one group, or groups with a trigger, from which it is sent by strings.
-HOT = 48
+#: Phrases of one trigger in one group, and groups with a trigger, above which it is sent by strings.
+HOT, HOT_GROUPS = 256, 4096
 NULL_ID = np.iinfo(np.int64).min
 _powers = tuple(_Powers(b | 1) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -116,7 +117,7 @@ def _tally(table: pa.Table) -> pa.Table:
     every = np.concatenate(vals)
     _, inverse, groups = np.unique(every & np.uint32(0x7FFFFFFF), return_inverse=True, return_counts=True)
     many = np.bincount(inverse, every >> np.uint32(31)) > 0
-    again, hot = (groups > 1)[inverse], (many | (groups > HOT))[inverse]
+    again, hot = (groups > 1)[inverse], (many | (groups > HOT_GROUPS))[inverse]
     masks = [np.packbits(np.concatenate([again[a:b], hot[a:b]])).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
     return pa.table({"grp": table.column("grp"), "bkt": table.column("bkt"), "mask": pa.array(masks, pa.binary())})
 
@@ -159,12 +160,13 @@ REPLY = "grp long, blk int, hot boolean, mask binary"
 def _send(group: Group, sent: Sent, grp: int) -> pa.Table:
     rows = []
     raw = group.data
+    packed = zstandard.ZstdCompressor(level=1).compress  # entropy coding halves what is dealt
     for b in np.flatnonzero(np.diff(sent.cuts)):
         p = sent.first[sent.cold[sent.deal[sent.cuts[b] : sent.cuts[b + 1]]]]
         size = group.count[p] + L - 1
         cuts = np.cumsum(size) - size
         at = np.repeat(group.begin[p] - cuts, size) + np.arange(int(size.sum()))
-        rows.append((grp, int(b), False, raw[at].tobytes(), group.count[p].astype(np.uint8).tobytes(), group.ids[group.doc[p]].tobytes()))
+        rows.append((grp, int(b), False, packed(raw[at].tobytes()), group.count[p].astype(np.uint8).tobytes(), group.ids[group.doc[p]].tobytes()))
     for b in np.flatnonzero(np.diff(sent.hot_block_cuts)):
         i = sent.hot_deal[sent.hot_block_cuts[b] : sent.hot_block_cuts[b + 1]]
         doc = np.searchsorted(group.offsets, sent.lead_start[i], "right") - 1
@@ -244,7 +246,8 @@ def _block(table: pa.Table) -> pa.Table:
             least[order] = _least_of(np.cumsum(new), docs[order])
             masks = [np.packbits(least[x:y] < docs[x:y]).tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
         else:
-            data = np.concatenate([np.frombuffer(x, np.uint8) for x in a])
+            unpacked = zstandard.ZstdDecompressor().decompress
+            data = np.concatenate([np.frombuffer(unpacked(x), np.uint8) for x in a])
             count = np.concatenate([np.frombuffer(x, np.uint8) for x in b]).astype(np.int64)
             size = count + L - 1
             begin = np.cumsum(size) - size
@@ -315,7 +318,7 @@ def _removed(group: Group, sent: Sent, reply: pa.Table) -> np.ndarray:
 
 def _deduped(docs: DataFrame, finish, schema: str) -> DataFrame:
     groups = pieces_for(docs, GROUP_BYTES)
-    buckets, blocks = max(16, groups // 6), max(16, groups)
+    buckets, blocks = max(16, groups // 6), max(16, groups // 2)
     dealt = with_group(docs.select("doc_id", "text"), groups)
 
     def vote(key: tuple, table: pa.Table) -> pa.Table:

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,11 +64,30 @@ def test_bytes_against_brute_force(docs, rows):
         assert len(kept[d][1]) == spans and sum(s.end - s.start for s in kept[d][1]) == gone
 
 
-def test_hot_triggers_give_the_same(docs, rows, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", 0)
-    monkeypatch.setattr(suffixes, "GROUP_BYTES", 4096)
-    got = sorted(map(tuple, suffixes.dedup_digests(docs).collect()))
-    assert got == sorted(brute.substring_bytes(pairs(rows)))
+@pytest.mark.parametrize("hot,hot_groups", [(256, 4096), (0, 0), (1, 3)])
+def test_hot_triggers_give_the_same(rows, monkeypatch, hot, hot_groups):
+    """The passes of several groups in one process, with triggers sent by strings or not."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT_GROUPS", hot_groups)
+    buckets, blocks, n = 3, 4, 5
+    parts = [[r for r in rows if r[0] % n == g] for g in range(n)]
+    groups = [suffixes.Group(pa.table({"doc_id": pa.array([r[0] for r in p], pa.int64()), "text": pa.array([r[1] for r in p], pa.string())})) for p in parts]
+    votes = [x for g, group in enumerate(groups) for x in suffixes.Poll(group, group.dictionary()[0], buckets).rows(g)]
+    by = lambda t, c, v: t.filter(pc.equal(t.column(c), v))
+    votes = pa.table({"grp": pa.array([v[0] for v in votes], pa.int64()), "bkt": pa.array([v[1] for v in votes], pa.int32()), "vals": pa.array([v[2] for v in votes], pa.binary())})
+    masks = pa.concat_tables([suffixes._tally(by(votes, "bkt", b)) for b in range(buckets) if by(votes, "bkt", b).num_rows])
+    sent = [suffixes.Sent(group, by(masks, "grp", g), buckets, blocks) for g, group in enumerate(groups)]
+    dealt = pa.concat_tables([suffixes._send(group, s, g) for g, (group, s) in enumerate(zip(groups, sent))])
+    assert (hot > 1) == (not any(dealt.column("hot").to_pylist()))
+    replies = pa.concat_tables([suffixes._block(by(dealt, "blk", b)) for b in range(blocks) if by(dealt, "blk", b).num_rows])
+    got = []
+    for g, (group, s) in enumerate(zip(groups, sent)):
+        removed = suffixes._removed(group, s, by(replies, "grp", g))
+        counts = suffixes._counts(group, removed)
+        for i, d in enumerate(group.ids.tolist()):
+            a, b = group.offsets[i : i + 2]
+            got.append((d, *(int(counts[c][i]) for c in ("n_bytes", "n_removed", "n_spans")), brute.sha(group.data[a:b][~removed[a:b]].tobytes())))
+    assert sorted(got) == sorted(brute.substring_bytes(pairs(rows)))
 
 
 def test_many_small_groups_give_the_same(docs, rows, monkeypatch):
