@@ -10,14 +10,18 @@ from filigree.llm import mixing, packing, quality, sketches, substrings
 from filigree.llm.shared import shared_dir
 
 
+#: Likeness of shingle sets from which minhash_dedup links documents.
+PERCENT = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or leave the compression bands go."""
     return quality.quality_filter(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each near-duplicate group stays."""
-    found = sketches.near_duplicates(docs.select("doc_id", "text"))
+    """The smallest id of each near-duplicate group stays; groups link at PERCENT, op7's contract at its own 85."""
+    found = sketches.near_duplicates(docs.select("doc_id", "text"), PERCENT)
     return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
 

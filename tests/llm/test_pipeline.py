@@ -62,3 +62,15 @@ def test_stages_in_order_and_columns(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_minhash_dedup_links_from_80_percent(spark, sf):
+    base = [f"w{i}" for i in range(205)]
+    # k replaced words take 5 k of 201 shingles each: 91, 82 and 74 % alike.
+    texts = [" ".join("other" + w if int(w[1:]) in range(20, 20 + 20 * k, 20) else w for w in base) for k in (0, 2, 4, 6)]
+    pairs = [(10 * k + i, t) for k, text in enumerate(texts[1:]) for i, t in enumerate([" ".join(f"{k}{w}" for w in texts[0].split()), " ".join(f"{k}{w}" for w in text.split())])]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    sims = [len(a & b) / len(a | b) for a, b in ((brute.shingles(pairs[i][1]), brute.shingles(pairs[i + 1][1])) for i in (0, 2, 4))]
+    assert sims[0] > 0.85 > sims[1] > 0.8 > sims[2]
+    got = {r.doc_id for r in dict(corpus_pipeline.STAGES)["minhash_dedup"](spark, docs, sf).collect()}
+    assert got == {d for d, (_, c) in brute.near(pairs, 80).items() if c == d}
