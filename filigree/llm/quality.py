@@ -2,7 +2,8 @@
 
 Repetitive text compresses too well and noise too badly.  A document passes
 when the ratio of the whole text lies within the band of its length class and
-no more than ``chunk_share`` of its fixed chunks leave the chunk band.  The
+no more than ``chunk_share`` of its bytes lie in fixed chunks that leave the band
+of their length; every chunk is judged, the last short one included.  The
 count rules of the base (too few words, too many repeated 3-word windows) are
 judged first.
 
@@ -30,12 +31,16 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 
 @dataclass(frozen=True)
 class Bands:
-    """(up to this many bytes, least ratio, most ratio), and the same for chunks."""
+    """(up to this many bytes, least ratio, most ratio), and the same for chunks.
+
+    A chunk's limits are no narrower than the whole text's of that length, and
+    those of the least chunks allow for the frame's own bytes.
+    """
 
     level: int = 3
     whole: tuple[tuple[float, float, float], ...] = ((512, 1.05, 3.2), (2048, 1.25, 4.0), (8192, 1.45, 4.5), (float("inf"), 1.55, 6.0))
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (1.35, 5.0)
+    chunk: tuple[tuple[float, float, float], ...] = ((64, 0.0, 2.0), (128, 0.85, 2.5), (256, 0.95, 3.2), (512, 1.05, 3.7), (2048, 1.25, 4.5), (float("inf"), 1.35, 5.0))
     chunk_share: float = 0.34
     min_words: int = 50
     repeat_percent: int = 50
@@ -52,17 +57,25 @@ class _Packer:
     def ratio(self, raw: bytes) -> float:
         return len(raw) / len(self.compressor.compress(raw)) if raw else 0.0
 
+    @staticmethod
+    def within(limits: tuple[tuple[float, float, float], ...], size: int, ratio: float) -> bool:
+        _, low, high = next(x for x in limits if size <= x[0])
+        return low <= ratio <= high
+
     def judge(self, raw: bytes) -> tuple[float, int, int, bool]:
         """(ratio, chunks, chunks outside, inside the bands)."""
         b = self.bands
         ratio = self.ratio(raw)
-        _, low, high = next(x for x in b.whole if len(raw) <= x[0])
-        chunks = bad = 0
-        if len(raw) >= 2 * b.chunk_bytes:
-            for at in range(0, len(raw) - b.chunk_bytes + 1, b.chunk_bytes):
-                chunks += 1
-                bad += not b.chunk[0] <= self.ratio(raw[at : at + b.chunk_bytes]) <= b.chunk[1]
-        return ratio, chunks, bad, low <= ratio <= high and bad <= b.chunk_share * chunks
+        inside = self.within(b.whole, len(raw), ratio)
+        chunks = bad = bad_bytes = 0
+        for at in range(0, len(raw), b.chunk_bytes):
+            part = raw[at : at + b.chunk_bytes]
+            chunks += 1
+            if not self.within(b.chunk, len(part), ratio if len(part) == len(raw) else self.ratio(part)):
+                bad += 1
+                bad_bytes += len(part)
+        # By bytes, so that a short last chunk counts as what it is.
+        return ratio, chunks, bad, inside and bad_bytes <= b.chunk_share * len(raw)
 
 
 def repeated_words(words: Words, k: int = 3) -> np.ndarray:

@@ -271,3 +271,15 @@ def test_html_on_given_pages(spark, sf):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = (re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split(r"</?(?:p|h1)>", inner))
         assert got[r.page_id] == " ".join(b for b in blocks if b)
+
+
+def test_quality_judges_every_chunk(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    prose = " ".join(r.choice(words) for _ in range(9000))
+    noise = " ".join("".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(63)) for _ in range(300))
+    # Under two chunks; the bad bytes in a short last chunk; a long text whose last chunk is short; clean texts with tails of all lengths.
+    rows = [(1, prose[:4096] + noise[:3904]), (2, noise[:4096] + prose[:3000]), (3, prose[:4096] + noise[:4096] + prose[:30])]
+    rows += [(100 + n, prose[n : 2 * n + 4096]) for n in (1, 9, 40, 64, 65, 128, 129, 256, 257, 512, 513, 2048, 2049, 3904)]
+    got = {x.doc_id: (x.kept, x.n_chunks) for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (False, 2), 2: (False, 2), 3: (False, 3)} | {d: (True, 2) for d, _ in rows[3:]}
