@@ -1,7 +1,7 @@
 """Lexical retrieval packing with a sharded BM25 inverted index.
 
 Documents are dealt into shards by hash.  A shard's tokens make one inverted
-index (postings of each document's most telling tokens).  The first unused
+index (postings of all distinct tokens of its documents).  The first unused
 document is a seed; its BM25 neighbours among the unused ones follow in order
 of score and greedily fill the seed's window; the document that overruns it is
 cut, and its rest seeds the next window.  Only a shard's last window can be
@@ -29,14 +29,14 @@ from .shared import bytes_of
 from .tokens import default_path, tokenizer
 
 WINDOW, END_ID = 4096, 2
-#: Terms a document is indexed and queried by; BM25's two constants.
-TERMS, K1, B = 24, 1.2, 0.75
+#: BM25's two constants.
+K1, B = 1.2, 0.75
 SHARD_BYTES = 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Index:
-    """BM25 over one shard: each document's TERMS heaviest tokens, with postings."""
+    """BM25 over one shard: every distinct token of each document, with postings."""
 
     def __init__(self, ids: np.ndarray, cuts: np.ndarray):
         n = len(cuts) - 1
@@ -50,10 +50,7 @@ class Index:
         norm = K1 * (1 - B + B * size / max(1.0, size.mean()))
         weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
         # A term of one document finds no neighbour.
-        weight = np.where(df[term] > 1, weight, 0.0)
-        order = np.lexsort((term, -weight, doc))
-        place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-        keep = order[(place < TERMS) & (weight[order] > 0)]
+        keep = df[term] > 1
         self.doc, self.term, self.weight = doc[keep], term[keep], weight[keep]
         self.cuts = np.searchsorted(self.doc, np.arange(n + 1))
         by_term = np.argsort(self.term, kind="stable")

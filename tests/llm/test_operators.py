@@ -283,3 +283,28 @@ def test_quality_judges_every_chunk(spark):
     rows += [(100 + n, prose[n : 2 * n + 4096]) for n in (1, 9, 40, 64, 65, 128, 129, 256, 257, 512, 513, 2048, 2049, 3904)]
     got = {x.doc_id: (x.kept, x.n_chunks) for x in quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (False, 2), 2: (False, 2), 3: (False, 3)} | {d: (True, 2) for d, _ in rows[3:]}
+
+
+def test_retrieval_scores_every_term():
+    r = random.Random(6)
+    tokens_ = [[r.randrange(3, 400) for _ in range(r.randint(1, 600))] for _ in range(60)]
+    # Fifty terms of great weight, shared in pairs, before the hundreds that 0 and 1 share.
+    tokens_[0] = [*range(1000, 1050)] * 5 + [*range(2000, 2300)]
+    tokens_[1] = [*range(2000, 2300)]
+    tokens_[2] = [*range(1000, 1050)] * 5
+    cuts = np.cumsum([0, *(len(x) + 1 for x in tokens_)])
+    index = packing.Index(np.array([t for x in tokens_ for t in [*x, 2]], np.uint16), cuts)
+    size = [len(x) + 1 for x in tokens_]
+    df = {}
+    for x in tokens_:
+        for t in set(x):
+            df[t] = df.get(t, 0) + 1
+    for seed in range(len(tokens_)):
+        score = {}
+        for d, x in enumerate(tokens_):
+            for t in set(tokens_[seed]) & set(x) if d != seed else ():
+                tf, idf = x.count(t), np.log1p((len(size) - df[t] + 0.5) / (df[t] + 0.5))
+                score[d] = score.get(d, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[d] / np.mean(size)))
+        got = index.neighbours(seed).tolist()
+        assert set(got) == set(score)
+        assert np.allclose([score[d] for d in got], sorted(score.values(), reverse=True))
