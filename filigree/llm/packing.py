@@ -1,6 +1,8 @@
 """Lexical retrieval packing with a sharded BM25 inverted index.
 
-Documents are dealt into shards by hash.  A shard's tokens make one inverted
+Documents are put in order by tokens drawn through idf-weighted min-hashing, so
+that alike ones lie together, and ranges of that order are shards; document
+frequencies and the mean length are the corpus's.  A shard's tokens make one inverted
 index (postings of all distinct tokens of its documents).  The first unused
 document is a seed; its BM25 neighbours among the unused ones follow in order
 of score and greedily fill the seed's window; the document that overruns it is
@@ -21,35 +23,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import give_back
-from .shared import bytes_of
+from .scan import U64, give_back, mix
+from .shared import bytes_of, written
 from .tokens import default_path, tokenizer
 
 WINDOW, END_ID = 4096, 2
 #: BM25's two constants.
 K1, B = 1.2, 0.75
 SHARD_BYTES = 4 << 20
+#: Tokens drawn for a document's place in the order; rows handled at once.
+KEYS, CUT_DOCS = 6, 128
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def idf_of(n: int, df: np.ndarray) -> np.ndarray:
+    return np.log1p((n - df + 0.5) / (df + 0.5))
+
+
 class Index:
     """BM25 over one shard: every distinct token of each document, with postings."""
 
-    def __init__(self, ids: np.ndarray, cuts: np.ndarray):
+    def __init__(self, ids: np.ndarray, cuts: np.ndarray, corpus: tuple[int, float, np.ndarray] | None = None):
+        """``corpus``: number of documents, their mean length, and each token's document frequency; those of ids without it."""
         n = len(cuts) - 1
         doc = np.repeat(np.arange(n), np.diff(cuts))
         body = ids != END_ID
         key, tf = np.unique(doc[body] << 16 | ids[body].astype(np.int64), return_counts=True)
         doc, term = key >> 16, key & 0xFFFF
         df = np.bincount(term, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
         size = np.diff(cuts)
-        norm = K1 * (1 - B + B * size / max(1.0, size.mean()))
-        weight = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
-        # A term of one document finds no neighbour.
+        n_docs, mean, every = corpus or (n, size.mean(), df)
+        norm = K1 * (1 - B + B * size / max(1.0, mean))
+        weight = idf_of(n_docs, every)[term] * tf * (K1 + 1) / (tf + norm[doc])
+        # A term of one document of the shard finds no neighbour in it.
         keep = df[term] > 1
         self.doc, self.term, self.weight = doc[keep], term[keep], weight[keep]
         self.cuts = np.searchsorted(self.doc, np.arange(n + 1))
@@ -124,40 +134,132 @@ def power_pieces(window: list[tuple[int, int, int]]) -> list[list[tuple[int, int
     return out
 
 
+def distinct_tokens(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, token) of each document's distinct tokens without the end token, ascending."""
+    doc = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    body = ids != END_ID
+    key = np.unique(doc[body] << 16 | ids[body].astype(np.int64))
+    return key >> 16, key & 0xFFFF
+
+
+def draws_of(idf: np.ndarray) -> np.ndarray:
+    """(KEYS, tokens): exponential draws, sooner for heavier tokens."""
+    every = np.stack([mix(np.arange(len(idf), dtype=U64), 0xB25 + k) >> U64(11) for k in range(KEYS)]).astype(np.float64) + 0.5
+    return -np.log(every / float(1 << 53)) / np.maximum(idf, 1e-9)
+
+
+def likeness_keys(ids: np.ndarray, cuts: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """(documents, KEYS): tokens drawn by idf-weighted min-hashing; two documents draw the same one
+    as often as the weights of their tokens agree.  A document without tokens has -1."""
+    doc, token = distinct_tokens(ids, cuts)
+    out = np.full((len(cuts) - 1, KEYS), -1, np.int64)
+    if len(doc):
+        lead = np.flatnonzero(np.diff(doc, prepend=-1))
+        for k in range(KEYS):
+            draw = draws[k, token]
+            least = np.repeat(np.minimum.reduceat(draw, lead), np.diff(np.append(lead, len(doc))))
+            at = np.flatnonzero(draw == least)[::-1]
+            out[doc[at], k] = token[at]
+    return out
+
+
+def joined(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, cuts) of encoded documents."""
+    return np.frombuffer(b"".join(raw), "<u2"), np.concatenate([[0], np.cumsum([len(x) // 2 for x in raw])]).astype(np.int64)
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of CUT_DOCS rows, so that arrays over their tokens stay small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, CUT_DOCS):
+            yield batch.slice(at, CUT_DOCS)
+
+
+def document_frequencies(encoded: DataFrame) -> tuple[int, int, np.ndarray]:
+    """(documents, tokens, documents of each token) of encoded(ids)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, docs, tokens = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in small(batches):
+            ids, cuts = joined(batch.column(0).to_pylist())
+            df += np.bincount(distinct_tokens(ids, cuts)[1], minlength=1 << 16)
+            docs, tokens = docs + len(cuts) - 1, tokens + len(ids)
+        have = np.flatnonzero(df)
+        # Below the tokens, -1 counts documents and -2 their lengths.
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(have, [-1, -2])), pa.array(np.append(df[have], [docs, tokens]))], ["token", "n"])
+
+    found = encoded.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    n = dict(zip(found.token, found.n))
+    docs, tokens = int(n.pop(-1, 0)), int(n.pop(-2, 0))
+    df = np.zeros(1 << 16, np.int64)
+    df[np.fromiter(n.keys(), np.int64, len(n))] = np.fromiter(n.values(), np.int64, len(n))
+    return docs, tokens, df
+
+
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(doc_id, text) -> PIECES, one row a piece."""
     path = path or default_path()
     shards = max(1, bytes_of(docs) // SHARD_BYTES)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), "doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = tokenizer(path).text
         end = np.array([END_ID], "<u2").tobytes()
         for batch in batches:
             # One text at a time in Python: a batch of them would double the worker's memory.
-            ids = pa.array((text(x.as_py().encode()) + end if x.is_valid else end for x in batch.column(2)), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], ["shard", "doc_id", "ids"])
+            ids = pa.array((text(x.as_py().encode()) + end if x.is_valid else end for x in batch.column(1)), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
             give_back()
 
-    def fill(key: tuple, table: pa.Table) -> pa.Table:
+    encoded = written(docs.select("doc_id", "text").mapInArrow(encode, "doc_id long, ids binary"), "pack-ids")
+    n_docs, n_tokens, df = document_frequencies(encoded)
+    corpus = n_docs, n_tokens / max(1, n_docs), df
+    idf = idf_of(n_docs, df)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws = draws_of(idf)
+        for batch in small(batches):
+            keys = likeness_keys(*joined(batch.column(1).to_pylist()), draws)
+            # Keys and a hash of the ids, each big-endian and unsigned, sort as one binary.
+            salt = [zlib.crc32(x.as_buffer()) for x in batch.column(1)]
+            row = np.column_stack([keys + 1, salt]).astype(">u4").tobytes()
+            size = 4 * (KEYS + 1)
+            key = pa.array([row[i : i + size] for i in range(0, len(row), size)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), key], ["doc_id", "ids", "key"])
+            give_back()
+
+    def shard_of(table: pa.Table, number: int, first: int) -> tuple[pa.RecordBatch, int]:
+        """One shard's pieces, its sequences numbered from ``first``, and the next number."""
         table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("ids", "ascending")]))
-        raw = table.column("ids").to_pylist()
         docs = table.column("doc_id").to_pylist()
-        size = np.array([len(x) // 2 for x in raw], np.int64)
-        cuts = np.concatenate([[0], np.cumsum(size)])
-        ids = np.frombuffer(b"".join(raw), "<u2")
-        filled = windows_of(Index(ids, cuts), size)
+        ids, cuts = joined(table.column("ids").to_pylist())
+        size = np.diff(cuts)
+        filled = windows_of(Index(ids, cuts, corpus), size)
         if filled and sum(n for _, _, n in filled[-1]) < WINDOW:
             filled[-1:] = power_pieces(filled[-1])
         wide = ids.astype("<u4")
         rows = []
-        for number, window in enumerate(filled):
-            sequence, offset = key[0].as_py() << 32 | number, 0
+        for sequence, window in enumerate(filled, number << 32 | first):
+            offset = 0
             for doc, at, n in window:
                 begin = cuts[doc] + at
                 rows.append((docs[doc], at, n, zlib.crc32(wide[begin : begin + n].tobytes()), int(size[doc]), sequence, offset))
                 offset += n
         names = [x.split()[0] for x in PIECES.split(", ")]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))})
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names), first + len(filled)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, first, held, size = TaskContext.get().partitionId(), 0, [], 0
+        # A range of long documents is cut into several shards.
+        for batch in small(batches):
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(1))).as_py() or 0
+            if size > SHARD_BYTES:
+                out, first = shard_of(pa.Table.from_batches(held), number, first)
+                held, size = [], 0
+                yield out
+                give_back()
+        if held:
+            yield shard_of(pa.Table.from_batches(held), number, first)[0]
 
-    return dealt.mapInArrow(encode, "shard long, doc_id long, ids binary").groupBy("shard").applyInArrow(fill, PIECES)
+    dealt = encoded.mapInArrow(keyed, "doc_id long, ids binary, key binary").repartitionByRange(shards, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    return dealt.select("doc_id", "ids").mapInArrow(fill, PIECES)

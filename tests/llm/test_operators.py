@@ -308,3 +308,17 @@ def test_retrieval_scores_every_term():
         got = index.neighbours(seed).tolist()
         assert set(got) == set(score)
         assert np.allclose([score[d] for d in got], sorted(score.values(), reverse=True))
+
+
+def test_packing_brings_copies_and_near_copies_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_BYTES", 1 << 13)
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(3000)]
+    texts = [" ".join(r.choice(vocab) for _ in range(120)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t if i % 2 else t + " tail") for i, t in enumerate(texts)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    shards = {}
+    for x in got:
+        shards.setdefault(x.doc_id, set()).add(x.sequence_id >> 32)
+    assert len(set.union(*shards.values())) > 8
+    assert sum(bool(shards[i] & shards[1000 + i]) for i in range(150)) > 120
