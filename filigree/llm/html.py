@@ -3,10 +3,11 @@
 Every page is scanned once into containers (elements that hold blocks of text),
 each with a generalised path of tags and classes (digits in class names become
 ``0``).  A container scores by its text outside links, less what is linked and
-what its tag or class marks as page furniture; a page votes for its best path.
+what its tag or class marks as page furniture; a page votes for its best path,
+widened to the nearest article or main around it.
 Spark sums the votes per host, the winning path is joined back, and each page
 is extracted again with its host's path (its own best one where that is
-missing or empty).
+missing or covers less than COVERED of its own one's unlinked text).
 
 Defined cases: a null or empty html gives an empty text; broken markup (missing
 end tags, cut tags) is read as far as it goes; repeated rows are pages of their
@@ -34,6 +35,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 SKIPPED = frozenset("script style noscript template svg math canvas iframe object select option button form nav footer aside head dialog textarea input label fieldset menu audio video map datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article main section div body td".split())
+#: Share of the page's own best text that the host's path must cover.
+COVERED = 0.7
 FURNITURE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|nav\w*|menu\w*|breadcrumbs?|sidebar|side|aside|widget|related|recommend\w*|share|sharing|social|comments?|replies|reply|respond|disqus|footer|foot|header|masthead|toolbar|pagination|pager|tags|hidden|skip)(?:$|[\s_-]|\d)",
     re.I,
@@ -43,6 +46,13 @@ P_ENDERS = frozenset("address article aside blockquote details div dl fieldset f
 _SPACE = re.compile(r"\s+")
 
 
+def widened(path: str) -> str:
+    """The path up to its innermost article or main, if it has one, so that heading and intro beside a body stay."""
+    steps = path.split("/")
+    last = max((i for i, x in enumerate(steps) if x.split(".")[0] in ("article", "main")), default=len(steps) - 1)
+    return "/".join(steps[: last + 1])
+
+
 class Scan:
     """Blocks of a page: (text, container number, furniture, linked length)."""
 
@@ -164,7 +174,11 @@ class Scan:
 
     def best(self) -> str:
         scores = self.scores()
-        return min(scores, key=lambda p: (-scores[p], p)) if scores else ""
+        return widened(min(scores, key=lambda p: (-scores[p], p))) if scores else ""
+
+    def covered(self, path: str) -> int:
+        """Unlinked characters that text(path) holds."""
+        return sum(len(text) - linked for text, container, furniture, linked in self.blocks if not furniture and (self.paths[container] + "/").startswith(path + "/"))
 
     def text(self, path: str) -> str:
         """Blocks under a path, in page order."""
@@ -189,11 +203,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             texts, paths = [], []
             for x, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 scan = Scan(x) if x else None
-                text = scan.text(path) if scan and path else ""
-                if scan and not text:
-                    path = scan.best()
-                    text = scan.text(path)
-                texts.append(text)
+                if scan:
+                    own = scan.best()
+                    if not path or scan.covered(path) < COVERED * scan.covered(own) or not scan.text(path):
+                        path = own
+                texts.append(scan.text(path) if scan else "")
                 paths.append(path)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(paths, pa.string())], ["page_key", "url", "text", "path"])
 

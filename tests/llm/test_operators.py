@@ -322,3 +322,14 @@ def test_packing_brings_copies_and_near_copies_together(spark, monkeypatch):
         shards.setdefault(x.doc_id, set()).add(x.sequence_id >> 32)
     assert len(set.union(*shards.values())) > 8
     assert sum(bool(shards[i] & shards[1000 + i]) for i in range(150)) > 120
+
+
+def test_html_keeps_the_whole_article(spark):
+    body = "<p>" + "long body text, line after line. " * 30 + "</p>"
+    page = f"<body><article><h1>Heading</h1><p>intro</p><div class=body>{body}</div></article></body>"
+    assert Scan(page).text(Scan(page).best()).startswith("Heading intro long body")
+    # The host votes for article/section, which holds little of one of its pages.
+    voted = f"<body><div class=post><section>{body}</section></div></body>"
+    odd = f"<body><div class=post>{body}<section><p>small end</p></section></div></body>"
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame([(1, "http://a.com/1", voted), (2, "http://a.com/2", voted), (3, "http://a.com/3", odd), (4, "http://b.com/1", page)], "page_id long, url string, html string")).collect()}
+    assert got[3].startswith("long body") and got[3].endswith("small end") and got[4].startswith("Heading intro long body")
