@@ -61,17 +61,39 @@ class Scan:
         self.paths: list[str] = [""]
         self._parts: list[str] = []
         self._linked = 0
-        #: tag, container number, furniture
-        self._stack: list[tuple[str, int, bool]] = [("", 0, False)]
+        #: Elements marked as furniture by class or id around each block; the article and main tags in each, and on the page.
+        self._marks: list[tuple[int, ...]] = []
+        self._holds: list[set[str]] = []
+        self._whole: set[str] = set()
+        #: tag, container number, furniture, marked elements around
+        self._stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]
         self._read(page)
+        self._settle()
+
+    def _settle(self) -> None:
+        """A name doesn't mark a layout wrapper: what holds the main, an article and half of the text, or nearly all of a page without either."""
+        size: dict[int, int] = defaultdict(int)
+        total = 0
+        for (text, _, furniture, _), marked in zip(self.blocks, self._marks):
+            if not furniture:
+                total += len(text)
+                for k in marked:
+                    size[k] += len(text)
+
+        def wraps(k: int) -> bool:
+            return "main" in self._holds[k] or size[k] > (0.5 * total if "article" in self._holds[k] else total if self._whole else 0.8 * total)
+
+        wrappers = {k for k in size if wraps(k)}
+        self.blocks = [(text, container, furniture or any(k not in wrappers for k in marked), linked) for (text, container, furniture, linked), marked in zip(self.blocks, self._marks)]
 
     def _flush(self) -> None:
         if self._parts:
             # A character reference may be a line end or space of its own; all white space is one space.
             text = _SPACE.sub(" ", html.unescape("".join(self._parts))).strip()
             if text:
-                _, container, furniture = self._stack[-1]
+                _, container, furniture, marked = self._stack[-1]
                 self.blocks.append((text, container, furniture, self._linked))
+                self._marks.append(marked)
             self._parts, self._linked = [], 0
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -83,26 +105,31 @@ class Scan:
                 self._close_to(CLOSES[tag], {"ul", "ol", "dl", "table", "tbody", "select", "div", "article"})
         if tag in VOID:
             return
-        _, container, furniture = self._stack[-1]
+        _, container, furniture, marked = self._stack[-1]
+        if tag in ("article", "main"):
+            self._whole.add(tag)
+            for k in marked:
+                self._holds[k].add(tag)
         named = ""
         if attrs.strip():
             found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
             named = found.get("class", "")
             marks = f"{named} {found.get('id', '')}"
             if tag not in ("html", "body", "article", "main") and FURNITURE.search(marks):
-                furniture = True
+                self._holds.append(set())
+                marked = (*marked, len(self._holds) - 1)
             if "hidden" in found or found.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
                 furniture = True
             if "display:none" in found.get("style", "").replace(" ", "").lower():
                 furniture = True
-        inside = any(t in ("article", "main") for t, _, _ in self._stack)
+        inside = any(s[0] in ("article", "main") for s in self._stack)
         if tag in SKIPPED or tag == "header" and not inside:
             furniture = True
         if tag in CONTAINERS:
             shape = "." + ".".join(sorted(re.sub(r"\d+", "0", named).split())) if named else ""
             self.paths.append(f"{self.paths[container]}/{tag}{shape}")
             container = len(self.paths) - 1
-        self._stack.append((tag, container, furniture))
+        self._stack.append((tag, container, furniture, marked))
 
     def _close_to(self, tags: set[str], fences: set[str]) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
@@ -127,7 +154,7 @@ class Scan:
     def _text(self, text: str) -> None:
         if text:
             self._parts.append(text)
-            if any(t == "a" for t, _, _ in self._stack[-4:]):
+            if any(s[0] == "a" for s in self._stack[-4:]):
                 self._linked += len(text)
 
     def _read(self, page: str) -> None:

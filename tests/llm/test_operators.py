@@ -333,3 +333,15 @@ def test_html_keeps_the_whole_article(spark):
     odd = f"<body><div class=post>{body}<section><p>small end</p></section></div></body>"
     got = {r.page_id: r.text for r in extract(spark.createDataFrame([(1, "http://a.com/1", voted), (2, "http://a.com/2", voted), (3, "http://a.com/3", odd), (4, "http://b.com/1", page)], "page_id long, url string, html string")).collect()}
     assert got[3].startswith("long body") and got[3].endswith("small end") and got[4].startswith("Heading intro long body")
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "page-header-menu"])
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_html_layout_wrappers_are_no_furniture(name, tag):
+    page = f"<body><div class='{name}'><{tag}><h1>Title</h1><p>{'words of the page ' * 20}</p></{tag}><div class=sidebar><p>aside text</p></div></div></body>"
+    assert Scan(page).text(Scan(page).best()) == "Title " + ("words of the page " * 20).strip()
+
+
+def test_html_inner_marks_stay_furniture():
+    page = f"<body><article><p>{'story ' * 20}</p></article><div class=related><article><p>teaser one</p></article></div></body>"
+    assert Scan(page).text(Scan(page).best()) == ("story " * 20).strip()
