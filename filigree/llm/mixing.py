@@ -7,14 +7,17 @@ exact number of block draws.  A binary tree splits the draws of all sources
 into output shards: at each node the left child takes half of the draws, their
 split over the sources being a multivariate-hypergeometric draw (a chain of
 univariate ones, by inversion outwards from the mode).  A leaf's share is a run
-of its sources' permuted draws, so shards are disjoint; a shard is shuffled
+of its sources' draws, each pass over a source going through its blocks in a
+keyed permutation of its own, so shards are disjoint; a shard is shuffled
 locally by hash order.  All random numbers are hashes of (seed, node, source),
 so reruns agree.  DataFrame functions only.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a
-source of its own, last in order; repeated rows and repeated keys are documents
-of their own; sources without words have target 0; an empty table gives an
-empty mix.
+source of its own, last in order; a null key is a key like any other; repeated
+rows and repeated keys are documents of their own, told apart by two hashes of
+key, text and source and by a number among equal ones; sources without words
+have target 0; an empty table gives an empty mix; columns of any other name are
+carried along untouched.
 """
 
 from __future__ import annotations
@@ -34,9 +37,10 @@ class Mix:
     most: int = 3
     block_words: int = 4096
     bucket_words: int = 1 << 16
-    most_buckets: int = 100_000
+    #: Buckets of one range, whose words are summed first.
+    range_buckets: int = 1024
     shard_blocks: int = 2048
-    most_depth: int = 20
+    least_depth: int = 4
     seed: int = 20
 
 
@@ -159,99 +163,125 @@ def splitting_tree(quotas: DataFrame, depth: int, m: Mix = Mix()) -> DataFrame:
     return nodes.select(shard.alias("shard"), F.explode("have").alias("x")).select("shard", "x.rank", F.col("x.draws").alias("take")).where("take > 0")
 
 
-#: A prime above any number of blocks in one source; times a draw's number it permutes them.
-_PRIME = 2147483647
+def permuted(x: Column, n: Column, *key: Column, rounds: int = 40) -> Column:
+    """The place of x in a permutation of 0 .. n - 1 that the key alone decides.
+
+    A swap-or-not shuffle: each round pairs every number with another one by a
+    keyed reflection and swaps the pair or not by a keyed bit, so every round is
+    a bijection whatever n is.
+    """
+
+    def turn(acc: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(*key, r, F.lit("reflect")), n) - acc, n)
+        return let(other, lambda other: F.when(F.pmod(F.xxhash64(*key, r, F.greatest(acc, other)), F.lit(2)) == 0, acc).otherwise(other))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), x, turn)
+
+
+#: Tells rows of documents apart.
+ROW = ["row_hash", "row_hash2", "copy"]
 
 
-def row_hash(key: str, text: str, source: str, m: Mix = Mix()) -> Column:
-    return F.xxhash64(F.lit(m.seed), F.col(key), F.col(text), F.col(source))
+def row_hashes(key: str, text: str, source: str, m: Mix = Mix()) -> list[Column]:
+    given = [F.col(f"`{c}`") for c in (key, text, source)]
+    # A null leaves xxhash64 as it was, so each is marked.
+    marks = [c.isNull() for c in given]
+    return [F.xxhash64(F.lit(m.seed + i), *given, *marks).alias(name) for i, name in enumerate(ROW[:2])]
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", m: Mix = Mix()) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
-    documents: one row a row of docs: key, row_hash, copy, size, source_size, target.
-    pieces: key, row_hash, copy, shard, epoch, start, length, order_key: runs of
-    words to take; sorted by order_key within a shard they are the shuffled mix.
-    (key, row_hash, copy) tells rows apart, equal ones by ``copy``.
+    documents: one row a row of docs: key, ROW, size, source_size, target.
+    pieces: key, ROW, shard, epoch, start, length, order_key: runs of words to take;
+    sorted by order_key within a shard they are the shuffled mix.
     """
-    sized = written(docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), words_in(F.col(text)).alias("size"), row_hash(key, text, source, m).alias("h")), "mix-sizes")
+    sized = written(docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{source}`").alias("source"), words_in(F.col(f"`{text}`")).alias("size"), *row_hashes(key, text, source, m)), "mix-sizes")
     targets = source_targets(sized, m)
-    buckets = F.least(F.lit(m.most_buckets), F.ceil(F.col("source_size") / m.bucket_words)).cast("long")
+    buckets = F.ceil(F.col("source_size") / m.bucket_words).cast("long")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("source_size") / m.block_words)).cast("long")
     passes = F.floor(F.col("target") / F.col("source_size")).cast("long")
     t = targets.where("source_size > 0").withColumns({"buckets": F.greatest(F.lit(1), buckets), "blocks": blocks, "passes": passes})
     t = t.withColumn("rest_words", F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long"))
     t = t.withColumn("whole", F.floor(F.col("rest_words") * F.col("blocks") / F.col("source_size")).cast("long"))
-    t = t.withColumn("partial", F.greatest(F.lit(0), F.col("rest_words") - F.floor(F.col("whole") * F.col("source_size") / F.col("blocks"))).cast("long"))
-    t = t.withColumn("draws", F.col("passes") * F.col("blocks") + F.col("whole") + F.when(F.col("partial") > 0, 1).otherwise(0))
+    edge_of = lambda k: F.floor(k * F.col("source_size") / F.col("blocks")).cast("long")
+    t = t.withColumn("draws", F.col("passes") * F.col("blocks") + F.col("whole") + F.when(F.col("rest_words") > edge_of(F.col("whole")), 1).otherwise(0))
     # One row a source, and a source's row is a few numbers.
     t = written(t, "mix-targets")
     stats = t.select(F.col("source").alias("s"), "rank", "source_size", "buckets", "blocks", "target")
-    place = sized.where("size > 0").join(stats, sized.source.eqNullSafe(F.col("s"))).select("doc", "size", "h", "rank", "source_size", "blocks", "target", F.pmod("h", "buckets").alias("bucket"))
-    per_bucket = place.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    base = per_bucket.withColumn("base", F.coalesce(F.sum("words").over(Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("rank", "bucket").orderBy("h", "doc")
-    place = place.withColumn("row", F.row_number().over(inside)).withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
-    place = place.withColumn("copy", F.row_number().over(Window.partitionBy("rank", "bucket", "h", "doc").orderBy("row")))
-    place = place.join(base.drop("words"), ["rank", "bucket"]).withColumn("begin", F.col("base") + F.coalesce("before", F.lit(0)))
+    place = sized.where("size > 0").join(stats, sized.source.eqNullSafe(F.col("s"))).select("doc", "size", *ROW[:2], "rank", "source_size", "blocks", "target", F.pmod("row_hash", "buckets").alias("bucket"))
+    # Where a bucket begins in its source: sums of ranges of buckets, then of buckets in a range.
+    per_bucket = place.groupBy("rank", "bucket").agg(F.sum("size").alias("words")).withColumn("range", F.floor(F.col("bucket") / m.range_buckets).cast("long"))
+    earlier = lambda by, order: F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_range = per_bucket.groupBy("rank", "range").agg(F.sum("words").alias("words")).select("rank", "range", earlier(["rank"], "range").alias("range_base"))
+    base = per_bucket.withColumn("in_range", earlier(["rank", "range"], "bucket")).join(per_range, ["rank", "range"]).select("rank", "bucket", (F.col("in_range") + F.col("range_base")).alias("base"))
+    inside = Window.partitionBy("rank", "bucket").orderBy("row_hash", "row_hash2")
+    rows = Window.unboundedPreceding, -1
+    place = place.withColumn("row", F.row_number().over(inside)).withColumn("before", F.sum("size").over(inside.rowsBetween(*rows)))
+    place = place.withColumn("copy", F.row_number().over(Window.partitionBy("rank", "bucket", *ROW[:2]).orderBy("row")))
+    place = place.join(base, ["rank", "bucket"]).withColumn("begin", F.col("base") + F.coalesce("before", F.lit(0)))
     block_at = lambda w: F.floor((w * F.col("blocks") + F.col("blocks") - 1) / F.col("source_size")).cast("long")
     first = F.greatest(F.lit(0), block_at(F.col("begin")) - 1)
     last = F.least(F.col("blocks") - 1, block_at(F.col("begin") + F.col("size") - 1))
     parts = place.withColumn("block", F.explode(F.sequence(first, last)))
-    edge = lambda k: F.floor(k * F.col("source_size") / F.col("blocks")).cast("long")
-    parts = parts.withColumns({"block_begin": edge(F.col("block")), "block_end": edge(F.col("block") + 1)})
+    parts = parts.withColumns({"block_begin": edge_of(F.col("block")), "block_end": edge_of(F.col("block") + 1)})
     parts = parts.withColumns({"from": F.greatest("begin", "block_begin"), "to": F.least(F.col("begin") + F.col("size"), F.col("block_end"))}).where("to > from")
     total = int(t.agg(F.sum("draws")).first()[0] or 0)
-    depth = min(m.most_depth, max(0, math.ceil(math.log2(max(1, total) / m.shard_blocks))))
+    depth = max(m.least_depth, math.ceil(math.log2(max(1, total) / m.shard_blocks)))
     tree = splitting_tree(t.select("rank", "draws"), depth, m)
     # A shard's share of a source is the next run of its draws; one row a shard and source.
-    tree = tree.withColumn("offset", F.coalesce(F.sum("take").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    draws = tree.join(t.select("rank", "blocks", "passes", "whole", "partial"), "rank")
+    tree = tree.withColumn("offset", F.coalesce(F.sum("take").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(*rows)), F.lit(0)))
+    draws = tree.join(t.select("rank", "source_size", "blocks", "passes", "whole", "rest_words"), "rank")
     draws = draws.withColumn("draw", F.explode(F.sequence(F.col("offset"), F.col("offset") + F.col("take") - 1)))
     epoch = F.floor(F.col("draw") / F.col("blocks")).cast("long")
     draws = draws.withColumn("epoch", epoch).withColumn("turn", F.col("draw") - F.col("epoch") * F.col("blocks"))
-    shift = F.pmod(F.xxhash64(F.lit(m.seed), "rank", F.lit("shift")), "blocks")
-    draws = draws.withColumn("block", F.pmod(F.col("turn") * _PRIME + shift, "blocks"))
-    most = F.when((F.col("epoch") == F.col("passes")) & (F.col("turn") == F.col("whole")), F.col("partial"))
-    draws = draws.select("rank", "block", "shard", "epoch", most.alias("most"))
+    draws = draws.withColumn("block", permuted(F.col("turn"), F.col("blocks"), F.lit(m.seed), F.col("rank"), F.col("epoch")))
+    # The last pass takes whole blocks, and of one more what is left of its words.
+    share = F.when((F.col("epoch") == F.col("passes")) & (F.col("turn") == F.col("whole")), F.col("rest_words") - edge_of(F.col("whole")))
+    draws = draws.select("rank", "block", "shard", "epoch", share.alias("share"))
     mixed = parts.join(draws, ["rank", "block"])
-    end = F.least(F.col("to"), F.coalesce(F.col("block_begin") + F.col("most"), F.col("to")))
+    end = F.least(F.col("to"), F.coalesce(F.col("block_begin") + F.col("share"), F.col("to")))
     mixed = mixed.withColumn("end", end).where("end > from")
-    row = [F.col("doc").alias(key), F.col("h").alias("row_hash"), "copy"]
     pieces = mixed.select(
-        *row,
+        F.col("doc").alias(key),
+        *ROW,
         "shard",
         "epoch",
         (F.col("from") - F.col("begin")).alias("start"),
         (F.col("end") - F.col("from")).alias("length"),
-        F.xxhash64(F.lit(m.seed), "shard", "rank", "block", "epoch", "h", "copy").alias("order_key"),
+        F.xxhash64(F.lit(m.seed), "shard", "rank", "block", "epoch", *ROW).alias("order_key"),
     )
     known = targets.select(F.col("source").alias("s"), "source_size", "target")
     idle = sized.where("size = 0").join(known, sized.source.eqNullSafe(F.col("s")))
-    documents = place.select(*row, "size", "source_size", "target").unionByName(
-        idle.select(F.col("doc").alias(key), F.col("h").alias("row_hash"), F.lit(0).alias("copy"), "size", "source_size", "target")
+    documents = place.select(F.col("doc").alias(key), *ROW, "size", "source_size", "target").unionByName(
+        idle.select(F.col("doc").alias(key), *ROW[:2], F.lit(0).alias("copy"), "size", "source_size", "target")
     )
     return documents, pieces
 
 
 def mixed_table(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
-    """The mix as documents(doc_id, text, source, ...): a row for each pass over a document.
+    """The mix as documents(doc_id, text, source, ...): a row for each pass over a document, in the shards' order.
 
     A pass that takes a whole document keeps its text; one that takes a part has
     the part's words, joined by one space.  ``n_chars``, where there, is the new text's.
+    A row lies in the shard of its first piece; a partition holds whole shards, each in
+    its shuffled order, so files written from it are the mix.
     """
-    documents, pieces = mix_sources(docs, m=m)
-    pieces = written(pieces, "mix-pieces")
-    row = ["doc_id", "row_hash", "copy"]
-    passes = pieces.groupBy(*row, "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs"), F.sum("length").alias("taken"))
-    passes = passes.groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("epoch", "taken", "runs"))).alias("passes"))
-    alike = Window.partitionBy("doc_id", "row_hash")
-    src = docs.withColumn("row_hash", row_hash("doc_id", "text", "source", m)).withColumn("copy", F.row_number().over(alike.orderBy(F.lit(0))))
-    out = src.join(passes, row).withColumn("pass", F.explode("passes"))
-    words = F.regexp_extract_all("text", F.lit("(" + WORD + ")"), F.lit(1))
+    _, pieces = mix_sources(docs, m=m)
+    first = lambda c: F.min_by(c, "start").alias(c)
+    passes = pieces.groupBy(*ROW, "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs"), F.sum("length").alias("taken"), first("shard"), first("order_key"))
+    passes = passes.groupBy(*ROW).agg(F.collect_list(F.struct("epoch", "taken", "runs", "shard", "order_key")).alias("passes"))
+    passes = written(passes, "mix-passes").groupBy(*ROW[:2]).agg(F.map_from_entries(F.collect_list(F.struct("copy", "passes"))).alias("by_copy"))
+    src = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_hashes("doc_id", "text", "source", m))
+    # The join deals equal rows together, so numbering them needs no shuffle of its own.
+    out = src.join(passes, ROW[:2]).withColumn("copy", F.row_number().over(Window.partitionBy(*ROW[:2]).orderBy(F.lit(0))))
+    out = out.select("row", F.explode(F.element_at("by_copy", F.col("copy"))).alias("pass"))
+    out = out.repartition("pass.shard").sortWithinPartitions("pass.shard", "pass.order_key")
+    old = F.col("row.text")
+    words = F.regexp_extract_all(old, F.lit("(" + WORD + ")"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("pass.runs", lambda r: F.slice(words, (r.start + 1).cast("int"), r.length.cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("pass.taken") == words_in(F.col("text")), F.col("text")).otherwise(part))
+    text = F.when(F.col("pass.taken") == words_in(old), old).otherwise(part)
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

@@ -68,9 +68,9 @@ def op8_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, pieces = mixing.mix_sources(_table(spark, sf_dir, "documents"))
-    row = ["doc_id", "row_hash", "copy"]
-    taken = pieces.groupBy(*row).agg(F.sum("length").alias("taken"))
-    return documents.join(taken, row, "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    taken = pieces.groupBy(*mixing.ROW).agg(F.sum("length").alias("taken"), F.count("*").alias("n_pieces"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+    row = ["doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), "first_shard", "last_shard"]
+    return documents.join(taken, mixing.ROW, "left").select(*row)
 
 
 def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

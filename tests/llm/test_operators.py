@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,81 @@ def test_hypergeometric_draws(spark):
     assert tuple(edge) == (0, 3, 0, 4)
 
 
+def test_splitting_tree_draws_are_multivariate_hypergeometric(spark):
+    from itertools import product
+    from math import comb
+
+    quotas = spark.createDataFrame([(1, 5), (2, 4), (3, 3)], "rank int, draws long")
+    counts = {}
+    for seed in range(60):
+        got = {}
+        for r in mixing.splitting_tree(quotas, 1, mixing.Mix(seed=seed)).collect():
+            got.setdefault(r.shard, {})[r["rank"]] = r["take"]
+        assert {sum(x.values()) for x in got.values()} == {6}
+        assert [sum(x.get(k, 0) for x in got.values()) for k in (1, 2, 3)] == [5, 4, 3]
+        key = tuple(got[0].get(k, 0) for k in (1, 2, 3))
+        counts[key] = counts.get(key, 0) + 1
+    want = {k: 60 * comb(5, k[0]) * comb(4, k[1]) * comb(3, k[2]) / comb(12, 6) for k in product(range(6), range(5), range(4)) if sum(k) == 6}
+    big = {k: e for k, e in want.items() if e >= 3}
+    chi = sum((counts.get(k, 0) - e) ** 2 / e for k, e in big.items())
+    assert chi < len(big) + 4 * (2 * len(big)) ** 0.5
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 18, 93, 500])
+def test_permuted_is_a_bijection_that_changes_with_its_key(spark, n):
+    got = spark.range(n).select("id", *(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(k)).alias(f"k{k}") for k in range(3))).collect()
+    orders = [[r[f"k{k}"] for r in got] for k in range(3)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    if n > 10:
+        assert len(set(map(tuple, orders))) == 3
+        # No rotation: steps from one place to the next differ.
+        assert all(len({(b - a) % n for a, b in zip(o, o[1:])}) > n // 4 for o in orders)
+
+
+def test_mixed_table_lies_in_the_shards_order(spark, docs, rows):
+    m = mixing.Mix(block_words=64, shard_blocks=8)
+    _, pieces = mixing.mix_sources(docs, m=m)
+    place, runs = {}, {}
+    for r in sorted(pieces.collect(), key=lambda r: r["start"]):
+        place.setdefault((r.doc_id, r["copy"], r.epoch), (r["shard"], r.order_key))
+        runs.setdefault((r.doc_id, r["copy"], r.epoch), []).append((r["start"], r["length"]))
+    source = {r[0]: brute.words(r[1]) for r in rows}
+    at = {}
+    for (d, _, _), where in place.items():
+        at.setdefault(d, set()).add(where[0])
+    mixed = mixing.mixed_table(docs, m).withColumn("part", F.spark_partition_id()).collect()
+    assert len(mixed) == len(place)
+    text = {}
+    for (d, _, _), x in runs.items():
+        text.setdefault(d, []).append(" ".join(w for s, n in x for w in source[d][s : s + n]))
+    got = {}
+    for r in mixed:
+        got.setdefault(r.doc_id, []).append(" ".join(brute.words(r.text)))
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in text.items()}
+    # Some order of the possible shards never falls inside a partition.
+    for part in {r.part for r in mixed}:
+        last = -1
+        for r in mixed:
+            if r.part == part:
+                last = min(s for s in at[r.doc_id] if s >= last)
+    assert len({where[0] for where in place.values()}) > 8
+
+
+def test_mix_keeps_null_keys_and_clashing_columns(spark):
+    names = ["row", "row_hash", "copy", "pass", "passes", "shard", "rank", "size", "order_key", "epoch", "by_copy"]
+    ddl = "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names)
+    values = list(range(len(names)))
+    rows = [(None, "a b c", "x", *values), (None, "d e", "x", *values), (1, "f", None, *values), (1, "f", None, *values), (2, None, "x", *values)]
+    df = spark.createDataFrame(rows, ddl)
+    out = mixing.mixed_table(df).collect()
+    assert {tuple(r)[3:] for r in out} == {tuple(values)}
+    got = sorted((str(r.doc_id), r.text, r.source) for r in out)
+    assert {x for x in got if x[0] == "None"} == {("None", "a b c", "x"), ("None", "d e", "x")}
+    documents, pieces = mixing.mix_sources(df)
+    taken = documents.join(pieces.groupBy(*mixing.ROW).agg(F.sum("length").alias("taken")), mixing.ROW, "left").collect()
+    assert len(taken) == 5 and all((r.taken or 0) > 0 for r in taken if r["size"])
+
+
 def test_mixed_table(spark, docs):
     out = mixing.mixed_table(docs)
     assert out.columns == docs.columns
@@ -159,9 +235,12 @@ def test_mixed_table(spark, docs):
 
 def test_tokens_match_the_tokenizer(rows):
     t = tokens.tokenizer(tokens.default_path())
-    texts = [r[1] for r in rows if r[1]] + ["it's we'll I'd", "ΑΣ ΟΔΟΣ", "x<|endoftext|>y <|startoftext|>", "é ñ Å İ ǅ", "１２ ½ a1b2", "don't—stop…"]
-    for x in texts:
-        assert np.frombuffer(t.text(x.encode()), "<u2").tolist() == t.whole.encode(x, add_special_tokens=False).ids, x[:50]
+    texts = [r[1] for r in rows] + ["it's we'll I'd", "ΑΣ ΟΔΟΣ", "x<|endoftext|>y <|startoftext|>", "é ñ Å İ ǅ", "１２ ½ a1b2", "don't—stop…", "  \x00 a\x1cb \x85", "日本 🙂🙂 한국어 é e\u0301", None]
+    for some in (texts, texts[-6:-1], [None], []):
+        ids, cuts = t.texts(pa.array(some, pa.string()))
+        for i, x in enumerate(some):
+            assert ids[cuts[i] : cuts[i + 1]].tolist() == t.whole.encode(x or "", add_special_tokens=False).ids, (x or "")[:50]
+
 
 
 def test_packing(docs, rows, monkeypatch):
@@ -199,6 +278,19 @@ def test_retrieval_prefers_alike_documents():
     assert index.neighbours(0).tolist() == [2] and index.neighbours(1).tolist() == [3]
 
 
+def test_windows_keep_copies_apart():
+    r = np.random.default_rng(3)
+    texts = [r.integers(10, 60, 40).tolist() + [2] for _ in range(12)]
+    docs = texts * 3
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in docs])])
+    alike = np.arange(len(docs)) % 12
+    windows = packing.windows_of(packing.Index(np.array(sum(docs, []), np.uint16), cuts), np.diff(cuts), alike, window=100)
+    assert sum(n for w in windows for _, _, n in w) == cuts[-1]
+    # Three passes over each of twelve texts; the seeds' own rests are left, which may run out of others.
+    twice = [k for k, w in enumerate(windows) if len({int(alike[d]) for d, _, _ in w}) < len({d for d, _, _ in w})]
+    assert not twice or min(twice) >= len(windows) - 2
+
+
 def test_packing_small_cases(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "a")], "doc_id long, text string")
     assert sum(r.length for r in packing.pack(df).collect()) == 5
