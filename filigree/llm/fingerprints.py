@@ -31,6 +31,9 @@ GEAR = (mix(np.arange(1, 257, dtype=np.uint64), 0x6765617268617368) >> np.uint64
 #: High bits hold the last 32 bytes; 9 bits before the normal size, 5 after it.
 STRICT, LOOSE = np.uint32(0xFF800000), np.uint32(0xF8000000)
 PART_BYTES = 16 << 20
+#: Ranges at most, whatever the input: their bounds, first ids and SAMPLED ids each pass through the driver.
+#: A range is streamed, so a larger one needs no more memory.
+MOST_PARTS, SAMPLED = 1 << 16, 40
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -89,19 +92,6 @@ def containment(a: dict[bytes, int], b: dict[bytes, int]) -> float:
     return sum(n for d, n in a.items() if d in b) / sum(a.values())
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column ``fingerprint``: array of (digest, length), ascending."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [chunk_set(x.encode() if x else b"") for x in batch.column(0).to_pylist()]
-            rows = [[{"digest": int.from_bytes(d, "big", signed=True), "length": s[d]} for d in sorted(s)] for s in sets]
-            kind = pa.list_(pa.struct([("digest", pa.int64()), ("length", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], ["text", "fingerprint"])
-
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "text string, fingerprint array<struct<digest:long,length:int>>")
-
-
 def edited(text: str, following: str) -> str:
     n = len(text) // 4
     return text[: len(text) - n] + following[:n] if n else text
@@ -115,13 +105,14 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
 
     Rows are dealt to ranges of doc_id; the first row of a range goes to the
     range before it as well, so that a sorted stream meets every next row.
-    Range bounds come from a bounded sample and only balance the load.
+    Range bounds come from a bounded sample and only balance the load; what
+    passes through the driver is a few numbers a range, of MOST_PARTS ranges at most.
     """
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = pieces_for(docs, PART_BYTES)
+    parts = min(MOST_PARTS, pieces_for(docs, PART_BYTES))
     ids = src.select("doc_id")
     n = ids.count()
-    share = min(1.0, 40.0 * parts / max(1, n))
+    share = min(1.0, SAMPLED * parts / max(1, n))
     sample = sorted(r[0] for r in ids.sample(share, seed=10).where("doc_id is not null").collect())
     cuts = np.array(sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else [], np.int64)
 
