@@ -5,9 +5,12 @@ each with a generalised path of tags and classes (digits in class names become
 ``0``).  A container scores by its text outside links, less what is linked and
 what its tag or class marks as page furniture; a page votes for its best path,
 widened to the nearest article or main around it.
-Spark sums the votes per host, the winning path is joined back, and each page
-is extracted again with its host's path (its own best one where that is
-missing or covers less than COVERED of its own one's unlinked text).
+Spark sums the votes per host, the winning path is joined back, and each page's
+blocks are read again by its host's path (its own best one where that is
+missing or covers less than COVERED of its own one's unlinked text).  Pages are
+parsed once; what is written between the passes is their blocks of text.  The
+winners, one row a host, are broadcast up to BROADCAST_BYTES; more of them are
+joined by a shuffle, whose hot hosts are split at run time.
 
 Defined cases: a null or empty html gives an empty text; broken markup (missing
 end tags, cut tags) is read as far as it goes; repeated rows are pages of their
@@ -23,9 +26,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
 from .urls import host_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -35,6 +39,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 SKIPPED = frozenset("script style noscript template svg math canvas iframe object select option button form nav footer aside head dialog textarea input label fieldset menu audio video map datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("article main section div body td".split())
+BROADCAST_BYTES = 32 << 20
 #: Share of the page's own best text that the host's path must cover.
 COVERED = 0.7
 FURNITURE = re.compile(
@@ -65,8 +70,8 @@ class Scan:
         self._marks: list[tuple[int, ...]] = []
         self._holds: list[set[str]] = []
         self._whole: set[str] = set()
-        #: tag, container number, furniture, marked elements around
-        self._stack: list[tuple[str, int, bool, tuple[int, ...]]] = [("", 0, False, ())]
+        #: tag, container number, furniture, marked elements around, inside an article or main, inside a link
+        self._stack: list[tuple[str, int, bool, tuple[int, ...], bool, bool]] = [("", 0, False, (), False, False)]
         self._read(page)
         self._settle()
 
@@ -91,7 +96,7 @@ class Scan:
             # A character reference may be a line end or space of its own; all white space is one space.
             text = _SPACE.sub(" ", html.unescape("".join(self._parts))).strip()
             if text:
-                _, container, furniture, marked = self._stack[-1]
+                _, container, furniture, marked, _, _ = self._stack[-1]
                 self.blocks.append((text, container, furniture, self._linked))
                 self._marks.append(marked)
             self._parts, self._linked = [], 0
@@ -105,7 +110,7 @@ class Scan:
                 self._close_to(CLOSES[tag], {"ul", "ol", "dl", "table", "tbody", "select", "div", "article"})
         if tag in VOID:
             return
-        _, container, furniture, marked = self._stack[-1]
+        _, container, furniture, marked, inside, linked = self._stack[-1]
         if tag in ("article", "main"):
             self._whole.add(tag)
             for k in marked:
@@ -122,14 +127,13 @@ class Scan:
                 furniture = True
             if "display:none" in found.get("style", "").replace(" ", "").lower():
                 furniture = True
-        inside = any(s[0] in ("article", "main") for s in self._stack)
         if tag in SKIPPED or tag == "header" and not inside:
             furniture = True
         if tag in CONTAINERS:
             shape = "." + ".".join(sorted(re.sub(r"\d+", "0", named).split())) if named else ""
             self.paths.append(f"{self.paths[container]}/{tag}{shape}")
             container = len(self.paths) - 1
-        self._stack.append((tag, container, furniture, marked))
+        self._stack.append((tag, container, furniture, marked, inside or tag in ("article", "main"), linked or tag == "a"))
 
     def _close_to(self, tags: set[str], fences: set[str]) -> None:
         for k in range(len(self._stack) - 1, 0, -1):
@@ -154,7 +158,7 @@ class Scan:
     def _text(self, text: str) -> None:
         if text:
             self._parts.append(text)
-            if any(s[0] == "a" for s in self._stack[-4:]):
+            if self._stack[-1][5]:
                 self._linked += len(text)
 
     def _read(self, page: str) -> None:
@@ -203,39 +207,51 @@ class Scan:
         scores = self.scores()
         return widened(min(scores, key=lambda p: (-scores[p], p))) if scores else ""
 
-    def covered(self, path: str) -> int:
-        """Unlinked characters that text(path) holds."""
-        return sum(len(text) - linked for text, container, furniture, linked in self.blocks if not furniture and (self.paths[container] + "/").startswith(path + "/"))
-
     def text(self, path: str) -> str:
         """Blocks under a path, in page order."""
         return " ".join(text for text, container, furniture, _ in self.blocks if not furniture and (self.paths[container] + "/").startswith(path + "/"))
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """pages -> (key, url, text, path)."""
+SCANNED = "page_key {kind}, url string, host string, own string, blocks array<struct<text:string,path:string,plain:long>>"
+_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string()), ("plain", pa.int64())]))
+
+
+def scanned(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """SCANNED rows: each page's own best path and its blocks outside page furniture."""
     kind = pages.schema[key].dataType.simpleString()
-    src = pages.select(F.col(key).alias("page_key"), F.col(url).alias("url"), F.col(page).alias("html"), host_of(F.col(url)).alias("host"))
+    src = pages.select(F.col(f"`{key}`").alias("page_key"), F.col(f"`{url}`").alias("url"), host_of(F.col(f"`{url}`")).alias("host"), F.col(f"`{page}`").alias("html"))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = [Scan(x).best() if x else "" for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string())], ["host", "path"])
+            own, blocks = [], []
+            for x in batch.column(3):
+                found = Scan(x.as_py()) if x.is_valid else None
+                own.append(found.best() if found else "")
+                blocks.append([{"text": t, "path": found.paths[c], "plain": len(t) - linked} for t, c, furniture, linked in found.blocks if not furniture] if found else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.string()), pa.array(blocks, _BLOCKS)], ["page_key", "url", "host", "own", "blocks"])
 
-    votes = src.select("host", "html").mapInArrow(vote, "host string, path string").where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
-    winner = votes.groupBy("host").agg(F.min(F.struct(F.negative("n"), "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    return src.mapInArrow(scan, SCANNED.format(kind=kind))
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, paths = [], []
-            for x, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                scan = Scan(x) if x else None
-                if scan:
-                    own = scan.best()
-                    if not path or scan.covered(path) < COVERED * scan.covered(own) or not scan.text(path):
-                        path = own
-                texts.append(scan.text(path) if scan else "")
-                paths.append(path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(paths, pa.string())], ["page_key", "url", "text", "path"])
-
-    return src.join(winner, "host", "left").select("page_key", "url", "html", "path").mapInArrow(again, f"page_key {kind}, url string, text string, path string").withColumnRenamed("page_key", key)
+
+def winners(pages: DataFrame) -> DataFrame:
+    """(host, path) with the most votes of pages(host, own)."""
+    votes = pages.where("own <> ''").groupBy("host", F.col("own").alias("path")).agg(F.count("*").alias("n"))
+    return votes.groupBy("host").agg(F.min(F.struct(F.negative("n"), "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+
+
+def _under(path: Column) -> Column:
+    """Blocks under a path, in page order."""
+    return F.filter("blocks", lambda b: F.startswith(F.concat(b.path, F.lit("/")), F.concat(path, F.lit("/"))))
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """pages -> (key, url, text, path)."""
+    seen = written(scanned(pages, key, url, page), "page-blocks")
+    winner = written(winners(seen), "host-paths")
+    size = winner.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
+    joined = seen.join(F.broadcast(winner) if size <= BROADCAST_BYTES else winner, "host", "left")
+    covered = lambda path: F.aggregate(_under(path), F.lit(0).cast("long"), lambda a, b: a + b.plain)
+    fits = F.col("path").isNotNull() & (covered(F.col("path")) >= COVERED * covered(F.col("own"))) & (F.size(_under(F.col("path"))) > 0)
+    chosen = joined.withColumn("chosen", F.when(fits, F.col("path")).otherwise(F.col("own")))
+    text = F.array_join(F.transform(_under(F.col("chosen")), lambda b: b.text), " ")
+    return chosen.select(F.col("page_key").alias(key), "url", text.alias("text"), F.col("chosen").alias("path"))
