@@ -7,7 +7,8 @@ first round that reaches it, and after at most 2 * COORDS rounds every one is
 filled, with the concentration of independent samples.  Banding proposes
 candidates; every link is confirmed on the full shingle sets.
 
-Steps: documents with equal sets become one class (smallest id).  A census over
+Steps: documents with equal sets, by a cryptographic digest of the whole set,
+become one class (smallest id).  A census over
 the candidates' shingles counts those no other candidate has; a document that
 keeps fewer than 85 % of its set beside them can link with nothing, exactly.
 What is left of each bucket is compared with a pivot; then with a second one;
@@ -16,11 +17,15 @@ no link is lost.  Components come from links alone, by repeated hooking and shor
 
 Defined cases: a null or empty text has no shingles, is its own component and
 is kept; with fewer than five words the whole sequence is the one shingle;
-repeated rows share one id and one component; an empty table gives no rows.
+repeated rows share one id and one component; of rows with one id and different
+texts the one with the smallest digest links for the id; a row without an id
+keeps a null component and links with nothing; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +41,7 @@ SHINGLE, COORDS, ROWS = 5, 128, 4
 BANDS = COORDS // ROWS
 PERCENT = 85
 #: Documents a block of a cluster holds.
-CELL_DOCS = 1500
+CELL_DOCS = 600
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +90,13 @@ def fast_sketch(values: np.ndarray, cuts: np.ndarray, coords: int = COORDS) -> n
     return sketch
 
 
+def _digests(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """(texts, 2): a 128-bit cryptographic digest of each whole set."""
+    raw, cut = memoryview(values.astype("<u8").tobytes()), (8 * cuts).tolist()
+    every = b"".join(hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(cut[:-1], cut[1:]))
+    return np.frombuffer(every, "<i8").reshape(-1, 2)
+
+
 def _sketched(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
@@ -95,10 +107,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=True)
                 value, cuts = shingles(words)
                 size = np.diff(cuts)
-                sums = []
-                for salt in (101, 202):
-                    total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(value, salt), dtype=U64)])
-                    sums.append((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64))
+                digest = _digests(value, cuts)
                 sketch = fast_sketch(value, cuts)
                 key = np.zeros((hi - lo, BANDS), U64)
                 for r in range(ROWS):
@@ -106,13 +115,13 @@ def _sketched(docs: DataFrame) -> DataFrame:
                 key = mix(key + np.arange(BANDS, dtype=U64), 77).view(np.int64)
                 filled = size > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)), pa.array(key[filled].ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "n_shingles", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), lists], ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, vals): each text's shingle hashes, ascending."""
+    """(doc_id, d1, vals): each text's shingle hashes, ascending, and half of their digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +130,9 @@ def _sets(docs: DataFrame) -> DataFrame:
                 words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower=True)
                 value, cuts = shingles(words)
                 vals = [value[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(vals, pa.binary())], ["doc_id", "vals"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(_digests(value, cuts)[:, 0]), pa.array(vals, pa.binary())], ["doc_id", "d1", "vals"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, vals binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, d1 long, vals binary")
 
 
 def _shared_counts(sets: DataFrame, groups: int, total_bytes: int) -> DataFrame:
@@ -169,11 +178,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """links(a, b) -> (id, component): smallest id reachable, for every id in a link.
 
     Each round joins every id to the smallest label beside it, then lets labels
     follow their own label; both are aggregations and equi-joins over links.
+    Labels settle in a logarithmic number of rounds or so; beyond ``most_rounds`` it fails.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "links")
@@ -189,6 +199,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if step.where("c <> old").isEmpty():
             break
         label = step.select("id", "c")
+    else:
+        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return label.select("id", F.col("c").alias("component"))
 
 
@@ -198,14 +210,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     base = written(_sketched(docs), "sketches")
     cls = ["n_shingles", "d1", "d2"]
     # Written, so that the joins with it are plain shuffles, whose hot classes are split at run time.
-    rep = written(base.where("n_shingles > 0").groupBy(*cls).agg(F.min("doc_id").alias("rep")), "classes")
-    member = base.select("doc_id", *cls).join(rep, cls, "left").select("doc_id", "n_shingles", "rep")
-    lead = base.join(rep.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
+    rep = written(base.where("n_shingles > 0 and doc_id is not null").groupBy(*cls).agg(F.min("doc_id").alias("rep")), "classes")
+    member = base.select("doc_id", *cls).join(rep, cls, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+    lead = base.join(rep.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").where("n_shingles > 0")
+    lead = lead.groupBy("doc_id").agg(F.min(F.struct("d1", "n_shingles", "bands")).alias("m")).select("doc_id", "m.*")
     banded = lead.select("doc_id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(banded.join(shared.select("key"), "key"), "buckets")
     wanted = buckets.select("doc_id").distinct()
-    sets = written(_sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")).dropDuplicates(["doc_id"]), "sets")
+    found = _sets(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")).dropDuplicates(["doc_id", "d1"])
+    sets = written(found.join(lead.select("doc_id", "d1"), ["doc_id", "d1"], "left_semi").select("doc_id", "vals"), "sets")
     groups = max(1, int(size // (3 << 20)))
     able = _shared_counts(sets, groups, size)
     able = able.join(lead.select("doc_id", "n_shingles"), "doc_id").where(100 * F.col("n_shared") >= percent * F.col("n_shingles"))
@@ -250,11 +264,11 @@ def _cell_links(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     docs = apart.select("doc_id", "component").distinct().join(cluster.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
     docs = written(docs, "clusters")
     blocks = docs.groupBy("cluster").agg(F.ceil(F.count("*") / CELL_DOCS).cast("int").alias("blocks"))
-    size = max(1, docs.count())
-    packs = max(1, size // CELL_DOCS) * 4
     cells = docs.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cell = [F.col("cluster"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    cells = cells.select(*cell, "block", "doc_id", "component").withColumn("pack", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(packs)))
+    # A cluster of several blocks has a task's work in each cell; small ones share packs of about one block.
+    packs = max(1, docs.count() // CELL_DOCS) * 4
+    pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(packs))).otherwise(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other")))
+    cells = cells.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "blocks", pack.alias("pack"))
     dealt = cells.join(sets, "doc_id")
 
     def run(table: pa.Table) -> pa.Table:
