@@ -1,13 +1,16 @@
 """Substring dedup by relative Lempel-Ziv parsing over word sequences.
 
-The reference is the corpus itself, dealt into blocks by window hash: a block
-indexes every distinct ``k``-word window that falls to it with the place where
-it first starts.  A document is parsed greedily against all blocks that can
-hold a factor of it: from the first word on, a window found in an index opens a
-factor, which goes on as long as the next window's first place is the next
-place of the same source; where it breaks, the window at the boundary is looked
-up like any other, so a match that straddles two factors is not lost.  A factor
-has at least ``k`` words; its words are duplicate spans.
+The reference is the corpus's first occurrences: every distinct ``k``-word
+window stands in it once, where it first starts, in blocks dealt by window hash.
+A document is parsed greedily against all blocks that can hold a factor of it.
+From the first word on, a window with an earlier place in the reference opens a
+factor.  As a window stands only once there, the factor's longest match is found
+by going on while the next window's place is the next one of the same source:
+no other place of the reference can match longer.  The parse goes on behind
+the factor, after a check of the boundary: windows that begin within the
+factor's last ``k - 1`` words and reach over its end are looked up as well, and open
+a factor of their own, so a match that straddles two factors is not lost.  A
+factor has at least ``k`` words; the words of the factors are the duplicate spans.
 
 Two passes keep traffic small.  A census of seeds (minimizers of 8-word grams,
 at least one in every window and the same in equal windows) finds the windows
@@ -147,7 +150,7 @@ def _first_places(table: pa.Table) -> pa.Table:
 
 
 class Parse:
-    """The greedy factors of a group's documents."""
+    """The greedy factors of a group's documents, and the words they cover."""
 
     def __init__(self, group: Group, index: Index, places: pa.Table):
         n = len(index.lead)
@@ -160,19 +163,21 @@ class Parse:
             src_doc[i], src_pos[i], outside[i] = np.frombuffer(doc, "<i8"), np.frombuffer(pos, "<u4"), True
         own = np.zeros(len(index.at), bool)
         own[index.lead] = True
-        hit = ~own | outside[index.rank]
-        self.at = index.at[hit]
-        doc, pos, text = src_doc[index.rank[hit]], src_pos[index.rank[hit]], group.doc_of(self.at)
-        goes_on = np.zeros(len(self.at), bool)
-        if len(self.at):
-            goes_on[1:] = (np.diff(self.at) == 1) & (text[1:] == text[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1)
+        found = ~own | outside[index.rank]
+        at, rank = index.at[found], index.rank[found]
+        doc, pos, text = src_doc[rank], src_pos[rank], group.doc_of(at)
+        goes_on = np.zeros(len(at), bool)
+        if len(at):
+            goes_on[1:] = (np.diff(at) == 1) & (text[1:] == text[:-1]) & (doc[1:] == doc[:-1]) & (pos[1:] == pos[:-1] + 1)
+        # A match: where it begins, its last word's end, its source. Each begins behind the last one, or at its boundary.
         begin = np.flatnonzero(~goes_on)
-        size = np.diff(np.append(begin, len(self.at)))
+        end = at[begin] + np.diff(np.append(begin, len(at))) + group.k - 1
         #: text (row of the group), start, length in words, source document, source start.
-        self.factors = (text[begin], self.at[begin] - group.first[text[begin]], size + group.k - 1, doc[begin], pos[begin])
+        self.factors = (text[begin], at[begin] - group.first[text[begin]], end - at[begin], doc[begin], pos[begin])
         edge = np.zeros(len(group.words) + 1, np.int32)
-        np.add.at(edge, self.at[begin], 1)
-        np.add.at(edge, self.at[begin] + size + group.k - 1, -1)
+        start = group.first[self.factors[0]] + self.factors[1]
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + self.factors[2], -1)
         self.removed = np.cumsum(edge[:-1]) > 0
 
 
@@ -258,6 +263,9 @@ def dedup_table(docs: DataFrame, k: int = K) -> DataFrame:
 
     An untouched text stays as it is; ``n_chars``, where there, is the new text's length.
     """
+    # Other columns travel under names that clash with nothing.
+    given = docs.columns
+    docs = docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"column {i}" for i, c in enumerate(given)))
     names, at = docs.columns, docs.columns.index("text")
 
     def rows(group: Group, parse: Parse) -> pa.Table:
@@ -272,4 +280,4 @@ def dedup_table(docs: DataFrame, k: int = K) -> DataFrame:
             table = table.set_column(i, "n_chars", size)
         return table.filter(pa.array((gone == 0) | (gone < np.diff(group.first))))
 
-    return _parsed(docs, k, rows, docs.schema)
+    return _parsed(docs, k, rows, docs.schema).toDF(*given)

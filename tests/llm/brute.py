@@ -112,3 +112,40 @@ def targets(sizes, most=3):
             left -= out[s]
         open_ -= over
     return out
+
+
+def greedy_factors(rows, k=20):
+    """The greedy parse of each text against the first occurrences of all windows, as runs of words, with the
+    longest match at each place and a look at the boundary behind it: (doc, start, length, source, source start)."""
+    split = {d: words(t) for d, t in rows}
+    first = {}
+    for d, w in split.items():
+        for i in range(len(w) - k + 1):
+            first.setdefault(tuple(w[i : i + k]), (d, i))
+    runs, where = [], {}
+    for d, w in split.items():
+        for i in range(len(w) - k + 1):
+            key = tuple(w[i : i + k])
+            if first[key] == (d, i):
+                if runs and runs[-1][0] == d and runs[-1][1] + len(runs[-1][2]) - k + 1 == i:
+                    runs[-1][2].append(w[i + k - 1])
+                else:
+                    runs.append((d, i, list(w[i : i + k])))
+                where[key] = (len(runs) - 1, i - runs[-1][1])
+    out = []
+    for d, w in split.items():
+        i = 0
+        while i <= len(w) - k:
+            key = tuple(w[i : i + k])
+            if first[key] == (d, i):
+                i += 1
+                continue
+            run, at = where[key]
+            source, begin, text = runs[run]
+            n = k
+            while i + n < len(w) and at + n < len(text) and w[i + n] == text[at + n]:
+                n += 1
+            out.append((d, i, n, source, begin + at))
+            end = i + n
+            i = next((j for j in range(end - k + 1, min(end, len(w) - k + 1)) if first[tuple(w[j : j + k])] != (d, j)), end)
+    return out
