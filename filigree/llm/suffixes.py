@@ -11,11 +11,16 @@ of different phrases next to each other, and with the phrases' places in the
 parse (their first document) this is the corpus order in which a string is a
 duplicate if a smaller document stands in its class.
 
+A 50-byte string never reaches over its phrase, so classes of equal strings are
+decided by the dictionary's suffixes alone, and of the parse only the phrases'
+first documents count; ranks of the parse would order what is equal already.
+
 Two things keep blocks bounded.  A census first finds the triggers that occur
 in another place at all; phrases of other triggers are never sent.  Triggers
 with very many phrases (edges of a passage that a third of all documents share)
-are sent string by string, as 128-bit hashes dealt by the hash, so that no
-block grows with one passage.
+have their phrases cut down to single strings, which are dealt by hash to the
+same dictionary blocks and sorted in the same suffix arrays, so that no block
+grows with one passage.
 
 Defined cases: a null text is empty; texts are whole; only documents with a
 smaller id count, so rows with one id never remove from each other; texts of
@@ -40,7 +45,7 @@ from .shared import pieces_for
 
 L, GRAM = 50, 20
 GROUP_BYTES = 2 << 20
-#: Phrases of one trigger in one group, and groups with a trigger, above which it is sent by strings.
+#: Phrases of one trigger in one group, and groups with a trigger, above which its phrases are cut into strings.
 HOT, HOT_GROUPS = 256, 4096
 NULL_ID = np.iinfo(np.int64).min
 _powers = tuple(_Powers(b | 1) for b in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -123,7 +128,7 @@ def _tally(table: pa.Table) -> pa.Table:
 
 
 class Sent:
-    """What a group sends to dictionary blocks: cold phrases as bytes, hot strings as hashes."""
+    """What a group sends to dictionary blocks: whole phrases, and single strings of those with hot triggers."""
 
     def __init__(self, group: Group, reply: pa.Table, buckets: int, blocks: int):
         self.first, self.entry = group.dictionary()
@@ -169,8 +174,9 @@ def _send(group: Group, sent: Sent, grp: int) -> pa.Table:
         rows.append((grp, int(b), False, packed(raw[at].tobytes()), group.count[p].astype(np.uint8).tobytes(), group.ids[group.doc[p]].tobytes()))
     for b in np.flatnonzero(np.diff(sent.hot_block_cuts)):
         i = sent.hot_deal[sent.hot_block_cuts[b] : sent.hot_block_cuts[b + 1]]
-        doc = np.searchsorted(group.offsets, sent.lead_start[i], "right") - 1
-        rows.append((grp, int(b), True, sent.hi[i].tobytes(), sent.lo[i].tobytes(), group.ids[doc].tobytes()))
+        start = sent.lead_start[i]
+        doc = np.searchsorted(group.offsets, start, "right") - 1
+        rows.append((grp, int(b), True, packed(raw[start[:, None] + np.arange(L)].tobytes()), np.ones(len(i), np.uint8).tobytes(), group.ids[doc].tobytes()))
     columns = zip(*rows) if rows else ((),) * 6
     kinds = (pa.int64(), pa.int32(), pa.bool_(), *(pa.binary(),) * 3)
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("grp", "blk", "hot", "a", "b", "doc"), columns, kinds)})
@@ -228,54 +234,36 @@ def _least_of(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _block(table: pa.Table) -> pa.Table:
     """One dictionary block: which strings of each sent phrase stand in a smaller document too."""
-    out = []
-    hot = table.column("hot").combine_chunks()
-    for is_hot, part in ((False, table.filter(pc.invert(hot))), (True, table.filter(hot))):
-        if not part.num_rows:
-            continue
-        a, b, doc = (part.column(c).to_pylist() for c in ("a", "b", "doc"))
-        docs = [np.frombuffer(x, "<i8") for x in doc]
-        cuts = np.cumsum([0, *map(len, docs)])
-        docs = np.concatenate(docs)
-        if is_hot:
-            hi, lo = (np.concatenate([np.frombuffer(x, "<u8") for x in y]) for y in (a, b))
-            order = np.lexsort((lo, hi))
-            new = np.ones(len(order), bool)
-            new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
-            least = np.empty(len(order), np.int64)
-            least[order] = _least_of(np.cumsum(new), docs[order])
-            masks = [np.packbits(least[x:y] < docs[x:y]).tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-        else:
-            unpacked = zstandard.ZstdDecompressor().decompress
-            data = np.concatenate([np.frombuffer(unpacked(x), np.uint8) for x in a])
-            count = np.concatenate([np.frombuffer(x, np.uint8) for x in b]).astype(np.int64)
-            size = count + L - 1
-            begin = np.cumsum(size) - size
-            # The dictionary: equal phrases of several groups once, under their least document.
-            prefix = [prefix_hash(data, p) for p in _powers[1:]]
-            h1, h2 = (range_hash(x, begin, begin + size, p) for x, p in zip(prefix, _powers[1:]))
-            order = np.lexsort((docs, h2, h1, count))
-            new = np.ones(len(order), bool)
-            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (count[order][1:] != count[order][:-1])
-            entry = np.empty(len(order), np.int64)
-            entry[order] = np.cumsum(new) - 1
-            lead = order[new]
-            n = count[lead]
-            at = np.cumsum(n) - n
-            start = np.repeat(begin[lead] - at, n) + np.arange(int(n.sum()))
-            suffix, cls = suffix_classes(data, start)
-            least = np.empty(len(start), np.int64)
-            least[suffix] = _least_of(cls, np.repeat(docs[lead], n)[suffix])
-            # One 32-bit mask an occurrence: a phrase has at most 31 strings.
-            which = np.repeat(at[entry], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            bit = np.left_shift(np.int64(1), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count))
-            bits = np.where(least[which] < np.repeat(docs, count), bit, 0)
-            mask = np.add.reduceat(bits, np.cumsum(count) - count).astype("<u4")
-            masks = [mask[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-        out += zip(part.column("grp").to_pylist(), part.column("blk").to_pylist(), [is_hot] * part.num_rows, masks)
-    columns = zip(*out) if out else ((),) * 4
-    kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("grp", "blk", "hot", "mask"), columns, kinds)})
+    unpacked = zstandard.ZstdDecompressor().decompress
+    hot, a, b, doc = (table.column(c).to_pylist() for c in ("hot", "a", "b", "doc"))
+    docs = [np.frombuffer(x, "<i8") for x in doc]
+    cuts = np.cumsum([0, *map(len, docs)])
+    docs = np.concatenate(docs)
+    data = np.concatenate([np.frombuffer(unpacked(x), np.uint8) for x in a])
+    count = np.concatenate([np.frombuffer(x, np.uint8) for x in b]).astype(np.int64)
+    size = count + L - 1
+    begin = np.cumsum(size) - size
+    # The dictionary: equal phrases of several groups once, under their least document.
+    prefix = [prefix_hash(data, p) for p in _powers[1:]]
+    h1, h2 = (range_hash(x, begin, begin + size, p) for x, p in zip(prefix, _powers[1:]))
+    order = np.lexsort((docs, h2, h1, count))
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]) | (count[order][1:] != count[order][:-1])
+    entry = np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    lead = order[new]
+    n = count[lead]
+    at = np.cumsum(n) - n
+    start = np.repeat(begin[lead] - at, n) + np.arange(int(n.sum()))
+    suffix, cls = suffix_classes(data, start)
+    least = np.empty(len(start), np.int64)
+    least[suffix] = _least_of(cls, np.repeat(docs[lead], n)[suffix])
+    # One 32-bit mask an occurrence: a phrase has at most 31 strings.
+    j = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    bits = np.where(least[np.repeat(at[entry], count) + j] < np.repeat(docs, count), np.left_shift(np.int64(1), j), 0)
+    mask = np.add.reduceat(bits, np.cumsum(count) - count)
+    masks = [(np.packbits(mask[x:y].astype(bool)) if h else mask[x:y].astype("<u4")).tobytes() for h, x, y in zip(hot, cuts[:-1], cuts[1:])]
+    return pa.table({"grp": table.column("grp"), "blk": table.column("blk"), "hot": table.column("hot"), "mask": pa.array(masks, pa.binary())})
 
 
 def _removed(group: Group, sent: Sent, reply: pa.Table) -> np.ndarray:
