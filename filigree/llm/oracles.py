@@ -17,7 +17,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars FROM p GROUP BY conv_id"""
 
-_SUFFIXES = "'co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'co.jp', 'co.nz', 'com.br', 'co.in', 'co.za'"
+#: Two labels that are a public suffix: a second-level label under a country's two letters (fixed values).
+_TWO = "regexp_matches(array_to_string(p[-2:], '.'), '^(ac|asn|co|com|edu|gen|go|gob|gouv|gov|id|info|ltd|me|mil|ne|net|nhs|nom|or|org|plc|sch|web)\\.[a-z]{2}$')"
 
 
 def _strength(table: str) -> str:
@@ -29,9 +30,9 @@ def _strength(table: str) -> str:
 
 OP2 = f"""
 WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-l AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad FROM u JOIN labels ON doc_id = page_id WHERE toxic IS NOT NULL OR quality IS NOT NULL),
+l AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad FROM u JOIN labels ON doc_id = page_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
 b AS (SELECT host, count(*) AS n, sum(bad) AS k, string_split(regexp_replace(host, '(^.*@)|(:\\d*$)', ''), '.') AS p FROM l GROUP BY host),
-h AS (SELECT host, n, k, array_to_string(CASE WHEN array_to_string(p[-2:], '.') IN ({_SUFFIXES}) THEN p[-3:] ELSE p[-2:] END, '.') AS domain, array_to_string(CASE WHEN array_to_string(p[-2:], '.') IN ({_SUFFIXES}) THEN p[-2:] ELSE p[-1:] END, '.') AS suffix FROM b),
+h AS (SELECT host, n, k, array_to_string(CASE WHEN {_TWO} THEN p[-3:] ELSE p[-2:] END, '.') AS domain, array_to_string(CASE WHEN {_TWO} THEN p[-2:] ELSE p[-1:] END, '.') AS suffix FROM b),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
 x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
 xm AS (SELECT suffix, (k + c * m) / (n + c) AS sm FROM x, {_strength("x")}),

@@ -20,8 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Suffixes of more than one label (fixed values; extend through the parameter).
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Labels that under a country's two letters make a public suffix of two labels (fixed values; extend through the parameter).
+SECOND_LEVEL = ("ac", "asn", "co", "com", "edu", "gen", "go", "gob", "gouv", "gov", "id", "info", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch", "web")
+#: Further suffixes of two labels.
+SUFFIXES = ()
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,7 @@ class Reputation:
     block_rate: float = 0.5
     least_strength: float = 1.0
     most_strength: float = 200.0
+    second_level: tuple[str, ...] = SECOND_LEVEL
     suffixes: tuple[str, ...] = SUFFIXES
 
 
@@ -45,14 +48,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
-    """(registered domain, public suffix); a numeric or one-label host is its own domain."""
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES, second_level: tuple[str, ...] = SECOND_LEVEL) -> tuple[Column, Column]:
+    """(registered domain, public suffix); a numeric or one-label host is its own domain.
+
+    A suffix is the last label, or the last two where they are one of ``suffixes``
+    or one of ``second_level`` under a country's two letters.
+    """
     bare = F.regexp_replace(host, r"(^.*@)|(:\d*$)", "")
     labels = F.split(bare, r"\.")
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), F.lit(k)), ".")
     own = (n < 2) | bare.rlike(r"^[\d.]+$") | bare.startswith("[")
     two = last(2).isin(*suffixes) if suffixes else F.lit(False)
+    two |= F.get(labels, n - 2).isin(*second_level) & F.get(labels, n - 1).rlike("^[a-z]{2}$") if second_level else F.lit(False)
     suffix = F.when(own, bare).when(two, last(2)).otherwise(last(1))
     domain = F.when(own, bare).when(two, last(3)).otherwise(last(2))
     return domain, suffix
@@ -83,7 +91,7 @@ def _strength(groups: DataFrame, r: Reputation) -> DataFrame:
 
 def host_reputation(outcomes: DataFrame, r: Reputation = Reputation()) -> DataFrame:
     """outcomes(host, bad 0/1) -> (host, n, k, mean, low): hosts with labels, shrunk three levels deep."""
-    domain, suffix = domain_of(F.col("host"), r.suffixes)
+    domain, suffix = domain_of(F.col("host"), r.suffixes, r.second_level)
     hosts = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
