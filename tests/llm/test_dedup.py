@@ -46,6 +46,25 @@ def test_factors_are_copies_of_their_sources(docs, rows):
         assert (f.source_doc, f.source_start) < (f.doc_id, f.start)
 
 
+def test_factors_are_the_greedy_longest_matches(docs, rows):
+    got = sorted((f.doc_id, f.start, f.length, f.source_doc, f.source_start) for f in substrings.factors(docs).collect())
+    assert got == sorted(brute.greedy_factors(pairs(rows)))
+    assert any(n > 40 for _, _, n, _, _ in got)
+    # What the factors cover is what is removed.
+    covered = {}
+    for d, start, n, _, _ in got:
+        covered.setdefault(d, set()).update(range(start, start + n))
+    removed = {r.doc_id: r.n_removed for r in substrings.dedup_digests(docs).collect()}
+    assert {d: len(x) for d, x in covered.items()} == {d: n for d, n in removed.items() if n}
+
+
+def test_clashing_columns_stay(spark):
+    text = " ".join(str(i) for i in range(40))
+    df = spark.createDataFrame([(1, 777, text, "m"), (2, 778, text + " more", None)], "doc_id long, grp int, text string, mask string")
+    got = {r.doc_id: r for r in substrings.dedup_table(df).collect()}
+    assert (got[1].grp, got[1].mask, got[2].grp, got[2].mask, got[2].text) == (777, "m", 778, None, "more")
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = " ".join(str(i) for i in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")

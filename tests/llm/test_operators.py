@@ -92,7 +92,7 @@ def test_reputation_shrinks_towards_parents(spark):
     assert all(r.low < r.mean for r in got.values())
 
 
-@pytest.mark.parametrize("host,domain,suffix", [("a.b.co.uk", "b.co.uk", "co.uk"), ("x.y.com", "y.com", "com"), ("y.com:80", "y.com", "com"), ("10.0.0.1", "10.0.0.1", "10.0.0.1"), ("localhost", "localhost", "localhost")])
+@pytest.mark.parametrize("host,domain,suffix", [("a.b.co.uk", "b.co.uk", "co.uk"), ("x.y.com", "y.com", "com"), ("y.com:80", "y.com", "com"), ("10.0.0.1", "10.0.0.1", "10.0.0.1"), ("localhost", "localhost", "localhost"), ("a.b.com.mx", "b.com.mx", "com.mx"), ("x.co.example", "co.example", "example")])
 def test_registered_domain(spark, host, domain, suffix):
     d, s = urls.domain_of(F.lit(host))
     assert tuple(spark.range(1).select(d, s).first()) == (domain, suffix)

@@ -61,7 +61,31 @@ def test_stages_in_order_and_columns(spark, sf):
 
 
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    """The pieces that come out are a cut of what the stages before would have packed, by an independent count."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = written(stage(spark, docs, sf), name)
+    want = sorted((r.doc_id, len(r.text or "")) for r in docs.select("doc_id", "text").collect())
+    got = corpus_pipeline.run(spark, sf).collect()
+    whole = [r for r in got if r.start == 0]
+    assert sorted(r.doc_id for r in whole) == [d for d, _ in want]
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in whole)
+    ends = {}
+    for r in got:
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for runs in ends.values():
+        assert [o for o, _ in sorted(runs)] == [sum(n for _, n in sorted(runs)[:i]) for i in range(len(runs))]
+        assert sum(n for _, n in runs) <= 4096
+
+
+def test_rows_without_an_id_go_through_the_stages(spark, sf):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(None, " ".join(words[:120]), "a"), (None, " ".join(words[130:260]), None), (4, " ".join(words[270:]), "a"), (4, " ".join(words[270:]), "a"), (5, None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = written(stage(spark, docs, sf), name)
+        assert {r.text.split()[0] for r in docs.collect()} == {"w0", "w130", "w270"}, name
+    assert corpus_pipeline.pack(spark, docs, sf).where("doc_id is null").count() >= 2
 
 
 def test_minhash_dedup_links_from_80_percent(spark, sf):
