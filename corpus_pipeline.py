@@ -20,9 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each near-duplicate group stays; groups link at PERCENT, op7's contract at its own 85."""
+    """The smallest id of each near-duplicate group stays; groups link at PERCENT, op7's contract at its own 85.
+
+    Rows of one id stay or go together; a row without an id is in no group and stays.
+    """
     found = sketches.near_duplicates(docs.select("doc_id", "text"), PERCENT)
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
