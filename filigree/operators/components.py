@@ -2,34 +2,75 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
 from ..session import cut
+from .kernels import smallest_reachable
 from .topology import counts, induced, trim_round
 
 
-def components(net: NetworkFrame, most_rounds: int = 100) -> DataFrame:
+#: Edges of one graph that a task may hold; larger graphs go through joins.
+LOCAL_EDGES = 2_000_000
+
+
+def components(net: NetworkFrame) -> DataFrame:
     """(graph_id, node_id, label): the smallest node id reachable.
 
-    Hooking and shortcutting: every node takes the smallest label next to its
-    component, then the label of its label, so the rounds grow with the log of
-    the diameter; each round is written, and the loop ends when nothing moves.
+    Edges are thinned to forests where they lie, a task a partition.  Graphs that fit a task then
+    are settled there, one each; a larger one by hooking and shortcutting over written tables.
     """
-    links = cut(net.both_ways().select("graph_id", "u", "v").where("u <> v").distinct(), "links")
-    label = net.nodes.select("graph_id", "node_id", F.col("node_id").alias("label"))
+    links = cut(net.edges.where("u <> v").select("graph_id", "u", "v"), "links")
+    size = links.groupBy("graph_id").agg(F.count("*").alias("n"))
+    large = size.where(F.col("n") > LOCAL_EDGES).select("graph_id")
+    ids = net.nodes.select("graph_id", "node_id")
+    if large.isEmpty():
+        return _labelled(ids, links.groupBy("graph_id").applyInPandas(_settled, "graph_id string, node_id long, label long"))
+    some = cut(_forests(links.join(F.broadcast(large), "graph_id")), "forests")  # few graphs are that large
+    rest = links.join(F.broadcast(large), "graph_id", "left_anti").groupBy("graph_id").applyInPandas(_settled, "graph_id string, node_id long, label long")
+    return _labelled(ids, rest.unionByName(_hooked(some)))
+
+
+def _labelled(ids: DataFrame, found: DataFrame) -> DataFrame:
+    return ids.join(found, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.coalesce("label", "node_id").alias("label"))
+
+
+def _settled(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
+    ids, label = smallest_reachable(edges.u.to_numpy(), edges.v.to_numpy())
+    return pd.DataFrame({"graph_id": key[0], "node_id": ids, "label": label})
+
+
+def _forests(links: DataFrame) -> DataFrame:
+    """(graph_id, u, v): for every batch of edges a star to the smallest id of each of its components."""
+
+    def thin(batches):
+        for batch in batches:
+            for g, part in batch.groupby("graph_id", sort=False):
+                ids, label = smallest_reachable(part.u.to_numpy(), part.v.to_numpy())
+                other = ids != label
+                yield pd.DataFrame({"graph_id": g, "u": label[other], "v": ids[other]})
+
+    return links.mapInPandas(thin, "graph_id string, u long, v long").distinct()
+
+
+def _hooked(links: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """Every node takes the smallest label next to its component, then the label of its label; the rounds grow
+    with the log of the diameter, each is written, and the loop ends when nothing moves."""
+    both = cut(links.unionByName(links.select("graph_id", F.col("v").alias("u"), F.col("u").alias("v"))), "links")
+    label = both.select("graph_id", F.col("u").alias("node_id")).distinct().withColumn("label", F.col("node_id"))
     for _ in range(most_rounds):
-        near = links.join(label.withColumnsRenamed({"node_id": "v", "label": "m"}), ["graph_id", "v"]).groupBy("graph_id", F.col("u").alias("node_id")).agg(F.min("m").alias("m"))
-        seen = label.join(near, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.col("label").alias("old"), F.least("label", F.coalesce("m", "label")).alias("m"))
+        near = both.join(label.withColumnsRenamed({"node_id": "v", "label": "m"}), ["graph_id", "v"]).groupBy("graph_id", F.col("u").alias("node_id")).agg(F.min("m").alias("m"))
+        seen = label.join(near, ["graph_id", "node_id"]).select("graph_id", "node_id", F.col("label").alias("old"), F.least("label", "m").alias("m"))
         hook = seen.groupBy("graph_id", "old").agg(F.min("m").alias("h"))
         moved = seen.join(hook, ["graph_id", "old"]).select("graph_id", "node_id", "old", F.least("m", "h").alias("label"))
         up = moved.select("graph_id", F.col("node_id").alias("label"), F.col("label").alias("up"))
         step = cut(moved.join(up, ["graph_id", "label"], "left").select("graph_id", "node_id", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
         label = step.select("graph_id", "node_id", "label")
         if step.where("label <> old").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError(f"components not settled after {most_rounds} rounds")
 
 
 def component_sizes(net: NetworkFrame, label: DataFrame | None = None) -> DataFrame:
@@ -56,12 +97,14 @@ def largest_component(net: NetworkFrame, renumber: bool = False) -> NetworkFrame
     return induced(net, label.join(best, ["graph_id", "label"], "left_semi"), renumber)
 
 
-def trim(net: NetworkFrame, target: DataFrame, slack: float = 1.1, most_rounds: int = 50) -> NetworkFrame:
-    """Rounds of trimming and largest component until no graph's average degree is above slack * target."""
-    for _ in range(most_rounds):
-        over = counts(net).join(target, "graph_id").where(2 * F.col("edge_count") > slack * F.col("target_degree") * F.col("node_count"))
+def trim(net: NetworkFrame, target: DataFrame, slack: float = 1.1) -> NetworkFrame:
+    """Rounds of trimming and largest component until no graph's average degree is above slack * target.
+
+    A round takes an edge from every graph above its bound at least, so it ends.
+    """
+    while True:
+        over = counts(net).join(target, "graph_id").where(2 * F.col("edge_count") / F.col("node_count") > slack * F.col("target_degree"))
         if over.isEmpty():
-            break
+            return net
         net = largest_component(trim_round(net, target, slack))
         net = NetworkFrame(cut(net.nodes, "nodes"), cut(net.edges, "edges"), net.weighted)
-    return net

@@ -17,6 +17,8 @@ import numpy as np
 LEAST_NODES = 100
 FRAME_SLACK = 1.1
 REGROWTHS = 100
+#: Lengths and angles of a degree that growth draws from; of more, so many of their quantiles.
+MOST_VALUES = 4096
 
 
 @dataclass(frozen=True)
@@ -147,14 +149,15 @@ class Plane:
                 return True
         return False
 
-    def crosses(self, a: int, x: float, y: float) -> bool:
+    def crosses(self, a: int, x: float, y: float, b: int = -1) -> bool:
+        """Does the segment from node a to (x, y) meet an edge? Edges at a, and at b if that is the node there, are exempt."""
         p = self.nodes[a]
         (i0, j0), (i1, j1) = self.cell(min(p.x, x), min(p.y, y)), self.cell(max(p.x, x), max(p.y, y))
         seen = set()
         for i in range(i0, i1 + 1):
             for j in range(j0, j1 + 1):
                 for e in self._edge_cells.get((i, j), ()):
-                    if e in seen or a in e:
+                    if e in seen or a in e or b in e:
                         continue
                     seen.add(e)
                     q, r = self.nodes[e[0]], self.nodes[e[1]]
@@ -169,11 +172,14 @@ class Plane:
         return node
 
     def _child(self, node: Node, angle: float) -> Node | None:
-        """Merge with a near node, or give up beside or across an edge, or place a new child."""
+        """Merge with a near node or place a new child; give up beside an edge, and where the new edge would cross one."""
         r = _pick(self.rng, self.s.lengths.get(node.degree) or [self.size])
         x, y = node.x + r * math.cos(math.radians(angle)), node.y + r * math.sin(math.radians(angle))
         near = self.closest(x, y, node)
         if near is not None:
+            if self.crosses(node.id, self.nodes[near].x, self.nodes[near].y, near):
+                self.aborted += 1
+                return None
             self.join(node.id, near)
             node.children.append(near)
             self.merged += 1
@@ -270,6 +276,24 @@ def network(sample: Sample, params: Params, worker: int = 0, on_round=None, rng:
     return out, {"tries": tries, "merged": plane.merged, "aborted": plane.aborted}
 
 
+def early_network(sample: Sample, params: Params, rng: np.random.Generator, until: int, every: int = 1) -> tuple[Network, dict]:
+    """The largest component once a growing network has ``until`` nodes, looked at every ``every`` rounds; ``reached`` says whether it had."""
+    reached, plane, tries = [], None, 0
+
+    def look(turn: int, plane: Plane) -> bool | None:
+        if turn % every == 0 and len(plane.nodes) >= until:
+            reached.append(turn)
+            return False
+        return None
+
+    for tries in range(1, REGROWTHS + 1):
+        plane = Plane(sample, params, rng)
+        plane.grow(round(params.width * FRAME_SLACK), round(params.height * FRAME_SLACK), look)
+        if reached or len(plane.nodes) > LEAST_NODES:
+            break
+    return largest(*arrays(plane)), {"tries": tries, "merged": plane.merged, "aborted": plane.aborted, "reached": bool(reached)}
+
+
 @dataclass(frozen=True)
 class Tile:
     """A grown tile: interior network, and the frontier that phase two goes on from."""
@@ -331,13 +355,17 @@ def stitch(sample: Sample, params: Params, tiles: list[tuple[float, float, Tile]
     return largest(*subset(xy, edges, keep)) if len(xy) else (xy, edges), turn
 
 
-def snapshot_rounds(every: int, expected: int) -> list[int]:
-    """Every k-th round, or about -k log-spaced rounds for a negative k."""
+def snapshot_rounds(every: int, most_rounds: int) -> list[int]:
+    """Every k-th round up to the last; for a negative k rounds that grow by the -k-th root of ``most_rounds``
+    (twofold for one), cut to whole numbers and by one at least."""
     if every > 0:
-        return list(range(every, expected + 1, every))
-    if every == 0 or expected < 1:
-        return []
-    return sorted({round(math.exp(x)) for x in np.linspace(0.0, math.log(expected), -every)})
+        return list(range(every, most_rounds + 1, every))
+    out, at = [], 1
+    factor = most_rounds ** (1.0 / -every) if every < -1 else 2.0
+    while every and at <= most_rounds:
+        out.append(at)
+        at = max(at + 1, int(at * factor))
+    return out
 
 
 def centres(width: float, height: float, spacing: float, most: int, rng: np.random.Generator, patience: int = 50_000) -> np.ndarray:

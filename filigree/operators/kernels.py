@@ -172,7 +172,24 @@ def principal_vector(g: Csr, weighted: bool, rounds: int = 200_000, tol: float =
         y = np.bincount(tail, w * x[g.dst], minlength=g.n) + shift * x
         y /= np.linalg.norm(y)
         if np.abs(y - x).max() < tol:
-            x = y
-            break
+            return np.abs(y)
         x = y
-    return np.abs(x)
+    raise RuntimeError(f"principal vector not settled after {rounds} rounds")
+
+
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, label): the ends of the edges, ascending, and the smallest id that each reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return ids, ids[label]
+        # Roots hook under smaller ones; then every id goes up to its root.
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up

@@ -13,20 +13,21 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
 from ..session import cut
 from . import kernels as K
 
-CHUNK = 64
+#: Sources handled at once, and tasks that one graph's sources are dealt to at most: so often a graph is sent.
+CHUNK, PARTS = 64, 256
 
 
-def on_sources(net: NetworkFrame, work: Callable[[str, K.Csr, np.ndarray], pd.DataFrame], schema: str, chunk: int = CHUNK) -> DataFrame:
-    """Runs ``work(graph_id, graph, sources)`` on every (graph, chunk of sources)."""
+def on_sources(net: NetworkFrame, work: Callable[[str, K.Csr, np.ndarray], pd.DataFrame], schema: str, merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, chunk: int = CHUNK, most: int = PARTS) -> DataFrame:
+    """Runs ``work(graph_id, graph, sources)`` on chunks of each graph's sources; ``merge`` folds what a task's chunks gave."""
     n = net.nodes.select("graph_id", "node_id")
-    parts = n.groupBy("graph_id").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    parts = n.groupBy("graph_id").agg(F.least(F.lit(most), F.ceil(F.count("*") / chunk)).cast("int").alias("parts"))
     mine = n.join(parts, "graph_id").select("graph_id", F.pmod(F.xxhash64("node_id"), "parts").cast("int").alias("part"), "node_id", F.lit(True).alias("source"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     whole = n.join(parts, "graph_id").select("graph_id", every, "node_id", F.lit(False).alias("source"))
@@ -35,7 +36,13 @@ def on_sources(net: NetworkFrame, work: Callable[[str, K.Csr, np.ndarray], pd.Da
     def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         g = K.Csr(nodes.node_id.to_numpy(), edges.u.to_numpy(), edges.v.to_numpy(), edges.w.to_numpy(float))
         sources = np.searchsorted(g.ids, np.sort(nodes.node_id[nodes.source].to_numpy()))
-        return work(key[0], g, sources)
+        out = None
+        for at in range(0, max(1, len(sources)), chunk):
+            got = work(key[0], g, sources[at : at + chunk])
+            out = got if out is None else pd.concat([out, got])
+            if merge is not None and at:
+                out = merge(out)
+        return out
 
     keys = ["graph_id", "part"]
     return mine.unionByName(whole).groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(run, schema)
@@ -63,14 +70,11 @@ def hop_frontier(net: NetworkFrame, most_levels: int = 10_000) -> DataFrame:
         if edge.isEmpty():
             break
         seen = seen.unionByName(edge)
+    else:
+        raise RuntimeError(f"distances not settled after {most_levels} levels")
     return seen
 
 
-def quantised(d: Column, digits: int) -> Column:
-    """Radii: the next whole number, or rounded to ``digits`` decimals."""
-    return F.ceil(d).cast("double") if digits == 0 else F.round(d, digits)
-
-
 def balls(net: NetworkFrame, weighted: bool = False, digits: int = 0, far: float = 99_999.0) -> DataFrame:
     """(graph_id, src, r, cnt): how many nodes at each quantised distance; zeros and unreachable ones left out."""
 
@@ -111,7 +115,8 @@ def betweenness(net: NetworkFrame, weighted: bool = False) -> DataFrame:
     def work(graph: str, g: K.Csr, sources: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"graph_id": graph, "node_id": g.ids, "part": K.dependencies(g, sources, weighted), "n": g.n})
 
-    s = on_sources(net, work, "graph_id string, node_id long, part double, n long").groupBy("graph_id", "node_id", "n").agg(F.sum("part").alias("s"))
+    fold = lambda df: df.groupby(["graph_id", "node_id", "n"], as_index=False).agg({"part": "sum"})[["graph_id", "node_id", "part", "n"]]
+    s = on_sources(net, work, "graph_id string, node_id long, part double, n long", fold).groupBy("graph_id", "node_id", "n").agg(F.sum("part").alias("s"))
     n = F.col("n")
     return s.select("graph_id", "node_id", F.when(n > 2, F.col("s") / ((n - 1) * (n - 2))).otherwise(F.lit(float("nan"))).alias("betweenness"))
 
@@ -143,10 +148,9 @@ def eigenvector(net: NetworkFrame) -> DataFrame:
 
     def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         g = K.Csr(nodes.node_id.to_numpy(), edges.u.to_numpy(), edges.v.to_numpy(), edges.w.to_numpy(float))
-        label = np.full(g.n, -1)
-        for i in range(g.n):
-            if label[i] < 0:
-                label[np.isfinite(K.hops(g, np.array([i]))[0])] = i
+        label = np.arange(g.n)
+        ends, least = K.smallest_reachable(edges.u.to_numpy(), edges.v.to_numpy())
+        label[np.searchsorted(g.ids, ends)] = np.searchsorted(g.ids, least)
         top = np.bincount(label, minlength=1).argmax()
         inside = label == top
         keep = inside[np.searchsorted(g.ids, edges.u.to_numpy())] if len(edges) else np.zeros(0, bool)

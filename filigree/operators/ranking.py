@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
+from ..functions.numeric import py_round
 from . import multifractal as M
 from . import topology as T
 
@@ -70,7 +71,7 @@ def robust_mean(errors: DataFrame, *keys: str) -> DataFrame:
     e = errors.withColumn("ok", F.when(F.abs("error") < float("inf"), F.col("error")))
     e = e.withColumns({"mu": F.avg("ok").over(w), "sd": F.stddev_pop("ok").over(w)})
     near = F.when(F.abs(F.col("ok") - F.col("mu")) <= 2 * F.col("sd"), F.col("ok"))
-    return e.groupBy(*keys).agg(F.coalesce(F.round(F.avg(near), 3), F.lit(float("inf"))).alias("error"))
+    return e.groupBy(*keys).agg(F.avg(near).alias("mean")).select(*keys, F.coalesce(py_round(F.col("mean"), 3), F.lit(float("inf"))).alias("error"))
 
 
 def ranked(measured: DataFrame, reference: DataFrame, best: int | None = None) -> DataFrame:
@@ -91,11 +92,44 @@ def ranking_report(measured: DataFrame, reference: DataFrame, errors: DataFrame
     return first.unionByName(rows).orderBy("place").drop("place")
 
 
-def factor_grid(df_one: DataFrame, low: float, high: float, step: float) -> DataFrame:
-    """(node_factor, edge_factor): round((high - low) / step) + 1 values each, 6 decimals."""
-    k = round((high - low) / step)
-    values = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.round(F.lit(low) + i * F.lit(step), 6))
-    return df_one.limit(1).select(F.explode(values).alias("node_factor")).withColumn("edge_factor", F.explode(values))
+def factors(low: float, high: float, step: float) -> list[float]:
+    """round((high - low) / step) + 1 values, 6 decimals."""
+    return [round(low + i * step, 6) for i in range(round((high - low) / step) + 1)]
+
+
+def factor_grid(df_one: DataFrame, low: float, high: float, step: float, edge: tuple[float, float] | None = None) -> DataFrame:
+    """(node_factor, edge_factor): every pair of ``factors``; ``edge`` is another range for the edge factor."""
+    values = lambda lo, hi: F.explode(F.array(*map(F.lit, factors(lo, hi, step))))
+    return df_one.limit(1).select(values(low, high).alias("node_factor")).withColumn("edge_factor", values(*(edge or (low, high))))
+
+
+def sweep_report(trials: DataFrame) -> DataFrame:
+    """Rows of a sweep's report in order of the factors: error with 6 decimals, success rate with 4."""
+    error = F.when(F.abs("error") < float("inf"), F.format_string("%.6f", F.col("error"))).otherwise(F.when(F.isnan("error"), "nan").otherwise("inf"))
+    return trials.orderBy("node_factor", "edge_factor", "error", "success_rate").select("node_factor", "edge_factor", error.alias("error"), F.format_string("%.4f", F.col("success_rate")).alias("success_rate"))
+
+
+def metric_line() -> Column:
+    """A network's metrics in one line of text."""
+    return F.format_string("nodes=%d  avg_deg=%.2f  clust=%.4f  length=%.2f  angle=%.2f", *(F.col(c) for c in METRICS))
+
+
+def table_text(ranked_rows: DataFrame, reference: DataFrame) -> list[str]:
+    """Lines of a ranking table: ranked rows (rank, distance, error, metrics), then the original's."""
+    cells = ["%7d", "%7.2f", "%8.4f", "%8.2f", "%8.2f"]
+    head = " ".join(f"{t:>{n}}" for t, n in (("Rank", 4), ("Dist", 8), ("MFErr", 8), ("Nodes", 7), ("AvgDeg", 7), ("Clust", 8), ("Length", 8), ("Angle", 8)))
+    rows = ranked_rows.orderBy("rank").select(F.format_string(" ".join(["%4d", "%8.4f", "%8.4f", *cells]), "rank", "distance", "error", *METRICS).alias("line"))
+    own = reference.select(F.format_string(" ".join(["%4s", "%8s", "%8s", *cells]), F.lit("Orig"), F.lit(""), F.lit(""), *METRICS).alias("line"))
+    rule = "-" * len(head)
+    # One line a candidate of one run.
+    return [rule, head, rule, *(r.line for r in rows.collect()), rule, *(r.line for r in own.collect()), rule]
+
+
+def phase_summary(tiles: DataFrame, requested: int, tolerance: float) -> DataFrame:
+    """One row of tiles(tile_ix, error): ok, over the tolerance, failed, mean error."""
+    good = F.col("error") < tolerance
+    out = tiles.agg(F.count_if(good).alias("ok"), F.count_if(~good).alias("over_tolerance"), F.count("*").alias("n"), F.avg("error").alias("mean_error"))
+    return out.select("ok", "over_tolerance", (F.lit(requested) - F.col("n")).alias("failed"), "mean_error")
 
 
 def valid_trials(trials: DataFrame) -> DataFrame:
@@ -108,9 +142,10 @@ def near_one(trials: DataFrame, width: float) -> DataFrame:
 
 def combined_score(trials: DataFrame) -> DataFrame:
     """trials with ``score``: half for a low error, half for a high success rate, each scaled to its range."""
-    w = Window.partitionBy()
-    scaled = lambda c: F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.0)
-    return trials.withColumn("score", 0.5 * (1 - scaled("error")) + 0.5 * scaled("success_rate"))
+    ends = trials.agg(F.min("error").alias("e0"), F.max("error").alias("e1"), F.min("success_rate").alias("s0"), F.max("success_rate").alias("s1"))
+    scaled = lambda c, lo, hi: F.when(F.col(hi) > F.col(lo), (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
+    scored = trials.join(F.broadcast(ends))  # one row
+    return scored.withColumn("score", 0.5 * (1 - scaled("error", "e0", "e1")) + 0.5 * scaled("success_rate", "s0", "s1")).drop("e0", "e1", "s0", "s1")
 
 
 def pareto(trials: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
 from ..functions import geometry as G
-from ..functions.numeric import ratio
+from ..functions.numeric import py_round, ratio
+from ..session import cut
 
 
 def counts(net: NetworkFrame) -> DataFrame:
@@ -51,10 +52,10 @@ def placed_edges(net: NetworkFrame, both: bool = False) -> DataFrame:
     return e.withColumns({"length": G.length(*ends), "angle": G.angle(*ends)})
 
 
-def degree_lengths(net: NetworkFrame) -> DataFrame:
+def degree_lengths(net: NetworkFrame, most: int | None = None) -> DataFrame:
     """(graph_id, degree, lengths): each edge's length at both its ends."""
     d = degrees(net).select("graph_id", F.col("node_id").alias("u"), "degree")
-    return placed_edges(net, both=True).join(d, ["graph_id", "u"]).groupBy("graph_id", "degree").agg(F.array_sort(F.collect_list("length")).alias("lengths"))
+    return population(placed_edges(net, both=True).join(d, ["graph_id", "u"]).select("graph_id", "degree", "length"), "length", "lengths", most)
 
 
 def angle_gaps(net: NetworkFrame) -> DataFrame:
@@ -66,19 +67,35 @@ def angle_gaps(net: NetworkFrame) -> DataFrame:
     return e.where("n > 1").select("graph_id", F.col("u").alias("node_id"), "seq", gap.alias("gap"))
 
 
-def degree_angles(net: NetworkFrame) -> DataFrame:
+def degree_angles(net: NetworkFrame, most: int | None = None) -> DataFrame:
     """(graph_id, degree, angles): the gaps by degree of their node."""
-    return angle_gaps(net).join(degrees(net), ["graph_id", "node_id"]).groupBy("graph_id", "degree").agg(F.array_sort(F.collect_list("gap")).alias("angles"))
+    return population(angle_gaps(net).join(degrees(net), ["graph_id", "node_id"]).select("graph_id", "degree", "gap"), "gap", "angles", most)
 
 
-def attributes(net: NetworkFrame) -> DataFrame:
-    """One row a graph: distributions and samples as maps, average length and degree; empty maps and 0.0 for an empty graph."""
+def population(df: DataFrame, value: str, name: str, most: int | None, by: str = "degree") -> DataFrame:
+    """df(graph_id, by, value) -> (graph_id, by, name): the sorted values of a degree, or ``most`` evenly spread
+    quantiles of them where there are more, so that a row is bounded."""
+    key = ["graph_id", by]
+    if most is None:
+        return df.groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias(name))
+    n = df.groupBy(*key).agg(F.count("*").alias("n"))
+    sized = df.join(n, key)
+    few = sized.where(F.col("n") <= most).groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias(name))
+    many = sized.where(F.col("n") > most).groupBy(*key).agg(F.percentile_approx(value, [(i + 0.5) / most for i in range(most)], 10 * most).alias(name))
+    return few.unionByName(many)
+
+
+def attributes(net: NetworkFrame, most: int | None = None) -> DataFrame:
+    """One row a graph: distributions and samples as maps, average length and degree; empty maps and 0.0 for an empty graph.
+
+    ``most`` bounds the samples of a degree (quantiles stand for more of them).
+    """
     entries = lambda k, v: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(k).cast("int"), F.col(v)))))
     dist = degree_distribution(net).groupBy("graph_id").agg(entries("degree", "share").alias("degree_distribution"))
     inner = degree_transitions(net).groupBy("graph_id", "degree_u").agg(entries("degree_v", "prob").alias("row"))
     trans = inner.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("degree_u").cast("int"), F.col("row")))).alias("degree_transition_probs"))
-    lengths = degree_lengths(net).groupBy("graph_id").agg(entries("degree", "lengths").alias("degree_lengths"))
-    angles = degree_angles(net).groupBy("graph_id").agg(entries("degree", "angles").alias("degree_angles"))
+    lengths = degree_lengths(net, most).groupBy("graph_id").agg(entries("degree", "lengths").alias("degree_lengths"))
+    angles = degree_angles(net, most).groupBy("graph_id").agg(entries("degree", "angles").alias("degree_angles"))
     mean = placed_edges(net).groupBy("graph_id").agg(F.avg("length").alias("average_length"))
     n = counts(net).select("graph_id", ratio(2 * F.col("edge_count"), F.col("node_count")).alias("average_degree"))
     out = n
@@ -154,7 +171,7 @@ def induced(net: NetworkFrame, keep: DataFrame, renumber: bool = False) -> Netwo
 def frame(net: NetworkFrame, width: float, height: float, digits: int = 2) -> DataFrame:
     """(graph_id, x0, x1, y0, y1) of the given size about the mean position."""
     c = net.nodes.groupBy("graph_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    r = lambda v: F.round(v, digits)
+    r = lambda v: py_round(v, digits)
     return c.select("graph_id", r(F.col("cx") - width / 2).alias("x0"), r(F.col("cx") + width / 2).alias("x1"), r(F.col("cy") - height / 2).alias("y0"), r(F.col("cy") + height / 2).alias("y1"))
 
 
@@ -187,6 +204,14 @@ def trim_round(net: NetworkFrame, target: DataFrame, slack: float = 1.1) -> Netw
     return replace(net, edges=e.select("graph_id", "u", "v", "weight"))
 
 
+def every_kth(net: NetworkFrame, most: int) -> NetworkFrame:
+    """Every k-th edge in order of (u, v), k being how often ``most`` goes into the number of edges, one at least."""
+    m = counts(net).select("graph_id", F.greatest(F.lit(1), F.floor(F.col("edge_count") / most)).alias("k"))
+    at = F.row_number().over(Window.partitionBy("graph_id").orderBy("u", "v")) - 1
+    e = net.edges.withColumn("at", at).join(m, "graph_id").where(F.col("at") % F.col("k") == 0)
+    return replace(net, edges=e.select("graph_id", "u", "v", "weight"))
+
+
 def range_pairs(nodes: DataFrame, radius: float) -> DataFrame:
     """(graph_id, a, b, distance): pairs closer than ``radius``, through a grid of cells of that size."""
     n = nodes.withColumns({"cx": G.cell(F.col("x"), radius), "cy": G.cell(F.col("y"), radius)})
@@ -220,17 +245,16 @@ def nearest_other(nodes: DataFrame, size: float) -> DataFrame:
     searched; the others go on with doubled cells.
     """
     n = nodes.select("graph_id", "node_id", "x", "y")
-    todo, done, radius = n, None, size
-    for _ in range(40):
-        found = _ring(todo, n, radius).where(F.col("distance") <= radius)
+    # A node alone in its graph has no other; the rest are settled as soon as a ring spans their graph.
+    company = n.groupBy("graph_id").agg(F.count("*").alias("k")).where("k > 1").select("graph_id")
+    todo, done, radius = n.join(company, "graph_id", "left_semi"), None, size
+    while True:
+        found = cut(_ring(todo, n, radius).where(F.col("distance") <= radius), "settled")
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(found.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti")
-        alone = n.groupBy("graph_id").agg(F.count("*").alias("k")).where("k < 2").select("graph_id")
-        todo = todo.join(alone, "graph_id", "left_anti")
+        todo = cut(todo.join(found.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti"), "unsettled")
         if todo.isEmpty():
-            break
+            return done
         radius *= 4
-    return done
 
 
 def _ring(some: DataFrame, every: DataFrame, radius: float) -> DataFrame:

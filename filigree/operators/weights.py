@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
-from .topology import placed_edges
+from .topology import placed_edges, population
 
 #: Bins between order statistics at n // 3 and 2n // 3 (fixed values); up to MANY edges: linear bins.
 THIRDS, LINEAR, MANY = (50, 30, 20), 100, 100
+#: Observed weights that a bin holds at most, and observations that mixed draws look at.
+MOST_VALUES, MOST_SEEN = 4096, 200_000
 
 
 def length_bins(lengths: DataFrame) -> DataFrame:
@@ -37,10 +39,11 @@ def assign_bins(lengths: DataFrame, bins: DataFrame) -> DataFrame:
 
 
 def fit(net: NetworkFrame) -> DataFrame:
-    """(graph_id, bin, lo, hi, weights, fallback): observed weights by length bin, and the mean for empty ones."""
+    """(graph_id, bin, lo, hi, weights, fallback): observed weights by length bin (MOST_VALUES of their quantiles
+    where there are more), and the mean for empty ones: 100 rows of bounded size."""
     e = placed_edges(net).select("graph_id", "length", net.weights().alias("weight"))
     bins = length_bins(e)
-    seen = assign_bins(e, bins).groupBy("graph_id", "bin").agg(F.array_sort(F.collect_list("weight")).alias("weights"))
+    seen = population(assign_bins(e, bins).select("graph_id", "bin", "weight"), "weight", "weights", MOST_VALUES, "bin")
     mean = e.groupBy("graph_id").agg(F.avg("weight").alias("fallback"))
     return bins.join(seen, ["graph_id", "bin"], "left").join(mean, "graph_id").withColumn("weights", F.coalesce("weights", F.array().cast("array<double>")))
 
@@ -54,27 +57,33 @@ def assign(net: NetworkFrame, model: DataFrame, seed: int = 0) -> NetworkFrame:
     m = model.select("bin", "lo", "weights", "fallback")
     begins = m.agg(F.array_sort(F.collect_list("lo")).alias("begins"))
     e = placed_edges(net).join(F.broadcast(begins)).withColumn("bin", F.greatest(F.lit(0), F.least(F.size(F.filter("begins", lambda x: x <= F.col("length"))) - 1, F.size("begins") - 1)))
-    e = e.join(F.broadcast(m.drop("lo")), "bin", "left")  # 100 rows
+    e = e.join(F.broadcast(m.drop("lo")), "bin", "left")  # 100 bounded rows
     u = uniform(F.lit(seed), "graph_id", "u", "v")
     w = F.when(F.size("weights") > 0, F.get("weights", F.floor(u * F.size("weights")).cast("int"))).otherwise(F.col("fallback"))
     return NetworkFrame(net.nodes, e.select("graph_id", "u", "v", w.alias("weight")), True)
 
 
 def assign_mixed(net: NetworkFrame, original: NetworkFrame, share: float = 0.3, k: int = 50, seed: int = 0) -> NetworkFrame:
-    """As ``assign``, but a share of edges draws from the k nearest observations to (length, 0), by 1 / (distance + 1e-8)."""
+    """As ``assign``, but a share of edges draws from the k nearest observations to (length, 0), by 1 / (distance + 1e-8).
+
+    Of more than MOST_SEEN observations those with the smallest hashes are looked at.
+    """
     plain = assign(net, fit(original), seed)
-    seen = placed_edges(original).select("length", original.weights().alias("weight")).orderBy("length", "weight").toPandas()
+    seen = placed_edges(original).select("graph_id", "u", "v", "length", original.weights().alias("weight"))
+    seen = seen.orderBy(F.xxhash64("graph_id", "u", "v")).limit(MOST_SEEN).select("length", "weight").toPandas().sort_values(["length", "weight"])
     x, y = seen.length.to_numpy(), seen.weight.to_numpy()
+    rows = max(1, (1 << 22) // max(1, len(x)))
 
     @F.pandas_udf("double")
     def near(length: pd.Series, u: pd.Series) -> pd.Series:
-        out = []
-        for l, r in zip(length, u):
-            d = np.hypot(x - l, y)
-            i = np.argsort(d, kind="stable")[:k]
-            c = np.cumsum(1 / (d[i] + 1e-8))
-            out.append(y[i][min(len(i) - 1, int(np.searchsorted(c, r * c[-1], "right")))])
-        return pd.Series(out, dtype="float64")
+        out = np.empty(len(length))
+        for at in range(0, len(length), rows):
+            d = np.hypot(x - length.to_numpy()[at : at + rows, None], y)
+            i = np.argsort(d, axis=1, kind="stable")[:, :k]
+            c = np.cumsum(1 / (np.take_along_axis(d, i, 1) + 1e-8), axis=1)
+            pick = (c <= u.to_numpy()[at : at + rows, None] * c[:, -1:]).sum(1)
+            out[at : at + rows] = y[i[np.arange(len(i)), np.minimum(pick, i.shape[1] - 1)]]
+        return pd.Series(out)
 
     e = plain.edges.join(placed_edges(net).select("graph_id", "u", "v", "length"), ["graph_id", "u", "v"])
     chosen = uniform(F.lit(seed), F.lit("mix"), "graph_id", "u", "v") < share

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
+from ..session import cut
 
 #: Vectors a block of the neighbour search holds.
 BLOCK = 512
@@ -55,7 +56,8 @@ def knn(spark: SparkSession, sf_dir: str, k: int = 4) -> NetworkFrame:
     e = table(spark, sf_dir, "embeddings")
     v = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     blocks = max(1, -(-e.count() // BLOCK))
-    pairs = nearest_vectors(v, k, blocks).select(F.lit("knn").alias("graph_id"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # Written once: a measure reads its network several times, and the search is the dear part.
+    pairs = cut(nearest_vectors(v, k, blocks).select(F.lit("knn").alias("graph_id"), F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "knn")
     nodes = e.select(F.lit("knn").alias("graph_id"), F.col("vec_id").alias("node_id"), F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
     return NetworkFrame(nodes, pairs.withColumn("weight", F.lit(None).cast("double")))
 
@@ -83,6 +85,7 @@ def trade(spark: SparkSession, sf_dir: str) -> NetworkFrame:
     w = line.join(orders, "l_orderkey").where("a <> b").groupBy(F.least("a", "b").cast("long").alias("u"), F.greatest("a", "b").cast("long").alias("v")).agg(F.sum("k").cast("double").alias("weight"))
     mean = w.agg(F.avg("weight").alias("mean"))
     e = w.join(F.broadcast(mean)).where("weight >= mean")  # one row
+    e = cut(e.select("u", "v", "weight"), "trade")
     nodes = t("nation").select(F.lit("trade").alias("graph_id"), F.col("n_nationkey").cast("long").alias("node_id"), (F.col("n_nationkey") % 5).cast("double").alias("x"), F.floor(F.col("n_nationkey") / 5).cast("double").alias("y"))
     return NetworkFrame(nodes, e.select(F.lit("trade").alias("graph_id"), "u", "v", "weight"), True)
 

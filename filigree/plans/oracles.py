@@ -40,8 +40,7 @@ cl AS (SELECT d.id, CASE WHEN any_value(d.deg) > 1 THEN 2.0 * count(corner.id) /
 met AS (SELECT (SELECT count(*) FROM n) AS node_count, 2.0 * (SELECT count(*) FROM e) / (SELECT count(*) FROM n) AS avg_degree, (SELECT avg(c) FROM cl) AS avg_clustering, (SELECT avg(len) FROM pl) AS avg_length, (SELECT avg(gap) FROM gaps) AS avg_angle)"""
 #: Hop distances, ball histograms on the grid of all radii.
 HOPS = """,
-bfs(src, dst, d) AS (SELECT id, id, 0 FROM n UNION SELECT b.src, s.v, b.d + 1 FROM bfs b JOIN s ON b.dst = s.u WHERE b.d < 14),
-hop AS MATERIALIZED (SELECT src, dst, min(d) AS d FROM bfs GROUP BY 1, 2),
+hop(src, dst, d) USING KEY (src, dst) AS (SELECT id, id, 0 FROM n UNION SELECT h.src, s.v, min(h.d) + 1 FROM hop h JOIN s ON h.dst = s.u WHERE NOT EXISTS (SELECT 1 FROM recurring.hop r WHERE r.src = h.src AND r.dst = s.v) GROUP BY 1, 2),
 ball AS (SELECT src, d AS r, count(*) AS cnt FROM hop WHERE d > 0 GROUP BY 1, 2),
 grid AS (SELECT a.src, b.r FROM (SELECT DISTINCT src FROM ball) a, (SELECT DISTINCT r FROM ball) b),
 mass AS MATERIALIZED (SELECT g.src, g.r, 1 + sum(coalesce(b.cnt, 0)) OVER (PARTITION BY g.src ORDER BY g.r) AS mass FROM grid g LEFT JOIN ball b ON b.src = g.src AND b.r = g.r),

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
+import json
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
@@ -17,79 +16,129 @@ from ..operators import multifractal as M
 from ..operators import ranking as R
 from ..operators import topology as T
 from ..operators import weights as W
+from ..operators.components import largest_component, trim
 from ..session import cut
 
-GROWN = "trial string, candidate_id long, attempt int, node_factor double, edge_factor double, nodes array<struct<node_id:long,x:double,y:double>>, edges array<struct<u:long,v:long>>, tries int, merged int, aborted int"
+#: ``rng`` is the state of the candidate's random stream behind this attempt.
+GROWN = "trial string, candidate_id long, attempt int, node_factor double, edge_factor double, nodes array<struct<node_id:long,x:double,y:double>>, edges array<struct<u:long,v:long,weight:double>>, tries int, merged int, aborted int, rng string, reached boolean"
+WANTED = ("trial", "candidate_id", "node_factor", "edge_factor", "rng")
 
 
 def _row(net: Gr.Network) -> tuple[list[dict], list[dict]]:
     xy, edges = net
-    return [{"node_id": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(xy)], [{"u": int(a), "v": int(b)} for a, b in edges]
+    return [{"node_id": i, "x": float(x), "y": float(y)} for i, (x, y) in enumerate(xy)], [{"u": int(a), "v": int(b), "weight": None} for a, b in edges]
 
 
-def grow(spark: SparkSession, sample: Gr.Sample, params: Gr.Params, count: int, wanted: DataFrame | None = None, attempt: int = 0) -> DataFrame:
+def stream_of(seed: int | None, worker: int, state: str | None) -> np.random.Generator:
+    """Worker i's stream is that of seed + i; a state goes on where an attempt left off."""
+    rng = np.random.default_rng(None if seed is None else seed + worker)
+    if state:
+        rng.bit_generator.state = json.loads(state)
+    return rng
+
+
+def candidates(spark: SparkSession, params: Gr.Params, count: int, trial: str = "run") -> DataFrame:
+    """WANTED rows of candidates 0 .. count - 1."""
+    return spark.range(count).select(F.lit(trial).alias("trial"), F.col("id").alias("candidate_id"), F.lit(params.node_factor).alias("node_factor"), F.lit(params.edge_factor).alias("edge_factor"), F.lit(None).cast("string").alias("rng"))
+
+
+def grow(spark: SparkSession, sample: Gr.Sample, params: Gr.Params, count: int, wanted: DataFrame | None = None, attempt: int = 0, until: int = 0, every: int = 1) -> DataFrame:
     """GROWN rows, one a candidate, each in a task of its own.
 
-    wanted(trial, candidate_id, node_factor, edge_factor) names other candidates than 0 .. count - 1.
+    WANTED rows name other candidates than 0 .. count - 1. With ``until`` growth stops at the
+    first of every ``every`` rounds that has so many nodes, and ``reached`` says whether it did.
     """
-    if wanted is None:
-        wanted = spark.range(count).select(F.lit("run").alias("trial"), F.col("id").alias("candidate_id"), F.lit(params.node_factor).alias("node_factor"), F.lit(params.edge_factor).alias("edge_factor"))
+    wanted = candidates(spark, params, count) if wanted is None else wanted
 
     def run(batches):
         for batch in batches:
             rows = []
-            for trial, c, nf, ef in batch[["trial", "candidate_id", "node_factor", "edge_factor"]].itertuples(index=False):
+            for trial, c, nf, ef, state in batch[list(WANTED)].itertuples(index=False):
                 p = replace(params, node_factor=float(nf), edge_factor=float(ef))
-                rng = np.random.default_rng(None if p.seed is None else [p.seed + int(c), attempt])
-                net, stats = Gr.network(sample, p, int(c), rng=rng)
-                rows.append((trial, c, attempt, nf, ef, *_row(net), stats["tries"], stats["merged"], stats["aborted"]))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in ("trial", "candidate_id", "attempt", "node_factor", "edge_factor", "nodes", "edges", "tries", "merged", "aborted")])
+                rng = stream_of(p.seed, int(c), state)
+                if until:
+                    net, stats = Gr.early_network(sample, p, rng, until, every)
+                else:
+                    net, stats = Gr.network(sample, p, int(c), rng=rng)
+                rows.append((trial, c, attempt, nf, ef, *_row(net), stats["tries"], stats["merged"], stats["aborted"], json.dumps(rng.bit_generator.state), bool(stats.get("reached", False))))
+            yield pd.DataFrame(rows, columns=["trial", "candidate_id", "attempt", "node_factor", "edge_factor", "nodes", "edges", "tries", "merged", "aborted", "rng", "reached"])
 
     n = wanted.count()
-    dealt = wanted.select("trial", "candidate_id", "node_factor", "edge_factor").repartition(max(1, n), "trial", "candidate_id")
+    dealt = wanted.select(*WANTED).repartition(max(1, n), "trial", "candidate_id")
     return cut(dealt.mapInPandas(run, GROWN), "grown")
 
 
-def grown_frame(grown: DataFrame) -> NetworkFrame:
+def graph_id() -> Column:
+    return F.concat_ws("/", "trial", "candidate_id").alias("graph_id")
+
+
+def grown_frame(grown: DataFrame, weighted: bool = False) -> NetworkFrame:
     """Candidates as networks; graph_id is trial/candidate."""
-    gid = F.concat_ws("/", "trial", "candidate_id").alias("graph_id")
-    nodes = grown.select(gid, F.explode("nodes").alias("n")).select("graph_id", "n.*")
-    edges = grown.select(gid, F.explode("edges").alias("e")).select("graph_id", "e.*")
-    return NetworkFrame(nodes, edges.withColumn("weight", F.lit(None).cast("double")))
+    nodes = grown.select(graph_id(), F.explode("nodes").alias("n")).select("graph_id", "n.*")
+    edges = grown.select(graph_id(), F.explode("edges").alias("e")).select("graph_id", "e.*")
+    return NetworkFrame(nodes, edges, weighted)
 
 
-def accepted(spark: SparkSession, original: NetworkFrame, sample: Gr.Sample, params: Gr.Params, wanted: DataFrame, gate: str, tolerance: float, attempts: int = 10, trim_to: float | None = None, weigh: DataFrame | None = None) -> DataFrame:
-    """GROWN rows with ``error`` that pass the gate: waves of attempts over the candidates still failing.
+def finished(grown: DataFrame, sample: Gr.Sample, weigh: DataFrame | None, seed: int | None) -> NetworkFrame:
+    """Grown networks trimmed to the measured average degree, and weighted where there is a model."""
+    net = grown_frame(grown)
+    net = trim(net, net.nodes.select("graph_id").distinct().withColumn("target_degree", F.lit(float(sample.average_degree))))
+    if weigh is not None:
+        net = W.assign(net, weigh, seed or 0)
+    return kept(net)
 
-    A candidate whose attempts all fail is left out.
-    """
-    from ..operators.components import trim
 
-    out, left = None, wanted
+def with_networks(rows: DataFrame, net: NetworkFrame) -> DataFrame:
+    """GROWN-like rows (graph_id, ...) with the nodes and edges of net."""
+    nodes = net.nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "x", "y"))).alias("nodes"))
+    edges = net.edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("u", "v", "weight"))).alias("edges"))
+    none = F.array().cast("array<struct<u:bigint,v:bigint,weight:double>>")
+    out = rows.drop("nodes", "edges").join(nodes, "graph_id").join(edges, "graph_id", "left")
+    return out.withColumn("edges", F.coalesce("edges", none))
+
+
+def accepted(spark: SparkSession, original: NetworkFrame, sample: Gr.Sample, params: Gr.Params, wanted: DataFrame, gate: str, tolerance: float, attempts: int = 10, early: int = 0, every: int = 1) -> DataFrame:
+    """GROWN rows with ``error`` whose networks, trimmed and weighted, pass the gate: waves of attempts over
+    the candidates still failing, each going on in its own random stream.
+
+    With ``early`` a candidate is judged once when it has that many nodes (looked at every ``every``
+    rounds) and given up for this attempt if it fails then.  A candidate whose attempts all fail is left out.
+    """
+    weigh = cut(W.fit(original), "mapper") if original.weighted else None
+    out, left = None, wanted if "rng" in wanted.columns else wanted.withColumn("rng", F.lit(None).cast("string"))
+    key = ["trial", "candidate_id"]
     for attempt in range(attempts):
-        grown = grow(spark, sample, params, 0, left, attempt)
-        net = grown_frame(grown)
-        if trim_to is not None:
-            net = trim(net, net.nodes.select("graph_id").distinct().withColumn("target_degree", F.lit(trim_to)))
-        if weigh is not None:
-            net = W.assign(net, weigh, params.seed or 0)
-        judged = R.checked(net, original, gate, tolerance)
-        got = cut(grown.join(judged, F.concat_ws("/", "trial", "candidate_id") == F.col("graph_id")).where("passed").drop("graph_id", "passed"), "passed")
+        pool, given_up = left, None
+        if early:
+            begun = grow(spark, sample, params, 0, left, attempt, early, every)
+            judged = R.checked(finished(begun.where("reached"), sample, weigh, params.seed), original, gate, tolerance)
+            bad = cut(begun.select(*key, "rng", graph_id()).join(judged.where("not passed"), "graph_id").select(*key, "rng"), "given-up")
+            pool = left.join(bad, key, "left_anti")
+            given_up = left.drop("rng").join(bad, key)
+        grown = grow(spark, sample, params, 0, pool, attempt)
+        net = finished(grown, sample, weigh, params.seed)
+        judged = R.checked(net, original, gate, tolerance).where("passed").select("graph_id", "error")
+        got = cut(with_networks(grown.withColumn("graph_id", graph_id()).join(judged, "graph_id"), net).drop("graph_id"), "passed")
         out = got if out is None else out.unionByName(got)
-        left = cut(left.join(got.select("trial", "candidate_id"), ["trial", "candidate_id"], "left_anti"), "failing")
+        failed = grown.join(got.select(*key), key, "left_anti").select(*WANTED)
+        left = cut(failed if given_up is None else failed.unionByName(given_up.select(*WANTED)), "failing")
         if left.isEmpty():
             break
     return out
 
 
+def kept(net: NetworkFrame) -> NetworkFrame:
+    """net written once, so that what is measured on it many times is derived once."""
+    return NetworkFrame(cut(net.nodes, "nodes"), cut(net.edges, "edges"), net.weighted)
+
+
 def sample_of(net: NetworkFrame) -> Gr.Sample:
-    return Gr.Sample.of_row(T.attributes(net).first())
+    return Gr.Sample.of_row(T.attributes(net, Gr.MOST_VALUES).first())
 
 
 def generate(spark: SparkSession, original: NetworkFrame, params: Gr.Params, count: int, gate: str = "multifractal", tolerance: float = 0.15, attempts: int = 10) -> tuple[DataFrame, DataFrame]:
     """(accepted candidates, one row with the robust mean error)."""
-    wanted = spark.range(count).select(F.lit("run").alias("trial"), F.col("id").alias("candidate_id"), F.lit(params.node_factor).alias("node_factor"), F.lit(params.edge_factor).alias("edge_factor"))
-    got = accepted(spark, original, sample_of(original), params, wanted, gate, tolerance, attempts)
+    got = accepted(spark, original, sample_of(original), params, candidates(spark, params, count), gate, tolerance, attempts)
     return got, R.robust_mean(got, "trial")
 
 
@@ -101,15 +150,35 @@ def generate_select(spark: SparkSession, original: NetworkFrame, params: Gr.Para
 
 
 def sweep(spark: SparkSession, original: NetworkFrame, params: Gr.Params, low: float, high: float, step: float, count: int, gate: str = "multifractal", tolerance: float = 0.15, attempts: int = 1) -> DataFrame:
+    """As ``sweep_grid`` with one range for both factors."""
+    return sweep_grid(spark, original, params, (low, high), (low, high), step, count, gate, tolerance, attempts)
+
+
+def sweep_grid(spark: SparkSession, original: NetworkFrame, params: Gr.Params, node_range: tuple[float, float], edge_range: tuple[float, float], step: float, count: int, gate: str = "multifractal", tolerance: float = 0.15, attempts: int = 1) -> DataFrame:
     """(node_factor, edge_factor, error, success_rate) of every factor pair, all trials in one job."""
-    grid = R.factor_grid(spark.range(1), low, high, step).withColumn("trial", F.concat_ws("_", "node_factor", "edge_factor"))
-    wanted = grid.withColumn("candidate_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    grid = R.factor_grid(spark.range(1), *node_range, step, edge_range).withColumn("trial", F.concat_ws("_", "node_factor", "edge_factor"))
+    wanted = grid.withColumn("candidate_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).withColumn("rng", F.lit(None).cast("string"))
     got = accepted(spark, original, sample_of(original), params, wanted, gate, tolerance, attempts)
     rate = got.groupBy("trial").agg((F.count("*") / count).alias("success_rate"))
     out = grid.join(R.robust_mean(got, "trial"), "trial", "left").join(rate, "trial", "left")
     return out.select("node_factor", "edge_factor", F.coalesce("error", F.lit(float("inf"))).alias("error"), F.coalesce("success_rate", F.lit(0.0)).alias("success_rate")).orderBy("node_factor", "edge_factor")
 
 
+def grow_snapshots(spark: SparkSession, sample: Gr.Sample, params: Gr.Params, every: int, most_rounds: int = 100_000) -> DataFrame:
+    """(snapshot_ix, round, nodes, edges) of one network while it grows, in one task; the last row is the grown network."""
+
+    def run(batches):
+        for _ in batches:
+            want, rows = set(Gr.snapshot_rounds(every, most_rounds)), []
+            look = lambda k, plane: rows.append((k, *_row(Gr.largest(*Gr.arrays(plane))))) if k in want else None
+            net, _ = Gr.network(sample, params, on_round=look)
+            rows.append((rows[-1][0] + 1 if rows else 1, *_row(net)))
+            yield pd.DataFrame([(i, *r) for i, r in enumerate(rows)], columns=["snapshot_ix", "round", "nodes", "edges"])
+
+    schema = "snapshot_ix int, round int, nodes array<struct<node_id:long,x:double,y:double>>, edges array<struct<u:long,v:long,weight:double>>"
+    return cut(spark.range(1).coalesce(1).mapInPandas(run, schema), "snapshots")
+
+
 def snapshots(sample: Gr.Sample, params: Gr.Params, rounds: list[int]) -> list[tuple[int, Gr.Network]]:
     """The network after each of the rounds while it grows."""
     out: list[tuple[int, Gr.Network]] = []
@@ -128,54 +197,87 @@ def tile_frames(spark: SparkSession, centres: np.ndarray, how: str, params: Gr.P
     return c.join(near.select(F.col("node_id").alias("tile_ix"), side.alias("width"), side.alias("height")), "tile_ix")
 
 
-def grow_tiles(frames: DataFrame, sample: Gr.Sample, params: Gr.Params, least_nodes: int, attempts: int, error: Callable[[Gr.Network], float] | None = None, tolerance: float = float("inf")) -> DataFrame:
-    """One row a tile: the first within tolerance, else the best; under least_nodes: none."""
-    schema = "tile_ix long, cx double, cy double, error double, xy array<array<double>>, edges array<array<long>>, frontier array<struct<x:double,y:double,degree:int,base:double,clockwise:boolean,parent:int>>"
+TILES = "tile_ix long, cx double, cy double, attempt int, rng string, xy array<array<double>>, edges array<array<long>>, frontier array<struct<x:double,y:double,degree:int,base:double,clockwise:boolean,parent:int>>"
+
+
+def grow_tiles(frames: DataFrame, sample: Gr.Sample, params: Gr.Params, least_nodes: int, attempts: int, original: NetworkFrame | None = None, gate: str = "none", tolerance: float = float("inf")) -> DataFrame:
+    """TILES rows with ``error``, one a tile: the first attempt that passes the gate, else the one of least error;
+    attempts under ``least_nodes`` don't count, and a tile without any is left out."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
-                rng = np.random.default_rng(None if params.seed is None else params.seed + int(r.tile_ix))
-                best = None
-                for _ in range(max(1, attempts)):
-                    t = Gr.tile(sample, replace(params, width=r.width, height=r.height), int(r.tile_ix), rng)
-                    if len(t.xy) < least_nodes:
-                        continue
-                    e = error((t.xy, t.edges)) if error else 0.0
-                    if best is None or e < best[0]:
-                        best = (e, t)
-                    if e <= tolerance:
-                        break
-                if best:
-                    e, t = best
-                    front = [dict(zip(("x", "y", "degree", "base", "clockwise", "parent"), f)) for f in t.frontier]
-                    rows.append((r.tile_ix, r.cx, r.cy, e, t.xy.tolist(), t.edges.tolist(), front))
-            yield pd.DataFrame(rows, columns=["tile_ix", "cx", "cy", "error", "xy", "edges", "frontier"])
-
-    n = max(1, frames.count())
-    return cut(frames.repartition(n, "tile_ix").mapInPandas(run, schema), "tiles")
-
-
-def hybrid(spark: SparkSession, sample: Gr.Sample, params: Gr.Params, scale: tuple[float, float], most_centres: int, spacing: float, most_rounds: int, least_nodes: int = 30, attempts: int = 3) -> tuple[NetworkFrame, int]:
-    """Tiles grown apart on all executors, then stitched in order of tile on one plane.
-
-    Stitching is sequential by nature; its size is the board's, which the caller sets.
+                rng = stream_of(params.seed, int(r.tile_ix), r.rng)
+                t = Gr.tile(sample, replace(params, width=r.width, height=r.height), int(r.tile_ix), rng)
+                front = [dict(zip(("x", "y", "degree", "base", "clockwise", "parent"), f)) for f in t.frontier]
+                rows.append((r.tile_ix, r.cx, r.cy, int(r.attempt), json.dumps(rng.bit_generator.state), t.xy.tolist(), t.edges.tolist(), front))
+            yield pd.DataFrame(rows, columns=["tile_ix", "cx", "cy", "attempt", "rng", "xy", "edges", "frontier"])
+
+    left, out = frames.withColumn("rng", F.lit(None).cast("string")), None
+    weigh = cut(W.fit(original), "mapper") if original is not None and original.weighted else None
+    for attempt in range(max(1, attempts)):
+        todo = left.withColumn("attempt", F.lit(attempt))
+        tiles = cut(todo.repartition(max(1, todo.count()), "tile_ix").mapInPandas(run, TILES), "tiles")
+        fit = tiles.where(F.size("xy") >= least_nodes)
+        if gate == "none" or original is None:
+            judged = fit.select("tile_ix", F.lit(0.0).alias("error"), F.lit(True).alias("passed"))
+        else:
+            point = lambda n: F.struct(n[0].alias("x"), n[1].alias("y"))
+            nodes = F.transform("xy", lambda n, i: F.struct(i.cast("long").alias("node_id"), point(n).x.alias("x"), point(n).y.alias("y")))
+            edges = F.transform("edges", lambda e: F.struct(e[0].alias("u"), e[1].alias("v"), F.lit(None).cast("double").alias("weight")))
+            rows = fit.select(F.lit("tile").alias("trial"), F.col("tile_ix").alias("candidate_id"), nodes.alias("nodes"), edges.alias("edges"))
+            judged = R.checked(finished(rows, sample, weigh, params.seed), original, gate, tolerance)
+            judged = judged.select(F.substring_index("graph_id", "/", -1).cast("long").alias("tile_ix"), "error", "passed")
+        kept = cut(fit.join(judged, "tile_ix"), "judged")
+        out = kept if out is None else out.unionByName(kept)
+        left = cut(todo.drop("rng", "attempt").join(kept.where("passed"), "tile_ix", "left_anti").join(tiles.select("tile_ix", "rng"), "tile_ix"), "left")
+        if left.isEmpty():
+            break
+    best = out.groupBy("tile_ix").agg(F.min(F.struct(~F.col("passed"), "error", "attempt")).alias("b")).select("tile_ix", F.col("b.attempt").alias("attempt"))
+    return out.join(best, ["tile_ix", "attempt"])
+
+
+def hybrid(
+    spark: SparkSession, sample: Gr.Sample, params: Gr.Params, scale: tuple[float, float], most_centres: int, spacing: float, most_rounds: int, least_nodes: int = 30, attempts: int = 3,
+    tile: str = "fixed", factor: float = 1.0, floor: float = 0.0, original: NetworkFrame | None = None, gate: str = "none", tolerance: float = 0.15,
+    frame: tuple[float, float] | None = None,
+) -> tuple[NetworkFrame, int]:
+    """Tiles grown apart on all executors, then stitched in order of tile on one plane, trimmed and weighted.
+
+    The board is ``scale`` frames wide and high (``frame``, else the tiles' own size).
+    Stitching is sequential by nature and is one task's work; its size is the
+    board's, which the caller sets.
     """
-    board = replace(params, width=params.width * scale[0], height=params.height * scale[1])
+    wide, high = frame or (params.width, params.height)
+    board = replace(params, width=wide * scale[0], height=high * scale[1])
     rng = params.rng()
-    c = Gr.centres(board.width, board.height, spacing * max(params.width, params.height), most_centres, rng) - np.array([board.width / 2, board.height / 2])
-    tiles = grow_tiles(tile_frames(spark, c, "fixed", params), sample, params, least_nodes, attempts)
-    placed = [
-        (r["cx"], r["cy"], Gr.Tile(np.array(r["xy"], float).reshape(-1, 2), np.array(r["edges"], int).reshape(-1, 2), [tuple(f) for f in r["frontier"]]))
-        for r in tiles.orderBy("tile_ix").toLocalIterator()
-    ]
-    padded = replace(board, width=board.width + params.width, height=board.height + params.height)
-    net, rounds = Gr.stitch(sample, padded, placed, most_rounds)
-    xy, edges = Gr.cropped(*net, board.width, board.height) if len(net[0]) else net
-    nodes = spark.createDataFrame([("hybrid", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "graph_id string, node_id long, x double, y double")
-    e = spark.createDataFrame([("hybrid", int(a), int(b), None) for a, b in edges], "graph_id string, u long, v long, weight double")
-    return NetworkFrame(nodes, e), rounds
+    c = Gr.centres(board.width, board.height, spacing * max(wide, high), most_centres, rng) - np.array([board.width / 2, board.height / 2])
+    tiles = grow_tiles(tile_frames(spark, c, tile, params, factor, floor), sample, params, least_nodes, attempts, original, gate, tolerance)
+    # The board is padded by one frame on each side.
+    padded = replace(board, width=board.width + 2 * wide, height=board.height + 2 * high)
+
+    def stitched(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        placed = [
+            (r.cx, r.cy, Gr.Tile(np.array([list(p) for p in r.xy], float).reshape(-1, 2), np.array([list(e) for e in r.edges], int).reshape(-1, 2), [(f["x"], f["y"], f["degree"], f["base"], f["clockwise"], f["parent"]) for f in r.frontier]))
+            for r in rows.sort_values("tile_ix").itertuples(index=False)
+        ]
+        net, rounds = Gr.stitch(sample, padded, placed, most_rounds)
+        xy, edges = Gr.cropped(*net, board.width, board.height) if len(net[0]) else net
+        nodes = pd.DataFrame({"kind": 0, "a": np.arange(len(xy)), "b": 0, "x": xy[:, 0], "y": xy[:, 1]})
+        links = pd.DataFrame({"kind": 1, "a": edges[:, 0].astype(np.int64), "b": edges[:, 1].astype(np.int64), "x": 0.0, "y": 0.0})
+        return pd.concat([nodes, links, pd.DataFrame({"kind": [2], "a": [rounds], "b": [0], "x": [0.0], "y": [0.0]})])
+
+    made = cut(tiles.groupBy(F.lit(0).alias("board")).applyInPandas(stitched, "kind int, a long, b long, x double, y double"), "stitched")
+    if made.isEmpty():
+        raise ValueError("every seed tile failed")
+    gid = F.lit("hybrid").alias("graph_id")
+    nodes = made.where("kind = 0").select(gid, F.col("a").alias("node_id"), "x", "y")
+    net = NetworkFrame(nodes, made.where("kind = 1").select(gid, F.col("a").alias("u"), F.col("b").alias("v"), F.lit(None).cast("double").alias("weight")))
+    net = largest_component(trim(net, spark.createDataFrame([("hybrid", float(sample.average_degree))], "graph_id string, target_degree double")), renumber=True)
+    if original is not None and original.weighted:
+        net = W.assign(net, cut(W.fit(original), "mapper"), params.seed or 0)
+    return net, int(made.where("kind = 2").first()["a"])
 
 
 def expected_nodes(count: int, frame: tuple[float, float], board: tuple[float, float], pad: tuple[float, float]) -> int:
@@ -202,11 +304,11 @@ def spectra_table(reports: DataFrame) -> DataFrame:
     return reports.select("label", "graph_id", F.posexplode(z).alias("ix", "p")).select("label", "graph_id", "ix", "p.*")
 
 
-def dpi(pixels: int, raster: bool = False) -> int:
-    """Resolution tier of a figure by its node count (fixed values)."""
-    tiers = (150, 300, 600, 900, 1200, 1800)
-    k = min(len(tiers) - 1, max(0, int(math.log10(max(1, pixels))) - 2))
-    return tiers[k] + (300 if raster else 0)
+#: Resolution of a figure up to so many nodes, beyond them, and what a raster picture adds (fixed values).
+DPI_TIERS, MOST_DPI, RASTER_DPI = ((10_000, 150), (100_000, 300), (1_000_000, 600), (10_000_000, 900), (20_000_000, 1200)), 1800, 300
+
 
+def dpi(nodes: int, raster: bool = False) -> int:
+    """Resolution tier of a figure by its node count."""
+    return next((d for most, d in DPI_TIERS if nodes < most), MOST_DPI) + (RASTER_DPI if raster else 0)
 
-RUNS: dict[str, Callable] = {"generate": generate, "hybrid": hybrid, "sweep": sweep, "compare": compare}

@@ -9,12 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors see; an own folder only where it is unset."""
+    """A folder of this application under spark.checkpoint.dir, which all executors see.
+
+    Where that is unset, a local session has a temporary folder; a cluster is refused,
+    as its executors don't share one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.filigree.shared", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="filigree-")
         spark.conf.set("spark.filigree.shared", found)
-    return found
+    return f"{found.rstrip('/')}/filigree-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all steps that this application has written; results still to be read from them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import time
 from datetime import UTC, datetime
 
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from ..frame import NetworkFrame
 
 MANIFEST_VERSION = 1
+#: Shares under this are shown as less than 0.1 % (fixed value).
+LEAST_SHOWN = 0.0005
 
 
 def write_pair(net: NetworkFrame, prefix: str) -> None:
@@ -75,38 +78,89 @@ def link_latest(base: str, root: str) -> None:
     os.symlink(os.path.basename(root), link)
 
 
+#: Kinds of output files by the lower-cased path inside the run, the first that fits (fixed values).
+KINDS = (
+    ("edge_lists", r"_edgelist\.csv$"),
+    ("snapshots", r"(^|/)snapshots(/|$)"),
+    ("positions", r"_positions\.(csv|npy)$"),
+    ("analysis", r"analysis"),
+    ("previews", r"\.(webp|png|svg|jpg|jpeg|tif|tiff)$"),
+    ("networks", r"\.(graphml|graphml\.gz|graphmlz)$"),
+)
+OTHER = "other"
+STATUS_OK, STATUS_FAILED, STATUS_CANCELLED = "ok", "failed", "cancelled"
+MANIFEST_NAME = "manifest.json"
+
+
 def classify(path: Column) -> Column:
-    """Kind of an output file; the first rule that fits."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return (
-        F.when(name.contains("edgelist"), "edgelist")
-        .when(path.contains("snapshot"), "snapshots")
-        .when(name.contains("positions"), "positions")
-        .when(name.endswith(".json") | name.contains("analysis") | name.contains("report"), "analysis")
-        .when(name.rlike(r"\.(png|svg|webp|tif|tiff|jpg)$"), "image")
-        .when(name.rlike(r"\.(graphml|graphml\.gz|graphmlz)$"), "network")
-        .otherwise("other")
-    )
-
-
-def manifest(paths: DataFrame, root: str, status: str = "ok", error: str | None = None) -> DataFrame:
+    """Kind of an output file by its path inside the run; the first rule that fits."""
+    low = F.lower(path)
+    out = F.lit(OTHER)
+    for kind, pattern in reversed(KINDS):
+        out = F.when(low.rlike(pattern), kind).otherwise(out)
+    return out
+
+
+def manifest(paths: DataFrame, root: str, status: str = STATUS_OK, error: str | None = None) -> DataFrame:
     """paths(path) -> one row: version, status, root, outputs by kind (sorted), count, error; without the manifest itself."""
-    p = paths.where(~F.col("path").endswith("manifest.json")).select(F.regexp_replace("path", f"^.*{root}/", "").alias("path"))
+    inside = F.when(F.startswith("path", F.lit(f"{root}/")), F.substr("path", F.lit(len(root) + 2))).otherwise(F.col("path"))
+    p = paths.where(F.element_at(F.split("path", "/"), -1) != MANIFEST_NAME).select(inside.alias("path"))
     kinds = p.groupBy(classify(F.col("path")).alias("kind")).agg(F.array_sort(F.collect_list("path")).alias("files"))
     out = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "files")))).alias("outputs"), F.coalesce(F.sum(F.size("files")), F.lit(0)).cast("int").alias("file_count"))
     return out.select(F.lit(MANIFEST_VERSION).alias("manifest_version"), F.lit(status).alias("status"), F.lit(root).alias("run_root"), "outputs", "file_count", F.lit(error).cast("string").alias("error"))
 
 
-def write_manifest(spark: SparkSession, root: str, status: str = "ok", error: str | None = None) -> dict:
-    """Lists a local run folder and writes its manifest.json, whatever the status."""
-    files = sorted(os.path.join(d, f) for d, _, names in os.walk(root) for f in names)
-    df = manifest(spark.createDataFrame([(f,) for f in files], "path string"), root, status, error)
-    row = df.first().asDict(recursive=True)
-    with open(os.path.join(root, "manifest.json"), "w") as out:
-        json.dump(row, out, sort_keys=True, indent=1)
+def listed(spark: SparkSession, root: str) -> list[str]:
+    """All files under a folder of any store that Spark's file systems reach, as paths inside it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(path).toString().rstrip("/")
+    out, files = [], fs.listFiles(path, True)
+    while files.hasNext():
+        out.append(files.next().getPath().toString()[len(base) + 1 :])
+    return sorted(out)
+
+
+def outputs(spark: SparkSession, root: str) -> list[str]:
+    """``listed`` without markers and hidden files; a table is a folder of parts and counts as the one file that it stands for."""
+    names = (f for f in listed(spark, root) if "/_" not in f"/{f}" and not f.rpartition("/")[2].startswith("."))
+    return sorted({re.sub(r"/part-[^/]*$", "", f) for f in names})
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, in any store."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    _put(spark, path, text)
+
+
+def write_manifest(spark: SparkSession, root: str, status: str = STATUS_OK, error: str | None = None, metrics: dict | None = None) -> dict:
+    """Lists a run folder and writes its manifest.json, whatever the status; ``error`` and ``metrics`` stand in it only where given."""
+    row = manifest(spark.createDataFrame([(f,) for f in outputs(spark, root)], "path string"), root, status, error).first().asDict(recursive=True)
+    if not error:
+        del row["error"]
+    if metrics:
+        row["metrics"] = metrics
+    _put(spark, f"{root}/{MANIFEST_NAME}", json.dumps(row, sort_keys=True, indent=2))
     return row
 
 
+def read_manifest(spark: SparkSession, root: str) -> dict:
+    return json.loads(spark.read.text(f"{root}/{MANIFEST_NAME}", wholetext=True).first()[0])
+
+
+def log_line(run_id: str, message: str, level: str = "INFO", logger: str = "filigree", now: datetime | None = None, **extra) -> str:
+    """One JSON object and a line end; tag, dataset, percent and exception stand at the top level."""
+    row = {"ts": (now or datetime.now(UTC)).isoformat(), "run_id": run_id, "level": level, "logger": logger, "message": message}
+    row |= {k: v for k, v in extra.items() if k in ("tag", "dataset", "percent", "exception") and v is not None}
+    return json.dumps(row) + "\n"
+
+
 class RunLog:
     """One JSON object a line; tag, dataset and percent stand at the top level."""
 
@@ -114,10 +168,22 @@ class RunLog:
         self.path, self.run_id = path, run_id
 
     def write(self, message: str, level: str = "INFO", logger: str = "filigree", **extra) -> None:
-        row = {"ts": datetime.now(UTC).isoformat(), "run_id": self.run_id, "level": level, "logger": logger, "message": message}
-        row |= {k: v for k, v in extra.items() if k in ("tag", "dataset", "percent", "exception") and v is not None}
         with open(self.path, "a") as out:
-            out.write(json.dumps(row) + "\n")
+            out.write(log_line(self.run_id, message, level, logger, **extra))
+
+
+def export_order(paths: DataFrame) -> DataFrame:
+    """paths(path) with ``generation``, the number in ``_n<number>_``, in its order; paths without one last."""
+    n = F.regexp_extract("path", r"_n(\d+)_", 1)
+    return paths.withColumn("generation", F.when(n != "", n.cast("long"))).orderBy(F.col("generation").asc_nulls_last(), "path")
+
+
+def preview(shares: DataFrame) -> DataFrame:
+    """(graph_id, degree, share) of a degree distribution -> label in percent and bar length over the largest share."""
+    top = shares.groupBy("graph_id").agg(F.max("share").alias("top"))
+    bar = F.when(F.col("top") > 0, F.col("share") / F.col("top")).otherwise(0.0)
+    label = F.when((F.col("share") > 0) & (F.col("share") < LEAST_SHOWN), "<0.1%").otherwise(F.format_string("%.1f%%", 100 * F.col("share")))
+    return shares.join(top, "graph_id").select("graph_id", "degree", label.alias("label"), bar.alias("bar"))
 
 
 def report_lines(counts: DataFrame, attributes: DataFrame) -> DataFrame:

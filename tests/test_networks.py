@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -321,3 +322,39 @@ def test_weight_bins(spark, n):
     bins = {(x.u, x.v): x.bin for x in W.assign_bins(T.placed_edges(c).select("graph_id", "u", "v", "length"), W.length_bins(T.placed_edges(c).select("graph_id", "length"))).collect()}
     assert all(x.weight in seen[bins[x.u, x.v]] for x in drawn.edges.collect())
     assert W.assign_mixed(c.make_unweighted(), c, seed=3).edges.where("weight is null").isEmpty()
+
+
+@pytest.mark.parametrize("local", [0, 1, 2_000_000])
+def test_components_by_tasks_and_by_joins_agree(spark, monkeypatch, local):
+    import random
+
+    monkeypatch.setattr(C, "LOCAL_EDGES", local)
+    r = random.Random(3)
+    edges = [(r.randrange(120), r.randrange(120)) for _ in range(70)] + [(i, i + 1) for i in range(120, 150)]
+    n = net(spark, 160, edges)
+    want = {i: i for i in range(160)}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            low = min(want[a], want[b])
+            moved |= want[a] != low or want[b] != low
+            want[a] = want[b] = low
+    assert {x.node_id: x.label for x in C.components(n).collect()} == want
+
+
+def test_chunks_of_sources_fold(spark):
+    n = chain(spark, 9)
+    whole = {x.node_id: x.betweenness for x in P.betweenness(n).collect()}
+    work = lambda g, graph, sources: pd.DataFrame({"graph_id": g, "node_id": graph.ids[sources], "n": graph.n})
+    got = P.on_sources(n, work, "graph_id string, node_id long, n long", chunk=2, most=2).collect()
+    assert sorted(x.node_id for x in got) == list(range(9)) and {x.n for x in got} == {9}
+    assert whole[4] == pytest.approx(16 / 28) and whole[0] == 0
+
+
+def test_populations_are_bounded(spark):
+    df = spark.range(10_000).select(F.lit("g").alias("graph_id"), F.lit(2).alias("degree"), F.col("id").cast("double").alias("length"))
+    [few] = T.population(df.where("length < 50"), "length", "lengths", 64).collect()
+    [many] = T.population(df, "length", "lengths", 64).collect()
+    assert few.lengths == [float(i) for i in range(50)] and len(many.lengths) == 64
+    assert all(abs(x - (i + 0.5) * 10_000 / 64) < 40 for i, x in enumerate(many.lengths))

@@ -13,7 +13,7 @@ from filigree.frame import NetworkFrame
 from filigree.operators import components as C
 from filigree.operators import growth as Gr
 from filigree.operators import topology as T
-from filigree.plans import networks, oracles, pipelines, queries
+from filigree.plans import networks, oracles, pipelines, queries, runs
 from filigree.sources import sinks, spec, tables
 from filigree.streaming import progress
 
@@ -107,8 +107,10 @@ def test_manifest_and_log(spark, tmp_path):
     for name in ("a_edgelist.csv", "a_positions.csv", "report.csv", "notes.txt"):
         put(tmp_path, name, "x")
     row = sinks.write_manifest(spark, str(tmp_path), "failed", "why")
-    assert row["file_count"] == 4 and row["outputs"]["edgelist"] == ["a_edgelist.csv"] and row["error"] == "why"
-    assert json.load(open(tmp_path / "manifest.json"))["status"] == "failed"
+    assert row["file_count"] == 4 and row["outputs"]["edge_lists"] == ["a_edgelist.csv"] and row["error"] == "why"
+    assert json.load(open(tmp_path / "manifest.json")) == row and row["status"] == "failed"
+    fine = sinks.write_manifest(spark, str(tmp_path), metrics={"n": 1})
+    assert "error" not in fine and fine["metrics"] == {"n": 1} and fine["file_count"] == 4 and sinks.read_manifest(spark, str(tmp_path)) == fine
     os.makedirs(tmp_path / "log")
     log = sinks.RunLog(str(tmp_path / "log" / "run.jsonl"), "r1")
     log.write("begun", dataset="d", percent=5.0)
@@ -121,13 +123,16 @@ def test_manifest_and_log(spark, tmp_path):
     assert sinks.named("a_", "b", "csv", sinks.stamp(0)) == "a_b_19700101_000000.csv"
 
 
-GOOD = {"contract": 2, "mode": "generate", "run_name": "r", "output_dir": "o", "inputs": {"network": "n.graphml"}, "params": {"measure_weighted": False, "frame": [512, 512], "synthetic_frame": [256, 256]}}
+GOOD = {
+    "contract": 2, "mode": "generate", "run_name": "r", "output_dir": "o", "inputs": {"network_graphml": "n.graphml"},
+    "params": {"MEASURE_WEIGHTED": False, "FRAME_SIZE": [512, 512], "SYNTHETIC_FRAME_SIZE": [256, 256], "CLOSED_NODES_FACTOR": 1.0, "CLOSED_EDGES_FACTOR": 1.0},
+}
 
 
 @pytest.mark.parametrize("change,said", [
-    ({"contract": 1}, "contract"), ({"mode": "other"}, "mode"), ({"run_name": " "}, "run_name"), ({"inputs": {}}, "exactly one"), ({"inputs": {"network": "a", "folder": "b"}}, "exactly one"),
-    ({"inputs": {"pair": ["a"]}}, "pair"), ({"params": {}}, "missing"), ({"params": {**GOOD["params"], "odd": 1}}, "unknown"), ({"params": {**GOOD["params"], "node_factor": 0}}, "above 0"),
-    ({"params": {**GOOD["params"], "snapshot_interval": 5, "save": False}}, "snapshots"), ({"contract": None, "mode": None}, "contract"),
+    ({"contract": 1}, "contract"), ({"mode": "other"}, "mode"), ({"run_name": " "}, "run_name"), ({"inputs": {}}, "none"), ({"inputs": {"network_graphml": "a", "datasets_dir": "b"}}, "more than one"),
+    ({"inputs": {"edge_list": "a"}}, "none"), ({"params": {}}, "missing"), ({"params": {**GOOD["params"], "ODD": 1}}, "unknown"), ({"params": {**GOOD["params"], "CLOSED_NODES_FACTOR": 0}}, "above 0"),
+    ({"params": {**GOOD["params"], "SNAPSHOT_INTERVAL": 5, "DISABLE_SAVING": True}}, "snapshots"), ({"contract": None, "mode": None}, "contract"), ({"params": {**GOOD["params"], "SWEEP_STEP": 1}}, "unknown"),
 ])
 def test_bad_specifications(change, said):
     with pytest.raises(spec.SpecError, match=said):
@@ -136,7 +141,13 @@ def test_bad_specifications(change, said):
 
 def test_good_specifications():
     c, i = spec.from_spec(json.dumps(GOOD))
-    assert c.frame == (512, 512) and c.max_attempts == 10 and c.error_tolerance == 0.15 and i == GOOD["inputs"]
+    assert c.frame == (512, 512) and c.max_attempts == 10 and c.error_tolerance == 0.15 and i == GOOD["inputs"] and c.datasets == ("r",) and len(c.run_id) == 8
+    bare = {"CLOSED_NODES_FACTOR": 1, "CLOSED_EDGES_FACTOR": 1, "WRITE_NETWORK_GRAPHML_GZ": True, "WRITE_NETWORK_CSV": False, "WRITE_PLOT_PNG": True, "MAX_WORKERS": 3, "SNAPSHOT_INTERVAL": 4, "WRITE_SNAPSHOTS": False}
+    c, _ = spec.from_spec(json.dumps(GOOD | {"params": bare, "inputs": {"edge_list": "a", "positions": "b"}}))
+    assert (c.frame, c.synthetic_frame, c.measure_weighted, c.network_formats, c.snapshot_interval) == (None, None, None, ("graphml.gz",), 0)
+    hybrid = {**GOOD["params"], "TARGET_SCALE": [2, 3], "NUM_CENTERS": 4, "MIN_CENTER_DISTANCE_FACTOR": 0.5, "TILE_FRAME_FACTOR": 1.2, "DATASET_FACTORS": {"a": [0.5, 0.7]}}
+    c, _ = spec.from_spec(json.dumps(GOOD | {"mode": "hybrid", "params": hybrid}))
+    assert c.factors_of("a/b") == (0.5, 0.7) and c.factors_of("b") == (1.0, 1.0) and c.scale == (2, 3)
     assert spec.labels(["/a/x/n", "/a/y/n"]) == ["x/n", "y/n"] and spec.dataset_id("a", "b") == "a/b"
     for bad in ("[]", "{", json.dumps({k: v for k, v in GOOD.items() if k != "run_name"})):
         with pytest.raises(spec.SpecError):
@@ -162,7 +173,7 @@ def test_growth_is_seeded_planar_and_spaced():
         for j in range(i):
             if not set(edges[i]) & set(edges[j]):
                 crossing += Gr.meets(*xy[edges[i][0]], *xy[edges[i][1]], *xy[edges[j][0]], *xy[edges[j][1]])
-    assert crossing <= len(edges) * 0.15  # only merges may cross
+    assert crossing == 0
     assert len(Gr.largest(xy, edges)[0]) == len(xy)
 
 
@@ -177,6 +188,24 @@ def test_small_growth_parts():
     assert set(stop) == {1}
 
 
+def test_snapshot_rounds():
+    assert Gr.snapshot_rounds(-1, 20) == [1, 2, 4, 8, 16]
+    assert Gr.snapshot_rounds(-4, 100)[:4] == [1, 3, 9, 28] and Gr.snapshot_rounds(-3, 8) == [1, 2, 4, 8]
+
+
+@pytest.mark.parametrize("nodes,want", [(0, 150), (5_000, 150), (9_999, 150), (10_000, 300), (999_999, 600), (10_000_000, 1200), (20_000_000, 1800)])
+def test_dpi(nodes, want):
+    assert pipelines.dpi(nodes) == want and pipelines.dpi(nodes, raster=True) == want + 300
+
+
+def one_network(spark, weighted=False):
+    grown = pipelines.grow(spark, SAMPLE, PARAMS, 1)
+    n = pipelines.grown_frame(grown)
+    if not weighted:
+        return n
+    return NetworkFrame(n.nodes, T.placed_edges(n).select("graph_id", "u", "v", (F.col("length") / 2).alias("weight")), True)
+
+
 def test_pipelines(spark):
     grown = pipelines.grow(spark, SAMPLE, PARAMS, 3)
     n = pipelines.grown_frame(grown)
@@ -189,10 +218,72 @@ def test_pipelines(spark):
     assert got.isEmpty() and mean.isEmpty()
     frames = pipelines.tile_frames(spark, np.array([[0.0, 0.0], [50.0, 0.0], [200.0, 0.0]]), "factor", PARAMS, 0.5, 30.0)
     assert values(frames, "tile_ix", "width") == [(0, 30.0), (1, 30.0), (2, 75.0)]
-    whole, rounds = pipelines.hybrid(spark, SAMPLE, Gr.Params(width=90.0, height=90.0, seed=2), (2.0, 1.0), 2, 1.0, 5, least_nodes=5)
+    whole, rounds = pipelines.hybrid(spark, SAMPLE, Gr.Params(width=90.0, height=90.0, seed=2), (2.0, 1.0), 2, 1.0, 5, least_nodes=5, original=one, gate="length_angle", tolerance=0.5)
     assert C.connectivity(whole).first().connected and 0 < rounds <= 5
 
 
+def test_accepted_networks_are_trimmed_and_weighted(spark):
+    one = one_network(spark, weighted=True)
+    sample = pipelines.sample_of(one)
+    thin = Gr.Sample(sample.degrees, sample.transitions, sample.lengths, sample.angles, sample.average_length, sample.average_degree * 0.8)
+    got = pipelines.accepted(spark, one, thin, PARAMS, pipelines.candidates(spark, PARAMS, 2), "length_angle", 0.9, attempts=1)
+    rows = got.collect()
+    assert rows and all(2 * len(r.edges) / len(r.nodes) <= 1.1 * thin.average_degree + 1e-9 for r in rows)
+    seen = {round(w, 9) for w, in values(one.edges, "weight")}
+    drawn = {round(e.weight, 9) for r in rows for e in r.edges}
+    # Only empty bins draw the mean.
+    assert len(drawn - seen) <= 1
+    net = pipelines.grown_frame(got, weighted=True)
+    assert C.connectivity(net).where("not connected").isEmpty()
+
+
+def test_attempts_go_on_in_one_stream(spark):
+    first = pipelines.grow(spark, SAMPLE, PARAMS, 1)
+    second = pipelines.grow(spark, SAMPLE, PARAMS, 0, first.select(*pipelines.WANTED), 1).first()
+    rng = np.random.default_rng(PARAMS.seed)
+    one, _ = Gr.network(SAMPLE, PARAMS, rng=rng)
+    two, _ = Gr.network(SAMPLE, PARAMS, rng=rng)
+    assert [(n.x, n.y) for n in first.first().nodes] == list(map(tuple, one[0])) and [(n.x, n.y) for n in second.nodes] == list(map(tuple, two[0]))
+
+
+def test_early_abort_saves_attempts(spark):
+    one = one_network(spark)
+    sample = pipelines.sample_of(one)
+    args = (spark, one, sample, PARAMS, pipelines.candidates(spark, PARAMS, 2), "length_angle")
+    assert pipelines.accepted(*args, 1e-12, attempts=2, early=10).isEmpty()
+    assert pipelines.accepted(*args, 0.9, attempts=1, early=10, every=2).count() > 0
+    (xy, _), stats = Gr.early_network(SAMPLE, PARAMS, np.random.default_rng(3), 12)
+    assert stats["reached"] and 12 <= len(xy) < 60
+
+
+def test_whole_runs(spark, tmp_path):
+    one = one_network(spark, weighted=True)
+    os.makedirs(tmp_path / "in")
+    sinks.write_pair(one, f"{tmp_path}/in/demo")
+    base = {"contract": 2, "run_name": "r", "output_dir": f"{tmp_path}/out", "inputs": {"datasets_dir": f"{tmp_path}/in"}}
+    shared = {"MEASURE_WEIGHTED": True, "FRAME_SIZE": [160, 160], "SEED": 5, "ERROR_CHECKER": "length_angle", "ERROR_TOLERANCE": 0.9, "MAX_ATTEMPTS": 1}
+    grow = {**shared, "CLOSED_NODES_FACTOR": 1.0, "CLOSED_EDGES_FACTOR": 1.0, "SYNTHETIC_NETWORK_NUMBER": 2}
+    for mode, params, kinds in (
+        ("generate", grow, {"edge_lists", "positions", "other"}),
+        ("generate", {**grow, "SELECT_BEST": 1}, {"edge_lists", "positions", "other"}),
+        ("generate", {**grow, "SNAPSHOT_INTERVAL": 2}, {"edge_lists", "positions", "other", "snapshots"}),
+        ("sweep", {**shared, "SYNTHETIC_NETWORK_NUMBER": 1, "NF_RANGE": [1.0, 1.0], "EF_RANGE": [0.8, 1.0], "SWEEP_STEP": 0.2}, {"other"}),
+        ("hybrid", {**grow, "FRAME_SIZE": [90, 90], "TARGET_SCALE": [1, 2], "NUM_CENTERS": 2, "MIN_CENTER_DISTANCE_FACTOR": 0.8, "TILE_FRAME_FACTOR": 1.0, "MIN_TILE_NODES": 5, "PHASE2_MAX_ROUNDS": 4, "DATASET_FACTORS": {"demo": [0.9, 0.9]}, "WRITE_NETWORK_GRAPHML": True}, {"networks", "other"}),
+    ):
+        root = runs.run_spec(spark, json.dumps(base | {"mode": mode, "params": params}))
+        done = sinks.read_manifest(spark, root)
+        assert done["status"] == "ok" and "error" not in done and kinds <= set(done["outputs"]), mode
+        log = progress.parsed(spark.read.text(f"{root}/run.jsonl"))
+        assert {r.dataset for r in log.collect()} == {"demo"} and log.count() >= 2
+    with pytest.raises(ValueError, match="synthetic networks"):
+        runs.run_spec(spark, json.dumps(base | {"mode": "sweep", "output_dir": f"{tmp_path}/bad", "params": {**shared, "NF_RANGE": [1, 1], "EF_RANGE": [1, 1]}}))
+    [bad] = os.listdir(tmp_path / "bad")
+    failed = sinks.read_manifest(spark, f"{tmp_path}/bad/{bad}")
+    assert failed["status"] == "failed" and failed["error"].startswith("ValueError: a sweep needs")
+    own = runs.run_spec(spark, json.dumps(base | {"mode": "generate", "output_dir": f"{tmp_path}/own", "inputs": {"network_graphml": "nowhere"}, "params": {**grow, "SYNTHETIC_NETWORK_NUMBER": 0}}), source=lambda s, name: one)
+    assert sinks.read_manifest(spark, own)["file_count"] >= 4
+
+
 def test_degree_stream(spark, tmp_path):
     spark.createDataFrame([("g", 0, 1), ("g", 1, 2)], "graph_id string, u long, v long").write.parquet(f"{tmp_path}/e")
     s = progress.degree_stream(spark.readStream.schema("graph_id string, u long, v long").parquet(f"{tmp_path}/e"))
