@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import let, written
 from .urls import host_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
@@ -241,7 +241,7 @@ def winners(pages: DataFrame) -> DataFrame:
 
 def _under(path: Column) -> Column:
     """Blocks under a path, in page order."""
-    return F.filter("blocks", lambda b: F.startswith(F.concat(b.path, F.lit("/")), F.concat(path, F.lit("/"))))
+    return F.filter("blocks", lambda b: (b.path == path) | F.startswith(b.path, F.concat(path, F.lit("/"))))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -250,8 +250,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     winner = written(winners(seen), "host-paths")
     size = winner.agg(F.sum(F.octet_length("host") + F.octet_length("path") + 64)).first()[0] or 0
     joined = seen.join(F.broadcast(winner) if size <= BROADCAST_BYTES else winner, "host", "left")
-    covered = lambda path: F.aggregate(_under(path), F.lit(0).cast("long"), lambda a, b: a + b.plain)
-    fits = F.col("path").isNotNull() & (covered(F.col("path")) >= COVERED * covered(F.col("own"))) & (F.size(_under(F.col("path"))) > 0)
-    chosen = joined.withColumn("chosen", F.when(fits, F.col("path")).otherwise(F.col("own")))
-    text = F.array_join(F.transform(_under(F.col("chosen")), lambda b: b.text), " ")
-    return chosen.select(F.col("page_key").alias(key), "url", text.alias("text"), F.col("chosen").alias("path"))
+    covered = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + b.plain)
+    read = lambda blocks, path: F.struct(F.array_join(F.transform(blocks, lambda b: b.text), " ").alias("text"), path.alias("path"))
+    own, path = F.col("own"), F.col("path")
+    # Where the host's path is the page's own one, and where there is none, nothing has to be compared.
+    fits = lambda b: (F.size(b.theirs) > 0) & (covered(b.theirs) >= COVERED * covered(b.own))
+    both = let(F.struct(_under(path).alias("theirs"), _under(own).alias("own")), lambda b: F.when(fits(b), read(b.theirs, path)).otherwise(read(b.own, own)))
+    chosen = F.when(path.isNull() | (path == own), let(_under(own), lambda b: read(b, own))).otherwise(both)
+    return joined.select("page_key", "url", chosen.alias("chosen")).select(F.col("page_key").alias(key), "url", "chosen.text", "chosen.path")

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, written
+from .shared import WORD, let, written
 
 
 @dataclass(frozen=True)
@@ -83,11 +83,6 @@ def source_targets(sized: DataFrame, m: Mix = Mix()) -> DataFrame:
     return s.select("source", "rank", "weight", "source_size", F.least("cap", F.coalesce(level * F.col("weight"), "cap")).alias("target"))
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with the value computed once; written out, expressions would repeat it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def log_factorial(n: Column) -> Column:
     """ln(n!) for whole n >= 0: Stirling's series at n + 8, stepped back."""
 

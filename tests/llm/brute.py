@@ -149,3 +149,49 @@ def greedy_factors(rows, k=20):
             end = i + n
             i = next((j for j in range(end - k + 1, min(end, len(w) - k + 1)) if first[tuple(w[j : j + k])] != (d, j)), end)
     return out
+
+
+def gear_chunks(raw, gear, least, normal, most, strict, loose):
+    """Chunk ends by a byte-at-a-time gear hash of the last 32 bytes, with the stricter mask up to the normal size."""
+    ends, begin = [], 0
+    while begin < len(raw):
+        end = None
+        for at in range(begin, min(len(raw), begin + most)):
+            size = at - begin + 1
+            if size <= least or len(raw) - begin <= least:
+                continue
+            h = 0
+            for b in raw[max(0, at - 31) : at + 1]:
+                h = ((h << 1) + gear[b]) & 0xFFFFFFFF
+            if h & (strict if size <= normal else loose) == 0:
+                end = at + 1
+                break
+        begin = end or min(len(raw), begin + most)
+        ends.append(begin)
+    return ends
+
+
+def contained(a, ends_a, b, ends_b):
+    """Share of a's distinct chunks, by length, that are chunks of b too."""
+    cut = lambda raw, ends: {raw[x:y] for x, y in zip([0, *ends[:-1]], ends)} if ends else set()
+    x, y = cut(a, ends_a), cut(b, ends_b)
+    return sum(len(c) for c in x & y) / sum(map(len, x)) if x else float(not y)
+
+
+def compression_kept(text, bands):
+    """Base rules, the band of the whole text, and no more than a share of its bytes in bad chunks."""
+    import zstandard
+
+    raw = (text or "").encode()
+    if quality(text)[5]:
+        return False
+    ratio = lambda x: len(x) / len(zstandard.ZstdCompressor(level=bands.level, write_content_size=False).compress(x))
+
+    def fits(x, limits):
+        for most, low, high in limits:
+            if len(x) <= most:
+                return low <= ratio(x) <= high
+
+    pieces = [raw[i : i + bands.chunk_bytes] for i in range(0, len(raw), bands.chunk_bytes)]
+    bad = sum(len(x) for x in pieces if not fits(x, bands.chunk))
+    return fits(raw, bands.whole) and bad <= bands.chunk_share * len(raw)

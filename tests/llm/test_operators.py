@@ -313,6 +313,68 @@ def test_fingerprints(docs, rows):
             assert r.near_edited > 0.5
 
 
+def test_fingerprints_against_a_byte_at_a_time(docs, rows):
+    m = fingerprints
+    ends = lambda raw: brute.gear_chunks(raw, [int(x) for x in m.GEAR], m.LEAST, m.NORMAL, m.MOST, int(m.STRICT), int(m.LOOSE))
+    order = sorted((r[0], r[1] or "") for r in rows if len(r[1] or "") < 3000)
+    df = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 3000)
+    got = {r.doc_id: r for r in m.compare_neighbours(df).collect()}
+    assert set(got) == {d for d, _ in order}
+    spelled = {}
+    for i, (d, text) in enumerate(order):
+        other = order[(i + 1) % len(order)][1]
+        n = len(text) // 4
+        a, b, c = (x.encode() for x in (text, text[: len(text) - n] + other[:n], other))
+        assert ends(a) == m.boundaries(a)
+        assert got[d].near_edited == pytest.approx(brute.contained(a, ends(a), b, ends(b)))
+        assert got[d].near_next == pytest.approx(brute.contained(a, ends(a), c, ends(c)))
+        # Fingerprints are equal where the sets of chunks are.
+        spelled.setdefault(frozenset(a[x:y] for x, y in zip([0, *ends(a)], ends(a))), set()).add(got[d].fingerprint)
+    assert all(len(x) == 1 for x in spelled.values()) and len({f for x in spelled.values() for f in x}) == len(spelled)
+
+
+def test_quality_verdicts_against_plain_python(spark, docs, rows):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9)))
+    more = [" ".join(word() for _ in range(n)) for n in (49, 50, 90, 300, 700, 900, 1500, 3000)]
+    more += [" ".join([word()] * 20 + [word() for _ in range(n)]) for n in (40, 200, 600)]
+    noise = lambda n: "".join(chr(r.randrange(33, 126)) + " " * (r.random() < 0.2) for _ in range(n))
+    more += [noise(n) for n in (400, 3000, 9000)] + [more[5] + " " + noise(2500), more[6] + " " + ("same again and over " * 300)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    texts = {x[0]: x[1] for x in rows} | {10_000 + i: t for i, t in enumerate(more)}
+    got = {x.doc_id: x.kept for x in quality.quality_report(df).collect()}
+    assert got == {d: brute.compression_kept(t, quality.Bands()) for d, t in texts.items()}
+    assert len(set(got[d] for d in got if d >= 10_000)) == 2
+
+
+def test_host_votes(spark):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(60))
+    old = lambda k: f"<body><div class='post'><p>{text(k)}</p></div><div class='more7'><p>{text(k + 500)[:20]}</p></div></body>"
+    new = lambda k: f"<body><section class='story'><p>{text(k)}</p></section></body>"
+    rows = [(i, f"http://a.org/{i}", old(i)) for i in range(5)] + [(10, "http://a.org/x", new(10)), (11, "http://b.org/", new(11)), (12, "http://b.org/2", old(12)), (13, None, old(13)), (14, "http://a.org/y", None)]
+    got = {r.page_id: r for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # The majority's path reads its pages; a page without it has its own; other hosts don't vote.
+    assert {got[i].path for i in range(5)} == {"/body/div.post"} and all(got[i].text == text(i) for i in range(5))
+    assert got[10].text == text(10) and got[13].text == text(13) and got[14].text == ""
+    # A tie goes to the path that sorts first; each page still has its article.
+    assert got[11].text == text(11) and got[12].text == text(12)
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    r = random.Random(2)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60_000))
+    df = spark.createDataFrame([(1, long, "s", 5, "p"), (2, long, "s", 6, "q"), (3, "short", None, 7, "r")], "doc_id long, text string, source string, host int, path string")
+    packed = packing.pack(df).collect()
+    assert len({x.doc_tokens for x in packed if x.doc_id < 3}) == 1 and sum(x.length for x in packed) == sum(x.doc_tokens for x in packed if x.start == 0)
+    prints = {x.doc_id: x for x in fingerprints.compare_neighbours(df).collect()}
+    assert prints[1].fingerprint == prints[2].fingerprint and prints[1].near_next == 1.0 and abs(prints[1].near_edited - 0.75) < 0.01
+    kept = quality.quality_filter(df)
+    assert kept.columns == df.columns and {x.host for x in kept.collect()} <= {5, 6, 7}
+    page = f"<body><article><p>{long}</p></article></body>"
+    pages = spark.createDataFrame([(1, "http://a/b", page, 3)], "page_id long, url string, html string, host int")
+    assert extract(pages).first().text == long
+
+
 @pytest.mark.parametrize("part", [1 << 8, 1 << 12])
 def test_fingerprints_over_many_ranges(docs, monkeypatch, part):
     whole = sorted(map(tuple, fingerprints.compare_neighbours(docs).collect()))
