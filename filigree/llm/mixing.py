@@ -39,8 +39,10 @@ class Mix:
     bucket_words: int = 1 << 16
     #: Buckets of one range, whose words are summed first.
     range_buckets: int = 1024
-    shard_blocks: int = 2048
+    shard_blocks: int = 512
     least_depth: int = 4
+    #: Partitions of the mix at most; beyond them a partition holds a run of shards.
+    most_parts: int = 1 << 15
     seed: int = 20
 
 
@@ -191,6 +193,11 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     pieces: key, ROW, shard, epoch, start, length, order_key: runs of words to take;
     sorted by order_key within a shard they are the shuffled mix.
     """
+    return _mix(docs, key, text, source, m)[:2]
+
+
+def _mix(docs: DataFrame, key: str, text: str, source: str, m: Mix) -> tuple[DataFrame, DataFrame, int]:
+    """As ``mix_sources``, and the number of shards."""
     sized = written(docs.select(F.col(f"`{key}`").alias("doc"), F.col(f"`{source}`").alias("source"), words_in(F.col(f"`{text}`")).alias("size"), *row_hashes(key, text, source, m)), "mix-sizes")
     targets = source_targets(sized, m)
     buckets = F.ceil(F.col("source_size") / m.bucket_words).cast("long")
@@ -251,7 +258,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     documents = place.select(F.col("doc").alias(key), *ROW, "size", "source_size", "target").unionByName(
         idle.select(F.col("doc").alias(key), *ROW[:2], F.lit(0).alias("copy"), "size", "source_size", "target")
     )
-    return documents, pieces
+    return documents, pieces, 1 << depth
 
 
 def mixed_table(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
@@ -259,10 +266,11 @@ def mixed_table(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
 
     A pass that takes a whole document keeps its text; one that takes a part has
     the part's words, joined by one space.  ``n_chars``, where there, is the new text's.
-    A row lies in the shard of its first piece; a partition holds whole shards, each in
-    its shuffled order, so files written from it are the mix.
+    A row lies in the shard of its first piece; a partition is a shard (a run of them beyond
+    ``most_parts``) in its shuffled order, so files written from it are the mix.
     """
-    _, pieces = mix_sources(docs, m=m)
+    _, pieces, shards = _mix(docs, "doc_id", "text", "source", m)
+    parts = min(shards, m.most_parts)
     first = lambda c: F.min_by(c, "start").alias(c)
     passes = pieces.groupBy(*ROW, "epoch").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("runs"), F.sum("length").alias("taken"), first("shard"), first("order_key"))
     passes = passes.groupBy(*ROW).agg(F.collect_list(F.struct("epoch", "taken", "runs", "shard", "order_key")).alias("passes"))
@@ -271,7 +279,7 @@ def mixed_table(docs: DataFrame, m: Mix = Mix()) -> DataFrame:
     # The join deals equal rows together, so numbering them needs no shuffle of its own.
     out = src.join(passes, ROW[:2]).withColumn("copy", F.row_number().over(Window.partitionBy(*ROW[:2]).orderBy(F.lit(0))))
     out = out.select("row", F.explode(F.element_at("by_copy", F.col("copy"))).alias("pass"))
-    out = out.repartition("pass.shard").sortWithinPartitions("pass.shard", "pass.order_key")
+    out = out.repartitionById(parts, F.floor(F.col("pass.shard") / (shards // parts)).cast("int")).sortWithinPartitions("pass.shard", "pass.order_key")
     old = F.col("row.text")
     words = F.regexp_extract_all(old, F.lit("(" + WORD + ")"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("pass.runs", lambda r: F.slice(words, (r.start + 1).cast("int"), r.length.cast("int")))), " ")
