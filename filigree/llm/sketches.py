@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.kernels import smallest_reachable
 from .census import SENT, Ballot, answers, read_masks, sent_table
 from .scan import U64, Words, give_back, mix, slices, text_buffer, window_starts, windows
 from .shared import bytes_of, written
@@ -40,6 +41,8 @@ from .shared import bytes_of, written
 SHINGLE, COORDS, ROWS = 5, 128, 4
 BANDS = COORDS // ROWS
 PERCENT = 85
+#: Links that one task settles.
+LOCAL_LINKS = 50_000
 #: Documents a block of a cluster holds.
 CELL_DOCS = 600
 
@@ -181,12 +184,17 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     """links(a, b) -> (id, component): smallest id reachable, for every id in a link.
 
-    Each round joins every id to the smallest label beside it, then lets labels
-    follow their own label; both are aggregations and equi-joins over links.
-    Labels settle in a logarithmic number of rounds or so; beyond ``most_rounds`` it fails.
+    Up to LOCAL_LINKS links are settled in one task.  More of them are thinned to
+    forests where they lie; then each round joins every id to the smallest label
+    beside it and lets labels follow their own label, both aggregations and
+    equi-joins.  Labels settle in a logarithmic number of rounds or so; beyond
+    ``most_rounds`` it fails.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = written(both, "links")
+    pairs = written(links.select("a", "b").where("a <> b"), "links")
+    if pairs.count() <= LOCAL_LINKS:
+        return written(pairs.groupBy(F.lit(0).alias("all")).applyInArrow(_settled, "id long, component long"), "labels")
+    thin = written(pairs.mapInArrow(_forests, "a long, b long").distinct(), "forests")
+    both = written(thin.unionByName(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     label = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("id"), "c"), "labels")
     for _ in range(most_rounds):
         near = both.join(label.select(F.col("id").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
@@ -197,11 +205,22 @@ def components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
         up = moved.select(F.col("id").alias("c"), F.col("c").alias("cc"))
         step = written(moved.join(up, "c", "left").select("id", "old", F.coalesce(F.least("c", "cc"), "c").alias("c")), "labels")
         if step.where("c <> old").isEmpty():
-            break
+            return step.select("id", F.col("c").alias("component"))
         label = step.select("id", "c")
-    else:
-        raise RuntimeError(f"components not settled after {most_rounds} rounds")
-    return label.select("id", F.col("c").alias("component"))
+    raise RuntimeError(f"components not settled after {most_rounds} rounds")
+
+
+def _settled(table: pa.Table) -> pa.Table:
+    ids, label = smallest_reachable(table.column("a").to_numpy(), table.column("b").to_numpy())
+    return pa.table({"id": pa.array(ids, pa.int64()), "component": pa.array(label, pa.int64())})
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every batch of links a star to the smallest id of each of its components."""
+    for batch in batches:
+        ids, label = smallest_reachable(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+        other = ids != label
+        yield pa.RecordBatch.from_arrays([pa.array(label[other]), pa.array(ids[other])], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -184,7 +184,7 @@ class Parse:
 def _parsed(docs: DataFrame, k: int, finish, schema) -> DataFrame:
     """Runs the passes over docs(doc_id, text, ...) and ``finish(group, parse)`` on each group."""
     groups = pieces_for(docs, GROUP_BYTES)
-    buckets, blocks = max(16, groups // 6), max(16, groups // 3)
+    buckets, blocks = max(16, groups // 32), max(16, groups // 4)
     dealt = with_group(docs, groups)
     # Each pass groups by the same exchange of the texts.
     def vote(key: tuple, table: pa.Table) -> pa.Table:

@@ -306,7 +306,7 @@ def _removed(group: Group, sent: Sent, reply: pa.Table) -> np.ndarray:
 
 def _deduped(docs: DataFrame, finish, schema: str) -> DataFrame:
     groups = pieces_for(docs, GROUP_BYTES)
-    buckets, blocks = max(16, groups // 6), max(16, groups // 2)
+    buckets, blocks = max(16, groups // 16), max(16, groups // 2)
     dealt = with_group(docs.select("doc_id", "text"), groups)
 
     def vote(key: tuple, table: pa.Table) -> pa.Table:

@@ -151,6 +151,16 @@ def test_cells_find_what_pivots_miss(docs, rows, monkeypatch):
     assert got == brute.near(pairs(rows))
 
 
+def test_near_duplicates_without_ids_and_with_one_id_twice(spark):
+    words = [f"w{i}" for i in range(60)]
+    one, two = " ".join(words), " ".join(f"x{w}" for w in words)
+    rows = [(None, one), (None, one), (7, one), (7, two), (8, one), (9, two), (9, two), (10, None)]
+    got = sketches.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all((r.component_id is None) == (r.doc_id is None) for r in got)
+    # An id is one document whatever its texts, so what is equal to either of them is in its group.
+    assert {r.component_id for r in got if r.doc_id in (7, 8, 9)} == {7} and {r.component_id for r in got if r.doc_id == 10} == {10}
+
+
 def test_every_sketch_coordinate_is_filled_and_estimates():
     r = np.random.default_rng(1)
     a = np.unique(r.integers(0, 1 << 63, 500).astype(np.uint64))
@@ -170,7 +180,9 @@ def test_empty_tables(no_docs):
     assert sketches.near_duplicates(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("local", [0, 50_000])
 @pytest.mark.parametrize("links,want", [([], {}), ([(1, 2), (2, 3), (9, 8)], {1: 1, 2: 1, 3: 1, 8: 8, 9: 8}), ([(i, i + 1) for i in range(40)], {i: 0 for i in range(41)})])
-def test_components(spark, links, want):
+def test_components(spark, monkeypatch, links, want, local):
+    monkeypatch.setattr(sketches, "LOCAL_LINKS", local)
     df = spark.createDataFrame(links, "a long, b long")
     assert {r.id: r.component for r in sketches.components(df).collect()} == want
