@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import replace
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
 from ..session import cut
-from .kernels import smallest_reachable
+from .kernels import smallest_reachable, trimmed
 from .topology import counts, induced, trim_round
 
-
 #: Edges of one graph that a task may hold; larger graphs go through joins.
 LOCAL_EDGES = 2_000_000
 
@@ -100,11 +103,28 @@ def largest_component(net: NetworkFrame, renumber: bool = False) -> NetworkFrame
 def trim(net: NetworkFrame, target: DataFrame, slack: float = 1.1) -> NetworkFrame:
     """Rounds of trimming and largest component until no graph's average degree is above slack * target.
 
-    A round takes an edge from every graph above its bound at least, so it ends.
+    A round takes an edge from every graph above its bound at least, so it ends.  Graphs that fit a
+    task run all their rounds there, one each; with a larger one among them a round is a join.
     """
+    edges = cut(net.edges.select("graph_id", "u", "v", "weight"), "edges")
+    net = replace(net, edges=edges)
+    goal = target.select("graph_id", F.col("target_degree").cast("double").alias("target_degree"))
+    if edges.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_EDGES).isEmpty():
+        nodes = net.nodes.join(goal, "graph_id", "left").select("graph_id", "node_id", "target_degree")
+
+        def run(key: tuple, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+            ids, u, v = np.sort(nodes.node_id.to_numpy()), edges.u.to_numpy(), edges.v.to_numpy()
+            inside, kept = trimmed(ids, u, v, float(nodes.target_degree.iloc[0]) if len(nodes) else math.nan, slack)
+            some = pd.DataFrame({"graph_id": key[0], "node_id": ids[inside], "u": -1, "v": -1, "weight": math.nan, "edge": False})
+            return pd.concat([some, edges.iloc[kept][["graph_id", "u", "v", "weight"]].assign(node_id=-1, edge=True)[some.columns]])
+
+        schema = "graph_id string, node_id long, u long, v long, weight double, edge boolean"
+        left = cut(nodes.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(run, schema), "trimmed")
+        weight = F.when(~F.isnan("weight"), F.col("weight"))
+        return replace(net, nodes=net.nodes.join(left.where("not edge").select("graph_id", "node_id"), ["graph_id", "node_id"], "left_semi"), edges=left.where("edge").select("graph_id", "u", "v", weight.alias("weight")))
     while True:
-        over = counts(net).join(target, "graph_id").where(2 * F.col("edge_count") / F.col("node_count") > slack * F.col("target_degree"))
+        over = counts(net).join(goal, "graph_id").where(2 * F.col("edge_count") / F.col("node_count") > slack * F.col("target_degree"))
         if over.isEmpty():
             return net
-        net = largest_component(trim_round(net, target, slack))
+        net = largest_component(trim_round(net, goal, slack))
         net = NetworkFrame(cut(net.nodes, "nodes"), cut(net.edges, "edges"), net.weighted)

@@ -193,3 +193,21 @@ def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.nda
             if (up == label).all():
                 break
             label = up
+
+
+def trimmed(ids: np.ndarray, u: np.ndarray, v: np.ndarray, target: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """(inside, kept): rows of the nodes (ascending ids) and edges left when the average degree is within slack * target.
+
+    A round keeps the edges with the least larger end degree, ties by (u, v), then the largest component, ties to the smallest id.
+    """
+    inside, kept = np.ones(len(ids), bool), np.arange(len(u))
+    while len(kept) and 2 * len(kept) / inside.sum() > slack * target:
+        a, b = np.searchsorted(ids, u[kept]), np.searchsorted(ids, v[kept])
+        degree = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+        kept = kept[np.lexsort((v[kept], u[kept], np.maximum(degree[a], degree[b])))[: int(slack * target * inside.sum() / 2)]]
+        label = np.arange(len(ids))
+        ends, least = smallest_reachable(u[kept], v[kept])
+        label[np.searchsorted(ids, ends)] = np.searchsorted(ids, least)
+        inside &= label == np.bincount(label[inside]).argmax()
+        kept = kept[inside[np.searchsorted(ids, u[kept])]]
+    return inside, np.sort(kept)

@@ -25,7 +25,9 @@ def q_grid(df: DataFrame, band: int) -> DataFrame:
 
 def ball_mass(balls: DataFrame) -> DataFrame:
     """(graph_id, src, r, mass): nodes within r, the centre included, on the graph's grid of all radii."""
-    grid = balls.select("graph_id", "r").distinct().join(balls.select("graph_id", "src").distinct(), "graph_id")
+    # A graph's radii are one row, so each source is spread over them without a join of many with many.
+    radii = balls.groupBy("graph_id").agg(F.collect_set("r").alias("rs"))
+    grid = balls.select("graph_id", "src").distinct().join(radii, "graph_id").select("graph_id", "src", F.explode("rs").alias("r"))
     w = Window.partitionBy("graph_id", "src").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     return grid.join(balls, ["graph_id", "src", "r"], "left").select("graph_id", "src", "r", (F.sum(F.coalesce("cnt", F.lit(0))).over(w) + 1).alias("mass"))
 
@@ -81,6 +83,15 @@ def node_dimension(net: NetworkFrame, weighted: bool = False, digits: int = 0) -
     return out.select("graph_id", "node_id", F.when(F.col("k") > 2, F.coalesce("s", F.lit(0.0))).otherwise(0.0).alias("dimension"))
 
 
+def centralities(net: NetworkFrame) -> DataFrame:
+    """(graph_id, node_id, dimension, closeness, degree, clustering): strengths and weighted clustering on a weighted net."""
+    inverse = net.inverse_weights() if net.weighted else net
+    key = ["graph_id", "node_id"]
+    degree = topology.degrees(net).select(*key, F.col("strength" if net.weighted else "degree").alias("degree"))
+    out = node_dimension(inverse, net.weighted).join(paths.closeness(inverse, net.weighted), key).join(degree, key)
+    return out.join((topology.clustering_onnela if net.weighted else topology.clustering)(net), key)
+
+
 def error_features(net: NetworkFrame, full_band: bool = False) -> DataFrame:
     """(graph_id, holder_exponent, spectrum_width) as the gate compares them: whole radii, narrow or wide band."""
     t = tau(paths.balls(net, net.weighted, 0), WIDE if full_band else NARROW)
@@ -91,6 +102,27 @@ def feature_error(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.hypot(a[0] - b[0], a[1] - b[1])
 
 
+#: Averages of a report and the lists of a stored one that they are taken of (fixed values).
+AVERAGES = {
+    "avg_nfd": "nfd_dist", "avg_closeness": "closeness_dist", "avg_degree": "degree_dist", "avg_clustering": "clustering_dist",
+    "avg_betweenness": "betweenness_dist", "avg_ricci": "ricci_dist", "avg_eigen": "eigen_dist",
+}
+
+
+def augmented(reports: DataFrame) -> DataFrame:
+    """Stored reports with their averages: means of the lists without NaN, NaN for an empty or missing one; reports that have them stay."""
+    if set(AVERAGES) <= set(reports.columns):
+        return reports
+
+    def mean(name: str) -> Column:
+        if name not in reports.columns:
+            return F.lit(float("nan"))
+        some = F.filter(F.coalesce(F.col(name), F.array().cast("array<double>")), lambda x: x.isNotNull() & ~F.isnan(x))
+        return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda a, x: a + x) / F.size(some)).otherwise(float("nan"))
+
+    return reports.withColumns({k: mean(v) for k, v in AVERAGES.items()})
+
+
 def analyse(net: NetworkFrame) -> DataFrame:
     """The full report, one wide row a graph."""
     inverse = net.inverse_weights() if net.weighted else net

@@ -39,7 +39,7 @@ def on_sources(net: NetworkFrame, work: Callable[[str, K.Csr, np.ndarray], pd.Da
         out = None
         for at in range(0, max(1, len(sources)), chunk):
             got = work(key[0], g, sources[at : at + chunk])
-            out = got if out is None else pd.concat([out, got])
+            out = got if out is None or not len(out) else pd.concat([out, got]) if len(got) else out
             if merge is not None and at:
                 out = merge(out)
         return out
@@ -63,12 +63,15 @@ def hop_frontier(net: NetworkFrame, most_levels: int = 10_000) -> DataFrame:
     """(graph_id, src, dst, d) by joins, one written level at a time, for graphs beyond a task."""
     links = cut(net.both_ways().select("graph_id", F.col("u").alias("dst"), F.col("v").alias("next")).distinct(), "links")
     edge = net.nodes.select("graph_id", F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("d"))
-    seen = edge
+    seen = before = edge
     for level in range(1, most_levels + 1):
         reached = edge.join(links, ["graph_id", "dst"]).select("graph_id", "src", F.col("next").alias("dst")).distinct()
-        edge = cut(reached.join(seen, ["graph_id", "src", "dst"], "left_anti").withColumn("d", F.lit(float(level))), "level")
-        if edge.isEmpty():
+        # Edges have no direction, so what was seen and is next to a level lies in it or the one before.
+        recent = edge.unionByName(before).select("graph_id", "src", "dst")
+        found = cut(reached.join(recent, ["graph_id", "src", "dst"], "left_anti").withColumn("d", F.lit(float(level))), "level")
+        if found.isEmpty():
             break
+        before, edge = edge, found
         seen = seen.unionByName(edge)
     else:
         raise RuntimeError(f"distances not settled after {most_levels} levels")

@@ -109,17 +109,24 @@ def sweep_report(trials: DataFrame) -> DataFrame:
     return trials.orderBy("node_factor", "edge_factor", "error", "success_rate").select("node_factor", "edge_factor", error.alias("error"), F.format_string("%.4f", F.col("success_rate")).alias("success_rate"))
 
 
+#: Text of a metric line, and headings, widths and formats of a ranking table (fixed values).
+METRIC_LINE = "nodes=%d  avg_deg=%.2f  clust=%.4f  length=%.2f  angle=%.2f"
+TABLE = (("Rank", 4, "d"), ("Dist", 8, ".4f"), ("MFErr", 8, ".4f"), ("Nodes", 7, "d"), ("AvgDeg", 7, ".2f"), ("Clust", 8, ".4f"), ("Length", 8, ".2f"), ("Angle", 8, ".2f"))
+OWN_ROW = "Orig"
+
+
 def metric_line() -> Column:
     """A network's metrics in one line of text."""
-    return F.format_string("nodes=%d  avg_deg=%.2f  clust=%.4f  length=%.2f  angle=%.2f", *(F.col(c) for c in METRICS))
+    return F.format_string(METRIC_LINE, *(F.col(c) for c in METRICS))
 
 
 def table_text(ranked_rows: DataFrame, reference: DataFrame) -> list[str]:
     """Lines of a ranking table: ranked rows (rank, distance, error, metrics), then the original's."""
-    cells = ["%7d", "%7.2f", "%8.4f", "%8.2f", "%8.2f"]
-    head = " ".join(f"{t:>{n}}" for t, n in (("Rank", 4), ("Dist", 8), ("MFErr", 8), ("Nodes", 7), ("AvgDeg", 7), ("Clust", 8), ("Length", 8), ("Angle", 8)))
-    rows = ranked_rows.orderBy("rank").select(F.format_string(" ".join(["%4d", "%8.4f", "%8.4f", *cells]), "rank", "distance", "error", *METRICS).alias("line"))
-    own = reference.select(F.format_string(" ".join(["%4s", "%8s", "%8s", *cells]), F.lit("Orig"), F.lit(""), F.lit(""), *METRICS).alias("line"))
+    head = " ".join(f"{name:>{width}}" for name, width, _ in TABLE)
+    cells = [f"%{width}{kind}" for _, width, kind in TABLE]
+    rows = ranked_rows.orderBy("rank").select(F.format_string(" ".join(cells), "rank", "distance", "error", *METRICS).alias("line"))
+    blank = [f"%{width}s" for _, width, _ in TABLE[:3]]
+    own = reference.select(F.format_string(" ".join([*blank, *cells[3:]]), F.lit(OWN_ROW), F.lit(""), F.lit(""), *METRICS).alias("line"))
     rule = "-" * len(head)
     # One line a candidate of one run.
     return [rule, head, rule, *(r.line for r in rows.collect()), rule, *(r.line for r in own.collect()), rule]

@@ -18,7 +18,45 @@ gl AS (SELECT ge.g, avg(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS l FROM ge
 r AS ({_q(LATTICE, "avg_length, avg_angle FROM met")})"""
 )
 
+#: Shortest paths counted level by level, and every node's share of them.
+_BETWEEN = """,
+sig(src, dst, d, k) AS (SELECT id, id, 0, 1.0::DOUBLE FROM n UNION ALL
+  SELECT p.src, s.v, p.d + 1, sum(p.k) FROM sig p JOIN s ON p.dst = s.u JOIN hop h ON h.src = p.src AND h.dst = s.v AND h.d = p.d + 1 GROUP BY 1, 2, 3),
+dep AS (SELECT a.dst AS id, sum(a.k * b.k / t.k) AS b FROM sig a JOIN sig b ON b.src = a.dst JOIN sig t ON t.src = a.src AND t.dst = b.dst AND t.d = a.d + b.d WHERE a.src <> a.dst AND b.dst <> a.dst AND a.src <> b.dst GROUP BY a.dst),
+btw AS (SELECT n.id, coalesce(b, 0.0) / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2)) AS b FROM n LEFT JOIN dep ON dep.id = n.id)"""
+#: Power iteration on the adjacency shifted by half the largest degree; the networks hang together.
+_POWER = """,
+it(k, id, x) AS (SELECT 0, id, 1 / sqrt((SELECT count(*) FROM n)::DOUBLE) FROM n UNION ALL
+  SELECT k + 1, id, y / sqrt(sum(y * y) OVER ()) FROM (SELECT any_value(i.k) AS k, i.id, any_value(i.x) * (SELECT max(strength) / 2.0 FROM d) + coalesce(sum(s.w * o.x), 0.0) AS y FROM it i LEFT JOIN s ON s.u = i.id LEFT JOIN it o ON o.id = s.v GROUP BY i.id) WHERE k < 3000),
+eig AS (SELECT id, x FROM it WHERE k = 3000)"""
+_NFD = "nfd AS (SELECT src, CASE WHEN count(*) > 2 THEN regr_slope(ln(inside), ln(r)) ELSE 0.0 END AS x FROM (SELECT src, r, 1 + sum(cnt) OVER (PARTITION BY src ORDER BY r) AS inside FROM ball) GROUP BY src)"
+_CLOSE = "clo AS (SELECT src, (count(*) - 1)::DOUBLE / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM n) - 1) AS x FROM hop GROUP BY src)"
+
 SQL = {
+    "betweenness": _q(KNN, f"{_i('id AS node_id')}, {_f('b AS betweenness')} FROM btw", HOPS + _BETWEEN),
+    "betweenness_trade": _q(TRADE, f"{_i('id AS node_id')}, {_f('b AS betweenness')} FROM btw", HOPS + _BETWEEN),
+    "eigenvector": _q(KNN, f"{_i('id AS node_id')}, {_f('x AS eigenvector')} FROM eig", _POWER),
+    "eigenvector_weighted": _q(TRADE, f"{_i('id AS node_id')}, {_f('x AS eigenvector')} FROM eig", _POWER),
+    "centralities": _q(KNN, f"{_i('n.id AS node_id', 'd.deg AS degree')}, {_f('nfd.x AS dimension', 'clo.x AS closeness', 'cl.c AS clustering')} FROM n JOIN d ON d.id = n.id JOIN nfd ON nfd.src = n.id JOIN clo ON clo.src = n.id JOIN cl ON cl.id = n.id", HOPS + ", " + _NFD + ", " + _CLOSE),
+    "analysis_summary": _q(
+        KNN,
+        f"{_i('(SELECT count(*) FROM tau) AS n_q', '(SELECT max(d) FROM hop) AS diameter')}, "
+        + _f(
+            "(SELECT max(tau / q) - min(tau / q) FROM tau WHERE q <> 0) AS dim_diff",
+            "(SELECT alpha FROM spec WHERE f >= (SELECT max(f) FROM spec) - 1e-9 ORDER BY q LIMIT 1) AS holder_exp",
+            "(SELECT alpha FROM spec WHERE f >= (SELECT max(f) FROM spec) - 1e-9 ORDER BY q DESC LIMIT 1) AS other_branch",
+            "(SELECT max(alpha) - min(alpha) FROM spec) AS width",
+            "(SELECT corr(a.deg, b.deg) FROM s JOIN d a ON s.u = a.id JOIN d b ON s.v = b.id) AS assortativity",
+            "(SELECT avg(x) FROM nfd) AS avg_nfd",
+            "(SELECT avg(x) FROM clo) AS avg_closeness",
+            "(SELECT avg(deg) FROM d) AS avg_degree",
+            "(SELECT avg(c) FROM cl) AS avg_clustering",
+            "(SELECT avg(b) FROM btw) AS avg_betweenness",
+            "(SELECT avg(x) FROM eig) AS avg_eigen",
+        ),
+        HOPS + _BETWEEN + _POWER + ", " + _NFD + ", " + _CLOSE,
+        20,
+    ),
     "csv_pair_edges": _q(TRADE, _EDGES),
     "csv_pair_positions": _q(TRADE, f"{_i('id AS node_id')}, {_f('x', 'y')} FROM n"),
     "graphml_edges": _q(TRADE, _EDGES),
@@ -49,7 +87,13 @@ SQL = {
         "* FROM (SELECT 'nodes: ' || (SELECT count(*) FROM n) AS line UNION ALL SELECT 'edges: ' || (SELECT count(*) FROM e) UNION ALL SELECT printf('average length: %.4f', (SELECT avg(len) FROM pl)) UNION ALL SELECT printf('average degree: %.4f', (SELECT avg(deg)::DOUBLE FROM d)) UNION ALL SELECT 'degree distribution:' "
         "UNION ALL SELECT printf('  degree %d: %.4f', deg, count(*) / (SELECT count(*) FROM n)::DOUBLE) FROM d GROUP BY deg)",
     ),
+    "augmented_reports": f"SELECT {_i('o_custkey % 12 AS label')}, {_f('avg(o_totalprice / 1000) FILTER (o_orderkey % 7 <> 0) AS avg_nfd', 'avg(o_orderkey % 5) AS avg_degree')}, -1.0::DOUBLE AS avg_ricci FROM orders GROUP BY o_custkey % 12",
     "preview_bars": _q(SUPPLY, f"{_i('deg AS degree')}, {_f('k / max(k) OVER () AS bar')}, CASE WHEN k / t < 0.0005 THEN '<0.1%' ELSE printf('%.1f%%', 100 * (k / t)) END AS label FROM (SELECT deg, count(*)::DOUBLE AS k, (SELECT count(*) FROM d)::DOUBLE AS t FROM d GROUP BY deg)"),
+    "preview_cells": _q(
+        TRADE,
+        "printf('Nodes|%d|Edges|%d|Average degree|%.4f|Average edge length|%.4f', (SELECT count(*) FROM n), (SELECT count(*) FROM e), (SELECT avg(deg)::DOUBLE FROM d), (SELECT avg(len) FROM pl)) AS cells, deg::VARCHAR AS degree, "
+        "printf('%.1f%%', 100 * (count(*)::DOUBLE / (SELECT count(*) FROM d))) AS percent FROM d GROUP BY deg",
+    ),
     "export_order": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey * 31 % 1000 END::BIGINT AS generation, 'run/len_3_n' || CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey * 31 % 1000)::VARCHAR ELSE 'x' END || '_synthetic_network_' || o_orderkey || '_edgelist.csv' AS path FROM orders WHERE o_orderkey % 7 < 3",
     "every_kth_edge": _q(LATTICE, f"{_i('u', 'v')} FROM (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS k, greatest(1, count(*) OVER () // 400) AS step FROM e) WHERE k % step = 0"),
     "phase_summary": f"SELECT {_i('count(*) FILTER (error < 200) AS ok', 'count(*) FILTER (error >= 200) AS over_tolerance', '1000000 - count(*) AS failed')}, {_f('avg(error) AS mean_error')} FROM {_TRIALS}",

@@ -15,6 +15,8 @@ from ..frame import NetworkFrame
 from ..operators import components as C
 from ..operators import growth as Gr
 from ..operators import kernels as K
+from ..operators import multifractal as M
+from ..operators import paths
 from ..operators import ranking as R
 from ..operators import topology as T
 from ..operators import weights as W
@@ -36,6 +38,29 @@ def _pair(spark, d) -> NetworkFrame:
     return tables.read_pair(spark, f"{at}/trade_edgelist.csv", f"{at}/trade_positions.csv", "trade")
 
 
+@query
+def betweenness_trade(spark, d):
+    return _out(paths.betweenness(N.trade(spark, d).make_unweighted()), "node_id", "betweenness")
+
+
+@query
+def eigenvector_weighted(spark, d):
+    return _out(paths.eigenvector(N.trade(spark, d)), "node_id", "eigenvector")
+
+
+@query
+def centralities(spark, d):
+    """Dimension, closeness, degree and clustering of every node in one row."""
+    return _out(M.centralities(N.knn(spark, d)), "node_id degree", "dimension closeness clustering")
+
+
+@query
+def analysis_summary(spark, d):
+    """The full report without its curvature."""
+    r = M.analyse(N.knn(spark, d))
+    return _out(r.withColumn("n_q", F.size("tau_list")), "n_q diameter", "dim_diff holder_exp other_branch width assortativity avg_nfd avg_closeness avg_degree avg_clustering avg_betweenness avg_eigen")
+
+
 @query
 def csv_pair_edges(spark, d):
     return _out(_pair(spark, d).edges, "u v", "weight")
@@ -204,11 +229,29 @@ def report_text(spark, d):
     return sinks.report_lines(T.counts(net), T.attributes(net)).select("line")
 
 
+@query
+def augmented_reports(spark, d):
+    """Stored reports without averages get them; a list of a report may hold NaN."""
+    o = N.table(spark, d, "orders")
+    value = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice") / 1000)
+    stored = o.groupBy((F.col("o_custkey") % 12).alias("label")).agg(F.collect_list(value).alias("nfd_dist"), F.collect_list((F.col("o_orderkey") % 5).cast("double")).alias("degree_dist"))
+    return _out(M.augmented(M.augmented(stored)).fillna(-1.0, ["avg_ricci"]), "label", "avg_nfd avg_degree avg_ricci")
+
+
 @query
 def preview_bars(spark, d):
     return _out(sinks.preview(T.degree_distribution(N.supply(spark, d))), "degree", "bar", "label")
 
 
+@query
+def preview_cells(spark, d):
+    """The values that a preview shows, read back from its JSON."""
+    net = N.trade(spark, d)
+    j = sinks.preview_metrics(T.counts(net), T.attributes(net), T.degree_distribution(net))
+    m = F.from_json("metrics", "cells array<string>, distribution array<struct<degree:string,percent:string,bar:double>>")
+    return j.select(m.alias("m")).select(F.array_join("m.cells", "|").alias("cells"), F.explode("m.distribution").alias("d")).select("cells", "d.degree", "d.percent")
+
+
 @query
 def export_order(spark, d):
     o = N.table(spark, d, "orders").where("o_orderkey % 7 < 3")

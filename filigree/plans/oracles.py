@@ -82,7 +82,7 @@ gn AS (SELECT n.id, g, x, y FROM n JOIN seg ON seg.id = n.id),
 ge AS (SELECT u, v, a.g FROM e JOIN seg a ON a.id = u JOIN seg b ON b.id = v WHERE a.g = b.g),
 gs AS (SELECT u, v, g FROM ge UNION ALL SELECT v, u, g FROM ge)"""
 
-_FILES = "(SELECT 'run/' || o_orderkey || '/' || ['a_edgelist.csv','a_positions.csv','snapshots/snapshot_00010_positions.npy','report.csv','result.json','net.graphml.gz','figure.png','notes.txt'][1 + o_orderkey % 8] AS path, ['edgelist','positions','snapshots','analysis','analysis','network','image','other'][1 + o_orderkey % 8] AS kind FROM orders)"
+_FILES = "(SELECT 'run/' || o_orderkey || '/' || ['a_edgelist.csv','A_Positions.CSV','snapshots/snapshot_00010_positions.npy','spectra_analysis_figure.webp','result.json','net.graphml.gz','figure.PNG','snapshots_of_report.txt'][1 + o_orderkey % 8] AS path, ['edge_lists','positions','snapshots','analysis','other','networks','previews','other'][1 + o_orderkey % 8] AS kind FROM orders)"
 
 ORACLES: dict[str, str] = {
     "degree_distribution": _q(KNN, f"{_i('deg AS degree', 'n')}, {_f('n / sum(n) OVER () AS share')} FROM (SELECT deg, count(*) AS n FROM d GROUP BY deg)"),

@@ -349,7 +349,7 @@ def session_transitions(spark, d):
     return _out(t.withColumn("prob", F.col("n") / F.sum("n").over(Window.partitionBy("event_type"))), "n", "prob", "event_type next")
 
 
-_KINDS = ("a_edgelist.csv", "a_positions.csv", "snapshots/snapshot_00010_positions.npy", "report.csv", "result.json", "net.graphml.gz", "figure.png", "notes.txt")
+_KINDS = ("a_edgelist.csv", "A_Positions.CSV", "snapshots/snapshot_00010_positions.npy", "spectra_analysis_figure.webp", "result.json", "net.graphml.gz", "figure.PNG", "snapshots_of_report.txt")
 
 
 def _files(spark, d):

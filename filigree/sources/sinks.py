@@ -186,6 +186,18 @@ def preview(shares: DataFrame) -> DataFrame:
     return shares.join(top, "graph_id").select("graph_id", "degree", label.alias("label"), bar.alias("bar"))
 
 
+def preview_metrics(counts: DataFrame, attributes: DataFrame, shares: DataFrame) -> DataFrame:
+    """(graph_id, metrics): what a preview shows of a network, as JSON: cells of labels and values, and the degree bars."""
+    cells = F.array(
+        F.lit("Nodes"), F.format_string("%,d", "node_count"), F.lit("Edges"), F.format_string("%,d", "edge_count"),
+        F.lit("Average degree"), F.format_string("%.4f", "average_degree"), F.lit("Average edge length"), F.format_string("%.4f", "average_length"),
+    )
+    bars = preview(shares).groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct(F.col("degree").cast("long").alias("at"), F.col("label").alias("percent"), "bar"))).alias("bars"))
+    rows = F.transform(F.coalesce("bars", F.array().cast("array<struct<at:bigint,percent:string,bar:double>>")), lambda b: F.struct(b["at"].cast("string").alias("degree"), b.percent.alias("percent"), b.bar.alias("bar")))
+    j = counts.join(attributes.select("graph_id", "average_degree", "average_length"), "graph_id").join(bars, "graph_id", "left")
+    return j.select("graph_id", F.to_json(F.struct(cells.alias("cells"), rows.alias("distribution"))).alias("metrics"))
+
+
 def report_lines(counts: DataFrame, attributes: DataFrame) -> DataFrame:
     """(graph_id, line): counts, averages and the degree distribution as text."""
     j = counts.join(attributes, "graph_id")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -111,9 +113,10 @@ def from_triples(nodes: DataFrame, cells: DataFrame, transpose: bool = True) ->
 
 
 def listed(spark: SparkSession, folder: str) -> list[str]:
-    """Files under a folder, by Spark's own readers, so any store works."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return sorted(r[0] for r in df.select("path").collect())
+    """Files under a folder of any store that Spark's file systems reach; a folder of parts is one file."""
+    from .sinks import outputs
+
+    return [f"{folder.rstrip('/')}/{f}" for f in outputs(spark, folder)]
 
 
 def datasets(paths: list[str]) -> dict[str, tuple[str, ...]]:
@@ -139,16 +142,96 @@ def datasets(paths: list[str]) -> dict[str, tuple[str, ...]]:
     return found
 
 
+def _owners(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """(file, graph_id): whose file each path is, as Spark names it; one row a file."""
+    conf = spark._jsc.hadoopConfiguration()
+
+    def named(path: str) -> str:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return re.sub("^file:/+", "file:/", p.getFileSystem(conf).makeQualified(p).toUri().toString())
+
+    return spark.createDataFrame([(named(path), graph) for graph, path in files.items()], "file string, graph_id string")
+
+
+def _owned(df: DataFrame, owners: DataFrame) -> DataFrame:
+    """df with ``graph_id`` by the file that a row is from (a folder of parts is a file) and ``_at``, its place there."""
+    df = df.select("*", F.regexp_replace(F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", ""), "^file:/+", "file:/").alias("file"), F.monotonically_increasing_id().alias("_at"))
+    return df.join(F.broadcast(owners), "file")
+
+
+def _cells(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """(graph_id, file, head, cells, row_no) of many small CSV files in one scan; rows of blank cells are left out."""
+    lines = _owned(spark.read.text(list(files.values())), _owners(spark, files))
+    cells = F.transform(F.split("value", ","), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    rows = lines.select("graph_id", "file", "_at", cells.alias("cells")).where(F.exists("cells", lambda c: F.trim(c) != ""))
+    w = Window.partitionBy("graph_id").orderBy("_at")
+    rows = rows.withColumns({"row_no": F.row_number().over(w).cast("long") - 2, "head": F.first("cells").over(w)})
+    return rows.where("row_no >= 0").withColumn("head", F.transform("head", lambda c: F.lower(F.trim(c))))
+
+
+def _cell(aliases: tuple[str, ...], kind: str, required: bool = True):
+    """The number in the column that an alias names; the first alias wins."""
+    at = F.coalesce(*(F.when(F.array_position("head", a) > 0, F.array_position("head", a)) for a in aliases)).cast("int")
+    text = F.get("cells", at - 1)
+    none = F.raise_error(F.concat("file", F.lit(f": no column {' / '.join(aliases)}"))).cast(kind) if required else F.lit(None).cast(kind)
+    bad = F.raise_error(F.concat(F.col("file"), F.lit(": line "), (F.col("row_no") + 2).cast("string"), F.lit(": bad number "), F.coalesce(text, F.lit("")))).cast(kind)
+    value = text.try_cast("double")
+    return F.when(at.isNull(), none).when(value.isNull(), bad).otherwise(value.cast(kind))
+
+
+def read_pairs(spark: SparkSession, files: dict[str, tuple[str, str]]) -> NetworkFrame:
+    """Many CSV pairs (edges, positions) as one frame, by one scan of each side; the rules are read_pair's."""
+    at = _cells(spark, {g: p for g, (_, p) in files.items()})
+    x, y = _cell(S.X_ALIASES, "double"), _cell(S.Y_ALIASES, "double")
+    flip = F.col("file").endswith("_NodePositions.csv")
+    nodes = at.select("graph_id", F.col("row_no").alias("node_id"), F.when(flip, y).otherwise(x).alias("x"), F.when(flip, x).otherwise(y).alias("y"))
+    lines = _cells(spark, {g: e for g, (e, _) in files.items()})
+    edges = lines.select("graph_id", _cell(S.SOURCE_ALIASES, "long").alias("u"), _cell(S.TARGET_ALIASES, "long").alias("v"), _cell(S.WEIGHT_ALIASES, "double", False).alias("weight"), F.col("row_no").alias("edge_ix"))
+    n = nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
+    checked = edges.join(n, "graph_id", "left")
+    inside = (F.least("u", "v") >= 0) & (F.greatest("u", "v") < F.coalesce("n", F.lit(0)))
+    missing = F.raise_error(F.concat("graph_id", F.lit(": an edge's node is not among the positions"))).cast("long")
+    edges = checked.withColumn("u", F.when(inside, F.col("u")).otherwise(missing)).drop("n")
+    weighted = lines.where(~F.arrays_overlap("head", F.array(*map(F.lit, S.WEIGHT_ALIASES)))).isEmpty() and not lines.isEmpty()
+    net = NetworkFrame(nodes, canonical(edges, "last", loops=True), weighted)
+    return net.checked() if weighted else net.make_unweighted()
+
+
+def read_graphmls(spark: SparkSession, files: dict[str, str]) -> NetworkFrame:
+    """Many GraphML files as one frame, by one scan of their nodes and one of their edges."""
+    owners = _owners(spark, files)
+    pick = lambda key: F.get(F.filter("data", lambda d: d["_key"].isin(*key)), 0)["_VALUE"].cast("double")
+    xml = lambda tag, ddl: _owned(spark.read.format("xml").option("rowTag", tag).schema(ddl).load(list(files.values())), owners)
+    nodes = xml("node", GRAPHML_NODE)
+    missing = F.raise_error(F.concat("file", F.lit(": a node has no x or y"))).cast("double")
+    where = {c: F.coalesce(pick((f"v_{c}", c)), missing) for c in "xy"}
+    row = F.row_number().over(Window.partitionBy("graph_id").orderBy("_at")).cast("long") - 1
+    nodes = nodes.select("graph_id", "_id", row.alias("node_id"), where["x"].alias("x"), where["y"].alias("y"))
+    end = lambda key, name: nodes.select("graph_id", F.col("_id").alias(key), F.col("node_id").alias(name))
+    raw = xml("edge", GRAPHML_EDGE).withColumn("weight", pick(("e_weight", "weight")))
+    e = raw.join(end("_source", "u"), ["graph_id", "_source"]).join(end("_target", "v"), ["graph_id", "_target"])
+    e = e.select("graph_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "weight")
+    per = e.groupBy("graph_id").agg(F.count("weight").alias("n"))
+    weighted = per.where("n = 0").isEmpty() and not per.isEmpty()
+    net = NetworkFrame(nodes.drop("_id"), e, weighted)
+    return net.checked() if weighted else replace(net, edges=e.withColumn("weight", F.lit(None).cast("double")))
+
+
+def first_network(net: NetworkFrame) -> NetworkFrame:
+    """The network with the smallest name alone, where a file must hold one."""
+    first = net.nodes.agg(F.min("graph_id").alias("graph_id"))
+    return replace(net, nodes=net.nodes.join(F.broadcast(first), "graph_id"), edges=net.edges.join(F.broadcast(first), "graph_id"))  # one row
+
+
 def load_set(spark: SparkSession, files: dict[str, tuple[str, ...]], largest: bool = True) -> NetworkFrame:
-    """Many datasets as one frame, graph_id being the dataset's name; GraphML files if there are any, else CSV pairs."""
-    xml = {k: v for k, v in files.items() if len(v) == 1}
-    nets = [read_graphml(spark, v[0], k) if len(v) == 1 else read_pair(spark, *v, k) for k, v in sorted((xml or files).items())]
-    if not nets:
+    """Many datasets as one frame, graph_id being the dataset's name; GraphML files if there are any, else CSV pairs.
+
+    However many they are, a side is one scan; the set is weighted if all of its networks are.
+    """
+    if not files:
         raise ValueError("no networks found")
-    nodes, edges = nets[0].nodes, nets[0].edges
-    for n in nets[1:]:
-        nodes, edges = nodes.unionByName(n.nodes), edges.unionByName(n.edges)
-    net = NetworkFrame(nodes, edges, all(n.weighted for n in nets))
+    xml = {k: v[0] for k, v in files.items() if len(v) == 1}
+    net = read_graphmls(spark, xml) if xml else read_pairs(spark, files)
     return largest_component(net, renumber=True) if largest else net
 
 

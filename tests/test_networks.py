@@ -343,6 +343,22 @@ def test_components_by_tasks_and_by_joins_agree(spark, monkeypatch, local):
     assert {x.node_id: x.label for x in C.components(n).collect()} == want
 
 
+@pytest.mark.parametrize("target", [1.2, 1.6, 2.4, 9.0])
+def test_trimming_in_tasks_and_by_joins_agrees(spark, monkeypatch, target):
+    import random
+
+    r = random.Random(5)
+    edges = sorted({tuple(sorted((r.randrange(40), r.randrange(40)))) for _ in range(110)})
+    n = net(spark, 42, [e for e in edges if e[0] != e[1]], weights=[1 + i for i in range(len([e for e in edges if e[0] != e[1]]))])
+    goal = spark.createDataFrame([("g", target)], "graph_id string, target_degree double")
+    got = []
+    for local in (2_000_000, 0):
+        monkeypatch.setattr(C, "LOCAL_EDGES", local)
+        t = C.trim(n, goal)
+        got.append((values(t.nodes, "node_id", "x", "y"), values(t.edges, "u", "v", "weight")))
+    assert got[0] == got[1] and 2 * len(got[0][1]) / len(got[0][0]) <= 1.1 * target
+
+
 def test_chunks_of_sources_fold(spark):
     n = chain(spark, 9)
     whole = {x.node_id: x.betweenness for x in P.betweenness(n).collect()}

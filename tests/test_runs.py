@@ -103,6 +103,26 @@ def test_folders(spark, tmp_path):
     assert T.counts(many).count() == 2 and {r.node_count for r in T.counts(many).collect()} == {3}
 
 
+def test_many_pairs_in_one_scan(spark, tmp_path):
+    put(tmp_path, "a_edgelist.csv", " TO ,From,edge_weight\n1.0,0,2.5\n , , \n0,1,3.5\n2,2,1\n")
+    put(tmp_path, "a_positions.csv", "pos_x,POS_Y,note\n1,2,a\n3,4,b\n5,6,c")
+    put(tmp_path, "b_EdgeList.csv", "Weight,Source,Target\n4,0,1\n")
+    put(tmp_path, "b_NodePositions.csv", "x,y\n1,2\n3,4\n")
+    files = tables.datasets([str(tmp_path / f) for f in os.listdir(tmp_path)])
+    many = tables.load_set(spark, files, largest=False)
+    assert many.weighted
+    for g, pair in files.items():
+        one = tables.read_pair(spark, *pair)
+        mine = lambda df: df.where(F.col("graph_id") == g)  # noqa: E731, B023
+        assert values(mine(many.nodes), "node_id", "x", "y") == values(one.nodes, "node_id", "x", "y")
+        assert values(mine(many.edges), "u", "v", "weight") == values(one.edges, "u", "v", "weight")
+    for name, text, said in (("c_edgelist.csv", "source,target\n0,9\n", "not among"), ("c_edgelist.csv", "source,target\n0,q\n", "line 2"), ("c_edgelist.csv", "a,b\n0,0\n", "no column")):
+        put(tmp_path, name, text)
+        put(tmp_path, "c_positions.csv", "x,y\n1,2\n")
+        with pytest.raises(Exception, match=said):
+            tables.load_set(spark, tables.datasets([str(tmp_path / f) for f in os.listdir(tmp_path)]), largest=False).edges.collect()
+
+
 def test_manifest_and_log(spark, tmp_path):
     for name in ("a_edgelist.csv", "a_positions.csv", "report.csv", "notes.txt"):
         put(tmp_path, name, "x")
