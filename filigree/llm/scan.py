@@ -31,9 +31,11 @@ _SALTS = (0x2545F4914F6CDD1D, 0xA0761D6478BD642F)
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x.astype(U64) ^ U64(salt)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> U64(shift)
+        x *= U64(factor)
+    x ^= x >> U64(31)
+    return x
 
 
 class _Powers:
@@ -61,7 +63,8 @@ def prefix_hash(values: np.ndarray, powers: _Powers) -> np.ndarray:
     """P with P[i] = sum of values[j] * base**j over j < i, modulo 2**64."""
     up, _ = powers.get(len(values))
     out = np.zeros(len(values) + 1, U64)
-    np.cumsum(values.astype(U64) * up[: len(values)], dtype=U64, out=out[1:])
+    np.multiply(values, up[: len(values)], out=out[1:], dtype=U64, casting="unsafe")
+    np.cumsum(out[1:], out=out[1:])
     return out
 
 
@@ -71,6 +74,16 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _
     return (prefix[end] - prefix[start]) * down[start]
 
 
+def rolling_hash(prefix: np.ndarray, width: int, powers: _Powers) -> np.ndarray:
+    """range_hash of every whole run of ``width``, without gathering."""
+    n = len(prefix) - width
+    if n <= 0:
+        return np.zeros(0, U64)
+    out = prefix[width:] - prefix[:n]
+    out *= powers.get(len(prefix))[1][:n]
+    return out
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -145,8 +158,7 @@ def windows(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
         return np.zeros(0, U64)
     powers = _word_powers[which]
     prefix = prefix_hash(mix(values, _SALTS[which]), powers)
-    i = np.arange(len(values) - k + 1)
-    return mix(range_hash(prefix, i, i + k, powers), _SALTS[which] ^ k)
+    return mix(rolling_hash(prefix, k, powers), _SALTS[which] ^ k)
 
 
 def window_starts(first: np.ndarray, k: int) -> np.ndarray:
@@ -179,9 +191,14 @@ _PLACE = U64((1 << 24) - 1)
 def least_at(values: np.ndarray, w: int) -> np.ndarray:
     """Place of the (leftmost) least of values[i:i+w] for every whole window, by the values' high bits."""
     i = np.arange(len(values), dtype=U64)
-    least = sliding_min((values & ~_PLACE) | (i & _PLACE), w)
+    packed = values & ~_PLACE
+    packed |= i & _PLACE
+    least = sliding_min(packed, w)
     i = i[: len(least)]
-    return (i + ((least - i) & _PLACE)).astype(np.int64)
+    out = least - i
+    out &= _PLACE
+    out += i
+    return out.view(np.int64)
 
 
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .census import with_group
-from .scan import U64, _Powers, least_at, mix, prefix_hash, range_hash, text_buffer, window_starts
+from .scan import U64, _Powers, least_at, mix, prefix_hash, range_hash, rolling_hash, text_buffer, window_starts
 from .shared import pieces_for
 
 L, GRAM = 50, 20
@@ -60,11 +60,9 @@ class Group:
         self.ids = np.array(self.table.column("doc_id").fill_null(NULL_ID), np.int64)
         self.data, self.offsets = text_buffer(self.table.column("text"))
         self.at = window_starts(self.offsets, L)
-        n = len(self.data)
+        self.prefixes: dict[int, np.ndarray] = {}
         if len(self.at):
-            prefix = prefix_hash(self.data, _powers[0])
-            i = np.arange(n - GRAM + 1)
-            grams = mix(range_hash(prefix, i, i + GRAM, _powers[0]))
+            grams = mix(rolling_hash(prefix_hash(self.data, _powers[0]), GRAM, _powers[0]))
             trigger = least_at(grams, L - GRAM + 1)[self.at]
             new = np.ones(len(trigger), bool)
             new[1:] = (trigger[1:] != trigger[:-1]) | (np.diff(self.at) != 1)
@@ -73,13 +71,14 @@ class Group:
             self.trigger = grams[trigger[new]]
             self.begin = self.at[self.head]
             self.doc = np.searchsorted(self.offsets, self.begin, "right") - 1
-            self.prefixes = [prefix_hash(self.data, p) for p in _powers[1:]]
             self.mark = self.hash_of(0, self.begin, self.begin + self.count + L - 1) ^ mix(self.count, 5)
         else:
             self.head = self.count = self.begin = self.doc = np.zeros(0, np.int64)
             self.trigger = self.mark = np.zeros(0, U64)
 
     def hash_of(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if which not in self.prefixes:
+            self.prefixes[which] = prefix_hash(self.data, _powers[1 + which])
         return mix(range_hash(self.prefixes[which], start, end, _powers[1 + which]), 11 + which)
 
     def dictionary(self) -> tuple[np.ndarray, np.ndarray]:
