@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..frame import NetworkFrame
 from ..session import cut
 from .kernels import smallest_reachable, trimmed
-from .topology import counts, induced, trim_round
+from .topology import counts, crop, induced, trim_round
 
 #: Edges of one graph that a task may hold; larger graphs go through joins.
 LOCAL_EDGES = 2_000_000
@@ -100,6 +100,11 @@ def largest_component(net: NetworkFrame, renumber: bool = False) -> NetworkFrame
     return induced(net, label.join(best, ["graph_id", "label"], "left_semi"), renumber)
 
 
+def cropped_component(net: NetworkFrame, frames: DataFrame) -> NetworkFrame:
+    """The largest component of what lies inside each graph's frame."""
+    return largest_component(crop(net, frames))
+
+
 def trim(net: NetworkFrame, target: DataFrame, slack: float = 1.1) -> NetworkFrame:
     """Rounds of trimming and largest component until no graph's average degree is above slack * target.
 

@@ -32,6 +32,8 @@ eig AS (SELECT id, x FROM it WHERE k = 3000)"""
 _NFD = "nfd AS (SELECT src, CASE WHEN count(*) > 2 THEN regr_slope(ln(inside), ln(r)) ELSE 0.0 END AS x FROM (SELECT src, r, 1 + sum(cnt) OVER (PARTITION BY src ORDER BY r) AS inside FROM ball) GROUP BY src)"
 _CLOSE = "clo AS (SELECT src, (count(*) - 1)::DOUBLE / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM n) - 1) AS x FROM hop GROUP BY src)"
 
+_TRIALS_ERROR, _TRIALS_RATE = "error, success_rate DESC, node_factor, o_orderkey", "success_rate DESC, error, node_factor, o_orderkey"
+
 SQL = {
     "betweenness": _q(KNN, f"{_i('id AS node_id')}, {_f('b AS betweenness')} FROM btw", HOPS + _BETWEEN),
     "betweenness_trade": _q(TRADE, f"{_i('id AS node_id')}, {_f('b AS betweenness')} FROM btw", HOPS + _BETWEEN),
@@ -88,6 +90,32 @@ SQL = {
         "UNION ALL SELECT printf('  degree %d: %.4f', deg, count(*) / (SELECT count(*) FROM n)::DOUBLE) FROM d GROUP BY deg)",
     ),
     "augmented_reports": f"SELECT {_i('o_custkey % 12 AS label')}, {_f('avg(o_totalprice / 1000) FILTER (o_orderkey % 7 <> 0) AS avg_nfd', 'avg(o_orderkey % 5) AS avg_degree')}, -1.0::DOUBLE AS avg_ricci FROM orders GROUP BY o_custkey % 12",
+    "spectra_points": _q(KNN, f"{_i('row_number() OVER (ORDER BY q) - 1 AS ix')}, {_f('alpha', 'f')}, 'own' AS label FROM spec", HOPS, 20),
+    "stream_degrees": _q(LATTICE, f"{_i('id AS node_id', 'deg AS degree')} FROM d WHERE deg > 0"),
+    "stream_progress": f"SELECT {_f('arg_max(event_id % 131, ts) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 40 = 0 AND event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
+    "cropped_component": _q(
+        LATTICE,
+        f"{_i('u', 'v')} FROM e2 WHERE u IN (SELECT id FROM lab2 WHERE label = (SELECT label FROM lab2 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1))",
+        """, f AS (SELECT avg(x) AS cx, avg(y) AS cy FROM n),
+inside AS MATERIALIZED (SELECT id FROM n, f WHERE x BETWEEN round(cx - 60, 2) AND round(cx + 60, 2) AND y BETWEEN round(cy - 45, 2) AND round(cy + 45, 2)),
+e2 AS MATERIALIZED (SELECT u, v FROM e WHERE u IN (SELECT id FROM inside) AND v IN (SELECT id FROM inside)),
+s2 AS MATERIALIZED (SELECT u, v FROM e2 UNION ALL SELECT v, u FROM e2),
+reach2(id, label) AS (SELECT id, id FROM inside UNION SELECT s2.v, r.label FROM reach2 r JOIN s2 ON s2.u = r.id WHERE r.label < s2.v),
+lab2 AS (SELECT id, min(label) AS label FROM reach2 GROUP BY id)""",
+    ),
+    "orientations": _q(
+        LATTICE,
+        f"{_i('id AS node_id')}, {_f('x0 + a AS x', 'y0 + b AS y')}, how FROM (SELECT id, x0, y0, 'none' AS how, dx AS a, dy AS b FROM t UNION ALL SELECT id, x0, y0, 'rot180', w - dx, h - dy FROM t UNION ALL SELECT id, x0, y0, 'rot270', dy, w - dx FROM t UNION ALL SELECT id, x0, y0, 'transpose', dy, dx FROM t)",
+        ", box AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM n), t AS (SELECT id, x0, y0, x - x0 AS dx, y - y0 AS dy, x1 - x0 AS w, y1 - y0 AS h FROM n, box)",
+    ),
+    "best_by_error": f"SELECT {_i('o_orderkey')}, {_f('error', 'success_rate')} FROM {_TRIALS} WHERE success_rate > 0 ORDER BY {_TRIALS_ERROR} LIMIT 15",
+    "best_by_success": f"SELECT {_i('o_orderkey')}, {_f('error', 'success_rate')} FROM {_TRIALS} WHERE success_rate > 0 ORDER BY {_TRIALS_RATE} LIMIT 7",
+    "closeness_weighted": _q(
+        TRADE,
+        f"{_i('id AS node_id')}, {_f('coalesce((count(*) FILTER (dst <> id))::DOUBLE / nullif(sum(d), 0) * (count(*) FILTER (dst <> id)) / ((SELECT count(*) FROM n) - 1), 0.0) AS closeness')} FROM n LEFT JOIN (SELECT src, dst, min(d) AS d FROM path GROUP BY src, dst) b ON b.src = n.id GROUP BY id",
+        ", path(src, dst, d, k) AS (SELECT id, id, 0.0::DOUBLE, 0 FROM n UNION SELECT src, dst, d, k FROM (SELECT p.src, s.v AS dst, min(p.d + 1 / s.w) AS d, p.k + 1 AS k FROM path p JOIN s ON s.u = p.dst WHERE p.k < 24 GROUP BY 1, 2, 4))",
+    ),
+    "ranking_report": f"SELECT distance AS metric_distance, rank::VARCHAR AS rank FROM ({ORACLES['rank_candidates']}) UNION ALL SELECT 0.0, 'original'",
     "preview_bars": _q(SUPPLY, f"{_i('deg AS degree')}, {_f('k / max(k) OVER () AS bar')}, CASE WHEN k / t < 0.0005 THEN '<0.1%' ELSE printf('%.1f%%', 100 * (k / t)) END AS label FROM (SELECT deg, count(*)::DOUBLE AS k, (SELECT count(*) FROM d)::DOUBLE AS t FROM d GROUP BY deg)"),
     "preview_cells": _q(
         TRADE,

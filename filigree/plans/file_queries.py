@@ -22,6 +22,7 @@ from ..operators import topology as T
 from ..operators import weights as W
 from ..session import shared_dir
 from ..sources import sinks, tables
+from ..streaming import progress
 from . import networks as N
 from . import pipelines as P
 from .queries import _out, _sample, _trials, query
@@ -238,6 +239,74 @@ def augmented_reports(spark, d):
     return _out(M.augmented(M.augmented(stored)).fillna(-1.0, ["avg_ricci"]), "label", "avg_nfd avg_degree avg_ricci")
 
 
+@query
+def spectra_points(spark, d):
+    """What a spectrum figure draws of an analysed set."""
+    return _out(P.spectra_table(P.analyse({"own": N.knn(spark, d)})), "ix", "alpha f", "label")
+
+
+@query
+def stream_degrees(spark, d):
+    """Degrees kept up over a stream of edges, read when it has seen all of them."""
+    at = _folder(spark)
+    e = N.lattice(spark, d).edges.select("graph_id", "u", "v")
+    e.write.parquet(at)
+    name = f"degrees_{uuid.uuid4().hex}"
+    stream = progress.degree_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(at))
+    q = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _out(spark.table(name), "node_id degree")
+
+
+@query
+def stream_progress(spark, d):
+    """The last progress of each run out of a stream of log files, some of whose lines are cut."""
+    at = _folder(spark)
+    e = N.table(spark, d, "events").where("event_id % 40 = 0")
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run_id"), F.col("event_type").alias("dataset"), (F.col("event_id") % 131).cast("double").alias("percent")))
+    e.select(F.when(F.col("event_id") % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).repartition(4).write.text(at)
+    name = f"progress_{uuid.uuid4().hex}"
+    q = progress.latest(progress.log_stream(spark, at)).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return _out(spark.table(name), "", "percent", "run_id dataset")
+
+
+@query
+def cropped_component(spark, d):
+    net = N.lattice(spark, d)
+    return _out(C.cropped_component(net, T.frame(net, 120.0, 90.0)).edges, "u v")
+
+
+@query
+def orientations(spark, d):
+    net, out = N.lattice(spark, d), None
+    for how in ("none", "rot180", "rot270", "transpose"):
+        turned = T.oriented(net, how).nodes.withColumn("how", F.lit(how))
+        out = turned if out is None else out.unionByName(turned)
+    return _out(out, "node_id", "x y", "how")
+
+
+@query
+def best_by_error(spark, d):
+    return _out(R.top(R.valid_trials(_trials(spark, d)).withColumn("edge_factor", F.col("o_orderkey")), "error"), "o_orderkey", "error success_rate")
+
+
+@query
+def best_by_success(spark, d):
+    return _out(R.top(R.valid_trials(_trials(spark, d)).withColumn("edge_factor", F.col("o_orderkey")), "success_rate", 7), "o_orderkey", "error success_rate")
+
+
+@query
+def closeness_weighted(spark, d):
+    return _out(paths.closeness(N.trade(spark, d).inverse_weights(), weighted=True), "node_id", "closeness")
+
+
+@query
+def ranking_report(spark, d):
+    measured, whole = T.metrics(_segments(spark, d)), T.metrics(N.lattice(spark, d))
+    return _out(R.ranking_report(measured, whole), "", "metric_distance", "rank")
+
+
 @query
 def preview_bars(spark, d):
     return _out(sinks.preview(T.degree_distribution(N.supply(spark, d))), "degree", "bar", "label")
