@@ -129,6 +129,19 @@ def hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Colum
     return let(let(given, bounds), drawn)
 
 
+def split_draws(have: Column, *key: Column) -> Column:
+    """have(rank, draws)[] -> how many draws of each source go to the left half: a multivariate-hypergeometric
+    draw of half of all draws (rounded up) that the key decides, as a chain of univariate ones."""
+
+    def take(acc: Column, x: Column) -> Column:
+        got = hypergeometric(x.draws, acc.rest - x.draws, acc.want, uniform(*key, x["rank"]))
+        return let(got, lambda got: F.struct((acc.rest - x.draws).alias("rest"), (acc.want - got).alias("want"), F.array_append(acc.got, got).alias("got")))
+
+    rest = F.aggregate(have, F.lit(0).cast("long"), lambda a, x: a + x.draws)
+    start = let(rest, lambda rest: F.struct(rest.alias("rest"), F.floor((rest + 1) / 2).cast("long").alias("want"), F.array().cast("array<bigint>").alias("got")))
+    return F.aggregate(have, start, take, lambda acc: acc.got)
+
+
 def splitting_tree(quotas: DataFrame, depth: int, m: Mix = Mix()) -> DataFrame:
     """quotas(rank, draws) -> (shard, rank, take) for 2**depth shards of equal draws.
 
@@ -137,16 +150,9 @@ def splitting_tree(quotas: DataFrame, depth: int, m: Mix = Mix()) -> DataFrame:
     nodes are dealt to all tasks.
     """
     nodes = quotas.where("draws > 0").agg(F.sort_array(F.collect_list(F.struct("rank", "draws"))).alias("have")).withColumn("node", F.lit(1).cast("long")).where(F.size("have") > 0)
-
-    def take(acc: Column, x: Column) -> Column:
-        got = hypergeometric(x.draws, acc.rest - x.draws, acc.want, uniform(F.lit(m.seed), F.col("node"), x["rank"]))
-        return let(got, lambda got: F.struct((acc.rest - x.draws).alias("rest"), (acc.want - got).alias("want"), F.array_append(acc.got, got).alias("got")))
-
-    rest = F.aggregate("have", F.lit(0).cast("long"), lambda a, x: a + x.draws)
-    start = let(rest, lambda rest: F.struct(rest.alias("rest"), F.floor((rest + 1) / 2).cast("long").alias("want"), F.array().cast("array<bigint>").alias("got")))
     half = lambda left, f: F.transform("have", lambda x, i: F.struct(x["rank"].alias("rank"), f(x, F.get(left, i)).alias("draws")))
     children = let(
-        F.aggregate("have", start, take, lambda acc: acc.got),
+        split_draws(F.col("have"), F.lit(m.seed), F.col("node")),
         lambda left: F.array(
             F.struct((F.col("node") * 2).alias("node"), half(left, lambda x, got: got).alias("have")),
             F.struct((F.col("node") * 2 + 1).alias("node"), half(left, lambda x, got: x.draws - got).alias("have")),

@@ -156,17 +156,19 @@ def test_splitting_tree_draws_are_multivariate_hypergeometric(spark):
     from math import comb
 
     quotas = spark.createDataFrame([(1, 5), (2, 4), (3, 3)], "rank int, draws long")
-    counts = {}
-    for seed in range(60):
+    for seed in range(4):
         got = {}
         for r in mixing.splitting_tree(quotas, 1, mixing.Mix(seed=seed)).collect():
             got.setdefault(r.shard, {})[r["rank"]] = r["take"]
         assert {sum(x.values()) for x in got.values()} == {6}
         assert [sum(x.get(k, 0) for x in got.values()) for k in (1, 2, 3)] == [5, 4, 3]
-        key = tuple(got[0].get(k, 0) for k in (1, 2, 3))
-        counts[key] = counts.get(key, 0) + 1
-    want = {k: 60 * comb(5, k[0]) * comb(4, k[1]) * comb(3, k[2]) / comb(12, 6) for k in product(range(6), range(5), range(4)) if sum(k) == 6}
-    big = {k: e for k, e in want.items() if e >= 3}
+    n = 4000
+    have = quotas.agg(F.sort_array(F.collect_list(F.struct("rank", "draws"))).alias("have"))
+    draws = spark.range(n).crossJoin(have).select(mixing.split_draws(F.col("have"), F.col("id")).alias("left"))
+    counts = {tuple(r.left): r["count"] for r in draws.groupBy("left").count().collect()}
+    want = {k: n * comb(5, k[0]) * comb(4, k[1]) * comb(3, k[2]) / comb(12, 6) for k in product(range(6), range(5), range(4)) if sum(k) == 6}
+    assert set(counts) <= set(want) and sum(counts.values()) == n
+    big = {k: e for k, e in want.items() if e > 5}
     chi = sum((counts.get(k, 0) - e) ** 2 / e for k, e in big.items())
     assert chi < len(big) + 4 * (2 * len(big)) ** 0.5
 
