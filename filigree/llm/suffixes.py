@@ -44,7 +44,7 @@ from .scan import U64, _Powers, least_at, mix, prefix_hash, range_hash, rolling_
 from .shared import pieces_for
 
 L, GRAM = 50, 20
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 3 << 19
 #: Phrases of one trigger in one group, and groups with a trigger, above which its phrases are cut into strings.
 HOT, HOT_GROUPS = 256, 4096
 NULL_ID = np.iinfo(np.int64).min
