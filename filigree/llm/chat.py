@@ -18,7 +18,7 @@ Spark string holds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, TURN, NEWLINE = "<|im_start|>", "<|im_end|>\n", "<|turn|>", "<|nl|>"
@@ -42,11 +42,19 @@ def unescape_role(role: Column) -> Column:
 
 def format_chats(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learned: str = "assistant") -> DataFrame:
     """(key, formatted, loss_spans): spans are [start, length) in code points of the escaped texts of ``learned`` turns."""
-    turns = rows.select(F.col(key).alias("key"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
-    turns = turns.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    head = lambda role: F.concat(F.lit(START), escape_role(role), F.lit("\n"))
+    given = rows.select(F.col(key).alias("key"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    # Where each text begins: running sums over the turns in order, which the collecting below finds dealt by key already.
+    order = Window.partitionBy("key").orderBy("turn", "role", "text")
+    before = F.lag("role").over(order)
+    opens = F.length(head(F.col("role"))) + F.when(before.isNull(), 0).otherwise(len(END))
+    gap = F.when(before == F.col("role"), len(TURN)).otherwise(opens)
+    sized = given.withColumns({"gap": gap.cast("long"), "size": F.length(escape(F.col("text"))).cast("long")})
+    placed = sized.withColumn("start", F.sum(F.col("gap") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    turns = placed.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "start", "size"))).alias("turns"))
     at = F.sequence(F.lit(0), F.size("turns") - 1)
-    opens = F.filter(at, lambda i: (i == 0) | (F.get("turns", i).role != F.get("turns", i - 1).role))
-    merged = turns.withColumn("opens", opens).withColumn(
+    first = F.filter(at, lambda i: (i == 0) | (F.get("turns", i).role != F.get("turns", i - 1).role))
+    merged = turns.withColumn("opens", first).withColumn(
         "messages",
         F.transform(
             F.col("opens"),
@@ -56,31 +64,8 @@ def format_chats(rows: DataFrame, key: str = "conv_id", turn: str = "turn", role
             ),
         ),
     )
-    head = lambda m: F.concat(F.lit(START), escape_role(m.role), F.lit("\n"))
-    body = F.transform("messages", lambda m: F.concat(head(m), F.array_join(m.texts, TURN), F.lit(END)))
-    # Each text with what stands before it, in order: the spans are running sums over these.
-    parts = F.flatten(
-        F.transform(
-            "messages",
-            lambda m, k: F.transform(
-                m.texts,
-                lambda t, j: F.struct(
-                    F.when(j > 0, F.lit(len(TURN))).otherwise(F.length(head(m)) + F.when(k > 0, F.lit(len(END))).otherwise(0)).cast("long").alias("gap"),
-                    F.length(t).cast("long").alias("size"),
-                    (m.role == learned).alias("learned"),
-                ),
-            ),
-        )
-    )
-    spans = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc.at + p.gap + p.size).alias("at"),
-            F.when(p.learned, F.array_append(acc.spans, F.struct((acc.at + p.gap).alias("start"), p["size"].alias("length")))).otherwise(acc.spans).alias("spans"),
-        ),
-        lambda acc: acc.spans,
-    )
+    body = F.transform("messages", lambda m: F.concat(head(m.role), F.array_join(m.texts, TURN), F.lit(END)))
+    spans = F.transform(F.filter("turns", lambda t: t.role == learned), lambda t: F.struct(t.start.alias("start"), t["size"].alias("length")))
     return merged.select(F.col("key").alias(key), F.array_join(body, "").alias("formatted"), spans.alias("loss_spans"))
 
 
