@@ -78,4 +78,20 @@ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id WHERE r.c < e.b)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, m.c AS component_id, m.c = n.doc_id AS kept FROM n JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = n.doc_id"""
 
-ORACLES = {"op1_chat_format": OP1, "op2_url_reputation": OP2, "op3_relative_lz_dedup": OP3, "op5_prefix_free_dedup": OP5, "op7_fast_sketch_dedup": OP7}
+OP11 = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT id, lang, source, term, count(*) AS n FROM (SELECT id, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term FROM t GROUP BY lang, term HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT lang, source, coalesce(any_value(v), 0) AS v FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) GROUP BY lang, source),
+c AS MATERIALIZED (SELECT g.lang, g.source, term, coalesce(sum(n), 0)::HUGEINT AS n FROM g JOIN k USING (lang) LEFT JOIN t USING (lang, source, term) GROUP BY ALL),
+p AS MATERIALIZED (SELECT c.*, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM c JOIN g USING (lang, source)),
+q AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term) JOIN v USING (lang)),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+r AS (SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pair
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50"""
+
+ORACLES = {"op11_shard_divergence": OP11, "op1_chat_format": OP1, "op2_url_reputation": OP2, "op3_relative_lz_dedup": OP3, "op5_prefix_free_dedup": OP5, "op7_fast_sketch_dedup": OP7}
