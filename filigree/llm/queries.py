@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, divergence, fingerprints, html, mixing, packing, quality, sketches, substrings, suffixes, urls, whitening
+from . import chat, divergence, fingerprints, flatgraph, html, mixing, packing, quality, sketches, substrings, suffixes, urls, whitening
 
 #: Fixed values of the contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -85,10 +85,14 @@ def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_flat_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_reputation, op3_relative_lz_dedup, op4_compression_quality, op5_prefix_free_dedup, op6_bm25_packing, op7_fast_sketch_dedup, op8_consensus_html, op9_hypergeometric_mix, op10_chunk_fingerprints, op11_shard_divergence, op12_jacobi_whitening, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_reputation, op3_relative_lz_dedup, op4_compression_quality, op5_prefix_free_dedup, op6_bm25_packing, op7_fast_sketch_dedup, op8_consensus_html, op9_hypergeometric_mix, op10_chunk_fingerprints, op11_shard_divergence, op12_jacobi_whitening, op13_flat_graph_dedup, pipeline)}
