@@ -123,10 +123,10 @@ def augmented(reports: DataFrame) -> DataFrame:
     return reports.withColumns({k: mean(v) for k, v in AVERAGES.items()})
 
 
-def analyse(net: NetworkFrame) -> DataFrame:
-    """The full report, one wide row a graph."""
+def analyse(net: NetworkFrame, full_band: bool = True) -> DataFrame:
+    """The full report, one wide row a graph; spectra over the full or the narrow band of q."""
     inverse = net.inverse_weights() if net.weighted else net
-    t = tau(paths.balls(net, net.weighted, 1 if net.weighted else 0), WIDE)
+    t = tau(paths.balls(net, net.weighted, 1 if net.weighted else 0), WIDE if full_band else NARROW)
     s, d = spectrum(t), dimensions(t)
     listed = lambda df, c, name: df.groupBy("graph_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("q").alias("at"), F.col(c).alias("value")))), lambda x: x.value).alias(name))
     means = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,15 +53,17 @@ GATES: dict[str, tuple[Gate, Callable[[NetworkFrame], DataFrame | None]]] = {
 }
 
 
-def gate(name: str) -> tuple[Gate, Callable]:
+def gate(name: str, full_band: bool = False) -> tuple[Gate, Callable]:
+    """A gate and what it measures of the original; the multifractal one over the narrow or the full band of q."""
     if name not in GATES:
         raise ValueError(f"unknown gate {name!r}; one of {sorted(GATES)}")
-    return GATES[name]
+    judge, feature = GATES[name]
+    return (partial(judge, full_band=full_band), partial(feature, full_band=full_band)) if name == "multifractal" else (judge, feature)
 
 
-def checked(net: NetworkFrame, original: NetworkFrame, name: str, tolerance: float) -> DataFrame:
+def checked(net: NetworkFrame, original: NetworkFrame, name: str, tolerance: float, full_band: bool = False) -> DataFrame:
     """(graph_id, error, passed): passed under the tolerance, strictly; without a gate always."""
-    judge, feature = gate(name)
+    judge, feature = gate(name, full_band)
     e = judge(net, feature(original))
     return e.withColumn("passed", F.lit(True) if name == "none" else F.col("error") < tolerance)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from .oracles import _DEG_PAIRS, _GROUPED, _TRIALS, HOPS, KNN, LABELS, LATTICE, ORACLES, SUPPLY, TRADE, _f, _i, _q
 
 _EDGES = f"{_i('u', 'v')}, {_f('w AS weight')} FROM e"
+_FEATURES = "(SELECT alpha FROM spec WHERE f >= (SELECT max(f) FROM spec) - 1e-9 ORDER BY q LIMIT 1) AS h, max(alpha) - min(alpha) AS wide FROM spec"
+_PLACED = f"{_f('x1', 'y1', 'x2', 'y2')}, round(({{w}})::DOUBLE, 6) AS weight, 'made/{{name}}' AS graph_id FROM pl"
 _GRID = f"(SELECT node_factor, edge_factor, max(error) AS error, min(success_rate) AS success_rate FROM {_TRIALS} GROUP BY 1, 2)"
 _CELLS = "c AS (SELECT o_custkey % 60 AS u, o_orderkey % 60 AS v, o_totalprice::DOUBLE AS w, o_orderkey AS k FROM orders)"
 #: The first of the rounds, and the factor by which the next one grows (1: by one more than the last).
@@ -59,6 +61,9 @@ SQL = {
         HOPS + _BETWEEN + _POWER + ", " + _NFD + ", " + _CLOSE,
         20,
     ),
+    "gate_multifractal_wide": f"SELECT {_f('sqrt((a.h - b.h) ** 2 + (a.wide - b.wide) ** 2) AS error')}, 'trade' AS graph_id, TRUE AS passed FROM ({_q(TRADE, _FEATURES, HOPS, 20)}) a, ({_q(KNN, _FEATURES, HOPS, 20)}) b",
+    "log_tail": f"SELECT {_i('count(*) AS n')}, {_f('sum(event_id % 131) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
+    "format_networks": f"SELECT * FROM ({_q(TRADE, _PLACED.format(name='trade', w='w'))}) UNION ALL SELECT * FROM ({_q(LATTICE, _PLACED.format(name='lattice', w='-1.0'))})",
     "csv_pair_edges": _q(TRADE, _EDGES),
     "csv_pair_positions": _q(TRADE, f"{_i('id AS node_id')}, {_f('x', 'y')} FROM n"),
     "graphml_edges": _q(TRADE, _EDGES),
@@ -92,7 +97,7 @@ SQL = {
     "augmented_reports": f"SELECT {_i('o_custkey % 12 AS label')}, {_f('avg(o_totalprice / 1000) FILTER (o_orderkey % 7 <> 0) AS avg_nfd', 'avg(o_orderkey % 5) AS avg_degree')}, -1.0::DOUBLE AS avg_ricci FROM orders GROUP BY o_custkey % 12",
     "spectra_points": _q(KNN, f"{_i('row_number() OVER (ORDER BY q) - 1 AS ix')}, {_f('alpha', 'f')}, 'own' AS label FROM spec", HOPS, 20),
     "stream_degrees": _q(LATTICE, f"{_i('id AS node_id', 'deg AS degree')} FROM d WHERE deg > 0"),
-    "stream_progress": f"SELECT {_f('arg_max(event_id % 131, ts) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 40 = 0 AND event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
+    "stream_progress": f"SELECT {_f('arg_max(event_id % 131, ts) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
     "cropped_component": _q(
         LATTICE,
         f"{_i('u', 'v')} FROM e2 WHERE u IN (SELECT id FROM lab2 WHERE label = (SELECT label FROM lab2 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1))",
@@ -122,7 +127,7 @@ lab2 AS (SELECT id, min(label) AS label FROM reach2 GROUP BY id)""",
         "printf('Nodes|%d|Edges|%d|Average degree|%.4f|Average edge length|%.4f', (SELECT count(*) FROM n), (SELECT count(*) FROM e), (SELECT avg(deg)::DOUBLE FROM d), (SELECT avg(len) FROM pl)) AS cells, deg::VARCHAR AS degree, "
         "printf('%.1f%%', 100 * (count(*)::DOUBLE / (SELECT count(*) FROM d))) AS percent FROM d GROUP BY deg",
     ),
-    "export_order": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey * 31 % 1000 END::BIGINT AS generation, 'run/len_3_n' || CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey * 31 % 1000)::VARCHAR ELSE 'x' END || '_synthetic_network_' || o_orderkey || '_edgelist.csv' AS path FROM orders WHERE o_orderkey % 7 < 3",
+    "export_order": "SELECT CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey * 31 % 1000 END::BIGINT AS generation, 'run/len_3_n' || CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey * 31 % 1000)::VARCHAR ELSE 'x' END || '_synthetic_network_' || o_orderkey || '_edgelist.csv' AS path FROM orders",
     "every_kth_edge": _q(LATTICE, f"{_i('u', 'v')} FROM (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS k, greatest(1, count(*) OVER () // 400) AS step FROM e) WHERE k % step = 0"),
     "phase_summary": f"SELECT {_i('count(*) FILTER (error < 200) AS ok', 'count(*) FILTER (error >= 200) AS over_tolerance', '1000000 - count(*) AS failed')}, {_f('avg(error) AS mean_error')} FROM {_TRIALS}",
     "metric_lines": _q(LATTICE, "printf('nodes=%d  avg_deg=%.2f  clust=%.4f  length=%.2f  angle=%.2f', node_count, avg_degree::DOUBLE, avg_clustering::DOUBLE, avg_length::DOUBLE, avg_angle::DOUBLE) AS line FROM met"),

@@ -21,8 +21,8 @@ from ..operators import ranking as R
 from ..operators import topology as T
 from ..operators import weights as W
 from ..session import shared_dir
-from ..sources import sinks, tables
-from ..streaming import progress
+from ..sources import network_format, sinks, tables
+from ..streaming import progress, tail
 from . import networks as N
 from . import pipelines as P
 from .queries import _out, _sample, _trials, query
@@ -262,7 +262,7 @@ def stream_degrees(spark, d):
 def stream_progress(spark, d):
     """The last progress of each run out of a stream of log files, some of whose lines are cut."""
     at = _folder(spark)
-    e = N.table(spark, d, "events").where("event_id % 40 = 0")
+    e = N.table(spark, d, "events")
     line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run_id"), F.col("event_type").alias("dataset"), (F.col("event_id") % 131).cast("double").alias("percent")))
     e.select(F.when(F.col("event_id") % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value")).repartition(4).write.text(at)
     name = f"progress_{uuid.uuid4().hex}"
@@ -271,6 +271,43 @@ def stream_progress(spark, d):
     return _out(spark.table(name), "", "percent", "run_id dataset")
 
 
+@query
+def log_tail(spark, d):
+    """Messages and progress of each run from logs tailed by byte offset: the stream ends, the logs grow, and it goes on from its checkpoint."""
+    at, out = _folder(spark), _folder(spark)
+    e = N.table(spark, d, "events")
+    line = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.concat(F.lit("run"), (F.col("user_id") % 20).cast("string")).alias("run_id"), F.col("event_type").alias("dataset"), (F.col("event_id") % 131).cast("double").alias("percent")))
+    lines = e.select("event_id", F.when(F.col("event_id") % 17 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"))
+    for turn in range(2):
+        lines.where(F.col("event_id") % 2 == turn).select("value").repartition(4).write.text(f"{at}/logs/{turn}")
+        q = progress.parsed(tail.log_lines(spark, f"{at}/logs", ".txt")).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{at}/check").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    log = spark.read.parquet(out)
+    return _out(log.groupBy("run_id", "dataset").agg(F.count("*").alias("n"), F.sum("percent").alias("percent")), "n", "percent", "run_id dataset")
+
+
+@query
+def format_networks(spark, d):
+    """Two networks written by one job each, a CSV pair and a compressed GraphML file, and read back in one plan."""
+    at = _folder(spark)
+    for net, form in ((N.trade(spark, d), "csv"), (N.lattice(spark, d), "graphml.gz")):
+        network_format.write_networks(net, net.nodes.select("graph_id").distinct().withColumn("stem", F.concat(F.lit("made/"), "graph_id")), at, (form,))
+    network_format.register(spark)
+    read = lambda side: spark.read.format(network_format.FORMAT).option("side", side).load(at)
+    ends = lambda n, x, y: read("nodes").select("graph_id", F.col("node_id").alias(n), F.col("x").alias(x), F.col("y").alias(y))
+    e = read("edges").join(ends("u", "x1", "y1"), ["graph_id", "u"]).join(ends("v", "x2", "y2"), ["graph_id", "v"])
+    return _out(e.withColumn("weight", F.coalesce("weight", F.lit(-1.0))), "", "x1 y1 x2 y2 weight", "graph_id")
+
+
+@query
+def gate_multifractal_wide(spark, d):
+    """The gate over the full band of q: the trade network against the neighbour network."""
+    return _out(R.checked(N.trade(spark, d).make_unweighted(), N.knn(spark, d), "multifractal", 1e9, full_band=True), "", "error", "graph_id passed")
+
+
 @query
 def cropped_component(spark, d):
     net = N.lattice(spark, d)
@@ -323,7 +360,7 @@ def preview_cells(spark, d):
 
 @query
 def export_order(spark, d):
-    o = N.table(spark, d, "orders").where("o_orderkey % 7 < 3")
+    o = N.table(spark, d, "orders")
     name = F.concat(F.lit("run/len_3_n"), F.when(F.col("o_orderkey") % 7 > 0, (F.col("o_orderkey") * 31 % 1000).cast("string")).otherwise("x"), F.lit("_synthetic_network_"), F.col("o_orderkey").cast("string"), F.lit("_edgelist.csv"))
     return _out(sinks.export_order(o.select(name.alias("path"))), "generation", "", "path")
 

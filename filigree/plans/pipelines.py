@@ -7,7 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
@@ -56,15 +56,17 @@ def grow(spark: SparkSession, sample: Gr.Sample, params: Gr.Params, count: int,
             for trial, c, nf, ef, state in batch[list(WANTED)].itertuples(index=False):
                 p = replace(params, node_factor=float(nf), edge_factor=float(ef))
                 rng = stream_of(p.seed, int(c), state)
-                if until:
-                    net, stats = Gr.early_network(sample, p, rng, until, every)
-                else:
-                    net, stats = Gr.network(sample, p, int(c), rng=rng)
+                # An attempt that fails has grown nothing, which no gate passes; the next one goes on in the same stream.
+                try:
+                    net, stats = Gr.early_network(sample, p, rng, until, every) if until else Gr.network(sample, p, int(c), rng=rng)
+                except (ArithmeticError, LookupError, ValueError, RuntimeError):
+                    net, stats = (np.zeros((0, 2)), np.zeros((0, 2), int)), {"tries": 0, "merged": 0, "aborted": 0}
                 rows.append((trial, c, attempt, nf, ef, *_row(net), stats["tries"], stats["merged"], stats["aborted"], json.dumps(rng.bit_generator.state), bool(stats.get("reached", False))))
             yield pd.DataFrame(rows, columns=["trial", "candidate_id", "attempt", "node_factor", "edge_factor", "nodes", "edges", "tries", "merged", "aborted", "rng", "reached"])
 
     n = wanted.count()
-    dealt = wanted.select(*WANTED).repartition(max(1, n), "trial", "candidate_id")
+    numbered = wanted.select(*WANTED, (F.row_number().over(Window.orderBy("trial", "candidate_id")) - 1).alias("task"))  # one row a candidate
+    dealt = numbered.repartitionById(max(1, n), F.col("task").cast("int"))
     return cut(dealt.mapInPandas(run, GROWN), "grown")
 
 
@@ -97,7 +99,7 @@ def with_networks(rows: DataFrame, net: NetworkFrame) -> DataFrame:
     return out.withColumn("edges", F.coalesce("edges", none))
 
 
-def accepted(spark: SparkSession, original: NetworkFrame, sample: Gr.Sample, params: Gr.Params, wanted: DataFrame, gate: str, tolerance: float, attempts: int = 10, early: int = 0, every: int = 1) -> DataFrame:
+def accepted(spark: SparkSession, original: NetworkFrame, sample: Gr.Sample, params: Gr.Params, wanted: DataFrame, gate: str, tolerance: float, attempts: int = 10, early: int = 0, every: int = 1, full_band: bool = False) -> DataFrame:
     """GROWN rows with ``error`` whose networks, trimmed and weighted, pass the gate: waves of attempts over
     the candidates still failing, each going on in its own random stream.
 
@@ -111,13 +113,13 @@ def accepted(spark: SparkSession, original: NetworkFrame, sample: Gr.Sample, par
         pool, given_up = left, None
         if early:
             begun = grow(spark, sample, params, 0, left, attempt, early, every)
-            judged = R.checked(finished(begun.where("reached"), sample, weigh, params.seed), original, gate, tolerance)
+            judged = R.checked(finished(begun.where("reached"), sample, weigh, params.seed), original, gate, tolerance, full_band)
             bad = cut(begun.select(*key, "rng", graph_id()).join(judged.where("not passed"), "graph_id").select(*key, "rng"), "given-up")
             pool = left.join(bad, key, "left_anti")
             given_up = left.drop("rng").join(bad, key)
         grown = grow(spark, sample, params, 0, pool, attempt)
         net = finished(grown, sample, weigh, params.seed)
-        judged = R.checked(net, original, gate, tolerance).where("passed").select("graph_id", "error")
+        judged = R.checked(net, original, gate, tolerance, full_band).where("passed").select("graph_id", "error")
         got = cut(with_networks(grown.withColumn("graph_id", graph_id()).join(judged, "graph_id"), net).drop("graph_id"), "passed")
         out = got if out is None else out.unionByName(got)
         failed = grown.join(got.select(*key), key, "left_anti").select(*WANTED)
@@ -136,9 +138,9 @@ def sample_of(net: NetworkFrame) -> Gr.Sample:
     return Gr.Sample.of_row(T.attributes(net, Gr.MOST_VALUES).first())
 
 
-def generate(spark: SparkSession, original: NetworkFrame, params: Gr.Params, count: int, gate: str = "multifractal", tolerance: float = 0.15, attempts: int = 10) -> tuple[DataFrame, DataFrame]:
+def generate(spark: SparkSession, original: NetworkFrame, params: Gr.Params, count: int, gate: str = "multifractal", tolerance: float = 0.15, attempts: int = 10, full_band: bool = False, early: int = 0, every: int = 1) -> tuple[DataFrame, DataFrame]:
     """(accepted candidates, one row with the robust mean error)."""
-    got = accepted(spark, original, sample_of(original), params, candidates(spark, params, count), gate, tolerance, attempts)
+    got = accepted(spark, original, sample_of(original), params, candidates(spark, params, count), gate, tolerance, attempts, early, every, full_band)
     return got, R.robust_mean(got, "trial")
 
 
@@ -154,11 +156,11 @@ def sweep(spark: SparkSession, original: NetworkFrame, params: Gr.Params, low: f
     return sweep_grid(spark, original, params, (low, high), (low, high), step, count, gate, tolerance, attempts)
 
 
-def sweep_grid(spark: SparkSession, original: NetworkFrame, params: Gr.Params, node_range: tuple[float, float], edge_range: tuple[float, float], step: float, count: int, gate: str = "multifractal", tolerance: float = 0.15, attempts: int = 1) -> DataFrame:
+def sweep_grid(spark: SparkSession, original: NetworkFrame, params: Gr.Params, node_range: tuple[float, float], edge_range: tuple[float, float], step: float, count: int, gate: str = "multifractal", tolerance: float = 0.15, attempts: int = 1, full_band: bool = False) -> DataFrame:
     """(node_factor, edge_factor, error, success_rate) of every factor pair, all trials in one job."""
     grid = R.factor_grid(spark.range(1), *node_range, step, edge_range).withColumn("trial", F.concat_ws("_", "node_factor", "edge_factor"))
     wanted = grid.withColumn("candidate_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).withColumn("rng", F.lit(None).cast("string"))
-    got = accepted(spark, original, sample_of(original), params, wanted, gate, tolerance, attempts)
+    got = accepted(spark, original, sample_of(original), params, wanted, gate, tolerance, attempts, full_band=full_band)
     rate = got.groupBy("trial").agg((F.count("*") / count).alias("success_rate"))
     out = grid.join(R.robust_mean(got, "trial"), "trial", "left").join(rate, "trial", "left")
     return out.select("node_factor", "edge_factor", F.coalesce("error", F.lit(float("inf"))).alias("error"), F.coalesce("success_rate", F.lit(0.0)).alias("success_rate")).orderBy("node_factor", "edge_factor")
@@ -200,7 +202,7 @@ def tile_frames(spark: SparkSession, centres: np.ndarray, how: str, params: Gr.P
 TILES = "tile_ix long, cx double, cy double, attempt int, rng string, xy array<array<double>>, edges array<array<long>>, frontier array<struct<x:double,y:double,degree:int,base:double,clockwise:boolean,parent:int>>"
 
 
-def grow_tiles(frames: DataFrame, sample: Gr.Sample, params: Gr.Params, least_nodes: int, attempts: int, original: NetworkFrame | None = None, gate: str = "none", tolerance: float = float("inf")) -> DataFrame:
+def grow_tiles(frames: DataFrame, sample: Gr.Sample, params: Gr.Params, least_nodes: int, attempts: int, original: NetworkFrame | None = None, gate: str = "none", tolerance: float = float("inf"), full_band: bool = False) -> DataFrame:
     """TILES rows with ``error``, one a tile: the first attempt that passes the gate, else the one of least error;
     attempts under ``least_nodes`` don't count, and a tile without any is left out."""
 
@@ -227,7 +229,7 @@ def grow_tiles(frames: DataFrame, sample: Gr.Sample, params: Gr.Params, least_no
             nodes = F.transform("xy", lambda n, i: F.struct(i.cast("long").alias("node_id"), point(n).x.alias("x"), point(n).y.alias("y")))
             edges = F.transform("edges", lambda e: F.struct(e[0].alias("u"), e[1].alias("v"), F.lit(None).cast("double").alias("weight")))
             rows = fit.select(F.lit("tile").alias("trial"), F.col("tile_ix").alias("candidate_id"), nodes.alias("nodes"), edges.alias("edges"))
-            judged = R.checked(finished(rows, sample, weigh, params.seed), original, gate, tolerance)
+            judged = R.checked(finished(rows, sample, weigh, params.seed), original, gate, tolerance, full_band)
             judged = judged.select(F.substring_index("graph_id", "/", -1).cast("long").alias("tile_ix"), "error", "passed")
         kept = cut(fit.join(judged, "tile_ix"), "judged")
         out = kept if out is None else out.unionByName(kept)
@@ -241,7 +243,7 @@ def grow_tiles(frames: DataFrame, sample: Gr.Sample, params: Gr.Params, least_no
 def hybrid(
     spark: SparkSession, sample: Gr.Sample, params: Gr.Params, scale: tuple[float, float], most_centres: int, spacing: float, most_rounds: int, least_nodes: int = 30, attempts: int = 3,
     tile: str = "fixed", factor: float = 1.0, floor: float = 0.0, original: NetworkFrame | None = None, gate: str = "none", tolerance: float = 0.15,
-    frame: tuple[float, float] | None = None,
+    frame: tuple[float, float] | None = None, full_band: bool = False,
 ) -> tuple[NetworkFrame, int]:
     """Tiles grown apart on all executors, then stitched in order of tile on one plane, trimmed and weighted.
 
@@ -253,7 +255,7 @@ def hybrid(
     board = replace(params, width=wide * scale[0], height=high * scale[1])
     rng = params.rng()
     c = Gr.centres(board.width, board.height, spacing * max(wide, high), most_centres, rng) - np.array([board.width / 2, board.height / 2])
-    tiles = grow_tiles(tile_frames(spark, c, tile, params, factor, floor), sample, params, least_nodes, attempts, original, gate, tolerance)
+    tiles = grow_tiles(tile_frames(spark, c, tile, params, factor, floor), sample, params, least_nodes, attempts, original, gate, tolerance, full_band)
     # The board is padded by one frame on each side.
     padded = replace(board, width=board.width + 2 * wide, height=board.height + 2 * high)
 
@@ -285,17 +287,17 @@ def expected_nodes(count: int, frame: tuple[float, float], board: tuple[float, f
     return round(count / (frame[0] * frame[1]) * (board[0] + pad[0]) * (board[1] + pad[1])) if frame[0] * frame[1] else 0
 
 
-def analyse(sets: dict[str, NetworkFrame]) -> DataFrame:
+def analyse(sets: dict[str, NetworkFrame], full_band: bool = True) -> DataFrame:
     """(label, graph_id, ...): reports of labelled sets of networks."""
     out = None
     for label, net in sets.items():
-        r = M.analyse(net).withColumn("label", F.lit(label))
+        r = M.analyse(net, full_band).withColumn("label", F.lit(label))
         out = r if out is None else out.unionByName(r)
     return out
 
 
-def compare(original: NetworkFrame, synthetic: NetworkFrame) -> DataFrame:
-    return analyse({"synthetic": synthetic, "original": original})
+def compare(original: NetworkFrame, synthetic: NetworkFrame, full_band: bool = False) -> DataFrame:
+    return analyse({"synthetic": synthetic, "original": original}, full_band)
 
 
 def spectra_table(reports: DataFrame) -> DataFrame:

@@ -6,14 +6,14 @@ import json
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
 from ..operators import growth as Gr
 from ..operators import ranking as R
 from ..operators import topology as T
-from ..sources import sinks, spec, tables
+from ..sources import network_format, sinks, spec, tables
 from . import pipelines as P
 
 Source = Callable[[SparkSession, str], NetworkFrame]
@@ -61,19 +61,19 @@ class Run:
             else:
                 sinks.write_graphml(what, path, gzip=extension.endswith("gz"))
         elif isinstance(what, DataFrame):
-            sinks.write_csv(what, path)
+            (sinks.write_json if extension == "json" else sinks.write_csv)(what, path)
         elif isinstance(what, str):
             sinks.write_text(self.spark, path, what)
         else:
             sinks.write_text(self.spark, path, json.dumps(what, sort_keys=True, indent=2))
 
+    def as_measured(self, net: NetworkFrame) -> NetworkFrame:
+        """With the weights that the run asks for: none, all (1.0 where there are none), or the stored ones."""
+        want = self.config.measure_weighted
+        return net if want is None else net.make_weighted() if want else net.make_unweighted()
+
     def original(self, dataset: str) -> NetworkFrame:
-        net = self.source(self.spark, dataset)
-        if self.config.measure_weighted is False:
-            net = net.make_unweighted()
-        elif self.config.measure_weighted:
-            net = net.make_weighted()
-        net = T.oriented(net, self.config.orientation)
+        net = T.oriented(self.as_measured(self.source(self.spark, dataset)), self.config.orientation)
         return P.kept(net)
 
     def save_original(self, dataset: str, net: NetworkFrame) -> Gr.Sample:
@@ -88,14 +88,13 @@ class Run:
         return Gr.Sample.of_row(row)
 
     def save_networks(self, dataset: str, got: DataFrame, weighted: bool, prefix: str) -> None:
-        """Every accepted network under its number in order of candidate."""
-        whole = P.grown_frame(got, weighted)
-        ids = [r.graph_id for r in got.select("candidate_id", P.graph_id()).orderBy("candidate_id").collect()]
-        for i, g in enumerate(ids):
-            net = NetworkFrame(whole.nodes.where(F.col("graph_id") == g), whole.edges.where(F.col("graph_id") == g), weighted)
-            stamp = sinks.stamp()
-            for extension in self.config.network_formats:
-                self.save(net, dataset, SYNTHETIC, "synthetic_network", extension, f"{prefix}_n{i}_", stamp)
+        """Every accepted network under its number in order of candidate, all of them and all forms by one job."""
+        if self.config.disable_saving:
+            return
+        order = Window.orderBy("candidate_id", "graph_id")  # one row a network
+        name = F.concat(F.lit(f"{dataset}/{SYNTHETIC}/{prefix}_n"), (F.row_number().over(order) - 1).cast("string"), F.lit(f"_synthetic_network_{sinks.stamp()}"))
+        names = got.select("candidate_id", P.graph_id()).select("graph_id", name.alias("stem"))
+        network_format.write_networks(P.grown_frame(got, weighted), names, self.root, self.config.network_formats)
 
     def params(self, net: NetworkFrame, node_factor: float = 1.0, edge_factor: float = 1.0) -> tuple[Gr.Params, tuple[float, float]]:
         """(growth parameters in the synthetic frame, the original's frame)."""
@@ -119,13 +118,15 @@ def generate(run: Run, dataset: str) -> None:
     net = run.original(dataset)
     sample = run.save_original(dataset, net)
     params, _ = run.params(net, c.node_factor, c.edge_factor)
-    if not c.select_best and c.snapshot_interval > 0:
+    if not c.select_best and c.every > 0:
         snapshot_run(run, dataset, net, sample, params)
         return
     if c.count <= 0:
         run.say("no synthetic networks are asked for", dataset=dataset)
         return
-    got, mean = P.generate(run.spark, net, params, c.count, c.error_checker, c.error_tolerance, c.max_attempts)
+    # With snapshots a candidate is judged once when it has as many nodes as the original; without a gate there is nothing to judge.
+    early = T.counts(net).first()["node_count"] if c.select_best and c.every and c.error_checker != "none" else 0
+    got, mean = P.generate(run.spark, net, params, c.count, c.error_checker, c.error_tolerance, c.max_attempts, c.full_q_band, early, max(1, c.every))
     if not c.select_best:
         row = mean.first()
         n = got.count()
@@ -146,7 +147,7 @@ def generate(run: Run, dataset: str) -> None:
 
 def snapshot_run(run: Run, dataset: str, net: NetworkFrame, sample: Gr.Sample, params: Gr.Params) -> None:
     """One network without a gate, and its states while it grew."""
-    taken = P.grow_snapshots(run.spark, sample, params, run.config.snapshot_interval)
+    taken = P.grow_snapshots(run.spark, sample, params, run.config.every)
     if not run.config.disable_saving:
         sinks.write_snapshots(taken.select("snapshot_ix", "nodes", "edges"), f"{run.root}/{dataset}/snapshots")
     last = taken.orderBy(F.desc("snapshot_ix")).limit(1).withColumns({"trial": F.lit("run"), "candidate_id": F.lit(0).cast("long")})
@@ -164,7 +165,7 @@ def sweep(run: Run, dataset: str) -> None:
         raise ValueError("a sweep needs synthetic networks")
     net = run.original(dataset)
     params, _ = run.params(net)
-    trials = P.cut(P.sweep_grid(run.spark, net, params, c.node_range, c.edge_range, c.step, c.count, c.error_checker, c.error_tolerance, c.max_attempts), "trials")
+    trials = P.cut(P.sweep_grid(run.spark, net, params, c.node_range, c.edge_range, c.step, c.count, c.error_checker, c.error_tolerance, c.max_attempts, c.full_q_band), "trials")
     run.save(R.sweep_report(trials), dataset, "", "sweep_report", "csv")
     run.say(f"{trials.count()} trials", dataset=dataset, percent=100.0)
 
@@ -182,7 +183,7 @@ def hybrid(run: Run, dataset: str) -> None:
     else:
         tile = "factor"
     floor = c.spacing * max(frame) * c.tile_factor
-    got, rounds = P.hybrid(run.spark, sample, params, scale, c.most_centres, c.spacing, c.max_rounds, c.least_tile_nodes, c.max_attempts, tile, c.tile_factor, floor, net, c.error_checker, c.error_tolerance, frame=frame)
+    got, rounds = P.hybrid(run.spark, sample, params, scale, c.most_centres, c.spacing, c.max_rounds, c.least_tile_nodes, c.max_attempts, tile, c.tile_factor, floor, net, c.error_checker, c.error_tolerance, frame=frame, full_band=c.full_q_band)
     got = P.kept(got)
     stamp = sinks.stamp()
     for extension in c.network_formats:
@@ -192,11 +193,10 @@ def hybrid(run: Run, dataset: str) -> None:
 
 
 def compare(run: Run, dataset: str, inputs: dict) -> None:
-    original, synthetic = (tables.load(run.spark, inputs[k]) for k in COMPARED)
-    reports = P.cut(P.compare(original, synthetic), "reports")
+    original, synthetic = (run.as_measured(tables.load(run.spark, inputs[k])) for k in COMPARED)
+    reports = P.cut(P.compare(original, synthetic, run.config.full_q_band), "reports")
     for label in ("synthetic", "original"):
-        rows = [r.asDict(recursive=True) for r in reports.where(F.col("label") == label).orderBy("graph_id").collect()]
-        run.save(rows, dataset, "", f"analysis_data_{label}", "json")
+        run.save(reports.where(F.col("label") == label).orderBy("graph_id"), dataset, "", f"analysis_data_{label}", "json")
     run.save(P.spectra_table(reports), dataset, "", "spectra_analysis", "csv")
 
 

@@ -150,9 +150,13 @@ GOOD = {
 
 
 @pytest.mark.parametrize("change,said", [
-    ({"contract": 1}, "contract"), ({"mode": "other"}, "mode"), ({"run_name": " "}, "run_name"), ({"inputs": {}}, "none"), ({"inputs": {"network_graphml": "a", "datasets_dir": "b"}}, "more than one"),
-    ({"inputs": {"edge_list": "a"}}, "none"), ({"params": {}}, "missing"), ({"params": {**GOOD["params"], "ODD": 1}}, "unknown"), ({"params": {**GOOD["params"], "CLOSED_NODES_FACTOR": 0}}, "above 0"),
+    ({"contract": 1}, "contract"), ({"mode": "other"}, "mode"), ({"run_name": " "}, "run_name"), ({"inputs": {}}, "inputs: 0 ways"), ({"inputs": {"network_graphml": "a", "datasets_dir": "b"}}, "inputs: 2 ways"),
+    ({"inputs": {"edge_list": "a"}}, "inputs: 0 ways"), ({"params": {}}, "missing"), ({"params": {**GOOD["params"], "ODD": 1}}, "unknown"), ({"params": {**GOOD["params"], "CLOSED_NODES_FACTOR": 0}}, "above 0"),
     ({"params": {**GOOD["params"], "SNAPSHOT_INTERVAL": 5, "DISABLE_SAVING": True}}, "snapshots"), ({"contract": None, "mode": None}, "contract"), ({"params": {**GOOD["params"], "SWEEP_STEP": 1}}, "unknown"),
+    ({"params": {**GOOD["params"], "ERROR_CHECKER": "odd"}}, "ERROR_CHECKER: must be one of"), ({"params": {**GOOD["params"], "INPUT_ORIENTATION": 3}}, "INPUT_ORIENTATION"), ({"params": {**GOOD["params"], "FRAME_SIZE": [5]}}, "FRAME_SIZE: must be two"),
+    ({"params": {**GOOD["params"], "MAX_ATTEMPTS": 1.5}}, "MAX_ATTEMPTS: must be a whole"), ({"params": {**GOOD["params"], "FULL_Q_BAND": "yes"}}, "FULL_Q_BAND"), ({"inputs": [], "params": None}, "inputs: must be an object; params: must be an object"),
+    ({"run_name": "", "params": {**GOOD["params"], "ERROR_TOLERANCE": -1, "ODD": 1}}, "run_name: must not be blank; ODD: unknown parameter of mode generate; ERROR_TOLERANCE: must be above 0"),
+    ({"mode": "sweep", "params": {"NF_RANGE": [2, 1]}}, "EF_RANGE: is missing; NF_RANGE: must be two numbers above 0, the lower one first"),
 ])
 def test_bad_specifications(change, said):
     with pytest.raises(spec.SpecError, match=said):
@@ -164,7 +168,7 @@ def test_good_specifications():
     assert c.frame == (512, 512) and c.max_attempts == 10 and c.error_tolerance == 0.15 and i == GOOD["inputs"] and c.datasets == ("r",) and len(c.run_id) == 8
     bare = {"CLOSED_NODES_FACTOR": 1, "CLOSED_EDGES_FACTOR": 1, "WRITE_NETWORK_GRAPHML_GZ": True, "WRITE_NETWORK_CSV": False, "WRITE_PLOT_PNG": True, "MAX_WORKERS": 3, "SNAPSHOT_INTERVAL": 4, "WRITE_SNAPSHOTS": False}
     c, _ = spec.from_spec(json.dumps(GOOD | {"params": bare, "inputs": {"edge_list": "a", "positions": "b"}}))
-    assert (c.frame, c.synthetic_frame, c.measure_weighted, c.network_formats, c.snapshot_interval) == (None, None, None, ("graphml.gz",), 0)
+    assert (c.frame, c.synthetic_frame, c.measure_weighted, c.network_formats, c.every) == (None, None, None, ("graphml.gz",), 0)
     hybrid = {**GOOD["params"], "TARGET_SCALE": [2, 3], "NUM_CENTERS": 4, "MIN_CENTER_DISTANCE_FACTOR": 0.5, "TILE_FRAME_FACTOR": 1.2, "DATASET_FACTORS": {"a": [0.5, 0.7]}}
     c, _ = spec.from_spec(json.dumps(GOOD | {"mode": "hybrid", "params": hybrid}))
     assert c.factors_of("a/b") == (0.5, 0.7) and c.factors_of("b") == (1.0, 1.0) and c.scale == (2, 3)
