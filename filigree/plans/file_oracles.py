@@ -62,6 +62,8 @@ SQL = {
         20,
     ),
     "gate_multifractal_wide": f"SELECT {_f('sqrt((a.h - b.h) ** 2 + (a.wide - b.wide) ** 2) AS error')}, 'trade' AS graph_id, TRUE AS passed FROM ({_q(TRADE, _FEATURES, HOPS, 20)}) a, ({_q(KNN, _FEATURES, HOPS, 20)}) b",
+    "stream_degree_changes": f"WITH {LATTICE}, f AS (SELECT u, v FROM e WHERE u % 3 <> 0 OR u % 6 = 0), t AS (SELECT u AS id FROM f UNION ALL SELECT v FROM f), a AS (SELECT u AS id FROM e UNION SELECT v FROM e) SELECT {_i('a.id AS node_id', 'count(t.id) AS degree', 'count(t.id) AS edges')} FROM a LEFT JOIN t ON t.id = a.id GROUP BY a.id",
+    "sp_histogram_sql": _q(LATTICE, f"{_i('src', 'cnt')}, {_f('r')} FROM ball JOIN n ON n.id = src WHERE x BETWEEN 0 AND 200 AND y BETWEEN 0 AND 300", HOPS),
     "log_tail": f"SELECT {_i('count(*) AS n')}, {_f('sum(event_id % 131) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
     "format_networks": f"SELECT * FROM ({_q(TRADE, _PLACED.format(name='trade', w='w'))}) UNION ALL SELECT * FROM ({_q(LATTICE, _PLACED.format(name='lattice', w='-1.0'))})",
     "csv_pair_edges": _q(TRADE, _EDGES),

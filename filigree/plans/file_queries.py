@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import frame
 from ..functions import geometry as G
+from ..functions import sql
 from ..frame import NetworkFrame
 from ..operators import components as C
 from ..operators import growth as Gr
@@ -22,7 +23,7 @@ from ..operators import topology as T
 from ..operators import weights as W
 from ..session import shared_dir
 from ..sources import network_format, sinks, tables
-from ..streaming import progress, tail
+from ..streaming import degrees, progress, tail
 from . import networks as N
 from . import pipelines as P
 from .queries import _out, _sample, _trials, query
@@ -289,6 +290,39 @@ def log_tail(spark, d):
     return _out(log.groupBy("run_id", "dataset").agg(F.count("*").alias("n"), F.sum("percent").alias("percent")), "n", "percent", "run_id dataset")
 
 
+@query
+def stream_degree_changes(spark, d):
+    """Degrees out of a stream that adds the lattice's edges, removes a third of them and adds some of those again, in mixed order."""
+    at = _folder(spark)
+    e = N.lattice(spark, d).edges.select("graph_id", "u", "v")
+    step = lambda df, k: df.withColumn("change", F.lit(k))
+    changes = step(e, 1).unionByName(step(e.where("u % 3 = 0"), -1)).unionByName(step(e.where("u % 6 = 0"), 1))
+    changes.repartition(4, F.hash("u", "change")).write.parquet(f"{at}/changes")
+    kind = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(kind)
+    degrees.with_state_store(spark)
+    try:
+        stream = spark.readStream.schema(degrees.CHANGES).option("maxFilesPerTrigger", 2).parquet(f"{at}/changes")
+        name = f"degrees_{uuid.uuid4().hex}"
+        q = degrees.degree_updates(stream).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(kind, before)
+    return _out(degrees.standing(spark.table(name)), "node_id degree edges")
+
+
+@query
+def sp_histogram_sql(spark, d):
+    """The lattice's hop histogram inside a frame, in SQL text alone."""
+    sql.register(spark)
+    net = N.lattice(spark, d)
+    views = {k: f"{k}_{uuid.uuid4().hex}" for k in ("edges", "nodes")}
+    net.edges.select("graph_id", "u", "v").createOrReplaceTempView(views["edges"])
+    net.nodes.createOrReplaceTempView(views["nodes"])
+    found = spark.sql(f"SELECT src, r, cnt FROM sp_histogram(TABLE({views['edges']}) PARTITION BY graph_id) h JOIN {views['nodes']} n ON n.graph_id = h.graph_id AND node_id = src WHERE within_frame(x, y, 0D, 200D, 0D, 300D)")
+    return _out(found, "src cnt", "r")
+
+
 @query
 def format_networks(spark, d):
     """Two networks written by one job each, a CSV pair and a compressed GraphML file, and read back in one plan."""

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,20 +41,30 @@ def source_of(inputs: dict) -> Source:
     return read
 
 
+class Cancelled(Exception):
+    """A run was asked to end."""
+
+
 class Run:
-    """One run's folder, log and outputs."""
+    """One run's folder, log and outputs; ``stop`` is looked at before whatever is read, said or written."""
 
-    def __init__(self, spark: SparkSession, config, source: Source, now: float | None = None):
-        self.spark, self.config, self.source = spark, config, source
+    def __init__(self, spark: SparkSession, config, source: Source, now: float | None = None, stop: threading.Event | None = None):
+        self.spark, self.config, self.source, self.stop = spark, config, source, stop or threading.Event()
         self.root = sinks.run_root(config.output_dir, config.denote or spec.MODE_OF[type(config)], config.run_id, now)
         self.log: list[str] = []
         self.metrics: dict = {}
 
+    def go_on(self) -> None:
+        if self.stop.is_set():
+            raise Cancelled
+
     def say(self, message: str, **extra) -> None:
+        self.go_on()
         self.log.append(sinks.log_line(self.config.run_id, message, **extra))
 
     def save(self, what, dataset: str, folder: str, detail: str, extension: str, prefix: str = "", stamp: str | None = None) -> None:
         """``what`` under root/dataset/folder by its form: a network, a text, a table, or anything JSON can hold."""
+        self.go_on()
         if self.config.disable_saving or what is None:
             return
         path = "/".join(x for x in (self.root, dataset, folder, sinks.named(prefix, detail, extension, stamp)) if x)
@@ -203,15 +216,16 @@ def compare(run: Run, dataset: str, inputs: dict) -> None:
 COMPARED = spec.COMPARED[0]
 
 
-def run(spark: SparkSession, config, inputs: dict, source: Source | None = None, now: float | None = None) -> str:
+def run(spark: SparkSession, config, inputs: dict, source: Source | None = None, now: float | None = None, stop: threading.Event | None = None) -> str:
     """Runs a configuration over its data sets; returns the run's folder.
 
     The manifest is written whatever happens: ok, failed with the error, or cancelled.
+    After ``stop`` is set, whatever ends the run counts as its cancelling.
     """
     datasets = config.datasets or tuple(sorted(tables.datasets(sinks.outputs(spark, inputs["datasets_dir"]))))
     if not datasets:
         raise ValueError(f"{inputs['datasets_dir']} holds no data sets")
-    this = Run(spark, config, source or source_of(inputs), now)
+    this = Run(spark, config, source or source_of(inputs), now, stop)
     work = {spec.GenerateConfig: generate, spec.HybridConfig: hybrid, spec.SweepConfig: sweep, spec.CompareConfig: lambda r, d: compare(r, d, inputs)}[type(config)]
     status, error = sinks.STATUS_OK, None
     try:
@@ -222,15 +236,71 @@ def run(spark: SparkSession, config, inputs: dict, source: Source | None = None,
         status = sinks.STATUS_CANCELLED
         raise
     except Exception as e:
+        if this.stop.is_set():
+            status = sinks.STATUS_CANCELLED
+            raise Cancelled from e
         status, error = sinks.STATUS_FAILED, f"{type(e).__name__}: {e}"
         raise
     finally:
         if not config.disable_saving:
+            for tag in spark.sparkContext.getJobTags():
+                spark.sparkContext.removeJobTag(tag)  # the manifest's own jobs are not cancelled
             sinks.write_text(spark, f"{this.root}/run.jsonl", "".join(this.log))
             sinks.write_manifest(spark, this.root, status, error, this.metrics or None)
     return this.root
 
 
+#: Seconds that a cancelled run has to end by itself before its jobs are ended.
+GRACE = 15.0
+
+
+class Background:
+    """A run in a thread of its own: ``state``, ``wait`` and ``cancel``.
+
+    All its jobs carry one tag.  Cancelling asks the run to end where it next
+    reads, says or writes something; after ``grace`` seconds its jobs are ended, which
+    ends the tasks and their Python workers.  The manifest is written either way.
+    """
+
+    def __init__(self, spark: SparkSession, config, inputs: dict, source: Source | None = None):
+        self.spark, self.tag, self.stop = spark, f"run-{config.run_id}-{uuid.uuid4().hex[:8]}", threading.Event()
+        self.root: str | None = None
+        self.error: Exception | None = None
+        self._ended = threading.Event()
+
+        def work() -> None:
+            spark.sparkContext.addJobTag(self.tag)
+            try:
+                self.root = run(spark, config, inputs, source, stop=self.stop)
+            except Exception as e:
+                self.error = e
+            finally:
+                spark.sparkContext.removeJobTag(self.tag)
+                self._ended.set()
+
+        self._thread = threading.Thread(target=inheritable_thread_target(spark)(work), daemon=True)
+        self._thread.start()
+
+    @property
+    def state(self) -> str:
+        """running, or as the manifest says: ok, failed or cancelled."""
+        if not self._ended.is_set():
+            return "running"
+        return sinks.STATUS_OK if self.error is None else sinks.STATUS_CANCELLED if isinstance(self.error, Cancelled) else sinks.STATUS_FAILED
+
+    def wait(self, seconds: float | None = None) -> str:
+        self._ended.wait(seconds)
+        return self.state
+
+    def cancel(self, grace: float = GRACE) -> str:
+        """Ends the run; what it says is how it ended."""
+        self.stop.set()
+        if not self._ended.wait(grace):
+            # What writes the manifest has jobs of its own; they come after the run's work.
+            self.spark.sparkContext.cancelJobsWithTag(self.tag)
+        return self.wait()
+
+
 def run_spec(spark: SparkSession, text: str, source: Source | None = None, now: float | None = None) -> str:
     """As ``run``, from a JSON specification."""
     return run(spark, *spec.from_spec(text), source, now)
