@@ -31,6 +31,10 @@ _POWER = """,
 it(k, id, x) AS (SELECT 0, id, 1 / sqrt((SELECT count(*) FROM n)::DOUBLE) FROM n UNION ALL
   SELECT k + 1, id, y / sqrt(sum(y * y) OVER ()) FROM (SELECT any_value(i.k) AS k, i.id, any_value(i.x) * (SELECT max(strength) / 2.0 FROM d) + coalesce(sum(s.w * o.x), 0.0) AS y FROM it i LEFT JOIN s ON s.u = i.id LEFT JOIN it o ON o.id = s.v GROUP BY i.id) WHERE k < 3000),
 eig AS (SELECT id, x FROM it WHERE k = 3000)"""
+#: Weighted distance of every node from its component's smallest id.
+_FAR = """,
+sl AS MATERIALIZED (SELECT u, v, len FROM pl UNION ALL SELECT v, u, len FROM pl),
+far(id, d) USING KEY (id) AS (SELECT DISTINCT label, 0.0::DOUBLE FROM lab UNION SELECT sl.v, min(f.d + sl.len) FROM far f JOIN sl ON sl.u = f.id LEFT JOIN recurring.far r ON r.id = sl.v WHERE r.d IS NULL OR f.d + sl.len < r.d GROUP BY sl.v)"""
 _NFD = "nfd AS (SELECT src, CASE WHEN count(*) > 2 THEN regr_slope(ln(inside), ln(r)) ELSE 0.0 END AS x FROM (SELECT src, r, 1 + sum(cnt) OVER (PARTITION BY src ORDER BY r) AS inside FROM ball) GROUP BY src)"
 _CLOSE = "clo AS (SELECT src, (count(*) - 1)::DOUBLE / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM n) - 1) AS x FROM hop GROUP BY src)"
 
@@ -64,6 +68,9 @@ SQL = {
     "gate_multifractal_wide": f"SELECT {_f('sqrt((a.h - b.h) ** 2 + (a.wide - b.wide) ** 2) AS error')}, 'trade' AS graph_id, TRUE AS passed FROM ({_q(TRADE, _FEATURES, HOPS, 20)}) a, ({_q(KNN, _FEATURES, HOPS, 20)}) b",
     "stream_degree_changes": f"WITH {LATTICE}, f AS (SELECT u, v FROM e WHERE u % 3 <> 0 OR u % 6 = 0), t AS (SELECT u AS id FROM f UNION ALL SELECT v FROM f), a AS (SELECT u AS id FROM e UNION SELECT v FROM e) SELECT {_i('a.id AS node_id', 'count(t.id) AS degree', 'count(t.id) AS edges')} FROM a LEFT JOIN t ON t.id = a.id GROUP BY a.id",
     "sp_histogram_sql": _q(LATTICE, f"{_i('src', 'cnt')}, {_f('r')} FROM ball JOIN n ON n.id = src WHERE x BETWEEN 0 AND 200 AND y BETWEEN 0 AND 300", HOPS),
+    "betweenness_levels": _q(KNN, f"{_i('id AS node_id')}, {_f('b AS betweenness')} FROM btw", HOPS + _BETWEEN),
+    "eigenvector_lanczos": _q(TRADE, f"{_i('id AS node_id')}, {_f('x AS eigenvector')} FROM eig", _POWER),
+    "weighted_reach": _q(LATTICE, f"{_i('label AS src', 'far.id AS dst')}, {_f('d')} FROM far JOIN lab ON lab.id = far.id", LABELS + _FAR),
     "log_tail": f"SELECT {_i('count(*) AS n')}, {_f('sum(event_id % 131) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
     "format_networks": f"SELECT * FROM ({_q(TRADE, _PLACED.format(name='trade', w='w'))}) UNION ALL SELECT * FROM ({_q(LATTICE, _PLACED.format(name='lattice', w='-1.0'))})",
     "csv_pair_edges": _q(TRADE, _EDGES),

@@ -16,6 +16,7 @@ from ..frame import NetworkFrame
 from ..operators import components as C
 from ..operators import growth as Gr
 from ..operators import kernels as K
+from ..operators import large
 from ..operators import multifractal as M
 from ..operators import paths
 from ..operators import ranking as R
@@ -272,6 +273,27 @@ def stream_progress(spark, d):
     return _out(spark.table(name), "", "percent", "run_id dataset")
 
 
+@query
+def betweenness_levels(spark, d):
+    """The neighbour network's betweenness by joins alone, as for a network beyond a task."""
+    return _out(large.betweenness(N.knn(spark, d)), "node_id", "betweenness")
+
+
+@query
+def eigenvector_lanczos(spark, d):
+    return _out(large.eigenvector(N.trade(spark, d)), "node_id", "eigenvector")
+
+
+@query
+def weighted_reach(spark, d):
+    """How far every node of the lattice is from the smallest id of its component, along edges of their length."""
+    net = N.lattice(spark, d)
+    ends = T.placed_edges(net).select("graph_id", "u", "v", "length")
+    long = NetworkFrame(net.nodes, P.cut(ends.withColumnRenamed("length", "weight"), "lengths"), True)
+    heads = C.components(net).select("graph_id", F.col("label").alias("node_id")).distinct()
+    return _out(large.distances(long, heads, 200.0), "src dst", "d")
+
+
 @query
 def log_tail(spark, d):
     """Messages and progress of each run from logs tailed by byte offset: the stream ends, the logs grow, and it goes on from its checkpoint."""
