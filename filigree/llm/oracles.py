@@ -28,6 +28,9 @@ def _strength(table: str) -> str:
   SELECT sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS sk, count(*)::DOUBLE AS g, sum(n * n)::DOUBLE AS nn, sum(k * k / n::DOUBLE) AS kk, (sum(k) + 0.5) / (sum(n) + 1.0)::DOUBLE AS m FROM {table})))"""
 
 
+#: The normal quantile of the confidence 0.8.
+_Z = "0.8416212335729144::DOUBLE"
+
 OP2 = f"""
 WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 l AS (SELECT host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad FROM u JOIN labels ON doc_id = page_id WHERE (toxic = 1 OR quality = 0) IS NOT NULL),
@@ -37,14 +40,18 @@ d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1, 2),
 x AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
 xm AS (SELECT suffix, (k + c * m) / (n + c) AS sm FROM x, {_strength("x")}),
 dm AS (SELECT domain, (k + c * sm) / (n + c) AS dmean FROM d JOIN xm USING (suffix), {_strength("d")}),
-r AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (n + c + 1)) AS low FROM (SELECT host, n, c, (k + c * dmean) / (n + c) AS mean FROM h JOIN dm USING (domain), {_strength("h")})),
-f AS (SELECT u.*, low, CASE
+ab AS (SELECT host, m, k + c * dmean AS a, n + c - (k + c * dmean) AS b FROM h JOIN dm USING (domain), {_strength("h")}),
+g AS (SELECT *, 1 / (9 * a) AS va, 1 / (9 * b) AS vb, 1 - 1 / (9 * a) AS ma, 1 - 1 / (9 * b) AS mb, {_Z} AS z FROM ab),
+q AS (SELECT *, ma * ma * vb + mb * mb * va - z * z * va * vb AS under FROM g),
+w AS (SELECT *, (ma * mb - z * sqrt(greatest(under, 0.0))) / (mb * mb - z * z * vb) AS ratio FROM q),
+r AS (SELECT host, m, a / (a + b) AS bad_mean, CASE WHEN ma > 0 AND mb * mb > z * z * vb AND under >= 0 AND ratio > 0 THEN a * ratio ** 3 / (b + a * ratio ** 3) ELSE 0.0 END AS bad_low FROM w),
+f AS (SELECT u.*, m, bad_mean, bad_low, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u LEFT JOIN r USING (host))
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM f"""
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bad_low > least(m, 0.5) THEN 'block' ELSE 'allow' END AS verdict, round(bad_mean, 6) AS bad_mean, round(bad_low, 6) AS bad_low FROM f"""
 
 OP3 = f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),

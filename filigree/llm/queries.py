@@ -36,7 +36,8 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     bad = ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int")
     outcomes = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page"), bad.alias("bad"))
-    return urls.judge_urls(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+    tidy = lambda c: F.round(c, 6).alias(c)
+    return urls.judge_urls(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict", tidy("bad_mean"), tidy("bad_low"))
 
 
 def op3_relative_lz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

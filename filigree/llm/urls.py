@@ -3,19 +3,22 @@
 Labelled page outcomes (bad or not) are summed once per host, and from there
 per registered domain and public suffix.  Each level is shrunk towards the one
 above through a beta-binomial prior whose strength is fitted by moments over
-the groups of that level; a page is blocked when the lower posterior bound of
-its host's bad rate passes ``block_rate``.  DataFrame functions only.
+the groups of that level.  A page is blocked when the lower bound of its host's
+posterior (the beta quantile that the rate passes with ``confidence``) is above ``over``
+times the overall rate, or above ``block_rate``: when the host is likely to be worse than
+the corpus, which a few bad outcomes don't show and many do.  DataFrame functions only.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 fits no rule, and is judged like a host without labels.  Labels with a null id
 or outcome are ignored; several labels of one page all count.  Empty tables
-give no rows; without labels the prior mean is one half and nothing is blocked.
+give no rows; a host without labels, and so a table without them, blocks nothing.
 Page rows are kept as they are, repeated rows included.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +31,8 @@ SUFFIXES = ()
 
 @dataclass(frozen=True)
 class Reputation:
-    z: float = 1.645
+    confidence: float = 0.8
+    over: float = 1.0
     block_rate: float = 0.5
     least_strength: float = 1.0
     most_strength: float = 200.0
@@ -89,8 +93,21 @@ def _strength(groups: DataFrame, r: Reputation) -> DataFrame:
     return s.select(m.alias("m"), strength.alias("c"))
 
 
+def beta_low(a: Column, b: Column, confidence: float) -> Column:
+    """The value that a beta(a, b) variable passes with this probability, by Paulson's approximation:
+    the cube roots of its two gamma variables are near normal, and their ratio at the bound solves a quadratic."""
+    z = NormalDist().inv_cdf(confidence)
+    va, vb = 1 / (9 * a), 1 / (9 * b)
+    ma, mb = 1 - va, 1 - vb
+    under = ma * ma * vb + mb * mb * va - z * z * va * vb
+    ratio = (ma * mb - z * F.sqrt(F.greatest(under, F.lit(0.0)))) / (mb * mb - z * z * vb)
+    cube = a * ratio * ratio * ratio
+    # Where the quadratic has no root of use the bound is 0: so little is known of so rare a thing.
+    return F.when((ma > 0) & (mb * mb > z * z * vb) & (under >= 0) & (ratio > 0), cube / (b + cube)).otherwise(0.0)
+
+
 def host_reputation(outcomes: DataFrame, r: Reputation = Reputation()) -> DataFrame:
-    """outcomes(host, bad 0/1) -> (host, n, k, mean, low): hosts with labels, shrunk three levels deep."""
+    """outcomes(host, bad 0/1) -> (host, n, k, mean, low, limit): hosts with labels, shrunk three levels deep."""
     domain, suffix = domain_of(F.col("host"), r.suffixes, r.second_level)
     hosts = outcomes.where(F.col("bad").isNotNull() & F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("k"))
     hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
@@ -100,18 +117,18 @@ def host_reputation(outcomes: DataFrame, r: Reputation = Reputation()) -> DataFr
     level = lambda df: F.broadcast(_strength(df, r))
     top = suffixes.join(level(suffixes)).select("suffix", ((F.col("k") + F.col("c") * F.col("m")) / (F.col("n") + F.col("c"))).alias("suffix_mean"))
     mid = domains.join(level(domains).select("c")).join(top, "suffix").select("domain", ((F.col("k") + F.col("c") * F.col("suffix_mean")) / (F.col("n") + F.col("c"))).alias("domain_mean"))
-    low = hosts.join(level(hosts).select("c")).join(mid, "domain")
+    low = hosts.join(level(hosts).select("c", "m")).join(mid, "domain")
     a = F.col("k") + F.col("c") * F.col("domain_mean")
     total = F.col("n") + F.col("c")
     mean = a / total
-    return low.select("host", "n", "k", mean.alias("mean"), (mean - r.z * F.sqrt(mean * (1 - mean) / (total + 1))).alias("low"))
+    return low.select("host", "n", "k", mean.alias("mean"), beta_low(a, total - a, r.confidence).alias("low"), F.least(F.lit(r.block_rate), r.over * F.col("m")).alias("limit"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str, str], ...], key: str = "page_id", url: str = "url", r: Reputation = Reputation()) -> DataFrame:
-    """pages -> (key, host, path, rule, verdict, bad_low); outcomes(page, bad) are labels by page key."""
+    """pages -> (key, host, path, rule, verdict, bad_mean, bad_low); outcomes(page, bad) are labels by page key."""
     judged = pages.select(F.col(key).alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     labelled = judged.join(outcomes.where(F.col("page").isNotNull()), "page").select("host", "bad")
-    known = host_reputation(labelled, r).select("host", F.col("low").alias("bad_low"))
+    known = host_reputation(labelled, r).select("host", F.col("mean").alias("bad_mean"), F.col("low").alias("bad_low"), "limit")
     out = judged.join(known, "host", "left").withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    method = F.when(F.col("bad_low") > r.block_rate, "block").otherwise("allow")
-    return out.select(F.col("page").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "bad_low")
+    method = F.when(F.col("bad_low") > F.col("limit"), "block").otherwise("allow")
+    return out.select(F.col("page").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", method).alias("verdict"), "bad_mean", "bad_low")

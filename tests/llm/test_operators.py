@@ -92,6 +92,30 @@ def test_reputation_shrinks_towards_parents(spark):
     assert all(r.low < r.mean for r in got.values())
 
 
+def test_few_bad_outcomes_dont_block_and_many_do(spark):
+    """Fails without shrinkage: a host's own rate alone would block all of these but the clean ones."""
+    rows = [(f"h{i}.good.org", int(j == 0)) for i in range(40) for j in range(10)] + [("one.good.org", 1), ("two.good.org", 1), ("two.good.org", 1)] + [("many.bad.net", int(j % 10 < 8)) for j in range(60)]
+    got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    blocked = {h for h, r in got.items() if r.low > r.limit}
+    assert blocked == {"many.bad.net"}
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(sorted(got))], "page_id long, url string")
+    labels = spark.createDataFrame([(sorted(got).index(h), b) for h, b in rows], "page long, bad int")
+    judged = {r.host: r.verdict for r in urls.judge_urls(pages, labels, ()).collect()}
+    assert {h for h, v in judged.items() if v == "block"} == blocked
+
+
+def test_beta_bound(spark):
+    """Against the integral of the beta density."""
+    pairs = [(a, b) for a in (0.05, 1.0, 2.5, 20.0, 400.0) for b in (0.7, 3.0, 50.0, 9000.0)]
+    got = spark.createDataFrame(pairs, "a double, b double").select("a", "b", urls.beta_low(F.col("a"), F.col("b"), 0.8).alias("low")).collect()
+    t = np.linspace(0, 1, 400_001)[1:-1]
+    for r in got:
+        log = (r.a - 1) * np.log(t) + (r.b - 1) * np.log1p(-t)
+        mass = np.cumsum(np.exp(log - log.max()))
+        exact = t[np.searchsorted(mass, 0.2 * mass[-1])]
+        assert r.low == pytest.approx(exact, abs=0.02, rel=0.02 if r.a >= 2.5 and r.b >= 3 else 1), (r, exact)
+
+
 @pytest.mark.parametrize("host,domain,suffix", [("a.b.co.uk", "b.co.uk", "co.uk"), ("x.y.com", "y.com", "com"), ("y.com:80", "y.com", "com"), ("10.0.0.1", "10.0.0.1", "10.0.0.1"), ("localhost", "localhost", "localhost"), ("a.b.com.mx", "b.com.mx", "com.mx"), ("x.co.example", "co.example", "example")])
 def test_registered_domain(spark, host, domain, suffix):
     d, s = urls.domain_of(F.lit(host))
