@@ -44,7 +44,7 @@ ab AS (SELECT host, m, k + c * dmean AS a, n + c - (k + c * dmean) AS b FROM h J
 g AS (SELECT *, 1 / (9 * a) AS va, 1 / (9 * b) AS vb, 1 - 1 / (9 * a) AS ma, 1 - 1 / (9 * b) AS mb, {_Z} AS z FROM ab),
 q AS (SELECT *, ma * ma * vb + mb * mb * va - z * z * va * vb AS under FROM g),
 w AS (SELECT *, (ma * mb - z * sqrt(greatest(under, 0.0))) / (mb * mb - z * z * vb) AS ratio FROM q),
-r AS (SELECT host, m, a / (a + b) AS bad_mean, CASE WHEN ma > 0 AND mb * mb > z * z * vb AND under >= 0 AND ratio > 0 THEN a * ratio ** 3 / (b + a * ratio ** 3) ELSE 0.0 END AS bad_low FROM w),
+r AS (SELECT host, m, a / (a + b) AS bad_mean, CASE WHEN ma > 0 AND mb > 0 AND mb * mb > z * z * vb AND under >= 0 AND ratio > 0 THEN a * ratio ** 3 / (b + a * ratio ** 3) ELSE greatest(0.0, a / (a + b) - z * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) END AS bad_low FROM w),
 f AS (SELECT u.*, m, bad_mean, bad_low, CASE
   WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'

@@ -102,8 +102,10 @@ def beta_low(a: Column, b: Column, confidence: float) -> Column:
     under = ma * ma * vb + mb * mb * va - z * z * va * vb
     ratio = (ma * mb - z * F.sqrt(F.greatest(under, F.lit(0.0)))) / (mb * mb - z * z * vb)
     cube = a * ratio * ratio * ratio
-    # Where the quadratic has no root of use the bound is 0: so little is known of so rare a thing.
-    return F.when((ma > 0) & (mb * mb > z * z * vb) & (under >= 0) & (ratio > 0), cube / (b + cube)).otherwise(0.0)
+    # With a or b near 0 cube roots are far from normal; there the bound is the variable's own normal one.
+    mean = a / (a + b)
+    plain = F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1)))
+    return F.when((ma > 0) & (mb > 0) & (mb * mb > z * z * vb) & (under >= 0) & (ratio > 0), cube / (b + cube)).otherwise(plain)
 
 
 def host_reputation(outcomes: DataFrame, r: Reputation = Reputation()) -> DataFrame:
