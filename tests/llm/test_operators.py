@@ -94,7 +94,7 @@ def test_reputation_shrinks_towards_parents(spark):
 
 def test_few_bad_outcomes_dont_block_and_many_do(spark):
     """Fails without shrinkage: a host's own rate alone would block all of these but the clean ones."""
-    rows = [(f"h{i}.good.org", int(j == 0)) for i in range(40) for j in range(10)] + [("one.good.org", 1), ("two.good.org", 1), ("two.good.org", 1)] + [("many.bad.net", int(j % 10 < 8)) for j in range(60)]
+    rows = [(f"h{i}.good.org", int(j == 0)) for i in range(40) for j in range(10)] + [("one.good.org", 1), ("next.good.org", 1)] + [("many.bad.net", int(j % 10 < 8)) for j in range(60)]
     got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
     blocked = {h for h, r in got.items() if r.low > r.limit}
     assert blocked == {"many.bad.net"}
