@@ -525,3 +525,28 @@ def test_html_layout_wrappers_are_no_furniture(name, tag):
 def test_html_inner_marks_stay_furniture():
     page = f"<body><article><p>{'story ' * 20}</p></article><div class=related><article><p>teaser one</p></article></div></body>"
     assert Scan(page).text(Scan(page).best()) == ("story " * 20).strip()
+
+
+def test_deep_nesting_takes_room_in_proportion():
+    """50,000 nested tags: paths, marks and stack stay linear in the page."""
+    import tracemalloc
+
+    deep = "<div class='ad layout'>" * 50_000 + "<p>word</p></section></b>" * 50_000
+    tracemalloc.start()
+    found = Scan(deep)
+    best = found.best()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and len(found.steps) == 50_001 and found.text(best) == " ".join(["word"] * 50_000)
+
+
+@pytest.mark.parametrize("mark", ["class='side-effects'", "class='share-price'", "id='social-history'", "class='related-work'", "class='noticed banner-year'", "class='header'", "class='w-1/2 sidebars-x'"])
+def test_names_that_only_contain_furniture_words_stay(mark):
+    page = f"<body><article><h1>Title</h1><p>{'story ' * 30}</p><section {mark}><p>these words stay</p></section></article></body>"
+    assert "these words stay" in Scan(page).text(Scan(page).best())
+
+
+@pytest.mark.parametrize("mark", ["class='ad'", "class='related-posts'", "id='comments'", "class='comment-list'", "class='shareButtons'", "class='x cookie-notice'", "class='ad-slot-3'", "class='newsletter__signup'"])
+def test_names_made_of_furniture_words_go(mark):
+    page = f"<body><article><h1>Title</h1><p>{'story ' * 30}</p><div {mark}><p>these words go</p></div></article></body>"
+    assert "these words go" not in Scan(page).text(Scan(page).best())
