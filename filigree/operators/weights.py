@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import NetworkFrame
+from ..session import cut
 from .topology import placed_edges, population
 
 #: Bins between order statistics at n // 3 and 2n // 3 (fixed values); up to MANY edges: linear bins.
 THIRDS, LINEAR, MANY = (50, 30, 20), 100, 100
-#: Observed weights that a bin holds at most, and observations that mixed draws look at.
-MOST_VALUES, MOST_SEEN = 4096, 200_000
+#: Observed weights that a bin holds at most.
+MOST_VALUES = 4096
+#: Different observations a block is made for, blocks at most (they grow beyond), lengths that one task compares with a block.
+BLOCK, MOST_BLOCKS, VISITS = 4096, 1 << 14, 20_000
 
 
 def length_bins(lengths: DataFrame) -> DataFrame:
@@ -63,29 +66,109 @@ def assign(net: NetworkFrame, model: DataFrame, seed: int = 0) -> NetworkFrame:
     return NetworkFrame(net.nodes, e.select("graph_id", "u", "v", w.alias("weight")), True)
 
 
-def assign_mixed(net: NetworkFrame, original: NetworkFrame, share: float = 0.3, k: int = 50, seed: int = 0) -> NetworkFrame:
-    """As ``assign``, but a share of edges draws from the k nearest observations to (length, 0), by 1 / (distance + 1e-8).
+def observation_blocks(seen: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """((block, length, weight, n), boxes): observations in strips of length and blocks of weight within a strip, of
+    about BLOCK different ones each; equal ones are one row that counts up to k.
 
-    Of more than MOST_SEEN observations those with the smallest hashes are looked at.
+    boxes has a row a block: least and most length, least absolute weight, observations; at most MOST_BLOCKS rows.
+    """
+    each = cut(seen.groupBy("length", "weight").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n")), "observations")
+    strips = min(int(MOST_BLOCKS**0.5), max(1, round((each.count() / BLOCK) ** 0.5)))
+    at = [i / strips for i in range(1, strips)]
+    height = F.abs("weight")
+    begins = each.agg(F.percentile_approx("length", at, 10_000).alias("b")).first()["b"] if at else None
+    strip = F.size(F.filter(F.array(*map(F.lit, begins)), lambda x: x < F.col("length"))) if begins else F.lit(0)
+    rows = each.withColumn("strip", strip)
+    if at:
+        rows = rows.join(rows.groupBy("strip").agg(F.percentile_approx(height, at, 10_000).alias("h")), "strip")
+        rows = rows.withColumn("floor", F.size(F.filter("h", lambda x: x < height)))
+    else:
+        rows = rows.withColumn("floor", F.lit(0))
+    blocks = cut(rows.select((F.col("strip") * strips + F.col("floor")).cast("int").alias("block"), "length", "weight", "n"), "blocks")
+    box = blocks.groupBy("block").agg(F.min("length").alias("x0"), F.max("length").alias("x1"), F.min(height).alias("y0"), F.sum("n").alias("n")).orderBy("block").toPandas()
+    return blocks, box.to_numpy(float)
+
+
+def nearest_observations(lengths: DataFrame, seen: DataFrame, k: int = 50) -> DataFrame:
+    """(length, nearest): for every different length its k nearest observations(length, weight) to (length, 0), as
+    structs (d, x, weight) by distance, ties by x and weight; fewer if there are no more.
+
+    A length first looks into the blocks of least lower bound that hold k observations
+    together; the k-th distance there bounds the search, and all other blocks that begin
+    within it are looked into next.  So the answer is exact, and only blocks near the point are read.
     """
+    blocks, boxes = observation_blocks(seen, k)
+    # One row a block: at most MOST_BLOCKS.
+    shared = lengths.sparkSession.sparkContext.broadcast(boxes)
+
+    def bounds(x: np.ndarray) -> np.ndarray:
+        b = shared.value
+        return np.hypot(np.maximum(0, np.maximum(b[None, :, 1] - x[:, None], x[:, None] - b[None, :, 2])), b[None, :, 3])
+
+    def visits(batches, first: bool):
+        step = max(1, (1 << 21) // max(1, len(shared.value)))
+        for batch in batches:
+            for lo in range(0, len(batch), step):
+                part = batch.iloc[lo : lo + step]
+                low = bounds(part.length.to_numpy())
+                order = np.argsort(low, axis=1, kind="stable")
+                held = np.cumsum(shared.value[order, 4], axis=1)
+                early = np.zeros(low.shape, bool)
+                np.put_along_axis(early, order, (held - shared.value[order, 4]) < k, axis=1)
+                # Rounding must not hide a block that begins at the bound.
+                row, at = np.nonzero(early if first else ~early & (low <= part.far.to_numpy()[:, None] * (1 + 1e-12)))
+                yield pd.DataFrame({"block": shared.value[at, 0].astype(np.int32), "length": part.length.to_numpy()[row]})
+
+    def best(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"length": [], "d": [], "x": [], "weight": [], "n": []})]
+        points = points.sort_values(["length", "weight"])
+        x, y, n = points.length.to_numpy(), points.weight.to_numpy(), points.n.to_numpy()
+        q = np.sort(rows.length.to_numpy())
+        step = max(1, (1 << 20) // max(1, len(x)))
+        for lo in range(0, len(q) if len(x) else 0, step):
+            d = np.hypot(x - q[lo : lo + step, None], y)
+            top = min(k, len(x))
+            kth = np.partition(d, top - 1, axis=1)[:, top - 1 : top]
+            i, j = np.nonzero(d <= kth)
+            out.append(pd.DataFrame({"length": q[lo + i], "d": d[i, j], "x": x[j], "weight": y[j], "n": n[j]}))
+        return pd.concat(out).astype({"n": "int64"})
+
+    def look(at: DataFrame) -> DataFrame:
+        """The best of each visited block; a block that many lengths visit is read in salted parts."""
+        parts = at.groupBy("block").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("parts"))
+        salted = at.join(parts, "block").withColumn("salt", F.pmod(F.xxhash64("length"), "parts").cast("int")).select("block", "salt", "length")
+        copies = blocks.join(parts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "salt", "length", "weight", "n")
+        keys = ["block", "salt"]
+        return salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(best, "length double, d double, x double, weight double, n long")
+
+    def nearest(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("length").orderBy("d", "x", "weight")
+        before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k)
+
+    asked = cut(lengths.select("length").distinct(), "lengths")
+    seen_first = cut(nearest(look(asked.mapInPandas(lambda b: visits(b, True), "block int, length double"))), "nearest")
+    far = seen_first.groupBy("length").agg(F.when(F.sum("n") >= k, F.max("d")).otherwise(float("inf")).alias("far"))
+    later = cut(look(far.mapInPandas(lambda b: visits(b, False), "block int, length double")), "nearest")
+    every = nearest(seen_first.drop("before").unionByName(later))
+    copies = F.array_repeat(F.struct("d", "x", "weight"), F.least(F.col("n"), k - F.col("before")).cast("int"))
+    return every.groupBy("length").agg(F.array_sort(F.flatten(F.collect_list(copies))).alias("nearest"))
+
+
+def assign_mixed(net: NetworkFrame, original: NetworkFrame, share: float = 0.3, k: int = 50, seed: int = 0) -> NetworkFrame:
+    """As ``assign``, but a share of edges draws from the k nearest observations to (length, 0), by 1 / (distance + 1e-8)."""
     plain = assign(net, fit(original), seed)
-    seen = placed_edges(original).select("graph_id", "u", "v", "length", original.weights().alias("weight"))
-    seen = seen.orderBy(F.xxhash64("graph_id", "u", "v")).limit(MOST_SEEN).select("length", "weight").toPandas().sort_values(["length", "weight"])
-    x, y = seen.length.to_numpy(), seen.weight.to_numpy()
-    rows = max(1, (1 << 22) // max(1, len(x)))
-
-    @F.pandas_udf("double")
-    def near(length: pd.Series, u: pd.Series) -> pd.Series:
-        out = np.empty(len(length))
-        for at in range(0, len(length), rows):
-            d = np.hypot(x - length.to_numpy()[at : at + rows, None], y)
-            i = np.argsort(d, axis=1, kind="stable")[:, :k]
-            c = np.cumsum(1 / (np.take_along_axis(d, i, 1) + 1e-8), axis=1)
-            pick = (c <= u.to_numpy()[at : at + rows, None] * c[:, -1:]).sum(1)
-            out[at : at + rows] = y[i[np.arange(len(i)), np.minimum(pick, i.shape[1] - 1)]]
-        return pd.Series(out)
-
-    e = plain.edges.join(placed_edges(net).select("graph_id", "u", "v", "length"), ["graph_id", "u", "v"])
-    chosen = uniform(F.lit(seed), F.lit("mix"), "graph_id", "u", "v") < share
-    w = F.when(chosen, near("length", uniform(F.lit(seed), F.lit("near"), "graph_id", "u", "v"))).otherwise(F.col("weight"))
-    return NetworkFrame(plain.nodes, e.select("graph_id", "u", "v", w.alias("weight")), True)
+    seen = placed_edges(original).select("length", original.weights().alias("weight"))
+    lengths = placed_edges(net).select("graph_id", "u", "v", "length")
+    edge = ("graph_id", "u", "v")
+    chosen = uniform(F.lit(seed), F.lit("mix"), *edge) < share
+    mixed = cut(lengths.where(chosen), "mixed")
+    near = mixed.join(nearest_observations(mixed, seen, k), "length")
+    chance = F.transform("nearest", lambda o: 1 / (o.d + 1e-8))
+    total = F.aggregate(chance, F.lit(0.0), lambda a, c: a + c)
+    # The first observation at which the running sum passes the drawn part of the whole.
+    goal = uniform(F.lit(seed), F.lit("near"), *edge) * total
+    walk = F.aggregate("nearest", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("weight")), lambda a, o: F.struct((a["sum"] + 1 / (o.d + 1e-8)).alias("sum"), F.coalesce(a.weight, F.when(a["sum"] + 1 / (o.d + 1e-8) > goal, o.weight)).alias("weight")))
+    drawn = near.select(*edge, F.coalesce(walk.weight, F.element_at("nearest", -1).weight).alias("drawn"))
+    e = plain.edges.join(drawn, list(edge), "left")
+    return NetworkFrame(plain.nodes, e.select(*edge, F.coalesce("drawn", "weight").alias("weight")), True)

@@ -294,6 +294,17 @@ def weighted_reach(spark, d):
     return _out(large.distances(long, heads, 200.0), "src dst", "d")
 
 
+@query
+def nearest_observations(spark, d):
+    """The 50 observations of (price, quantity) nearest to (length, 0) for every length of the lattice's edges."""
+    line = N.table(spark, d, "lineitem")
+    seen = line.select((F.col("l_extendedprice") / 1000).cast("double").alias("length"), F.col("l_quantity").cast("double").alias("weight"))
+    lengths = T.placed_edges(N.lattice(spark, d)).select("length")
+    near = W.nearest_observations(lengths, seen, 50)
+    total = lambda c: F.aggregate(F.transform("nearest", lambda o: o[c]), F.lit(0.0), lambda a, x: a + x).alias(c)
+    return _out(near.select("length", F.size("nearest").alias("n"), total("d"), total("weight")), "n", "length d weight")
+
+
 @query
 def log_tail(spark, d):
     """Messages and progress of each run from logs tailed by byte offset: the stream ends, the logs grow, and it goes on from its checkpoint."""
