@@ -105,10 +105,26 @@ def attributes(net: NetworkFrame, most: int | None = None) -> DataFrame:
 
 
 def triangles(net: NetworkFrame) -> DataFrame:
-    """(graph_id, a, b, c, wab, wbc, wac) with a < b < c; simple edges."""
+    """(graph_id, a, b, c, wab, wbc, wac) with a < b < c; simple edges.
+
+    Every edge points to its end of larger degree (then larger id), so a node's pairs of
+    heads number at most the edges of the graph times two, a hub's as well.
+    """
     e = net.edges.where("u <> v").select("graph_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), net.weights().alias("w")).dropDuplicates(["graph_id", "u", "v"])
-    name = lambda a, b, w: e.select("graph_id", F.col("u").alias(a), F.col("v").alias(b), F.col("w").alias(w))
-    return name("a", "b", "wab").join(name("b", "c", "wbc"), ["graph_id", "b"]).join(name("a", "c", "wac"), ["graph_id", "a", "c"]).select("graph_id", "a", "b", "c", "wab", "wbc", "wac")
+    degree = e.select("graph_id", F.explode(F.array("u", "v")).alias("node_id")).groupBy("graph_id", "node_id").agg(F.count("*").alias("k"))
+    end = lambda c: degree.select("graph_id", F.col("node_id").alias(c), F.col("k").alias(f"k{c}"))
+    placed = e.join(end("u"), ["graph_id", "u"]).join(end("v"), ["graph_id", "v"])
+    up = F.struct("ku", "u") < F.struct("kv", "v")
+    out = placed.select("graph_id", F.when(up, F.col("u")).otherwise(F.col("v")).alias("t"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("h"), "w")
+    head = lambda h, w: out.select("graph_id", "t", F.col("h").alias(h), F.col("w").alias(w))
+    wedge = head("p", "wp").join(head("q", "wq"), ["graph_id", "t"]).where("p < q")
+    found = wedge.join(e.select("graph_id", F.col("u").alias("p"), F.col("v").alias("q"), F.col("w").alias("wpq")), ["graph_id", "p", "q"])
+    t, p, q = (F.col(c) for c in "tpq")
+    side = lambda first, middle, last: F.when(t < p, F.col(first)).when(t < q, F.col(middle)).otherwise(F.col(last))
+    return found.select(
+        "graph_id", F.least(t, p).alias("a"), side("p", "t", "q").alias("b"), F.greatest(t, q).alias("c"),
+        side("wp", "wp", "wpq").alias("wab"), side("wpq", "wq", "wq").alias("wbc"), side("wq", "wpq", "wp").alias("wac"),
+    )
 
 
 def clustering(net: NetworkFrame) -> DataFrame:
