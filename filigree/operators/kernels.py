@@ -159,7 +159,41 @@ def curvature(g: Csr, i: int, j: int, length: float, dist: dict[int, np.ndarray]
         return 0.0
     a, p = masses(g, i, alpha, weighted)
     b, q = masses(g, j, alpha, weighted)
-    return 1.0 - transport(p, q, np.array([dist[int(x)][b] for x in a])) / length
+    return 1.0 - moved(a, p, b, q, lambda x, y: np.array([dist[int(k)][y] for k in x])) / length
+
+
+def moved(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, cost) -> float:
+    """Least cost of moving masses p on nodes a to q on nodes b; cost(x, y) is a matrix of distances.
+
+    Distances obey the triangle inequality, so mass that both have on a node stays there.
+    """
+    p, q = p.copy(), q.copy()
+    _, i, j = np.intersect1d(a, b, return_indices=True)
+    both = np.minimum(p[i], q[j])
+    p[i] -= both
+    q[j] -= both
+    x, y = p > 1e-15, q > 1e-15
+    return transport(p[x], q[y], cost(a[x], b[y])) if x.any() and y.any() else 0.0
+
+
+def near_distances(a: list[np.ndarray], b: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hop distances between neighbours x of one end of an edge and y of its other end, from their sorted neighbours
+    a and b: 0, 1, 2 with a common neighbour, else the 3 hops over the edge."""
+    out = np.full((len(x), len(y)), 3.0)
+    for i, near in enumerate(a):
+        for j, other in enumerate(b):
+            if x[i] == y[j]:
+                out[i, j] = 0.0
+            elif _has(near, y[j]):
+                out[i, j] = 1.0
+            elif len(near) and len(other) and np.isin(near, other, assume_unique=True).any():
+                out[i, j] = 2.0
+    return out
+
+
+def _has(ids: np.ndarray, k: int) -> bool:
+    at = int(np.searchsorted(ids, k))
+    return at < len(ids) and ids[at] == k
 
 
 def principal_vector(g: Csr, weighted: bool, rounds: int = 200_000, tol: float = 1e-13) -> np.ndarray:

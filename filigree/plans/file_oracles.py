@@ -72,6 +72,7 @@ SQL = {
     "eigenvector_lanczos": _q(TRADE, f"{_i('id AS node_id')}, {_f('x AS eigenvector')} FROM eig", _POWER),
     "weighted_reach": _q(LATTICE, f"{_i('label AS src', 'far.id AS dst')}, {_f('d')} FROM far JOIN lab ON lab.id = far.id", LABELS + _FAR),
     "nearest_observations": f"WITH {LATTICE}, l AS (SELECT DISTINCT sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS len FROM e JOIN n a ON a.id = u JOIN n b ON b.id = v), o AS (SELECT (l_extendedprice / 1000)::DOUBLE AS x, l_quantity::DOUBLE AS y FROM lineitem), r AS (SELECT len, sqrt((x - len) ** 2 + y ** 2) AS d, y, row_number() OVER (PARTITION BY len ORDER BY (x - len) ** 2 + y ** 2, x, y) AS k FROM l, o) SELECT {_i('count(*) AS n')}, {_f('len AS length', 'sum(d) AS d', 'sum(y) AS weight')} FROM r WHERE k <= 50 GROUP BY len",
+    "ball_sketches": _q(KNN, f"{_i('r', 'pairs')}, TRUE AS near FROM (SELECT d AS r, sum(count(*)) OVER (ORDER BY d) AS pairs FROM hop GROUP BY d)", HOPS),
     "log_tail": f"SELECT {_i('count(*) AS n')}, {_f('sum(event_id % 131) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
     "format_networks": f"SELECT * FROM ({_q(TRADE, _PLACED.format(name='trade', w='w'))}) UNION ALL SELECT * FROM ({_q(LATTICE, _PLACED.format(name='lattice', w='-1.0'))})",
     "csv_pair_edges": _q(TRADE, _EDGES),

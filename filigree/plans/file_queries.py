@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import frame
@@ -273,6 +273,19 @@ def stream_progress(spark, d):
     return _out(spark.table(name), "", "percent", "run_id dataset")
 
 
+@query
+def ball_sketches(spark, d):
+    """Reached pairs of the neighbour network by radius from distinct-count sketches, beside the exact ones: is the error within three times what the sketches promise?"""
+    net = N.knn(spark, d)
+    about = large.ball_estimates(net).groupBy("graph_id", "r").agg(F.sum("inside").alias("about"))
+    exact = paths.balls(net).groupBy("graph_id", F.col("r").cast("int").alias("r")).agg(F.sum("cnt").alias("pairs"))
+    nodes = T.counts(net).select("graph_id", "node_count")
+    before = Window.partitionBy("graph_id").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    seen = about.join(exact, ["graph_id", "r"], "full").withColumn("pairs", F.sum(F.coalesce("pairs", F.lit(0))).over(before)).join(nodes, "graph_id")
+    whole = F.col("pairs") + F.col("node_count")
+    return _out(seen.select("r", whole.alias("pairs"), F.coalesce(F.abs(F.col("about") - whole) <= 3 / 64 * whole, F.lit(False)).alias("near")), "r pairs", "", "near")
+
+
 @query
 def betweenness_levels(spark, d):
     """The neighbour network's betweenness by joins alone, as for a network beyond a task."""
