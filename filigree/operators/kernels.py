@@ -176,6 +176,17 @@ def moved(a: np.ndarray, p: np.ndarray, b: np.ndarray, q: np.ndarray, cost) -> f
     return transport(p[x], q[y], cost(a[x], b[y])) if x.any() and y.any() else 0.0
 
 
+def within_three(g: Csr, i: int) -> np.ndarray:
+    """Hops from a node to all others as if none were farther than 3."""
+    out = np.full(g.n, 3.0, np.float32)
+    near = g.neighbours(i)
+    _, pos = g.spread(near)
+    out[g.dst[pos]] = 2.0
+    out[near] = 1.0
+    out[i] = 0.0
+    return out
+
+
 def near_distances(a: list[np.ndarray], b: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Hop distances between neighbours x of one end of an edge and y of its other end, from their sorted neighbours
     a and b: 0, 1, 2 with a common neighbour, else the 3 hops over the edge."""
