@@ -22,8 +22,8 @@ LOCAL_EDGES = 2_000_000
 def components(net: NetworkFrame) -> DataFrame:
     """(graph_id, node_id, label): the smallest node id reachable.
 
-    Edges are thinned to forests where they lie, a task a partition.  Graphs that fit a task then
-    are settled there, one each; a larger one by hooking and shortcutting over written tables.
+    Graphs that fit a task are settled there, one each.  A larger one's edges are thinned to forests where
+    they lie, a task a partition, and settled by hooking and shortcutting over written tables.
     """
     links = cut(net.edges.where("u <> v").select("graph_id", "u", "v"), "links")
     size = links.groupBy("graph_id").agg(F.count("*").alias("n"))

@@ -153,8 +153,8 @@ k AS (SELECT g, x, count(*) FILTER (a <= x)::DOUBLE / count(*) AS p, count(*) FI
         "* FROM (SELECT w AS width, h AS height, 'own' AS kind FROM box UNION ALL SELECT greatest(1, ceil(w * (1024.0::DOUBLE / greatest(w, h)))), greatest(1, ceil(h * (1024.0::DOUBLE / greatest(w, h)))), 'scaled' FROM box)",
         ", box AS (SELECT greatest(1, ceil(max(x)))::DOUBLE AS w, greatest(1, ceil(max(y)))::DOUBLE AS h FROM n)",
     ),
-    "snapshot_schedule": f"WITH RECURSIVE {_ROUNDS} SELECT {_i('every', 'round')} FROM r UNION ALL SELECT 7, 7 * unnest(range(1, 72))",
-    "figure_resolution": "SELECT n::BIGINT AS nodes, dpi::BIGINT AS dpi, (dpi + 300)::BIGINT AS raster FROM (SELECT n, CASE WHEN n < 10000 THEN 150 WHEN n < 100000 THEN 300 WHEN n < 1000000 THEN 600 WHEN n < 10000000 THEN 900 WHEN n < 20000000 THEN 1200 ELSE 1800 END AS dpi FROM (SELECT 10 ** k + j AS n FROM range(9) a(k), (VALUES (-1), (0)) b(j)))",
+    "snapshot_schedule": f"WITH RECURSIVE {_ROUNDS}, a AS (SELECT [-1, -3, -6, 7][c_custkey % 4 + 1] AS every, count(*) AS n FROM customer GROUP BY 1) SELECT {_i('every', 'round', 'n')} FROM (SELECT every, round FROM r UNION ALL SELECT 7, 7 * unnest(range(1, 72))) JOIN a USING (every)",
+    "figure_resolution": "SELECT o_orderkey::BIGINT AS o_orderkey, n AS nodes, dpi::BIGINT AS dpi, (dpi + 300)::BIGINT AS raster FROM (SELECT o_orderkey, n, CASE WHEN n < 10000 THEN 150 WHEN n < 100000 THEN 300 WHEN n < 1000000 THEN 600 WHEN n < 10000000 THEN 900 WHEN n < 20000000 THEN 1200 ELSE 1800 END AS dpi FROM (SELECT o_orderkey, floor(o_totalprice::DOUBLE * power(10.0::DOUBLE, (o_orderkey % 5 - 1)::DOUBLE))::BIGINT AS n FROM orders))",
     "spaced_centres": "SELECT 0::BIGINT AS too_close, 0::BIGINT AS outside, TRUE AS enough",
     "grown_faults": "SELECT 0::BIGINT AS crossing, 0::BIGINT AS repeated, 0::BIGINT AS loops, 1::BIGINT AS parts, 'run/' || i AS graph_id FROM range(4) t(i)",
     "accepted_faults": "SELECT 0::BIGINT AS n, unnest(['dense', 'over_tolerance', 'apart', 'crossing']) AS fault",

@@ -509,14 +509,19 @@ def network_extent(spark, d):
 
 @query
 def snapshot_schedule(spark, d):
-    rows = [(k, n) for k in (-1, -3, -6, 7) for n in Gr.snapshot_rounds(k, 500)]
-    return _out(spark.createDataFrame(rows, "every int, round int"), "every round")
+    """The rounds of the schedules that customers ask for, and how many do."""
+    asked = F.get(F.array(*map(F.lit, (-1, -3, -6, 7))), (F.col("c_custkey") % 4).cast("int")).alias("every")
+    wanted = N.table(spark, d, "customer").groupBy(asked).agg(F.count("*").alias("n"))
+    rounds = lambda batches: (pd.DataFrame([(k, n, r) for k, n in b.itertuples(index=False) for r in Gr.snapshot_rounds(int(k), 500)], columns=["every", "n", "round"]) for b in batches)
+    return _out(wanted.mapInPandas(rounds, "every int, n long, round int"), "every round n")
 
 
 @query
 def figure_resolution(spark, d):
-    rows = [(10**k + j, P.dpi(10**k + j), P.dpi(10**k + j, raster=True)) for k in range(9) for j in (-1, 0)]
-    return _out(spark.createDataFrame(rows, "nodes long, dpi int, raster int"), "nodes dpi raster")
+    """Tiers of figures with as many nodes as orders cost, from cents to ten thousands."""
+    nodes = F.floor(F.col("o_totalprice") * F.pow(F.lit(10.0), (F.col("o_orderkey") % 5 - 1).cast("double"))).alias("nodes")
+    counted = N.table(spark, d, "orders").select("o_orderkey", nodes)
+    return _out(counted.select("o_orderkey", "nodes", P.resolution(F.col("nodes")).alias("dpi"), P.resolution(F.col("nodes"), True).alias("raster")), "o_orderkey nodes dpi raster")
 
 
 @query

@@ -134,7 +134,7 @@ ORACLES: dict[str, str] = {
     "near_one": f"SELECT {_i('o_orderkey')}, {_f('node_factor', 'edge_factor')} FROM {_TRIALS} WHERE abs(node_factor - 1) <= 0.25 AND abs(edge_factor - 1) <= 0.25",
     "best_trials": f"SELECT {_i('o_orderkey')}, {_f('score')} FROM {_SCORE} ORDER BY score DESC, error, o_orderkey LIMIT 15",
     "robust_mean_error": f"WITH t AS (SELECT o_custkey % 10 AS trial, o_totalprice / 1000 AS error FROM orders), m AS (SELECT trial, avg(error) AS mu, stddev_pop(error) AS sd FROM t GROUP BY trial) SELECT {_i('t.trial AS trial')}, {_f('round(avg(error), 3) AS error')} FROM t JOIN m ON m.trial = t.trial WHERE abs(error - mu) <= 2 * sd GROUP BY t.trial",
-    "factor_grid": f"WITH v AS (SELECT round(0.3 + unnest(range(0, 18)) * 0.1, 6) AS f) SELECT {_f('a.f AS node_factor', 'b.f AS edge_factor')} FROM v a, v b",
+    "factor_grid": f"WITH t AS (SELECT min(node_factor) AS n0, max(node_factor) AS n1, min(edge_factor) AS e0, max(edge_factor) AS e1 FROM {_TRIALS}), a AS (SELECT round(n0 + unnest(range(0, round((n1 - n0) / 0.1)::BIGINT + 1)) * 0.1, 6) AS f FROM t), b AS (SELECT round(e0 + unnest(range(0, round((e1 - e0) / 0.1)::BIGINT + 1)) * 0.1, 6) AS f FROM t) SELECT {_f('a.f AS node_factor', 'b.f AS edge_factor')} FROM a, b",
     "session_transitions": f"WITH t AS (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) SELECT {_i('n')}, {_f('n / sum(n) OVER (PARTITION BY event_type) AS prob')}, event_type, nxt AS next FROM (SELECT event_type, nxt, count(*) AS n FROM t WHERE nxt IS NOT NULL GROUP BY 1, 2)",
     "manifest_classify": f"SELECT count(*)::BIGINT AS n, kind FROM {_FILES} GROUP BY kind",
     "manifest_summary": f"SELECT 'ok' AS status, 'run' AS run_root, count(*)::BIGINT AS file_count, count(DISTINCT kind)::BIGINT AS kinds FROM {_FILES}",

@@ -310,6 +310,14 @@ def spectra_table(reports: DataFrame) -> DataFrame:
 DPI_TIERS, MOST_DPI, RASTER_DPI = ((10_000, 150), (100_000, 300), (1_000_000, 600), (10_000_000, 900), (20_000_000, 1200)), 1800, 300
 
 
+def resolution(nodes: Column, raster: bool = False) -> Column:
+    """Resolution tier of figures by their node counts."""
+    out = F.lit(MOST_DPI)
+    for most, d in reversed(DPI_TIERS):
+        out = F.when(nodes < most, d).otherwise(out)
+    return out + F.lit(RASTER_DPI if raster else 0)
+
+
 def dpi(nodes: int, raster: bool = False) -> int:
     """Resolution tier of a figure by its node count."""
     return next((d for most, d in DPI_TIERS if nodes < most), MOST_DPI) + (RASTER_DPI if raster else 0)

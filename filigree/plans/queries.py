@@ -326,7 +326,10 @@ def robust_mean_error(spark, d):
 
 @query
 def factor_grid(spark, d):
-    return _out(R.factor_grid(spark.range(1), 0.3, 2.0, 0.1), "", "node_factor edge_factor")
+    """The grid over the ranges of factors that the trials have."""
+    ends = _trials(spark, d).agg(*(f(c).alias(f"{n}_{c}") for c in ("node_factor", "edge_factor") for n, f in (("low", F.min), ("high", F.max))))
+    low, high, edge_low, edge_high = ends.first()
+    return _out(R.factor_grid(spark.range(1), low, high, 0.1, (edge_low, edge_high)), "", "node_factor edge_factor")
 
 
 @query
