@@ -35,6 +35,8 @@ eig AS (SELECT id, x FROM it WHERE k = 3000)"""
 _FAR = """,
 sl AS MATERIALIZED (SELECT u, v, len FROM pl UNION ALL SELECT v, u, len FROM pl),
 far(id, d) USING KEY (id) AS (SELECT DISTINCT label, 0.0::DOUBLE FROM lab UNION SELECT sl.v, min(f.d + sl.len) FROM far f JOIN sl ON sl.u = f.id LEFT JOIN recurring.far r ON r.id = sl.v WHERE r.d IS NULL OR f.d + sl.len < r.d GROUP BY sl.v)"""
+#: Shortest weighted distances, a link as long as {one} over its weight.
+_LENGTHS = ", path(src, dst, d, k) AS (SELECT id, id, 0.0::DOUBLE, 0 FROM n UNION SELECT src, dst, d, k FROM (SELECT p.src, s.v AS dst, min(p.d + {one} / s.w) AS d, p.k + 1 AS k FROM path p JOIN s ON s.u = p.dst WHERE p.k < 8 GROUP BY 1, 2, 4)), pd AS MATERIALIZED (SELECT src, dst, min(d) AS d FROM path GROUP BY 1, 2)"
 _NFD = "nfd AS (SELECT src, CASE WHEN count(*) > 2 THEN regr_slope(ln(inside), ln(r)) ELSE 0.0 END AS x FROM (SELECT src, r, 1 + sum(cnt) OVER (PARTITION BY src ORDER BY r) AS inside FROM ball) GROUP BY src)"
 _CLOSE = "clo AS (SELECT src, (count(*) - 1)::DOUBLE / sum(d) * (count(*) - 1) / ((SELECT count(*) FROM n) - 1) AS x FROM hop GROUP BY src)"
 
@@ -73,6 +75,10 @@ SQL = {
     "weighted_reach": _q(LATTICE, f"{_i('label AS src', 'far.id AS dst')}, {_f('d')} FROM far JOIN lab ON lab.id = far.id", LABELS + _FAR),
     "nearest_observations": f"WITH {LATTICE}, l AS (SELECT DISTINCT sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS len FROM e JOIN n a ON a.id = u JOIN n b ON b.id = v), o AS (SELECT (l_extendedprice / 1000)::DOUBLE AS x, l_quantity::DOUBLE AS y FROM lineitem), r AS (SELECT len, sqrt((x - len) ** 2 + y ** 2) AS d, y, row_number() OVER (PARTITION BY len ORDER BY (x - len) ** 2 + y ** 2, x, y) AS k FROM l, o) SELECT {_i('count(*) AS n')}, {_f('len AS length', 'sum(d) AS d', 'sum(y) AS weight')} FROM r WHERE k <= 50 GROUP BY len",
     "ball_sketches": _q(KNN, f"{_i('r', 'pairs')}, TRUE AS near FROM (SELECT d AS r, sum(count(*)) OVER (ORDER BY d) AS pairs FROM hop GROUP BY d)", HOPS),
+    "ball_histogram_weighted": _q(TRADE, f"{_i('src', 'count(*) AS cnt')}, {_f('r')} FROM (SELECT src, round(d, 1) AS r FROM pd WHERE d > 0) GROUP BY src, r", _LENGTHS.replace("{one}", "1000")),
+    "node_dimension_weighted": _q(TRADE, f"{_i('id AS node_id')}, {_f('CASE WHEN k > 2 THEN s ELSE 0.0 END AS dimension')} FROM n LEFT JOIN (SELECT src, count(*) AS k, regr_slope(ln(inside), ln(r)) AS s FROM (SELECT src, r, sum(cnt) OVER (PARTITION BY src ORDER BY r) AS inside FROM (SELECT src, round(d, 1) AS r, count(*) AS cnt FROM pd WHERE d > 0 GROUP BY ALL)) GROUP BY src) ON src = id", _LENGTHS.replace("{one}", "1000")),
+    "centralities_weighted": _q(TRADE, f"{_i('n.id AS node_id')}, 0.0::DOUBLE AS dimension, {_f('coalesce((f.c - 1) / nullif(far, 0) * (f.c - 1) / ((SELECT count(*) FROM n) - 1), 0.0) AS closeness', 'strength AS degree', 'o AS clustering')} FROM n JOIN d ON d.id = n.id JOIN cl ON cl.id = n.id JOIN (SELECT src, count(*)::DOUBLE AS c, sum(d) AS far FROM pd GROUP BY src) f ON f.src = n.id", _LENGTHS.replace("{one}", "1")),
+    "snapshot_networks": f"{_GROUPED}, reach(g, id, label) AS (SELECT g, id, id FROM gn UNION SELECT r.g, gs.v, r.label FROM reach r JOIN gs ON gs.g = r.g AND gs.u = r.id WHERE r.label < gs.v), lab AS (SELECT g, id, min(label) AS label FROM reach GROUP BY g, id), big AS (SELECT g, max(k) AS size FROM (SELECT g, label, count(*) AS k FROM lab GROUP BY g, label) GROUP BY g) SELECT {_i('dense_rank() OVER (ORDER BY s.g) AS snapshot_ix', 's.k AS node_count', 'coalesce(t.k, 0) AS edge_count', 'size')} FROM (SELECT g, count(*) AS k FROM gn GROUP BY g) s LEFT JOIN (SELECT g, count(*) AS k FROM ge GROUP BY g) t ON t.g = s.g JOIN big ON big.g = s.g",
     "log_tail": f"SELECT {_i('count(*) AS n')}, {_f('sum(event_id % 131) AS percent')}, 'run' || (user_id % 20) AS run_id, event_type AS dataset FROM events WHERE event_id % 17 <> 0 GROUP BY user_id % 20, event_type",
     "format_networks": f"SELECT * FROM ({_q(TRADE, _PLACED.format(name='trade', w='w'))}) UNION ALL SELECT * FROM ({_q(LATTICE, _PLACED.format(name='lattice', w='-1.0'))})",
     "csv_pair_edges": _q(TRADE, _EDGES),

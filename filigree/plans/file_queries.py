@@ -273,6 +273,42 @@ def stream_progress(spark, d):
     return _out(spark.table(name), "", "percent", "run_id dataset")
 
 
+def _long(spark, d) -> NetworkFrame:
+    """The trade network with lengths of 1000 over its weights."""
+    net = N.trade(spark, d)
+    return NetworkFrame(net.nodes, net.edges.withColumn("weight", 1000 / F.col("weight")), True)
+
+
+@query
+def ball_histogram_weighted(spark, d):
+    """Nodes by weighted distance to one decimal."""
+    return _out(paths.balls(_long(spark, d), True, 1), "src cnt", "r")
+
+
+@query
+def node_dimension_weighted(spark, d):
+    return _out(M.node_dimension(_long(spark, d), True, 1), "node_id", "dimension")
+
+
+@query
+def centralities_weighted(spark, d):
+    """Dimension, closeness, strength and weighted clustering of every node of the trade network."""
+    return _out(M.centralities(N.trade(spark, d)), "node_id", "dimension closeness degree clustering")
+
+
+@query
+def snapshot_networks(spark, d):
+    """Networks out of snapshots' arrays that were written by number: nodes, edges and mean length of each one's largest component."""
+    net, at = _segments(spark, d), _folder(spark)
+    number = F.dense_rank().over(Window.orderBy("graph_id")).alias("snapshot_ix")  # one row a segment
+    names = net.nodes.select("graph_id").distinct().select("graph_id", number)
+    sinks.write_snapshots(P.with_networks(names, net).drop("graph_id"), at)
+    back = tables.snapshot_networks(spark, at)
+    parts = C.component_sizes(back).where("place = 1").select("graph_id", "size")
+    whole = T.counts(back).join(parts, "graph_id")
+    return _out(whole.select(F.substring_index("graph_id", "_", -1).cast("int").alias("snapshot_ix"), "node_count", "edge_count", "size"), "snapshot_ix node_count edge_count size")
+
+
 @query
 def ball_sketches(spark, d):
     """Reached pairs of the neighbour network by radius from distinct-count sketches, beside the exact ones: is the error within three times what the sketches promise?"""

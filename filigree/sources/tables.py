@@ -281,6 +281,15 @@ def snapshot_pairs(files: DataFrame) -> DataFrame:
     return at("positions").join(at("edges"), "n").select(F.col("n").cast("int").alias("snapshot_ix"), "positions", "edges").orderBy("snapshot_ix")
 
 
+def snapshot_networks(spark: SparkSession, path: str, largest: bool = False) -> NetworkFrame:
+    """Snapshots that sinks.write_snapshots wrote, as networks ``snapshot_<number>``; an end is a node's id in its own snapshot."""
+    rows = spark.read.parquet(path).select(F.format_string("snapshot_%05d", "snapshot_ix").alias("graph_id"), "nodes", "edges")
+    nodes = rows.select("graph_id", F.explode("nodes").alias("n")).select("graph_id", "n.node_id", "n.x", "n.y")
+    edges = rows.select("graph_id", F.explode("edges").alias("e")).select("graph_id", "e.u", "e.v", "e.weight")
+    net = NetworkFrame(nodes, edges, not edges.isEmpty() and edges.where("weight is null").isEmpty())
+    return largest_component(net, renumber=True) if largest else net
+
+
 def load_named(spark: SparkSession, paths: list[str], name: str) -> NetworkFrame:
     """The data set ``name`` among paths: CSV pair first, then compressed GraphML, then plain."""
     have = set(paths)
