@@ -55,13 +55,16 @@ def uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
-def assign(net: NetworkFrame, model: DataFrame, seed: int = 0) -> NetworkFrame:
-    """net with a random observed weight of each edge's length bin; model is ``fit`` of one graph."""
+def assign(net: NetworkFrame, model: DataFrame, seed: int = 0, draw: Column | None = None) -> NetworkFrame:
+    """net with a random observed weight of each edge's length bin; model is ``fit`` of one graph.
+
+    ``draw`` are numbers from 0 to below 1 of (graph_id, u, v) in place of the seeded ones.
+    """
     m = model.select("bin", "lo", "weights", "fallback")
     begins = m.agg(F.array_sort(F.collect_list("lo")).alias("begins"))
     e = placed_edges(net).join(F.broadcast(begins)).withColumn("bin", F.greatest(F.lit(0), F.least(F.size(F.filter("begins", lambda x: x <= F.col("length"))) - 1, F.size("begins") - 1)))
     e = e.join(F.broadcast(m.drop("lo")), "bin", "left")  # 100 bounded rows
-    u = uniform(F.lit(seed), "graph_id", "u", "v")
+    u = uniform(F.lit(seed), "graph_id", "u", "v") if draw is None else draw
     w = F.when(F.size("weights") > 0, F.get("weights", F.floor(u * F.size("weights")).cast("int"))).otherwise(F.col("fallback"))
     return NetworkFrame(net.nodes, e.select("graph_id", "u", "v", w.alias("weight")), True)
 

@@ -170,3 +170,8 @@ r AS ("""
     + _q(LATTICE, "* FROM met")
     + f"), dist AS (SELECT m.g, ({_REL}) / 5 AS distance FROM m, r) SELECT {_i('row_number() OVER (ORDER BY distance, g) AS rank')}, {_f('distance')}, g AS graph_id FROM dist"
 )
+ORACLES["weight_assignment_given"] = _q(
+    TRADE,
+    f"{_i('u', 'v')}, {_f('coalesce(seen[1 + floor(draw * len(seen))::INTEGER], (SELECT avg(w) FROM e)) AS weight')} FROM (SELECT u, v, bin, ((u * 7919 + v * 104729) % 10007 + 0.5) / 10007::DOUBLE AS draw FROM a) LEFT JOIN (SELECT bin, list(w ORDER BY w) AS seen FROM a JOIN e USING (u, v) GROUP BY bin) USING (bin)",
+    _BINS + ", a AS (SELECT u, v, (SELECT greatest(0, count(*) - 1) FROM bins WHERE bins.lo <= pl.len) AS bin FROM pl)",
+)

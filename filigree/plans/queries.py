@@ -271,6 +271,14 @@ def weight_assignment(spark, d):
     return _out(W.assign(net.make_unweighted(), W.fit(net), seed=7).edges, "u v", "weight")
 
 
+@query
+def weight_assignment_given(spark, d):
+    """As weight_assignment, with draws that follow from an edge's ends."""
+    net = N.trade(spark, d)
+    draw = (F.pmod(F.col("u") * 7919 + F.col("v") * 104729, F.lit(10007)) + 0.5) / 10007
+    return _out(W.assign(net.make_unweighted(), W.fit(net), draw=draw).edges, "u v", "weight")
+
+
 @query
 def knn_pairs(spark, d):
     v = N.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
