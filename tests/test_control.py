@@ -123,3 +123,25 @@ def test_queries_are_registered_with_sql(name):
     from filigree.plans import file_oracles, file_queries, oracles, queries  # noqa: F401
 
     assert name in queries.QUERIES and name in oracles.ORACLES
+
+
+@pytest.mark.parametrize(("full", "weights"), [(False, False), (True, True), (False, None)])
+def test_compare_passes_on_band_and_weights(spark, tmp_path, monkeypatch, full, weights):
+    net = small(spark)
+    asked = []
+
+    def reports(original, synthetic, full_band):
+        asked.append((original.weighted, synthetic.weighted, full_band))
+        return spark.createDataFrame([(k, f"g{i}", [1.0, 2.0], [3.0, 4.0]) for k in ("original", "synthetic") for i in (1, 0)], "label string, graph_id string, al_list array<double>, fal_list array<double>")
+
+    monkeypatch.setattr(runs.P, "compare", reports)
+    monkeypatch.setattr(runs.tables, "load", lambda s, path: NetworkFrame(net.nodes, net.edges.withColumn("weight", F.lit(2.0)), True))
+    params = {"FULL_Q_BAND": full} | ({} if weights is None else {"MEASURE_WEIGHTED": weights})
+    text = {"contract": 2, "mode": "compare", "run_name": "c", "output_dir": f"{tmp_path}/out", "inputs": {"original_networks": "a", "synthetic_networks": "b"}, "params": params}
+    root = runs.run_spec(spark, json.dumps(text))
+    want = weights is not False
+    assert asked == [(want, want, full)]
+    done = sinks.read_manifest(spark, root)
+    assert done["status"] == "ok" and sorted(done["outputs"]["analysis"]) == ["c/analysis_data_original.json", "c/analysis_data_synthetic.json", "c/spectra_analysis.csv"]
+    rows = spark.read.json(f"{root}/c/analysis_data_original.json").collect()
+    assert [r.graph_id for r in rows] == ["g0", "g1"] and spark.read.csv(f"{root}/c/spectra_analysis.csv", header=True).count() == 8
