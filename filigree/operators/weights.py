@@ -123,17 +123,18 @@ def nearest_observations(lengths: DataFrame, seen: DataFrame, k: int = 50) -> Da
                 yield pd.DataFrame({"block": shared.value[at, 0].astype(np.int32), "length": part.length.to_numpy()[row]})
 
     def best(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"length": [], "d": [], "x": [], "weight": [], "n": []})]
+        out = [pd.DataFrame({"length": [], "s": [], "x": [], "weight": [], "n": []})]
         points = points.sort_values(["length", "weight"])
         x, y, n = points.length.to_numpy(), points.weight.to_numpy(), points.n.to_numpy()
         q = np.sort(rows.length.to_numpy())
         step = max(1, (1 << 20) // max(1, len(x)))
         for lo in range(0, len(q) if len(x) else 0, step):
-            d = np.hypot(x - q[lo : lo + step, None], y)
+            # Squares are compared: roots of different ones may be equal.
+            s = (x - q[lo : lo + step, None]) ** 2 + y**2
             top = min(k, len(x))
-            kth = np.partition(d, top - 1, axis=1)[:, top - 1 : top]
-            i, j = np.nonzero(d <= kth)
-            out.append(pd.DataFrame({"length": q[lo + i], "d": d[i, j], "x": x[j], "weight": y[j], "n": n[j]}))
+            kth = np.partition(s, top - 1, axis=1)[:, top - 1 : top]
+            i, j = np.nonzero(s <= kth)
+            out.append(pd.DataFrame({"length": q[lo + i], "s": s[i, j], "x": x[j], "weight": y[j], "n": n[j]}))
         return pd.concat(out).astype({"n": "int64"})
 
     def look(at: DataFrame) -> DataFrame:
@@ -142,19 +143,19 @@ def nearest_observations(lengths: DataFrame, seen: DataFrame, k: int = 50) -> Da
         salted = at.join(parts, "block").withColumn("salt", F.pmod(F.xxhash64("length"), "parts").cast("int")).select("block", "salt", "length")
         copies = blocks.join(parts, "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "salt", "length", "weight", "n")
         keys = ["block", "salt"]
-        return salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(best, "length double, d double, x double, weight double, n long")
+        return salted.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(best, "length double, s double, x double, weight double, n long")
 
     def nearest(found: DataFrame) -> DataFrame:
-        order = Window.partitionBy("length").orderBy("d", "x", "weight")
+        order = Window.partitionBy("length").orderBy("s", "x", "weight")
         before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
         return found.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k)
 
     asked = cut(lengths.select("length").distinct(), "lengths")
     seen_first = cut(nearest(look(asked.mapInPandas(lambda b: visits(b, True), "block int, length double"))), "nearest")
-    far = seen_first.groupBy("length").agg(F.when(F.sum("n") >= k, F.max("d")).otherwise(float("inf")).alias("far"))
+    far = seen_first.groupBy("length").agg(F.when(F.sum("n") >= k, F.sqrt(F.max("s"))).otherwise(float("inf")).alias("far"))
     later = cut(look(far.mapInPandas(lambda b: visits(b, False), "block int, length double")), "nearest")
     every = nearest(seen_first.drop("before").unionByName(later))
-    copies = F.array_repeat(F.struct("d", "x", "weight"), F.least(F.col("n"), k - F.col("before")).cast("int"))
+    copies = F.array_repeat(F.struct(F.sqrt("s").alias("d"), "x", "weight"), F.least(F.col("n"), k - F.col("before")).cast("int"))
     return every.groupBy("length").agg(F.array_sort(F.flatten(F.collect_list(copies))).alias("nearest"))
 
 
