@@ -39,7 +39,7 @@ FUNCTIONS = {
 class SpHistogram:
     """Hop histograms of one graph: gathers its edges, then goes through its nodes in chunks."""
 
-    CHUNK = 64
+    CHUNK = 512
 
     def __init__(self) -> None:
         self.graph, self.u, self.v = None, [], []
@@ -56,11 +56,10 @@ class SpHistogram:
         g = K.Csr(np.concatenate([u, v]), u, v)
         for at in range(0, g.n, self.CHUNK):
             sources = np.arange(at, min(at + self.CHUNK, g.n))
-            d = K.hops(g, sources)
-            i, j = np.nonzero((d > 0) & np.isfinite(d))
-            pair, count = np.unique(np.stack([i, d[i, j].astype(int)], axis=1), axis=0, return_counts=True)
-            for (k, r), n in zip(pair.tolist(), count.tolist()):
-                yield self.graph, int(g.ids[sources[k]]), float(r), n
+            cnt = K.hop_counts(g, sources)
+            i, r = np.nonzero(cnt)
+            for k, d, n in zip(i.tolist(), r.tolist(), cnt[i, r].tolist()):
+                yield self.graph, int(g.ids[sources[k]]), d + 1.0, n
 
 
 def register(spark: SparkSession) -> None:

@@ -76,33 +76,40 @@ def _bit_sums(rows: np.ndarray) -> np.ndarray:
 
 
 def _levels(g: Csr, sources: np.ndarray):
-    """Yields (n, words) bits a level from 1: which of the sources first reach a node there."""
-    width = -(-len(sources) // 64)
-    front = np.zeros((g.n, width), np.uint64)
+    """Yields (nodes, bits) a level from 1: nodes first reached there, and (nodes, words) by which of the sources."""
     k = np.arange(len(sources))
+    front = np.zeros((g.n, -(-len(sources) // 64)), np.uint64)
     np.bitwise_or.at(front, (sources, k // 64), np.uint64(1) << (k % 64).astype(np.uint64))
-    seen = front.copy()
-    some = np.flatnonzero(g.degree)
-    # Nodes in runs whose adjacency is gathered at once.
-    begin = g.start[some]
-    cuts = np.unique(np.searchsorted(begin, np.arange(0, len(g.dst) + GATHER, GATHER)))
-    while True:
-        new = np.zeros_like(front)
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            end = begin[y] if y < len(some) else len(g.dst)
-            new[some[x:y]] = np.bitwise_or.reduceat(front.take(g.dst[begin[x] : end], axis=0), begin[x:y] - begin[x], axis=0)
-        new &= ~seen
-        if not new.any():
+    seen, active = front.copy(), np.unique(sources)
+    while len(active):
+        # Only nodes next to the last level are looked at, and their adjacency is gathered in runs.
+        near = np.zeros(g.n, bool)
+        near[g.dst[g.spread(active)[1]]] = True
+        node = np.flatnonzero(near)
+        if not len(node):
             return
-        yield new
-        seen |= new
-        front = new
+        _, pos = g.spread(node)
+        begin = np.cumsum(g.degree[node]) - g.degree[node]
+        bits = np.empty((len(node), front.shape[1]), np.uint64)
+        cuts = np.unique(np.searchsorted(begin, np.arange(0, len(pos) + GATHER, GATHER)))
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            end = begin[y] if y < len(node) else len(pos)
+            bits[x:y] = np.bitwise_or.reduceat(front.take(g.dst[pos[begin[x] : end]], axis=0), begin[x:y] - begin[x], axis=0)
+        bits &= ~seen[node]
+        new = bits.any(1)
+        node, bits = node[new], bits[new]
+        front[active] = 0
+        front[node] = bits
+        seen[node] |= bits
+        active = node
+        if len(node):
+            yield node, bits
 
 
 def hop_counts(g: Csr, sources: np.ndarray, far: float = np.inf) -> np.ndarray:
     """(sources, levels): nodes first reached from each source at 1, 2, ... hops, fewer than ``far``."""
     counts = []
-    for new in _levels(g, sources):
+    for _, new in _levels(g, sources):
         if len(counts) + 1 >= far:
             break
         counts.append(_bit_sums(new)[: len(sources)])
@@ -159,9 +166,8 @@ def hop_levels(g: Csr, sources: np.ndarray) -> np.ndarray:
     """(sources, n) hop distances as whole numbers, -1 where unreachable."""
     out = np.full((len(sources), g.n), -1, np.int32)
     out[np.arange(len(sources)), sources] = 0
-    for k, new in enumerate(_levels(g, sources), 1):
-        node = np.flatnonzero(new.any(1))
-        at, source = np.nonzero(np.unpackbits(new[node].view(np.uint8), axis=1, bitorder="little"))
+    for k, (node, new) in enumerate(_levels(g, sources), 1):
+        at, source = np.nonzero(np.unpackbits(new.view(np.uint8), axis=1, bitorder="little"))
         out[source, node[at]] = k
     return out
 
