@@ -265,18 +265,23 @@ def nearest_other(nodes: DataFrame, size: float) -> DataFrame:
     company = n.groupBy("graph_id").agg(F.count("*").alias("k")).where("k > 1").select("graph_id")
     todo, done, radius = n.join(company, "graph_id", "left_semi"), None, size
     while True:
-        found = cut(_ring(todo, n, radius).where(F.col("distance") <= radius), "settled")
+        # One written table a ring: a compressed one passes for small, and a join with it would go through the driver.
+        met = cut(_ring(todo, n, radius), "rings")
+        near = F.coalesce(F.col("distance") <= radius, F.lit(False))
+        found = met.where(near).select("graph_id", "node_id", "distance")
         done = found if done is None else done.unionByName(found)
-        todo = cut(todo.join(found.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti"), "unsettled")
+        todo = met.where(~near).select("graph_id", "node_id", "x", "y")
         if todo.isEmpty():
             return done
         radius *= 4
 
 
 def _ring(some: DataFrame, every: DataFrame, radius: float) -> DataFrame:
+    """some(graph_id, node_id, x, y) with the distance to the nearest other node in the cells around, null without one."""
     near = F.sequence(F.lit(-1), F.lit(1))
     s = some.withColumns({"cx": G.cell(F.col("x"), radius), "cy": G.cell(F.col("y"), radius)})
     s = s.withColumn("cx", F.explode(F.transform(near, lambda k: F.col("cx") + k))).withColumn("cy", F.explode(F.transform(near, lambda k: F.col("cy") + k)))
     o = every.select("graph_id", F.col("node_id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), G.cell(F.col("x"), radius).alias("cx"), G.cell(F.col("y"), radius).alias("cy"))
-    j = s.join(o, ["graph_id", "cx", "cy"]).where("node_id <> o")
-    return j.groupBy("graph_id", "node_id").agg(F.min(G.length(F.col("x"), F.col("y"), F.col("ox"), F.col("oy"))).alias("distance"))
+    j = s.join(o.hint("merge"), ["graph_id", "cx", "cy"], "left")
+    d = F.when(F.col("node_id") != F.col("o"), G.length(F.col("x"), F.col("y"), F.col("ox"), F.col("oy")))
+    return j.groupBy("graph_id", "node_id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(d).alias("distance"))

@@ -149,6 +149,13 @@ def test_segments_and_grid_joins(spark):
     assert values(T.nearest_other(n.nodes, 0.4), "node_id", "distance") == [(i, pytest.approx(d)) for i, d in best]
 
 
+def test_nearest_other_sends_no_table_through_the_driver(spark):
+    nodes = net(spark, 3, [], xy=[(0.0, 0.0), (3.0, 4.0), (9.0, 4.0)]).nodes
+    ring = T._ring(nodes, nodes, 5.0)
+    assert "Broadcast" not in ring._jdf.queryExecution().executedPlan().toString()
+    assert values(ring, "node_id", "distance") == [(0, 5.0), (1, 5.0), (2, 6.0)]
+
+
 def test_rounding_as_python_does(spark):
     df = spark.createDataFrame([(2.675,), (0.25,), (2.5,), (None,)], "v double")
     assert [r[0] for r in df.select(py_round(F.col("v"), 2)).collect()] == [2.67, 0.25, 2.5, None]
