@@ -1,4 +1,4 @@
-"""Degrees kept up over a stream of added and removed edges, as state a node.
+"""Degrees kept up over a stream of added and removed edges, as state of nodes.
 
 A change (graph_id, u, v, change) adds (+1) or removes (-1) one edge between two nodes.
 A node's state holds for every other end how many edges are left, and the
@@ -12,8 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,49 +20,98 @@ CHANGES = "graph_id string, u long, v long, change int"
 DEGREES = "graph_id string, node_id long, version long, degree long, edges long"
 
 
+#: Neighbours of a node that its block's value holds; of a node with more, each is an entry of a map.
+FEW = 256
+#: Nodes whose ids differ in so many last bits only are one block.
+BLOCK = 6
+
+
 class Degrees(StatefulProcessor):
-    """State a (graph_id, node_id): other end -> edges left; updates sent so far."""
+    """State a (graph_id, block): for its nodes the updates sent so far, and other end -> edges left.
+
+    A call to the state costs more than its contents, so a block of neighbouring ids is read and written as one value.
+    Nodes that get more than FEW neighbours have them in a map, of which a batch touches only what it changes.
+    """
+
+    VALUE = "nodes array<long>, version array<long>, degree array<long>, edges array<long>, many array<boolean>, owner array<long>, other array<long>, n array<long>, touched array<long>"
 
-    def __init__(self, keep: int | None = None):
-        self.keep = keep
+    def __init__(self, keep: int | None = None, few: int = FEW):
+        self.keep, self.few = keep, few
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.near = handle.getMapState("near", "other long", "n long, touched long")
-        self.sent = handle.getValueState("sent", "version long, degree long, edges long")
-
-    def _row(self, key, degree: int, edges: int) -> Iterator[pd.DataFrame]:
-        version, *last = self.sent.get() if self.sent.exists() else (0, 0, 0)
-        if list(last) != [degree, edges] or not version:
-            self.sent.update((version + 1, degree, edges))
-            yield pd.DataFrame({"graph_id": [key[0]], "node_id": [key[1]], "version": [version + 1], "degree": [degree], "edges": [edges]})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        change = pd.concat(rows).groupby("other")["change"].sum()
-        now = timerValues.getCurrentWatermarkInMs() if self.keep else 0
-        _, degree, edges = self.sent.get() if self.sent.exists() else (0, 0, 0)
-        for other, k in change.items():
-            before = self.near.getValue((other,))[0] if self.near.containsKey((other,)) else 0
-            after = before + int(k)
-            if after or self.keep:
-                self.near.updateValue((other,), (after, now))
-            elif before:
-                self.near.removeKey((other,))
-            degree += (after > 0) - (before > 0)
-            edges += max(after, 0) - max(before, 0)
+        self.near = handle.getMapState("near", "node long, other long", "n long, touched long")
+        self.block = handle.getValueState("block", self.VALUE)
+
+    def _read(self) -> tuple[dict[int, list], dict[int, dict[int, tuple[int, int]]]]:
+        """node -> [updates sent, degree, edges, are its neighbours in the map]; node -> its neighbours if not."""
+        nodes, version, degree, edges, many, owner, other, n, touched = self.block.get() or ([],) * 9
+        stand = {k: list(x) for k, *x in zip(nodes, version, degree, edges, many)}
+        near: dict[int, dict[int, tuple[int, int]]] = {k: {} for k in nodes}
+        for k, o, *held in zip(owner, other, n, touched):
+            near[k][o] = tuple(held)
+        return stand, near
+
+    def _write(self, graph: str, stand: dict, near: dict, was: dict) -> Iterator[Row]:
+        """Keeps the block; sends the nodes that stand otherwise than they ``was``."""
+        for node, before in was.items():
+            if before != stand[node][1:3] or not stand[node][0]:
+                stand[node][0] += 1
+                yield Row(graph_id=graph, node_id=node, version=stand[node][0], degree=stand[node][1], edges=stand[node][2])
+        rows = [(k, o, *held) for k, of in near.items() for o, held in of.items()]
+        self.block.update((list(stand), *(list(c) for c in zip(*stand.values())), *([r[i] for r in rows] for i in range(4))))
+
+    def _set(self, stand: dict, near: dict, node: int, other: int, held: tuple[int, int] | None, after: tuple[int, int] | None) -> None:
+        """Puts ``after`` in place of what is held of a neighbour, None being nothing."""
+        if stand[node][3]:
+            if after:
+                self.near.updateValue((node, other), after)
+            elif held:
+                self.near.removeKey((node, other))
+        elif after:
+            near[node][other] = after
+        else:
+            near[node].pop(other, None)
+        n, m = held[0] if held else 0, after[0] if after else 0
+        stand[node][1] += (m > 0) - (n > 0)
+        stand[node][2] += max(m, 0) - max(n, 0)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        change: dict[tuple[int, int], int] = {}
+        for r in rows:
+            change[r.node_id, r.other] = change.get((r.node_id, r.other), 0) + r.change
+        time = timerValues.getCurrentWatermarkInMs() if self.keep else 0
+        stand, near = self._read()
+        was = {}
+        for (node, other), k in change.items():
+            if node not in stand:
+                stand[node], near[node] = [0, 0, 0, False], {}
+            was.setdefault(node, stand[node][1:3])
+            if stand[node][3]:
+                held = self.near.getValue((node, other)) if self.near.containsKey((node, other)) else None
+            else:
+                held = near[node].get(other)
+            after = (held[0] if held else 0) + k
+            self._set(stand, near, node, other, held, (after, time) if after or self.keep else None)
+            if len(near[node]) > self.few:
+                for o, of in near[node].items():
+                    self.near.updateValue((node, o), of)
+                stand[node][3], near[node] = True, {}
         if self.keep:
-            self.handle.registerTimer(now + 1000 * self.keep)
-        yield from self._row(key, degree, edges)
+            self.handle.registerTimer(time + 1000 * self.keep)
+        yield from self._write(key[0], stand, near, was)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         limit = expiredTimerInfo.getExpiryTimeInMs() - 1000 * self.keep
-        _, degree, edges = self.sent.get()
-        for (other,), (n, touched) in list(self.near.iterator()):
-            if touched <= limit:
-                self.near.removeKey((other,))
-                degree -= n > 0
-                edges -= max(n, 0)
-        yield from self._row(key, degree, edges)
+        stand, near = self._read()
+        was = {node: x[1:3] for node, x in stand.items()}
+        old = [(node, o, held) for node, of in near.items() for o, held in of.items()]
+        if any(x[3] for x in stand.values()):
+            old += [(*k, tuple(held)) for k, held in self.near.iterator()]
+        for node, other, held in old:
+            if held[1] <= limit:
+                self._set(stand, near, node, other, held, None)
+        yield from self._write(key[0], stand, near, was)
 
     def close(self) -> None:
         pass
@@ -76,8 +124,8 @@ def degree_updates(changes: DataFrame, keep: int | None = None, at: str = "ts")
     """
     more = [at] if keep else []
     both = changes.select(F.explode(F.when(F.col("u") == F.col("v"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))).alias("e"), "graph_id", F.col("change").cast("long").alias("change"), *more)
-    rows = both.select("graph_id", F.col("e.u").alias("node_id"), F.col("e.v").alias("other"), "change", *more)
-    return rows.groupBy("graph_id", "node_id").transformWithStateInPandas(Degrees(keep), DEGREES, "Update", "EventTime" if keep else "None")
+    rows = both.select("graph_id", F.shiftright("e.u", BLOCK).alias("block"), F.col("e.u").alias("node_id"), F.col("e.v").alias("other"), "change", *more)
+    return rows.groupBy("graph_id", "block").transformWithState(Degrees(keep), DEGREES, "Update", "EventTime" if keep else "None")
 
 
 def standing(updates: DataFrame) -> DataFrame:

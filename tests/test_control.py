@@ -118,6 +118,82 @@ def test_two_orders_of_changes_give_the_batch_degrees(spark, tmp_path):
         spark.conf.set(kind, before)
 
 
+class Calls:
+    """A state store that counts what is asked of it."""
+
+    def __init__(self):
+        self.count, self.value, self.map, self.timers = 0, None, {}, []
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    getValueState = getMapState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def get(self):
+        self.count += 1
+        return self.value
+
+    def update(self, value):
+        self.count, self.value = self.count + 1, value
+
+    def containsKey(self, key):  # noqa: N802
+        self.count += 1
+        return key in self.map
+
+    def getValue(self, key):  # noqa: N802
+        self.count += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.count += 1
+        self.map[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.count += 1
+        del self.map[key]
+
+    def iterator(self):
+        return iter(list(self.map.items()))
+
+
+def changed(state, rows, few=256, keep=None, now=0):
+    from types import SimpleNamespace as Of
+
+    p = degrees.Degrees(keep, few)
+    p.init(state)
+    sent = p.handleInputRows(("g", 0), iter([Of(node_id=a, other=b, change=c) for a, b, c in rows]), Of(getCurrentWatermarkInMs=lambda: now))
+    return [(r.node_id, r.version, r.degree, r.edges) for r in sent]
+
+
+def test_state_of_a_block_is_read_and_written_once_a_batch():
+    state = Calls()
+    ring = [(a, b % 50, 1) for a in range(50) for b in (a + 1, a + 49)]
+    assert changed(state, ring) == [(a, 1, 2, 2) for a in range(50)]
+    assert state.count == 2
+    assert changed(state, [(3, 4, 1), (3, 4, -1), (7, 8, -1)]) == [(7, 2, 1, 1)]
+    assert state.count == 4
+
+
+def test_neighbours_of_a_hub_move_to_a_map():
+    from types import SimpleNamespace as Of
+
+    few, many = Calls(), Calls()
+    for rows in ([(1, b, 1) for b in range(9)] + [(2, 1, 1)], [(1, b, -1) for b in range(0, 9, 2)] + [(1, 20, -1)], [(1, 20, 2), (1, 1, 1), (2, 1, -1)]):
+        assert changed(few, rows) == changed(many, rows, few=4)
+    assert not few.map and sorted(many.map) == [(1, b) for b in (1, 3, 5, 7, 20)]
+    for few_ in (256, 2):
+        state = Calls()
+        changed(state, [(1, b, 1) for b in range(4)], few_, keep=10, now=0)
+        changed(state, [(1, 3, 1)], few_, keep=10, now=5000)
+        p = degrees.Degrees(10, few_)
+        p.init(state)
+        told = [(r.node_id, r.version, r.degree, r.edges) for r in p.handleExpiredTimer(("g", 0), None, Of(getExpiryTimeInMs=lambda: 10_000))]
+        assert told == [(1, 3, 1, 2)] and state.timers == [10_000, 15_000]
+
+
 @pytest.mark.parametrize("name", ["stream_degree_changes", "sp_histogram_sql", "format_networks", "log_tail"])
 def test_queries_are_registered_with_sql(name):
     from filigree.plans import file_oracles, file_queries, oracles, queries  # noqa: F401
