@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..frame import NetworkFrame
 from ..functions import geometry as G
 from ..functions.numeric import py_round, ratio
-from ..session import cut
+from ..session import cut, spread
+
+#: Pairs of a cell's edges that one task looks at.
+CELL_PAIRS = 1 << 26
 
 
 def counts(net: NetworkFrame) -> DataFrame:
@@ -240,18 +243,28 @@ def range_pairs(nodes: DataFrame, radius: float) -> DataFrame:
 
 
 def crossings(net: NetworkFrame, size: float) -> DataFrame:
-    """(graph_id, u1, v1, u2, v2): edges without a common end that meet, through the grid cells of their boxes."""
-    e = placed_edges(net).where("u <> v")
-    span = lambda a, b: F.sequence(G.cell(F.least(a, b), size), G.cell(F.greatest(a, b), size))
-    cells = e.withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+    """(graph_id, u1, v1, u2, v2): edges without a common end that meet, through the grid cells of their boxes.
+
+    A pair is looked at in one cell alone, the first that both boxes have, so what is found is not gathered again.
+    """
     cols = ["u", "v", "x1", "y1", "x2", "y2"]
-    a = cells.select("graph_id", "cx", "cy", *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = cells.select("graph_id", "cx", "cy", *(F.col(c).alias(f"b_{c}") for c in cols))
-    j = a.join(b, ["graph_id", "cx", "cy"]).where("a_u < b_u or (a_u = b_u and a_v < b_v)")
+    e = placed_edges(net).where("u <> v").select("graph_id", *cols).distinct()
+    low = lambda a, b: G.cell(F.least(a, b), size)
+    span = lambda a, b: F.sequence(low(a, b), G.cell(F.greatest(a, b), size))
+    cells = e.withColumns({"lx": low("x1", "x2"), "ly": low("y1", "y2")}).withColumn("cx", F.explode(span("x1", "x2"))).withColumn("cy", F.explode(span("y1", "y2")))
+    key = ["graph_id", "cx", "cy"]
+    # A full cell's edges are dealt to several tasks, each of which meets all edges of the cell.
+    parts = cells.groupBy(*key).agg(F.ceil(F.count("*") * F.count("*") / CELL_PAIRS).cast("int").alias("parts"))
+    cells = cut(cells.join(parts, key), "cells")
+    side = lambda df, s: df.select(*key, "part", *(F.col(c).alias(f"{s}_{c}") for c in (*cols, "lx", "ly")))
+    a = side(cells.withColumn("part", F.pmod(F.xxhash64("u", "v"), "parts").cast("int")), "a")
+    b = side(cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "b")
+    key.append("part")
+    j = spread(a, *key).join(spread(b, *key).hint("shuffle_hash"), key).where("(a_u < b_u or (a_u = b_u and a_v < b_v)) and cx = greatest(a_lx, b_lx) and cy = greatest(a_ly, b_ly)")
     free = (F.col("a_u") != F.col("b_u")) & (F.col("a_u") != F.col("b_v")) & (F.col("a_v") != F.col("b_u")) & (F.col("a_v") != F.col("b_v"))
     ends = lambda s: tuple(F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2"))
     hit = j.where(free & G.segments_intersect(ends("a"), ends("b")))
-    return hit.select("graph_id", F.col("a_u").alias("u1"), F.col("a_v").alias("v1"), F.col("b_u").alias("u2"), F.col("b_v").alias("v2")).distinct()
+    return hit.select("graph_id", F.col("a_u").alias("u1"), F.col("a_v").alias("v1"), F.col("b_u").alias("u2"), F.col("b_v").alias("v2"))
 
 
 def nearest_other(nodes: DataFrame, size: float) -> DataFrame:
