@@ -17,13 +17,15 @@ from .topology import counts, crop, induced, trim_round
 
 #: Edges of one graph that a task may hold; larger graphs go through joins.
 LOCAL_EDGES = 2_000_000
+#: Rows that leave a task at once.
+STARS = 1 << 16
 
 
 def components(net: NetworkFrame) -> DataFrame:
     """(graph_id, node_id, label): the smallest node id reachable.
 
-    Graphs that fit a task are settled there, one each.  A larger one's edges are thinned to forests where
-    they lie, a task a partition, and settled by hooking and shortcutting over written tables.
+    Graphs that fit a task are settled there, one each.  A larger one's edges are dealt by ranges of ids and settled
+    range by range; what is left are the links between components of different ranges that share a node, which are settled alike.
     """
     links = cut(net.edges.where("u <> v").select("graph_id", "u", "v"), "links")
     size = links.groupBy("graph_id").agg(F.count("*").alias("n"))
@@ -31,9 +33,9 @@ def components(net: NetworkFrame) -> DataFrame:
     ids = net.nodes.select("graph_id", "node_id")
     if large.isEmpty():
         return _labelled(ids, links.groupBy("graph_id").applyInPandas(_settled, "graph_id string, node_id long, label long"))
-    some = cut(_forests(links.join(F.broadcast(large), "graph_id")), "forests")  # few graphs are that large
+    some = links.join(F.broadcast(large), "graph_id")  # few graphs are that large
     rest = links.join(F.broadcast(large), "graph_id", "left_anti").groupBy("graph_id").applyInPandas(_settled, "graph_id string, node_id long, label long")
-    return _labelled(ids, rest.unionByName(_hooked(some)))
+    return _labelled(ids, rest.unionByName(_by_ranges(some)))
 
 
 def _labelled(ids: DataFrame, found: DataFrame) -> DataFrame:
@@ -45,17 +47,42 @@ def _settled(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"graph_id": key[0], "node_id": ids, "label": label})
 
 
-def _forests(links: DataFrame) -> DataFrame:
-    """(graph_id, u, v): for every batch of edges a star to the smallest id of each of its components."""
+def _by_ranges(links: DataFrame) -> DataFrame:
+    """(graph_id, node_id, label) of all ends of the links: each node takes the least of its ranges' labels, and labels that
+    meet at a node are links of a smaller graph."""
+
+    def settle(batches):
+        held: dict[str, tuple[list, list]] = {}
+
+        def thin(g: str) -> tuple[np.ndarray, np.ndarray]:
+            ids, label = smallest_reachable(*(np.concatenate(c) for c in held[g]))
+            held[g] = ([label], [ids])
+            return ids, label
 
-    def thin(batches):
         for batch in batches:
             for g, part in batch.groupby("graph_id", sort=False):
-                ids, label = smallest_reachable(part.u.to_numpy(), part.v.to_numpy())
-                other = ids != label
-                yield pd.DataFrame({"graph_id": g, "u": label[other], "v": ids[other]})
-
-    return links.mapInPandas(thin, "graph_id string, u long, v long").distinct()
+                u, v = held.setdefault(g, ([], []))
+                u.append(part.u.to_numpy())
+                v.append(part.v.to_numpy())
+                # Stars of what came before stand for it.
+                if sum(map(len, u[1:])) > max(LOCAL_EDGES // 4, len(u[0])):
+                    thin(g)
+        for g in held:
+            ids, label = thin(g)
+            for lo in range(0, len(ids), STARS):
+                yield pd.DataFrame({"graph_id": g, "node_id": ids[lo : lo + STARS], "label": label[lo : lo + STARS]})
+
+    parts = max(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-links.count() // max(1, LOCAL_EDGES)))
+    stars = cut(links.repartitionByRange(parts, "graph_id", "u").mapInPandas(settle, "graph_id string, node_id long, label long"), "stars")
+    met = stars.groupBy("graph_id", "node_id").agg(F.min("label").alias("low"), F.collect_set("label").alias("labels"))
+    met = cut(met.select("graph_id", "node_id", "low", F.filter("labels", lambda x: x != F.col("low")).alias("others")), "met")
+    bridges = cut(met.select("graph_id", F.col("low").alias("u"), F.explode("others").alias("v")).distinct(), "bridges")
+    if bridges.groupBy("graph_id").agg(F.count("*").alias("n")).where(F.col("n") > LOCAL_EDGES).isEmpty():
+        found = bridges.groupBy("graph_id").applyInPandas(_settled, "graph_id string, node_id long, label long")
+    else:
+        found = _hooked(bridges)
+    found = cut(found, "labels").withColumnRenamed("node_id", "low")
+    return met.join(found, ["graph_id", "low"], "left").select("graph_id", "node_id", F.coalesce("label", "low").alias("label"))
 
 
 def _hooked(links: DataFrame, most_rounds: int = 200) -> DataFrame:

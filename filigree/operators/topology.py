@@ -55,10 +55,11 @@ def placed_edges(net: NetworkFrame, both: bool = False) -> DataFrame:
     return e.withColumns({"length": G.length(*ends), "angle": G.angle(*ends)})
 
 
-def degree_lengths(net: NetworkFrame, most: int | None = None) -> DataFrame:
+def degree_lengths(net: NetworkFrame, most: int | None = None, counts: bool = False) -> DataFrame:
     """(graph_id, degree, lengths): each edge's length at both its ends."""
     d = degrees(net).select("graph_id", F.col("node_id").alias("u"), "degree")
-    return population(placed_edges(net, both=True).join(d, ["graph_id", "u"]).select("graph_id", "degree", "length"), "length", "lengths", most)
+    all_ = placed_edges(net, both=True).join(d, ["graph_id", "u"]).select("graph_id", "degree", "length")
+    return counted(all_, "length", "lengths") if counts else population(all_, "length", "lengths", most)
 
 
 def angle_gaps(net: NetworkFrame) -> DataFrame:
@@ -70,9 +71,10 @@ def angle_gaps(net: NetworkFrame) -> DataFrame:
     return e.where("n > 1").select("graph_id", F.col("u").alias("node_id"), "seq", gap.alias("gap"))
 
 
-def degree_angles(net: NetworkFrame, most: int | None = None) -> DataFrame:
+def degree_angles(net: NetworkFrame, most: int | None = None, counts: bool = False) -> DataFrame:
     """(graph_id, degree, angles): the gaps by degree of their node."""
-    return population(angle_gaps(net).join(degrees(net), ["graph_id", "node_id"]).select("graph_id", "degree", "gap"), "gap", "angles", most)
+    all_ = angle_gaps(net).join(degrees(net), ["graph_id", "node_id"]).select("graph_id", "degree", "gap")
+    return counted(all_, "gap", "angles") if counts else population(all_, "gap", "angles", most)
 
 
 def population(df: DataFrame, value: str, name: str, most: int | None, by: str = "degree") -> DataFrame:
@@ -88,17 +90,27 @@ def population(df: DataFrame, value: str, name: str, most: int | None, by: str =
     return few.unionByName(many)
 
 
-def attributes(net: NetworkFrame, most: int | None = None) -> DataFrame:
+def counted(df: DataFrame, value: str, name: str, by: str = "degree") -> DataFrame:
+    """df(graph_id, by, value) -> (graph_id, by, name): the distinct values of a degree ascending, and how many of all its values
+    are no greater: what its sorted values are, without their repetitions."""
+    key = ["graph_id", by]
+    n = df.groupBy(*key, F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    ends = n.select(*key, F.struct("value", F.sum("n").over(Window.partitionBy(*key).orderBy("value")).alias("end")).alias("e"))
+    rows = ends.groupBy(*key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return rows.select(*key, F.struct(F.col("e.value").alias("values"), F.col("e.end").alias("ends")).alias(name))
+
+
+def attributes(net: NetworkFrame, most: int | None = None, counts_of_values: bool = False) -> DataFrame:
     """One row a graph: distributions and samples as maps, average length and degree; empty maps and 0.0 for an empty graph.
 
-    ``most`` bounds the samples of a degree (quantiles stand for more of them).
+    ``most`` bounds the samples of a degree (quantiles stand for more of them); with ``counts_of_values`` they are as ``counted`` gives them.
     """
     entries = lambda k, v: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(k).cast("int"), F.col(v)))))
     dist = degree_distribution(net).groupBy("graph_id").agg(entries("degree", "share").alias("degree_distribution"))
     inner = degree_transitions(net).groupBy("graph_id", "degree_u").agg(entries("degree_v", "prob").alias("row"))
     trans = inner.groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("degree_u").cast("int"), F.col("row")))).alias("degree_transition_probs"))
-    lengths = degree_lengths(net, most).groupBy("graph_id").agg(entries("degree", "lengths").alias("degree_lengths"))
-    angles = degree_angles(net, most).groupBy("graph_id").agg(entries("degree", "angles").alias("degree_angles"))
+    lengths = degree_lengths(net, most, counts_of_values).groupBy("graph_id").agg(entries("degree", "lengths").alias("degree_lengths"))
+    angles = degree_angles(net, most, counts_of_values).groupBy("graph_id").agg(entries("degree", "angles").alias("degree_angles"))
     mean = placed_edges(net).groupBy("graph_id").agg(F.avg("length").alias("average_length"))
     n = counts(net).select("graph_id", ratio(2 * F.col("edge_count"), F.col("node_count")).alias("average_degree"))
     out = n

@@ -409,9 +409,11 @@ def plot_segments(spark, d):
 
 
 def _sample(spark, d):
+    from .pipelines import kept
     from ..operators.growth import Sample
 
-    return Sample.of_row(T.attributes(C.largest_component(N.lattice(spark, d))).first())
+    # Written once, and every value once with its count: all of them are drawn from, and none is repeated in a worker.
+    return Sample.of_row(T.attributes(kept(C.largest_component(N.lattice(spark, d))), counts_of_values=True).first())
 
 
 @query
