@@ -56,3 +56,27 @@ def test_masses_that_rounding_leaves_don_t_move_for_ever():
     """Forty entries of 5e-14 are more than the tolerance together, none of them alone."""
     p = np.full(40, 5e-14)
     assert K.transport(p, p, np.ones((40, 40))) == pytest.approx(0.0, abs=1e-11)
+
+
+def test_principal_vector_of_values_that_lie_close():
+    """Two dense parts that a long path joins: their values differ by about 1e-4, which takes power iteration 10^5 rounds."""
+    r = np.random.default_rng(3)
+    part = lambda at: (at + r.integers(0, 60, 300), at + r.integers(0, 60, 300))
+    (a, b), line = part(0), np.arange(59, 68)
+    u, v = np.concatenate([a, a + 68, line, [1]]), np.concatenate([b, b + 68, line + 1, [200]])
+    g = K.Csr(np.concatenate([np.arange(128), [200]]), u, v)
+    full = np.zeros((g.n, g.n))
+    np.add.at(full, (np.repeat(np.arange(g.n), g.degree), g.dst), 1.0)
+    value, vector = np.linalg.eigh(full)
+    assert 0 < value[-1] - value[-2] < 1e-2
+    assert K.principal_vector(g, False, rounds=400) == pytest.approx(np.abs(vector[:, -1]), abs=1e-9)
+
+
+@pytest.mark.parametrize("edges", [[], [(0, 1)], [(0, 1), (1, 2), (2, 3), (3, 0)], [(0, k) for k in range(1, 9)]])
+def test_principal_vector_of_small_graphs(edges):
+    n = 1 + max((max(e) for e in edges), default=0)
+    g = K.Csr(np.arange(n), *np.array(edges, int).reshape(-1, 2).T)
+    full = np.zeros((n, n))
+    for a, b in edges:
+        full[a, b] = full[b, a] = 1
+    assert K.principal_vector(g, True) == pytest.approx(np.abs(np.linalg.eigh(full)[1][:, -1]), abs=1e-12)
