@@ -4,6 +4,8 @@
 
 ``edges`` holds (graph_id, u, v); the rows are those of ``paths.balls``: how many
 nodes lie at each hop distance of every node.  A partition is one graph, held by one task.
+Where ``edges`` has the flags ``u_asked`` and ``v_asked`` too, only nodes with a flag that is
+true get rows (all edges still count); so a filter on ``src`` needs not wait for all sources.
 """
 
 from __future__ import annotations
@@ -11,8 +13,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql.functions import arrow_udtf
 
 from ..operators import kernels as K
 
@@ -42,27 +45,30 @@ class SpHistogram:
     CHUNK = 512
 
     def __init__(self) -> None:
-        self.graph, self.u, self.v = None, [], []
+        self.edges: list[pa.RecordBatch] = []
 
-    def eval(self, edge: Row) -> None:
-        self.graph = edge["graph_id"]
-        self.u.append(edge["u"])
-        self.v.append(edge["v"])
+    def eval(self, edges: pa.RecordBatch) -> Iterator[pa.Table]:
+        self.edges.append(edges)
+        return iter(())
 
-    def terminate(self) -> Iterator[tuple]:
-        if not self.u:
+    def terminate(self) -> Iterator[pa.Table]:
+        if not self.edges:
             return
-        u, v = np.array(self.u), np.array(self.v)
+        t = pa.Table.from_batches(self.edges)
+        u, v = t["u"].to_numpy(), t["v"].to_numpy()
         g = K.Csr(np.concatenate([u, v]), u, v)
-        for at in range(0, g.n, self.CHUNK):
-            sources = np.arange(at, min(at + self.CHUNK, g.n))
+        asked = np.arange(g.n)
+        if "u_asked" in t.column_names:
+            asked = np.searchsorted(g.ids, np.unique(np.concatenate([ends.filter(t[f"{c}_asked"]).to_numpy() for c, ends in (("u", t["u"]), ("v", t["v"]))])))
+        for at in range(0, len(asked), self.CHUNK):
+            sources = asked[at : at + self.CHUNK]
             cnt = K.hop_counts(g, sources)
             i, r = np.nonzero(cnt)
-            for k, d, n in zip(i.tolist(), r.tolist(), cnt[i, r].tolist()):
-                yield self.graph, int(g.ids[sources[k]]), d + 1.0, n
+            graph = pa.repeat(t["graph_id"][0], len(i))
+            yield pa.table({"graph_id": graph, "src": g.ids[sources[i]], "r": r + 1.0, "cnt": cnt[i, r]})
 
 
 def register(spark: SparkSession) -> None:
     for name, (arguments, kind, text) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {text}")
-    spark.udtf.register("sp_histogram", udtf(SpHistogram, returnType="graph_id string, src long, r double, cnt long"))
+    spark.udtf.register("sp_histogram", arrow_udtf(SpHistogram, returnType="graph_id string, src long, r double, cnt long"))
