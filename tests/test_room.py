@@ -1,11 +1,13 @@
 """What leaves a query or passes between its steps takes little room."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from filigree.frame import NetworkFrame
+from filigree.operators import kernels as K
 from filigree.operators import paths
 
 NODES, EDGES = "graph_id string, node_id long, x double, y double", "graph_id string, u long, v long, weight double"
@@ -22,3 +24,19 @@ def test_hop_distances_come_in_runs_of_a_node(spark):
     rows = paths.distances(drawn(spark, 200)).select(F.spark_partition_id().alias("at"), "dst").collect()
     runs = len([*itertools.groupby((r.at, r.dst) for r in rows)])
     assert len(rows) > 30_000 and runs * 20 < len(rows)
+
+
+def test_surroundings_of_a_node_are_held_without_a_value_a_node_of_the_graph():
+    r = np.random.default_rng(1)
+    g = K.Csr(np.arange(60), *r.integers(0, 60, (2, 70)))
+    far = np.minimum(K.hops(g, np.arange(60)), 3.0)
+    assert all((K.WithinThree(g, i)[np.arange(60)] == far[i]).all() for i in range(60))
+    ring = np.arange(100_000)
+    tracemalloc.start()
+    g = K.Csr(ring, ring, np.roll(ring, 1))
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    held = [K.WithinThree(g, i) for i in range(64)]
+    grown = tracemalloc.get_traced_memory()[1] - before
+    tracemalloc.stop()
+    assert len(held) == 64 and grown < 1 << 20
