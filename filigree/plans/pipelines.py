@@ -287,11 +287,11 @@ def expected_nodes(count: int, frame: tuple[float, float], board: tuple[float, f
     return round(count / (frame[0] * frame[1]) * (board[0] + pad[0]) * (board[1] + pad[1])) if frame[0] * frame[1] else 0
 
 
-def analyse(sets: dict[str, NetworkFrame], full_band: bool = True) -> DataFrame:
-    """(label, graph_id, ...): reports of labelled sets of networks."""
+def analyse(sets: dict[str, NetworkFrame], full_band: bool = True, only: set[str] | None = None) -> DataFrame:
+    """(label, graph_id, ...): reports of labelled sets of networks, or ``only`` some columns of them."""
     out = None
     for label, net in sets.items():
-        r = M.analyse(net, full_band).withColumn("label", F.lit(label))
+        r = M.analyse(net, full_band, only).withColumn("label", F.lit(label))
         out = r if out is None else out.unionByName(r)
     return out
 
