@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from filigree.frame import NetworkFrame
 from filigree.operators import kernels as K
-from filigree.operators import paths
+from filigree.operators import large, paths
 
 NODES, EDGES = "graph_id string, node_id long, x double, y double", "graph_id string, u long, v long, weight double"
 
@@ -40,3 +40,11 @@ def test_surroundings_of_a_node_are_held_without_a_value_a_node_of_the_graph():
     grown = tracemalloc.get_traced_memory()[1] - before
     tracemalloc.stop()
     assert len(held) == 64 and grown < 1 << 20
+
+
+def test_sketches_do_not_pass_through_the_driver(spark, monkeypatch):
+    plans, cut = [], large.cut
+    monkeypatch.setattr(large, "cut", lambda df, name="step": plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or cut(df, name))
+    assert large.ball_estimates(drawn(spark, 20)).count() > 40
+    steps = [p for name, p in plans if name == "sketches"][1:]
+    assert steps and all("SortMergeJoin" in p and "Broadcast" not in p for p in steps)
